@@ -39,7 +39,7 @@ def escape_text(text: Column) -> Column:
     """Put one more backslash between ``<`` and ``|`` wherever only backslashes stand between them.
 
     Afterwards no ``<|`` is left, so no control string can occur; ``unescape_text`` takes one away again."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape_text(text: Column) -> Column:
