@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from markloom.llm import chat, fingerprints
+from markloom.llm import chat, decontamination, fingerprints
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
 }
 
 ORACLE_SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
+    "op5_benchmark_decontamination": decontamination.OP5_SQL,
 }
