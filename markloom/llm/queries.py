@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from markloom.llm import chat, decontamination, fingerprints
+from markloom.llm import chat, decontamination, fingerprints, ngram_join
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
