@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from markloom.llm import chat, decontamination, fingerprints, ngram_join, quality, secrets, sentencepiece
+from markloom.llm import chat, decontamination, fingerprints, html, lm_scoring, ngram_join, quality, secrets, sentencepiece
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_sentencepiece": sentencepiece.op2_sentencepiece,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_html_extraction": html.op7_html_extraction,
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
