@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from markloom.llm import chat, decontamination, fingerprints, html, lm_scoring, ngram_join, quality, secrets, sentencepiece
+from markloom.llm import chat, decontamination, fingerprints, html, licenses, lm_scoring, ngram_join, quality, secrets, sentencepiece
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_sentencepiece": sentencepiece.op2_sentencepiece,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_license_scans": licenses.op4_license_scans,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_html_extraction": html.op7_html_extraction,
