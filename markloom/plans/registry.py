@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from markloom.plans import label_queries
+
+_PARTS = (label_queries,)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict = {name: s for part in _PARTS for name, s in part.ORACLES.items()}
