@@ -23,7 +23,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_MEMO_SIZE = 300_000
+_MEMO_SIZE = 100_000  # cuts remembered by a task; their ids are kept as packed bytes
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -129,7 +129,7 @@ class Encoder:
         self.normalizer = normalizers.Sequence(steps) if steps else None
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S).findall if m.cuttable() else lambda s: [s]
         self.raw = [self._bytes(*p) for p in m.pieces]
-        self.memo: dict[str, tuple[list[int], bool]] = {}
+        self.memo: dict[str, tuple[bytes, bool]] = {}
 
     def _bytes(self, piece: str, _score: float, kind: int) -> bytes:
         if kind == BYTE:
@@ -160,24 +160,21 @@ class Encoder:
         theirs = iter(self.reference.encode([p[1:] if prefix else p for p, c in zip(plain, comparable, strict=True) if c], num_threads=1))
         for cut, ids, c in zip(cuts, encoded, comparable, strict=True):
             want = next(theirs) if c else None
-            self.memo[cut] = (ids, ids == (alone if prefix and cut == MARK else want))
+            self.memo[cut] = (np.array(ids, np.int32).tobytes(), ids == (alone if prefix and cut == MARK else want))
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """(ids, parity) of each text."""
         if len(self.memo) > _MEMO_SIZE:
             self.memo.clear()
         cuts = [self.cut(self.normalise(t)) for t in texts]
         if fresh := list({c for own in cuts for c in own if c not in self.memo}):
-            self._learn(fresh)
-        out, memo = [], self.memo
+            for at in range(0, len(fresh), 4096):
+                self._learn(fresh[at : at + 4096])
+        memo = self.memo
+        out = []
         for own in cuts:
-            ids: list[int] = []
-            same = True
-            for c in own:
-                got, ok = memo[c]
-                ids += got
-                same &= ok
-            out.append((ids, same))
+            got = [memo[c] for c in own]
+            out.append((np.frombuffer(b"".join([ids for ids, _ in got]), np.int32), all([ok for _, ok in got])))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -199,7 +196,7 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, texts_per_step: int = 256) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, texts_per_step: int = 128) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip, parity for every row of ``docs`` (doc_id, text).
 
     ``round_trip`` tells whether decoding the ids gives the whole text again, ``parity`` whether the
@@ -217,9 +214,9 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, texts_per_step: int =
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids, same, back = [], [], []
                 for text, (own, ok) in zip(texts, encoder.encode_batch(texts), strict=True):
-                    ids.append(np.array(own, np.int32))
+                    ids.append(own)
                     same.append(ok)
-                    back.append(encoder.decode(own) == text)
+                    back.append(encoder.decode(own.tolist()) == text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
