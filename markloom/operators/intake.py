@@ -1,0 +1,84 @@
+"""Uploads, provider calls, batches and jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+MOST_BYTES, MOST_PAGES, MOST_SHEETS, N_STAGES = 10 * 1024 * 1024, 12, 20, 9
+EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg")
+MIME_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/jpg")
+ACTIONABLE = ("quota", "credentials", "misconfigured")
+
+# What each kind of provider failure is called.
+SENTENCES = {
+    "credentials": "the provider rejected the API key",
+    "network": "the provider could not be reached",
+    "quota": "the provider's usage quota was reached",
+    "provider_unavailable": "the provider is temporarily unavailable",
+    "misconfigured": "the provider rejected the request",
+    "unusable_response": "the provider's reply could not be used",
+}
+
+
+def extension(name: Column) -> Column:
+    """From the last dot on, in lower case; empty without a dot."""
+    return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+
+
+def is_pdf(name: Column, mime: Column, content: Column) -> Column:
+    magic = F.instr(F.substring(content, 1, 1024), "%PDF-") > 0
+    return (mime == "application/pdf") | (extension(name) == ".pdf") | magic
+
+
+def upload_error(name: Column, mime: Column, size: Column, most: int = MOST_BYTES) -> Column:
+    """The first rule that an upload breaks, null if none."""
+    known = extension(name).isin(*EXTENSIONS) | mime.isin(*MIME_TYPES)
+    return F.when(size == 0, "EMPTY_FILE").when(size > most, "TOO_LARGE").when(~known, "UNSUPPORTED_TYPE")
+
+
+def failure_kind(status: Column, error_class: Column, body: Column, message: Column) -> Column:
+    """Kind of a failed call from its status, class, body and message; null for a call that succeeded."""
+    key = (status == 400) & F.lower(body).rlike(r"api[_ ]?key")
+    return (
+        F.when(status == 200, None)
+        .when((error_class == "auth") | status.isin(401, 403) | key, "credentials")
+        .when(error_class == "network", "network")
+        .when(status == 429, "quota")
+        .when(status >= 500, "provider_unavailable")
+        .when(status >= 400, "misconfigured")
+        .when(F.lower(message).rlike("fetch failed|timed out|econn|enotfound|network"), "network")
+        .otherwise("unusable_response")
+    )
+
+
+def failure_sentence(kind: Column, step: Column) -> Column:
+    said = F.coalesce(*(F.when(kind == k, v) for k, v in SENTENCES.items()))
+    return F.concat(step, F.lit(" was skipped because "), said, F.lit("."))
+
+
+def job_error(kind: Column) -> Column:
+    """Struct (code, retryable) of a job that fails for this kind of reason."""
+    code = (
+        F.when(kind == "credentials", "PROVIDER_AUTH").when(kind == "quota", "PROVIDER_QUOTA").when(kind == "network", "PROVIDER_NETWORK")
+        .when(kind == "provider_unavailable", "PROVIDER_UNAVAILABLE").otherwise("PROCESSING_FAILED")
+    )
+    return F.struct(code.alias("code"), kind.isin("quota", "network", "provider_unavailable").alias("retryable"))
+
+
+def first_per_step(calls: DataFrame) -> DataFrame:
+    """The first failure of each step of a sheet (by event_id)."""
+    w = Window.partitionBy("sheet_id", "step_no").orderBy("event_id")
+    return calls.where("kind IS NOT NULL").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def lead_failure(firsts: DataFrame) -> DataFrame:
+    """Per sheet the failure to show: the first that somebody can act on, else the first."""
+    w = Window.partitionBy("sheet_id").orderBy((~F.col("kind").isin(*ACTIONABLE)).cast("int"), "event_id")
+    return firsts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def stage_progress(latest: DataFrame) -> DataFrame:
+    """job_id, percent from the latest state of each of a job's stages: done and skipped count whole, any active half."""
+    done = F.count_if(F.col("state").isin("done", "skipped")) + F.when(F.bool_or(F.col("state") == "active"), 0.5).otherwise(0.0)
+    return latest.groupBy("job_id").agg(F.floor(done * 100 / N_STAGES + 0.5).cast("bigint").alias("percent"))

@@ -1,0 +1,234 @@
+"""Queries over uploads, calls, jobs and progress, and the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from markloom.operators import intake as I
+from markloom.sources.inputs import derived, with_inputs
+from markloom.streaming import progress as S
+
+
+def _m(spark, sf_dir):
+    return derived(spark, sf_dir, "manifest_in")
+
+
+def _calls(spark, sf_dir):
+    k = I.failure_kind(F.col("status"), F.col("error_class"), F.col("body"), F.col("message"))
+    return derived(spark, sf_dir, "call_log_in").withColumn("kind", k)
+
+
+def _events(spark, sf_dir):
+    return derived(spark, sf_dir, "stage_events_in")
+
+
+def scan_file_manifest(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return m.select("batch_id", "file_ix", I.extension(F.col("file_name")).alias("extension"), I.is_pdf(F.col("file_name"), F.col("mime_type"), F.col("content")).alias("is_pdf"))
+
+
+def validate_uploads(spark, sf_dir):
+    return _m(spark, sf_dir).select("batch_id", "file_ix", I.upload_error(F.col("file_name"), F.col("mime_type"), F.col("byte_size")).alias("error_code"))
+
+
+def page_cap(spark, sf_dir):
+    capped = F.least(F.lit(I.MOST_PAGES), "page_count")
+    return _m(spark, sf_dir).select("batch_id", "file_ix", "page_count", capped.alias("kept"), (F.col("page_count") > I.MOST_PAGES).alias("capped"))
+
+
+def batch_size_guard(spark, sf_dir):
+    b = _m(spark, sf_dir).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("byte_size") == 0).alias("has_empty"))
+    return b.select("batch_id", "n", ((F.col("n") > I.MOST_SHEETS) | F.col("has_empty")).alias("refused"))
+
+
+def dedupe_uploads(spark, sf_dir):
+    w = Window.partitionBy("batch_id", "file_name", "byte_size").orderBy("file_ix")
+    return _m(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("batch_id", "file_ix")
+
+
+def ordered_distinct(spark, sf_dir):
+    return _m(spark, sf_dir).select("batch_id", "mime_type").distinct()
+
+
+def ordered_distinct_warnings(spark, sf_dir):
+    w = F.array_sort(F.collect_list(F.struct("event_id", "kind")))
+    said = F.array_sort(F.array_distinct(F.transform(w, lambda x: x["kind"])))
+    return _calls(spark, sf_dir).where("kind IS NOT NULL").groupBy("sheet_id").agg(said.alias("kinds"))
+
+
+def first_n_clean(spark, sf_dir):
+    parts = F.filter(F.transform(F.split("text", r"[.\n]"), lambda p: F.trim(p)), lambda p: p != "")
+    return derived(spark, sf_dir, "benchmark").select("item_id", F.slice(parts, 1, 4).alias("points"))
+
+
+def classify_provider_failure(spark, sf_dir):
+    return _calls(spark, sf_dir).select("event_id", "kind")
+
+
+def describe_degradation(spark, sf_dir):
+    step = F.concat(F.lit("Step "), F.col("step_no").cast("string"))
+    return _calls(spark, sf_dir).where("kind IS NOT NULL").select("event_id", I.failure_sentence(F.col("kind"), step).alias("sentence"))
+
+
+def job_error_class(spark, sf_dir):
+    return _calls(spark, sf_dir).where("kind IS NOT NULL").select("event_id", I.job_error(F.col("kind")).alias("e")).select("event_id", "e.code", "e.retryable")
+
+
+def first_degradation_per_step(spark, sf_dir):
+    return I.first_per_step(_calls(spark, sf_dir)).select("sheet_id", "step_no", "event_id", "kind")
+
+
+def actionable_degradations(spark, sf_dir):
+    return I.lead_failure(I.first_per_step(_calls(spark, sf_dir))).select("sheet_id", "event_id", "kind")
+
+
+def provider_provenance(spark, sf_dir):
+    p = _calls(spark, sf_dir).groupBy("sheet_id").agg(F.bool_or(F.col("kind").isNotNull()).alias("degraded"), F.count_if(F.col("kind").isNull()).alias("n_ok"))
+    return p.select("sheet_id", F.when(F.col("n_ok") > 0, "remote").otherwise("local").alias("provider"), "degraded", (F.col("n_ok") == 0).alias("local_mode"))
+
+
+def batch_outcome(spark, sf_dir):
+    v = validate_uploads(spark, sf_dir)
+    b = v.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("error_code").alias("failed"),
+        F.min_by("error_code", F.when(F.col("error_code").isNotNull(), F.col("file_ix"))).alias("first_error"),
+    )
+    all_failed = F.col("failed") == F.col("n")
+    warning = F.when((F.col("failed") > 0) & ~all_failed, F.format_string("%d of %d files failed", "failed", "n"))
+    return b.select("batch_id", "failed", F.when(all_failed, F.col("first_error")).alias("job_error"), warning.alias("warning"))
+
+
+def failed_sheet_row(spark, sf_dir):
+    """Every question of a paper unanswered for a sheet that failed."""
+    q = derived(spark, sf_dir, "questions_in").select("paper_id", "ord")
+    failed = validate_uploads(spark, sf_dir).where("error_code IS NOT NULL").select(F.col("batch_id").alias("paper_id"), "file_ix", "error_code")
+    return q.join(failed, "paper_id").select("paper_id", "file_ix", "ord", F.lit("unanswered").alias("status"), "error_code")
+
+
+def live_progress(spark, sf_dir):
+    return S.settled_states(S.latest_states(_events(spark, sf_dir)))
+
+
+def stage_progress_percent(spark, sf_dir):
+    return I.stage_progress(S.latest_states(_events(spark, sf_dir)))
+
+
+def cut_off_runs(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    last = e.where("event_type = 'purchase'").select("job_id").distinct()
+    return e.select("job_id").distinct().join(last, "job_id", "left_anti")
+
+
+def stalled_jobs(spark, sf_dir):
+    """Sessions of a job (12 hours without a frame end one) that hold no terminal frame; the table is complete, so every
+    session is closed."""
+    s = S.stalled_jobs(S.closed_sessions(_events(spark, sf_dir)))
+    return s.select("job_id", F.unix_timestamp("session.start").alias("start_s"), "n")
+
+
+def write_progress_frames(spark, sf_dir):
+    """Each job's frames in order with one terminal frame at the end."""
+    e = _events(spark, sf_dir)
+    w = Window.partitionBy("job_id").orderBy("event_id")
+    frames = e.select("job_id", F.row_number().over(w).cast("bigint").alias("seq"), F.lit("stage").alias("type"))
+    last = e.groupBy("job_id").agg((F.count(F.lit(1)) + 1).alias("seq"), F.when(F.bool_or(F.col("state") == "failed"), "error").otherwise("result").alias("type"))
+    return frames.unionByName(last)
+
+
+def request_batches(spark, sf_dir):
+    """One request text per sheet: its questions numbered and cut, in order."""
+    q = derived(spark, sf_dir, "questions_in")
+    row = F.concat_ws(" ", F.concat(F.lit("Q"), (F.col("ord") + 1).cast("string")), F.substring("text", 1, 800))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("r")))), lambda x: x["r"]), "\n")
+    return q.groupBy("paper_id").agg(F.md5(text).alias("request_md5"))
+
+
+def fill_missing_regions(spark, sf_dir):
+    """Regions asked for, with what was read, or empty text and confidence 0."""
+    b = derived(spark, sf_dir, "blocks_in")
+    read = b.where("block_no % 3 <> 0").select("doc_id", "block_no", "text", "confidence")
+    return b.select("doc_id", "block_no").join(read, ["doc_id", "block_no"], "left").select(
+        "doc_id", "block_no", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
+    )
+
+
+def scan_region_responses(spark, sf_dir):
+    """Replies, one JSON text per page with a row per region, back to rows; of rows with one index the last counts."""
+    b = derived(spark, sf_dir, "blocks_in").where("block_no % 3 <> 0")
+    row = F.struct(F.col("block_no").alias("index"), "text", "label", "confidence")
+    replies = b.groupBy("doc_id", "page_number").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("regions"))).alias("reply"))
+    schema = "regions array<struct<index:bigint,text:string,label:string,confidence:double>>"
+    rows = replies.select("doc_id", "page_number", F.posexplode(F.from_json("reply", schema)["regions"]).alias("pos", "r"))
+    last = rows.groupBy("doc_id", "page_number", F.col("r.index").alias("index")).agg(F.max_by("r", "pos").alias("r"))
+    return last.select("doc_id", "page_number", "index", "r.text", "r.label", F.coalesce("r.confidence", F.lit(0.6)).alias("confidence"))
+
+
+def region_rows(spark, sf_dir):
+    return scan_region_responses(spark, sf_dir).select("doc_id", "page_number", "index", F.nullif("label", F.lit("null")).alias("label"))
+
+
+def page_highlights(spark, sf_dir):
+    """Regions of answers per page; the label stands on the first region of a page."""
+    b = derived(spark, sf_dir, "blocks_in").where("label IS NOT NULL")
+    w = Window.partitionBy("doc_id", "page_number", "label").orderBy("block_no")
+    return b.withColumn("rn", F.row_number().over(w)).select("doc_id", "page_number", "block_no", F.when(F.col("rn") == 1, F.col("label")).alias("label"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_file_manifest, validate_uploads, page_cap, batch_size_guard, dedupe_uploads, ordered_distinct, ordered_distinct_warnings,
+        first_n_clean, classify_provider_failure, describe_degradation, job_error_class, first_degradation_per_step,
+        actionable_degradations, provider_provenance, batch_outcome, failed_sheet_row, live_progress, stage_progress_percent, cut_off_runs,
+        stalled_jobs, write_progress_frames, request_batches, fill_missing_regions, scan_region_responses, region_rows, page_highlights,
+    )
+}
+
+_M = f"""{with_inputs('manifest_in')}, e AS (SELECT *, lower(regexp_extract(file_name, '(\\.[^.]*)$', 1)) AS extension FROM manifest_in),
+v AS (SELECT batch_id, file_ix, CASE WHEN byte_size = 0 THEN 'EMPTY_FILE' WHEN byte_size > 10485760 THEN 'TOO_LARGE'
+  WHEN NOT (extension IN ('.pdf', '.png', '.jpg', '.jpeg') OR mime_type IN ('application/pdf', 'image/png', 'image/jpeg', 'image/jpg')) THEN 'UNSUPPORTED_TYPE' END AS error_code FROM e)"""
+_C = f"""{with_inputs('call_log_in')}, c AS (SELECT *, CASE WHEN status = 200 THEN NULL
+  WHEN error_class = 'auth' OR status IN (401, 403) OR (status = 400 AND regexp_matches(lower(body), 'api[_ ]?key')) THEN 'credentials'
+  WHEN error_class = 'network' THEN 'network' WHEN status = 429 THEN 'quota' WHEN status >= 500 THEN 'provider_unavailable' WHEN status >= 400 THEN 'misconfigured'
+  WHEN regexp_matches(lower(message), 'fetch failed|timed out|econn|enotfound|network') THEN 'network' ELSE 'unusable_response' END AS kind FROM call_log_in),
+fs AS (SELECT * FROM c WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sheet_id, step_no ORDER BY event_id) = 1)"""
+_E = f"""{with_inputs('stage_events_in')}, ls AS (SELECT job_id, stage, state FROM stage_events_in QUALIFY row_number() OVER (PARTITION BY job_id, stage ORDER BY ts DESC, event_id DESC) = 1)"""
+_SAID = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in I.SENTENCES.items()) + " END"
+_B = with_inputs("blocks_in")
+ORACLES = {
+    "scan_file_manifest": f"""{_M} SELECT batch_id, file_ix, extension, mime_type = 'application/pdf' OR extension = '.pdf' OR contains(substring(content, 1, 1024), '%PDF-') AS is_pdf FROM e""",
+    "validate_uploads": f"{_M} SELECT * FROM v",
+    "page_cap": f"{_M} SELECT batch_id, file_ix, page_count, CAST(least(12, page_count) AS INT) AS kept, page_count > 12 AS capped FROM e",
+    "batch_size_guard": f"{_M} SELECT batch_id, count(*) AS n, count(*) > 20 OR bool_or(byte_size = 0) AS refused FROM e GROUP BY 1",
+    "dedupe_uploads": f"{_M} SELECT batch_id, min(file_ix) AS file_ix FROM e GROUP BY batch_id, file_name, byte_size",
+    "ordered_distinct": f"{_M} SELECT DISTINCT batch_id, mime_type FROM e",
+    "ordered_distinct_warnings": f"{_C} SELECT sheet_id, list_sort(list(DISTINCT kind)) AS kinds FROM c WHERE kind IS NOT NULL GROUP BY 1",
+    "first_n_clean": "SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda p: trim(p)), lambda p: p <> '')[1:4] AS points FROM benchmark",
+    "classify_provider_failure": f"{_C} SELECT event_id, kind FROM c",
+    "describe_degradation": f"{_C} SELECT event_id, 'Step ' || step_no || ' was skipped because ' || {_SAID} || '.' AS sentence FROM c WHERE kind IS NOT NULL",
+    "job_error_class": f"""{_C} SELECT event_id, CASE kind WHEN 'credentials' THEN 'PROVIDER_AUTH' WHEN 'quota' THEN 'PROVIDER_QUOTA' WHEN 'network' THEN 'PROVIDER_NETWORK'
+  WHEN 'provider_unavailable' THEN 'PROVIDER_UNAVAILABLE' ELSE 'PROCESSING_FAILED' END AS code, kind IN ('quota', 'network', 'provider_unavailable') AS retryable FROM c WHERE kind IS NOT NULL""",
+    "first_degradation_per_step": f"{_C} SELECT sheet_id, step_no, event_id, kind FROM fs",
+    "actionable_degradations": f"""{_C} SELECT sheet_id, event_id, kind FROM fs
+QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY CASE WHEN kind IN ('quota', 'credentials', 'misconfigured') THEN 0 ELSE 1 END, event_id) = 1""",
+    "provider_provenance": f"""{_C} SELECT sheet_id, CASE WHEN count(*) FILTER (kind IS NULL) > 0 THEN 'remote' ELSE 'local' END AS provider, bool_or(kind IS NOT NULL) AS degraded,
+  count(*) FILTER (kind IS NULL) = 0 AS local_mode FROM c GROUP BY 1""",
+    "batch_outcome": f"""{_M}, b AS (SELECT batch_id, count(*) AS n, count(error_code) AS failed, arg_min(error_code, file_ix) FILTER (error_code IS NOT NULL) AS fe FROM v GROUP BY 1)
+SELECT batch_id, failed, CASE WHEN failed = n THEN fe END AS job_error, CASE WHEN failed > 0 AND failed < n THEN failed || ' of ' || n || ' files failed' END AS warning FROM b""",
+    "failed_sheet_row": f"""{_M.replace('WITH RECURSIVE ', with_inputs('questions_in') + ', ')} SELECT paper_id, file_ix, ord, 'unanswered' AS status, error_code FROM questions_in JOIN v ON batch_id = paper_id WHERE error_code IS NOT NULL""",
+    "live_progress": f"""{_E} SELECT job_id, stage, CASE WHEN state = 'active' AND bool_or(state = 'failed') OVER (PARTITION BY job_id) THEN 'failed' ELSE state END AS state FROM ls""",
+    "stage_progress_percent": f"""{_E} SELECT job_id, CAST(floor((count(*) FILTER (state IN ('done', 'skipped')) + CASE WHEN bool_or(state = 'active') THEN 0.5 ELSE 0 END) * 100 / 9 + 0.5) AS BIGINT) AS percent FROM ls GROUP BY 1""",
+    "cut_off_runs": f"{_E} SELECT DISTINCT job_id FROM stage_events_in WHERE job_id NOT IN (SELECT job_id FROM stage_events_in WHERE event_type = 'purchase')",
+    "stalled_jobs": f"""{_E}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM stage_events_in WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
+h AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT job_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n FROM h GROUP BY job_id, s HAVING NOT bool_or(event_type = 'purchase')""",
+    "write_progress_frames": f"""{_E} SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS seq, 'stage' AS type FROM stage_events_in
+UNION ALL SELECT job_id, count(*) + 1, CASE WHEN bool_or(state = 'failed') THEN 'error' ELSE 'result' END FROM stage_events_in GROUP BY 1""",
+    "request_batches": f"""{with_inputs('questions_in')} SELECT paper_id, md5(string_agg('Q' || (ord + 1) || ' ' || substring(text, 1, 800), chr(10) ORDER BY ord)) AS request_md5 FROM questions_in GROUP BY 1""",
+    "fill_missing_regions": f"""{_B} SELECT doc_id, block_no, CASE WHEN block_no % 3 <> 0 THEN text ELSE '' END AS text, CASE WHEN block_no % 3 <> 0 THEN confidence ELSE 0 END::DOUBLE AS confidence FROM blocks_in""",
+    "scan_region_responses": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", text, label, confidence FROM blocks_in WHERE block_no % 3 <> 0",
+    "region_rows": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", label FROM blocks_in WHERE block_no % 3 <> 0",
+    "page_highlights": f"""{_B} SELECT doc_id, page_number, block_no, CASE WHEN row_number() OVER (PARTITION BY doc_id, page_number, label ORDER BY block_no) = 1 THEN label END AS label
+FROM blocks_in WHERE label IS NOT NULL""",
+}
