@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a placeholder; ``n_chars`` follows the text (null for a null one)."""
-    clean = secrets.redact(secrets.scan(docs.select(*COLUMNS)))
+    clean = secrets.scan(docs.select(*COLUMNS), redact=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

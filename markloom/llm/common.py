@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_pass(df: DataFrame, function, schema: str, batch_rows: int = 1000) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``batch_rows`` rows, so that a batch of whole texts stays small on both
+    sides, and with a worker that gives memory back when it is done: workers stay alive between tasks."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for the row."""
     return F.element_at(F.transform(F.array(value), body), 1)

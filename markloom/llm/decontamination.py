@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import alnum_words
+from markloom.llm.common import alnum_words, arrow_pass
 
 WINDOW = 10
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, hits array<struct<start:int,end:int>>, items array<string>"
@@ -162,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             )
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), SCHEMA])
-    return docs.mapInArrow(search, schema)
+    return arrow_pass(docs, search, schema)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from markloom.llm.common import arrow_pass
+
 # What HTML elements are.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -292,7 +294,7 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    return arrow_pass(pages.select("page_id", "url", "html"), apply, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import alnum_words, materialize
+from markloom.llm.common import alnum_words, arrow_pass, materialize
 from markloom.llm.graph import connected_components
 
 SHINGLE = 5
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 ["doc_id", "key", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, key string, bands array<long>")
+    return arrow_pass(docs.select("doc_id", "text"), sign, "doc_id long, key string, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -132,7 +132,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             )
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "shingles array<long>"])
-    return docs.mapInArrow(sets, schema)
+    return arrow_pass(docs, sets, schema)
 
 
 def _links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:

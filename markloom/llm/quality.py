@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markloom.llm.common import arrow_pass
+
 PASSAGE_BYTES = 1200
 PAIR_BUCKETS = 64
 #: Kinds of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 . , 7 ; : - quotes brackets, 8 | , 9 ! ?, 10 other symbol, 11 non-ASCII
@@ -185,11 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1), m
             packed = [x[first[i] : first[i + 1]].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "quality", "x"])
 
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-        .mapInArrow(encode, "doc_id long, quality int, x binary").collect()
-    )
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    rows = arrow_pass(labelled, encode, "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["x"]))
     if not rows:
         return Model(np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32), {
@@ -219,7 +218,7 @@ def score(docs: DataFrame, model: Model, rows_per_step: int = 64) -> DataFrame:
             )
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double", "predicted int"])
-    return docs.mapInArrow(apply, schema)
+    return arrow_pass(docs, apply, schema)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markloom.llm.common import arrow_pass
+
 # Fixed values of the contract: the base patterns, their kinds in order, and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -248,9 +250,20 @@ def scan_texts(texts: list[str | None], model: CharCnn) -> list[list[tuple[int,
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def scan(docs: DataFrame, model: CharCnn | None = None) -> DataFrame:
+def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span replaced by ``[SECRET]``; spans that overlap or touch count as one."""
+    out, end = [], 0
+    for start, stop, _ in spans:
+        if start > end or not out:
+            out += [text[end:start], "[SECRET]"]
+        end = max(end, stop)
+    return "".join([*out, text[end:]]) if spans else text
+
+
+def scan(docs: DataFrame, model: CharCnn | None = None, redact: bool = False) -> DataFrame:
     """The rows of ``docs`` (which needs ``text``) with ``secrets``: an array of (kind, start, end), in code points,
-    end exclusive, by start and then kind (assign, access, hex, model).
+    end exclusive, by start and then kind (assign, access, hex, model). With ``redact`` the text is returned with its
+    secrets replaced; the spans are those of the text as it was.
 
     Null and empty texts have none. Texts are scanned whole; the network sees a window around each candidate, so
     its cost follows the number of candidates. Repeated rows are scanned each. Columns pass through unchanged."""
@@ -260,39 +273,17 @@ def scan(docs: DataFrame, model: CharCnn | None = None) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scan_texts(batch.column(batch.schema.get_field_index("text")).to_pylist(), sent.value)
-            rows = [[{"kind": k, "start": a, "end": b} for a, b, k in spans] for spans in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "secrets"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"secrets {SPANS}"])
-    return docs.mapInArrow(apply, schema)
-
-
-def redact(scanned: DataFrame) -> DataFrame:
-    """``scanned`` with every span of ``secrets`` in ``text`` replaced by ``[SECRET]`` (spans that overlap or touch
-    count as one), and without ``secrets``. Texts without spans, null ones too, stay as they are."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, spans_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("secrets")
+            at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(spans_at).to_pylist()):
-                if not spans:
-                    continue
-                out, end, text = [], 0, texts[i]
-                for s in spans:
-                    if s["start"] > end or not out:
-                        out += [text[end : s["start"]], "[SECRET]"]
-                    end = max(end, s["end"])
-                texts[i] = "".join([*out, text[end:]])
+            found = scan_texts(texts, sent.value)
+            rows = [[{"kind": k, "start": a, "end": b} for a, b, k in spans] for spans in found]
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            names = list(batch.schema.names)
-            del columns[spans_at], names[spans_at]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if redact:
+                columns[at] = pa.array([redacted(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], [*batch.schema.names, "secrets"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scanned.schema if f.name != "secrets")
-    return scanned.mapInArrow(apply, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"secrets {SPANS}"])
+    return arrow_pass(docs, apply, schema)
 
 
 def op9_secret_scans(spark, sf_dir: str) -> DataFrame:

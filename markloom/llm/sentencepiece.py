@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markloom.llm.common import arrow_pass
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -225,7 +227,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, texts_per_step: int =
                     ["doc_id", "n_tokens", "ids", "round_trip", "parity"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
+    return arrow_pass(docs.select("doc_id", "text"), apply, "doc_id long, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -239,7 +241,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
             texts = [encoder.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(apply, "doc_id long, text string")
+    return arrow_pass(encoded.select("doc_id", "ids"), apply, "doc_id long, text string")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
