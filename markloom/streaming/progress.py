@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +35,10 @@ def latest_states(events: DataFrame) -> DataFrame:
 
 def settled_states(latest: DataFrame) -> DataFrame:
     """As ``latest``, but in a job with a failed stage the active stages have failed too."""
-    failed = latest.groupBy("job_id").agg(F.bool_or(F.col("state") == "failed").alias("_f"))
+    any_failed = F.bool_or(F.col("state") == "failed").over(Window.partitionBy("job_id"))
+    flagged = latest.withColumn("_f", any_failed)
     state = F.when(F.col("_f") & (F.col("state") == "active"), "failed").otherwise(F.col("state"))
-    return latest.join(failed, "job_id").select("job_id", "stage", state.alias("state"))
+    return flagged.select("job_id", "stage", state.alias("state"))
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
