@@ -104,3 +104,27 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in S.settled_states(live).collect()}
     assert got == {tuple(r) for r in S.settled_states(S.latest_states(e)).collect()}
     assert (1, 1, "failed") in got and (2, 1, "active") in got
+
+
+def _png(width, height, value):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes([value]) * width for _ in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_files_and_page_images(spark, tmp_path):
+    from markloom.sources import files
+
+    (tmp_path / "a.png").write_bytes(_png(100, 90, 200))
+    (tmp_path / "b.png").write_bytes(_png(20, 90, 200))
+    (tmp_path / "c.png").write_bytes(b"no image")
+    (tmp_path / "d").write_bytes(b"xx%PDF-1.4")
+    got = {r.file_name: (r.extension, r.byte_size > 0, r.is_pdf) for r in files.scan_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": (".png", True, False), "b.png": (".png", True, False), "c.png": (".png", True, False), "d": ("", True, True)}
+    pages = {r.file_name: r for r in files.scan_page_rasters(spark, str(tmp_path / "*.png")).collect()}
+    assert (pages["a.png"].width, pages["a.png"].height, set(pages["a.png"].gray), pages["a.png"].error) == (100, 90, {200}, None)
+    assert (pages["b.png"].error, pages["c.png"].error, pages["c.png"].gray) == ("TOO_SMALL", "CORRUPT", None)
