@@ -1,4 +1,4 @@
-"""Page layout: boxes, ink rows, lines and blocks, and pages read from images. Pages are told apart by doc_id."""
+"""Page layout: boxes, ink rows, lines and blocks, and pages read from images. Pages are told apart by doc_id, or by the keys given."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANK, LEAST_AREA, LEAST_HEIGHT, LEAST_LINE = 0.0012, 0.0006, 10, 6
+Keys = tuple[str, ...]
+PAGE: Keys = ("doc_id",)
 
 
 def clamp(x: Column) -> Column:
@@ -37,57 +39,57 @@ def meaningful(width: Column, height: Column, w: Column, h: Column) -> Column:
     return (width * height / (w * h) >= LEAST_AREA) & (height >= LEAST_HEIGHT)
 
 
-def row_profile(runs: DataFrame) -> DataFrame:
+def row_profile(runs: DataFrame, keys: Keys = PAGE) -> DataFrame:
     """doc_id, y, ink, left, right from runs of ink (y, x0, x1, ink)."""
-    return runs.groupBy("doc_id", "y").agg(F.sum("ink").alias("ink"), F.min("x0").alias("left"), F.max("x1").alias("right"))
+    return runs.groupBy(*keys, "y").agg(F.sum("ink").alias("ink"), F.min("x0").alias("left"), F.max("x1").alias("right"))
 
 
-def line_islands(profile: DataFrame, page_width: int) -> DataFrame:
+def line_islands(profile: DataFrame, page_width: int, keys: Keys = PAGE) -> DataFrame:
     """Lines: runs of rows with enough ink; those of half the least line height at least are kept, numbered from 0."""
     floor = max(2, round(page_width * 0.004))
-    w = Window.partitionBy("doc_id").orderBy("y")
+    w = Window.partitionBy(*keys).orderBy("y")
     on = profile.where(F.col("ink") > floor).withColumn("_g", F.col("y") - F.row_number().over(w))
-    lines = on.groupBy("doc_id", "_g").agg(
+    lines = on.groupBy(*keys, "_g").agg(
         F.min("y").alias("top"), (F.max("y") + 1).alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.sum("ink").alias("ink")
     )
     kept = lines.where(F.col("bottom") - F.col("top") >= max(2, LEAST_LINE // 2))
-    return kept.drop("_g").withColumn("line", F.row_number().over(Window.partitionBy("doc_id").orderBy("top")).cast("long") - 1)
+    return kept.drop("_g").withColumn("line", F.row_number().over(Window.partitionBy(*keys).orderBy("top")).cast("long") - 1)
 
 
-def line_pitch(lines: DataFrame) -> DataFrame:
+def line_pitch(lines: DataFrame, keys: Keys = PAGE) -> DataFrame:
     """doc_id, median_height (12 where 0), low_gap: the gap at place floor(0.3 n) of the ascending non-negative gaps."""
-    w = Window.partitionBy("doc_id").orderBy("line")
+    w = Window.partitionBy(*keys).orderBy("line")
     gaps = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(w))
     ok = F.array_sort(F.collect_list(F.when(F.col("gap") >= 0, F.col("gap"))))
-    p = gaps.groupBy("doc_id").agg(F.median(F.col("bottom") - F.col("top")).alias("m"), ok.alias("g"))
+    p = gaps.groupBy(*keys).agg(F.median(F.col("bottom") - F.col("top")).alias("m"), ok.alias("g"))
     low = F.coalesce(F.get("g", F.floor(F.size("g") * 0.3).cast("int")), F.lit(0))
-    return p.select("doc_id", F.when(F.col("m") == 0, 12.0).otherwise(F.col("m")).alias("median_height"), low.cast("double").alias("low_gap"))
+    return p.select(*keys, F.when(F.col("m") == 0, 12.0).otherwise(F.col("m")).alias("median_height"), low.cast("double").alias("low_gap"))
 
 
-def block_islands(lines: DataFrame, factor: float = 1.9) -> DataFrame:
+def block_islands(lines: DataFrame, factor: float = 1.9, keys: Keys = PAGE) -> DataFrame:
     """Lines with ``block``: a gap wider than 0.8 median heights and than ``factor`` times the usual gap begins one."""
-    w = Window.partitionBy("doc_id").orderBy("line")
+    w = Window.partitionBy(*keys).orderBy("line")
     usual = F.when(F.col("low_gap") > 0, F.col("low_gap")).otherwise(0.5 * F.col("median_height"))
     wide = F.greatest(0.8 * F.col("median_height"), usual * factor)
-    j = lines.join(line_pitch(lines), "doc_id").withColumn("gap", F.col("top") - F.lag("bottom").over(w))
+    j = lines.join(line_pitch(lines, keys), [*keys]).withColumn("gap", F.col("top") - F.lag("bottom").over(w))
     new = F.coalesce((F.col("gap") > wide).cast("long"), F.lit(0))
     return j.withColumn("_new", new).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def blocks_of(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("doc_id", "block").agg(
+def blocks_of(lines: DataFrame, keys: Keys = PAGE) -> DataFrame:
+    return lines.groupBy(*keys, "block").agg(
         F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.count(F.lit(1)).alias("n_lines")
     )
 
 
-def cap_blocks(blocks: DataFrame, most: int = 26) -> DataFrame:
+def cap_blocks(blocks: DataFrame, most: int = 26, keys: Keys = PAGE) -> DataFrame:
     """At most ``most`` blocks a page: only the widest gaps between blocks stay breaks (of equal ones the later)."""
-    w = Window.partitionBy("doc_id").orderBy("top", "block")
+    w = Window.partitionBy(*keys).orderBy("top", "block")
     gapped = blocks.withColumn("_gap", F.col("top") - F.lag("bottom").over(w))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("_gap"), F.desc("block")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("_gap"), F.desc("block")))
     brk = gapped.withColumn("_brk", (F.col("_gap").isNotNull() & (rank <= most - 1)).cast("long"))
     merged = brk.withColumn("_m", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged.groupBy("doc_id", F.col("_m").alias("block")).agg(
+    return merged.groupBy(*keys, F.col("_m").alias("block")).agg(
         F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.sum("n_lines").alias("n_lines")
     )
 
@@ -141,25 +143,25 @@ def suppress_rules(mask: np.ndarray, least: float = 0.45, thickest: int = 5) ->
     return out
 
 
-def ink_runs(pages: DataFrame) -> DataFrame:
+def ink_runs(pages: DataFrame, keys: Keys = PAGE) -> DataFrame:
     """doc_id, y, x0, x1, ink: runs of ink of every page (doc_id, width, height, gray: row-major bytes), ruled lines
     left out. Pages under 80 pixels on a side, or without as many bytes as pixels, give no runs."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, w, h, gray in zip(pdf["doc_id"], pdf["width"], pdf["height"], pdf["gray"], strict=True):
+            for *page, w, h, gray in zip(*(pdf[k] for k in keys), pdf["width"], pdf["height"], pdf["gray"], strict=True):
                 if min(w, h) < 80 or gray is None or len(gray) != w * h:
                     continue
                 mask = suppress_rules(ink_mask(np.frombuffer(gray, np.uint8).reshape(h, w)))
                 for y in range(h):
-                    rows += [(doc, y, a, b, b - a) for a, b in _runs(mask[y]).tolist()]
-            yield pd.DataFrame(rows, columns=["doc_id", "y", "x0", "x1", "ink"]).astype("int64")
+                    rows += [(*page, y, a, b, b - a) for a, b in _runs(mask[y]).tolist()]
+            yield pd.DataFrame(rows, columns=[*keys, "y", "x0", "x1", "ink"]).astype("int64")
 
-    return pages.select("doc_id", "width", "height", "gray").mapInPandas(read, "doc_id long, y long, x0 long, x1 long, ink long")
+    return pages.select(*keys, "width", "height", "gray").mapInPandas(read, "".join(f"{k} long, " for k in keys) + "y long, x0 long, x1 long, ink long")
 
 
-def segment_pages(pages: DataFrame, page_width: int, factor: float = 1.9) -> DataFrame:
+def segment_pages(pages: DataFrame, page_width: int, factor: float = 1.9, keys: Keys = PAGE) -> DataFrame:
     """Blocks of every page image: runs, rows, lines and blocks in turn, capped."""
-    lines = line_islands(row_profile(ink_runs(pages)), page_width)
-    return cap_blocks(blocks_of(block_islands(lines, factor)))
+    lines = line_islands(row_profile(ink_runs(pages, keys), keys), page_width, keys)
+    return cap_blocks(blocks_of(block_islands(lines, factor, keys), keys), keys=keys)

@@ -23,8 +23,14 @@ def _blocks(spark, sf_dir):
     return Y.blocks_of(Y.block_islands(_lines(spark, sf_dir)))
 
 
+def _height(rows):
+    """doc_id, page_h: a page is H high, or as high as its ink reaches: a long document is one long page."""
+    return rows.groupBy("doc_id").agg(F.greatest(F.lit(H), F.max("bottom").cast("double")).alias("page_h"))
+
+
 def _boxes(spark, sf_dir):
-    return _blocks(spark, sf_dir).select("doc_id", "block", *(F.col(c).cast("double") for c in ("left", "top")), (F.col("right") - F.col("left")).cast("double").alias("width"), (F.col("bottom") - F.col("top")).cast("double").alias("height"))
+    blocks = _blocks(spark, sf_dir)
+    return blocks.join(_height(blocks), "doc_id").select("doc_id", "block", "page_h", *(F.col(c).cast("double") for c in ("left", "top")), (F.col("right") - F.col("left")).cast("double").alias("width"), (F.col("bottom") - F.col("top")).cast("double").alias("height"))
 
 
 def row_ink_profile(spark, sf_dir):
@@ -48,7 +54,7 @@ def cap_blocks(spark, sf_dir):
 
 
 def _box(spark, sf_dir, f):
-    b = _boxes(spark, sf_dir).select("doc_id", "block", f(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.lit(W), F.lit(H)).alias("b"))
+    b = _boxes(spark, sf_dir).select("doc_id", "block", f(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.lit(W), F.col("page_h")).alias("b"))
     return b.select("doc_id", "block", *(F.round(f"b.{c}", 9).alias(c) for c in ("x", "y", "width", "height")))
 
 
@@ -62,15 +68,16 @@ def pad_clip_box(spark, sf_dir):
 
 def page_bands(spark, sf_dir):
     b = _blocks(spark, sf_dir)
-    return b.select("doc_id", "block", (F.col("bottom") >= 0.85 * F.lit(H)).alias("touches_bottom"), (F.col("top") <= 0.15 * F.lit(H)).alias("touches_top"))
+    return b.join(_height(b), "doc_id").select("doc_id", "block", (F.col("bottom") >= 0.85 * F.col("page_h")).alias("touches_bottom"), (F.col("top") <= 0.15 * F.col("page_h")).alias("touches_top"))
 
 
 def meaningful_blocks(spark, sf_dir):
-    return _boxes(spark, sf_dir).where(Y.meaningful(F.col("width"), F.col("height"), F.lit(W), F.lit(H))).select("doc_id", "block")
+    return _boxes(spark, sf_dir).where(Y.meaningful(F.col("width"), F.col("height"), F.lit(W), F.col("page_h"))).select("doc_id", "block")
 
 
 def drop_blank_pages(spark, sf_dir):
-    ink = _ink(spark, sf_dir).groupBy("doc_id").agg((F.sum("ink") / F.lit(W * H)).alias("ratio"))
+    area = W * F.greatest(F.lit(H), F.max("y") + 1.0)
+    ink = _ink(spark, sf_dir).groupBy("doc_id").agg((F.sum("ink") / area).alias("ratio"))
     solid = meaningful_blocks(spark, sf_dir).select("doc_id").distinct()
     return ink.where(F.col("ratio") >= Y.BLANK).join(solid, "doc_id", "left_semi").select("doc_id")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from markloom.functions.payload import balanced_json
 from markloom.operators import layout as Y
 from markloom.operators import replies as P
-from markloom.sources.inputs import derived, with_inputs
+from markloom.sources.inputs import derived, ink_of, with_inputs
 from markloom.sources.shared import settle
 from markloom.streaming import progress as S
 
@@ -88,26 +88,31 @@ def scan_progress_frames(spark, sf_dir):
     return S.read_frames(spark, folder, stream=False).select("job_id", "stage", "state", "event_id")
 
 
+PAGE, PAGE_LINES = ("doc_id", "page"), 200
+
+
 def _pages(spark, sf_dir):
-    """Page images drawn from the ink rows: white paper, dark strokes of alternating pixels."""
+    """Page images drawn from the ink rows, a page for every 200 lines: white paper, dark strokes of alternating pixels."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         height = max(120, int(pdf["y"].max()) + 20)
         gray = np.full((height, 200), 245, np.uint8)
         for y, a, b in zip(pdf["y"], pdf["x0"], pdf["x1"], strict=True):
             gray[y, a : b + 1 : 2] = 20
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "width": [200], "height": [height], "gray": [gray.tobytes()]})
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in PAGE} | {"width": [200], "height": [height], "gray": [gray.tobytes()]})
 
-    ink = derived(spark, sf_dir, "ink_in").select("doc_id", "y", "x0", "x1")
-    return ink.groupBy("doc_id").applyInPandas(draw, "doc_id long, width int, height int, gray binary")
+    page = F.floor(F.col("line_no") / PAGE_LINES)
+    lines = derived(spark, sf_dir, "raw_lines").select("doc_id", page.alias("page"), (F.col("line_no") % PAGE_LINES).alias("line_no"), "line")
+    ink = ink_of(lines, PAGE).select(*PAGE, "y", "x0", "x1")
+    return ink.groupBy(*PAGE).applyInPandas(draw, "doc_id long, page long, width int, height int, gray binary")
 
 
 def ink_mask(spark, sf_dir):
-    return Y.ink_runs(_pages(spark, sf_dir))
+    return Y.ink_runs(_pages(spark, sf_dir), PAGE)
 
 
 def segment_pages(spark, sf_dir):
-    return Y.segment_pages(_pages(spark, sf_dir), 200)
+    return Y.segment_pages(_pages(spark, sf_dir), 200, keys=PAGE)
 
 
 QUERIES = {

@@ -1,6 +1,6 @@
 """Assessment inputs derived from the given tables: the same rows for Spark and for the SQL that checks them.
 
-Most inputs are one SELECT in the SQL that both engines share; the few that cut texts into lines have a form each."""
+Most inputs are one SELECT in the SQL that both engines share; the few that cut texts into lines, and the ink rows, have a form each."""
 
 from __future__ import annotations
 
@@ -97,6 +97,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ink_of(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Eight rows of ink for every line of a document. The SELECT above ends after line 199; this form has no end."""
+    n, size = F.col("line_no"), F.length("line") % 50
+    return lines.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
+        *keys, "line_no", (n * 11 + F.col("r") + F.floor(n / 6) * 11).cast("int").alias("y"), (3 + size).cast("int").alias("ink"),
+        (10 + n % 5).cast("int").alias("x0"), (13 + n % 5 + size).cast("int").alias("x1"),
+    )
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input, or a given table."""
     if name == "raw_lines":
@@ -105,6 +114,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         ).withColumn("line_no", F.col("line_no").cast("bigint"))
     if name == "events_k":
         return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    if name == "ink_in":
+        return ink_of(derived(spark, sf_dir, "raw_lines"))
     if name not in SHARED:
         return table(spark, sf_dir, name)
     reads, text = SHARED[name]
