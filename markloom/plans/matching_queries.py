@@ -89,8 +89,8 @@ def lexical_index(spark, sf_dir):
 
 
 def term_weights(spark, sf_dir):
-    w = M.term_weights(_docs(spark, sf_dir).where("side = 'q'"), ["sheet"], ["ix"])
-    return w.select("sheet", "ix", "token", F.round("weight", 9).alias("weight"))
+    w = M.term_weights(_docs(spark, sf_dir), ["sheet"], ["side", "ix"])
+    return w.select("sheet", "side", "ix", "token", F.round("weight", 9).alias("weight"))
 
 
 def _rounded(df):

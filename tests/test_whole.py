@@ -25,3 +25,18 @@ def test_layout_reads_every_line_of_a_long_document(spark, tables):
     last = max(L.normalize_box(spark, folder).where("doc_id = 1").collect(), key=lambda r: r.y)
     assert last.height > 0 and last.y + last.height == pytest.approx(1)
     assert {(r.doc_id, r.page) for r in R.segment_pages(spark, folder).select("doc_id", "page").collect()} >= {(1, 0), (1, 1), (1, 2)}
+
+
+def test_term_weights_cover_both_sides(spark, tables):
+    import math
+
+    from markloom.plans.matching_queries import term_weights
+
+    folder = tables(documents=([(1, "apple banana apple"), (21, "cherry")], "doc_id long, text string"), benchmark=([(7, "apple cherry")], "item_id long, text string"))
+    got = {(r.sheet, r.side, r.ix, r.token): r.weight for r in term_weights(spark, folder).collect()}
+    two, one = math.log(4 / 3) + 1, math.log(4 / 2) + 1  # three texts; tokens in two of them, in one
+    want = {
+        ("a", 1, "apple"): 2 / 3 * two, ("a", 1, "banana"): 1 / 3 * one, ("a", 21, "cherry"): two,
+        ("q", 7, "apple"): two / 2, ("q", 7, "cherry"): two / 2,
+    }
+    assert got == {(1, *k): pytest.approx(v, abs=1e-8) for k, v in want.items()}
