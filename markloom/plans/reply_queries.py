@@ -53,9 +53,9 @@ def merge_structure_rows(spark, sf_dir):
     q, rows = _structure(spark, sf_dir)
     drafts = q.where("ord % 3 <> 2").select(
         "paper_id", (F.col("ord") + 1).cast("string").alias("normalized"), F.when(F.col("ord") % 2 == 1, F.lit(7)).cast("bigint").alias("marks"),
-        F.when(F.col("ord") % 3 == 1, F.lit("Section Z")).alias("section"), F.substring("text", 1, 40).alias("text"),
+        F.when(F.col("ord") % 3 == 1, F.lit("Section Z")).alias("section"), "text",
     )
-    lines = q.select("paper_id", F.col("ord").alias("line_no"), F.substring("text", 1, 40).alias("text"))
+    lines = q.select("paper_id", F.col("ord").alias("line_no"), "text")
     return P.merge_structure(drafts, rows, lines, ["paper_id"])
 
 

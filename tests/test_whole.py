@@ -40,3 +40,12 @@ def test_term_weights_cover_both_sides(spark, tables):
         ("q", 7, "apple"): two / 2, ("q", 7, "cherry"): two / 2,
     }
     assert got == {(1, *k): pytest.approx(v, abs=1e-8) for k, v in want.items()}
+
+
+def test_merged_structure_keeps_whole_texts(spark, tables):
+    from markloom.plans.reply_queries import merge_structure_rows
+
+    texts = [f"question {i} " + "word " * 30 for i in range(4)]
+    rows = [(5, i, "user", t) for i, t in enumerate(texts)]
+    folder = tables(conversations=(rows, "conv_id long, turn int, role string, text string"))
+    assert {r.normalized: r.text for r in merge_structure_rows(spark, folder).collect()} == {str(i + 1): t for i, t in enumerate(texts)}
