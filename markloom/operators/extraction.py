@@ -161,10 +161,32 @@ def sheet_warnings(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return struck.join(hard, "doc_id", "left").select("doc_id", said.alias("warnings"))
 
 
-def apportioned(parts: Column) -> Column:
-    """Each part of a line with its share of the line's width: array of (part_no, part, start, end)."""
-    total = F.aggregate(parts, F.lit(0), lambda s, p: s + F.length(p))
-    upto = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda s, p: s + F.length(p))
-    return F.transform(
-        parts, lambda p, i: F.struct(i.alias("part_no"), p.alias("part"), (upto(i) / total).alias("start"), (upto(i + 1) / total).alias("end"))
-    )
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def apportioned(parts: Column, step: int = 32) -> Column:
+    """Each part of a line with its share of the line's width: array of (part_no, part, start, end). Lengths are summed up
+    to every ``step``th part first, so that a part adds few numbers however long its line is."""
+
+    def added(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
+
+    def shares(size: Column, heads: Column, total: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            row = F.floor(i / step).cast("int")
+            upto = lambda s: F.struct(i.alias("part_no"), p.alias("part"), (s / total).alias("start"), ((s + F.length(p)) / total).alias("end"))
+            return _let(F.get(heads, row) + added(F.slice(size, row * step + 1, i % step)), upto)
+
+        return F.transform(parts, one)
+
+    def summed(size: Column) -> Column:
+        rows = F.sequence(F.lit(0), F.floor((F.size(size) - 1) / step).cast("int"))
+        heads = lambda r: F.transform(r, lambda x, i: added(F.slice(r, F.lit(1), i)))
+        return _let(
+            F.transform(rows, lambda r: added(F.slice(size, r * step + 1, F.lit(step)))),
+            lambda r: _let(F.struct(heads(r).alias("heads"), added(r).alias("total")), lambda t: shares(size, t["heads"], t["total"])),
+        )
+
+    return F.when(F.size(parts) > 0, _let(F.transform(parts, F.length), summed))

@@ -89,7 +89,7 @@ def sheet_warnings(spark, sf_dir):
 
 def apportion_inline_split(spark, sf_dir):
     lines = derived(spark, sf_dir, "lines_in").select("doc_id", "line_no", F.split("text", " ").alias("parts"))
-    parts = lines.select("doc_id", "line_no", F.inline(X.apportioned(F.slice("parts", 1, 3))))
+    parts = lines.select("doc_id", "line_no", F.inline(X.apportioned(F.col("parts"))))
     return parts.select("doc_id", "line_no", F.col("part_no").cast("bigint").alias("part_no"), F.round("start", 9).alias("start"), F.round("end", 9).alias("end"))
 
 

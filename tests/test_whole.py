@@ -49,3 +49,20 @@ def test_merged_structure_keeps_whole_texts(spark, tables):
     rows = [(5, i, "user", t) for i, t in enumerate(texts)]
     folder = tables(conversations=(rows, "conv_id long, turn int, role string, text string"))
     assert {r.normalized: r.text for r in merge_structure_rows(spark, folder).collect()} == {str(i + 1): t for i, t in enumerate(texts)}
+
+
+def test_every_part_of_a_line_gets_its_share(spark, tables):
+    from itertools import accumulate
+
+    from markloom.plans.extraction_queries import apportion_inline_split
+    from markloom.sources.inputs import derived
+
+    long = " ".join("x" * (1 + i % 7) for i in range(150))
+    folder = tables(documents=([(1, long), (2, "one two three four\nfive")], "doc_id long, text string"))
+    want = set()
+    for r in derived(spark, folder, "lines_in").collect():
+        parts = r.text.split(" ")
+        upto = [0, *accumulate(map(len, parts))]
+        want |= {(r.doc_id, r.line_no, i, round(upto[i] / upto[-1], 9), round(upto[i + 1] / upto[-1], 9)) for i in range(len(parts))}
+    assert {tuple(r) for r in apportion_inline_split(spark, folder).collect()} == want
+    assert len(want) >= 155
