@@ -136,8 +136,7 @@ _REPLY = "concat('```json\\n{\"grades\":[{\"questionId\":', q, ',\"marksObtained
 
 def _replies(spark, sf_dir):
     """Grader replies as text: fenced JSON with prose after it, marks as text, confidence on either scale."""
-    g = _g(spark, sf_dir).where("question_no % 3 <> 0")
-    part = g.select(
+    part = _g(spark, sf_dir).select(
         *R.ROW, F.col("question_no").cast("string").alias("q"), F.when(F.col("question_no") % 2 == 0, F.col("marks") * 2).otherwise(F.col("marks")).cast("int").cast("string").alias("m"),
         F.when(F.col("question_no") % 2 == 0, F.lit("85")).otherwise(F.lit("0.4")).alias("c"),
         F.when(F.col("evaluation") == "incorrect", "Not Attempted").otherwise(F.upper("evaluation")).alias("e"),
@@ -177,7 +176,8 @@ def to_evaluation(spark, sf_dir):
 
 def merge_grades(spark, sf_dir):
     q = _g(spark, sf_dir).select(*R.ROW, F.lit(50.0).alias("printed_marks"), (F.col("question_no") % 4 != 0).alias("attempted"), F.col("requires_review").alias("needs_review"))
-    r = _graded(spark, sf_dir).withColumn("reply_max", F.lit(None).cast("double")).withColumn("reply_review", F.lit(False))
+    replied = _graded(spark, sf_dir).where("question_no % 3 <> 0")  # the others were never answered
+    r = replied.withColumn("reply_max", F.lit(None).cast("double")).withColumn("reply_review", F.lit(False))
     return R.merge_grades(q, r)
 
 

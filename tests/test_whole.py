@@ -66,3 +66,24 @@ def test_every_part_of_a_line_gets_its_share(spark, tables):
         want |= {(r.doc_id, r.line_no, i, round(upto[i] / upto[-1], 9), round(upto[i + 1] / upto[-1], 9)) for i in range(len(parts))}
     assert {tuple(r) for r in apportion_inline_split(spark, folder).collect()} == want
     assert len(want) >= 155
+
+
+def test_every_region_is_read_from_its_reply(spark, tables):
+    from markloom.plans.intake_queries import region_rows, scan_region_responses
+
+    folder = tables(documents=([(1, "\n".join(f"line {i}" for i in range(40)))], "doc_id long, text string"))
+    for rows in (scan_region_responses(spark, folder), region_rows(spark, folder)):
+        assert sorted(r["index"] for r in rows.collect()) == list(range(40))
+
+
+def test_every_grade_is_read_from_its_reply(spark, tables):
+    import datetime
+
+    from markloom.plans.review_queries import grade_rows, merge_grades, repair_json_payload
+
+    rows = [(1, 7, 3, n, 20.0, 1.0, "A", datetime.date(2020, 1, n)) for n in range(1, 8)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate date"
+    folder = tables(lineitem=(rows, schema))
+    for got in (grade_rows(spark, folder), repair_json_payload(spark, folder)):
+        assert sorted(r.question_no for r in got.collect()) == list(range(1, 8))
+    assert {r.question_no for r in merge_grades(spark, folder).where("marks = 0").collect()} == {3, 4, 6}
