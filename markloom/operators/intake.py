@@ -82,3 +82,57 @@ def stage_progress(latest: DataFrame) -> DataFrame:
     """job_id, percent from the latest state of each of a job's stages: done and skipped count whole, any active half."""
     done = F.count_if(F.col("state").isin("done", "skipped")) + F.when(F.bool_or(F.col("state") == "active"), 0.5).otherwise(0.0)
     return latest.groupBy("job_id").agg(F.floor(done * 100 / N_STAGES + 0.5).cast("bigint").alias("percent"))
+
+
+MOST_TARGETS, MOST_LINE_CHARS = 20, 60_000
+_SHEET = ["paper_id", "student_ix"]
+
+
+def _joined(rows: DataFrame, keys: list[str], order: str, row: Column) -> DataFrame:
+    """keys, n_rows, body: the row texts of a key in order, one below the other."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, row.alias("r")))), lambda x: x["r"])
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.array_join(texts, "\n").alias("body"))
+
+
+def _asked(*more: Column) -> Column:
+    """A question as graders and writers of model answers are asked about it."""
+    head = (
+        F.concat(F.lit("questionId: "), F.col("q_ord").cast("string")), F.concat(F.lit("label: "), F.col("label")),
+        F.concat(F.lit("maxMarks: "), F.coalesce("marks", F.lit(1)).cast("string")), F.concat(F.lit("question: "), F.substring("text", 1, 800)),
+    )
+    return F.concat_ws("\n", *head, *more, F.lit("---"))
+
+
+def requests(questions: DataFrame, answers: DataFrame, mappings: DataFrame, open_q: DataFrame, open_a: DataFrame, lines: DataFrame) -> DataFrame:
+    """paper_id, student_ix, request, n_rows, text: what a sheet asks for. grading: questions with answers; model_answers: the
+    first 20 unanswered ones; mapping: questions and answers still open, where there are both; structure: a document's lines."""
+    asked = questions.select("paper_id", "q_ord", "label", "marks", "text")
+    read = answers.select(*_SHEET, "a_ord", F.col("text").alias("a_text"), F.col("confidence").alias("reading"))
+    every = mappings.select(*_SHEET, "q_ord", "a_ord", "status").join(asked, ["paper_id", "q_ord"])
+    answer = (F.concat(F.lit("ocrConfidence: "), F.format_string("%.2f", "reading")), F.concat(F.lit("studentAnswer: "), F.substring("a_text", 1, 1500)))
+    tried = _joined(every.join(read, [*_SHEET, "a_ord"]), _SHEET, "q_ord", _asked(*answer))
+    first = F.row_number().over(Window.partitionBy(*_SHEET).orderBy("q_ord"))
+    missing = every.where("status = 'unanswered'").withColumn("_n", first).where(F.col("_n") <= MOST_TARGETS)
+    unanswered = _joined(missing, _SHEET, "q_ord", _asked())
+    q_row = F.format_string('- id=%d label="%s" text="%s"', "q_ord", "label", F.substring("text", 1, 400))
+    label = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit('"'), "label", F.lit('"'))).otherwise("none")
+    a_row = F.format_string('- id=%d writtenLabel=%s text="%s"', "a_ord", label, F.substring("text", 1, 600))
+    left = _joined(open_q, _SHEET, "q_ord", q_row)
+    right = _joined(open_a, _SHEET, "a_ord", a_row).select(*_SHEET, F.col("n_rows").alias("_n"), F.col("body").alias("_body"))
+    linked = left.join(right, _SHEET).select(
+        *_SHEET, (F.col("n_rows") + F.col("_n")).alias("n_rows"),
+        F.concat(F.lit("Unmatched questions:\n"), "body", F.lit("\n\nUnmatched answers (handwriting OCR, may contain errors):\n"), "_body").alias("body"),
+    )
+    written = lines.where(F.trim("text") != "").select(F.col("doc_id").alias("paper_id"), F.lit(None).cast("bigint").alias("student_ix"), "pos", "text")
+    numbered = _joined(written, _SHEET, "pos", F.concat(F.col("pos").cast("string"), F.lit(": "), F.trim("text")))
+
+    def named(rows: DataFrame, request: str, text: Column) -> DataFrame:
+        return rows.select(*_SHEET, F.lit(request).alias("request"), "n_rows", text.alias("text"))
+
+    said = lambda before, after: F.concat(F.lit(before), F.col("n_rows").cast("string"), F.lit(after), "body")
+    return (
+        named(tried, "grading", said("Mark the following ", " answers.\n\n"))
+        .unionByName(named(unanswered, "model_answers", said("Write the expected answer for these ", " unanswered question(s).\n\n")))
+        .unionByName(named(linked, "mapping", F.col("body")))
+        .unionByName(named(numbered, "structure", F.concat(F.lit("Lines from the question paper, in printed order:\n\n"), F.substring("body", 1, MOST_LINE_CHARS))))
+    )

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from markloom.operators import extraction as X
 from markloom.operators import intake as I
+from markloom.operators import matching as M
+from markloom.plans.matching_queries import _qa
 from markloom.sources.inputs import derived, with_inputs
+from markloom.sources.shared import settle
 from markloom.streaming import progress as S
 
 
@@ -136,12 +140,17 @@ def write_progress_frames(spark, sf_dir):
     return frames.unionByName(last)
 
 
+def _requests(spark, sf_dir):
+    q, a = _qa(spark, sf_dir)
+    found = M.deterministic_matches(q, a)
+    matches = settle(found.unionByName(M.semantic_matches(q, a, found)))
+    lines = X.reading_order(derived(spark, sf_dir, "lines_in"), X.LINE_TOLERANCE, "line_no")
+    return I.requests(q, a, M.finalize_mappings(q, a, matches), M.open_questions(q, a, matches), M.open_answers(q, a, matches), lines)
+
+
 def request_batches(spark, sf_dir):
-    """One request text per sheet: its questions numbered and cut, in order."""
-    q = derived(spark, sf_dir, "questions_in")
-    row = F.concat_ws(" ", F.concat(F.lit("Q"), (F.col("ord") + 1).cast("string")), F.substring("text", 1, 800))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("r")))), lambda x: x["r"]), "\n")
-    return q.groupBy("paper_id").agg(F.md5(text).alias("request_md5"))
+    """The texts asked for every sheet, and for the lines of every document (no student)."""
+    return _requests(spark, sf_dir).select("paper_id", "student_ix", "request", "n_rows", F.md5("text").alias("request_md5"))
 
 
 def fill_missing_regions(spark, sf_dir):

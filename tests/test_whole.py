@@ -87,3 +87,34 @@ def test_every_grade_is_read_from_its_reply(spark, tables):
     for got in (grade_rows(spark, folder), repair_json_payload(spark, folder)):
         assert sorted(r.question_no for r in got.collect()) == list(range(1, 8))
     assert {r.question_no for r in merge_grades(spark, folder).where("marks = 0").collect()} == {3, 4, 6}
+
+
+def test_requests_hold_answers_and_every_open_part(spark):
+    from markloom.operators.intake import requests
+
+    q = spark.createDataFrame([(1, i, f"Q{i}", 3, f"t{i}" + "x" * 900) for i in range(3)], "paper_id long, q_ord long, label string, marks long, text string")
+    a = spark.createDataFrame([(1, 0, i, None, 0.5, f"a{i}" + "y" * 1600) for i in range(2)], "paper_id long, student_ix long, a_ord long, label string, confidence double, text string")
+    m = spark.createDataFrame([(1, 0, 0, 0, "matched"), (1, 0, 1, None, "unanswered"), (1, 0, 2, None, "unanswered")], "paper_id long, student_ix long, q_ord long, a_ord long, status string")
+    open_q = q.where("q_ord > 0").selectExpr("*", "0L AS student_ix")
+    lines = spark.createDataFrame([(9, 0, " one "), (9, 1, "  "), (9, 2, "two")], "doc_id long, pos long, text string")
+    got = {(r.paper_id, r.student_ix, r.request): r.text for r in requests(q, a, m, open_q, a.where("a_ord = 1"), lines).collect()}
+    asked = lambda i: f"questionId: {i}\nlabel: Q{i}\nmaxMarks: 3\nquestion: t{i}{'x' * 798}\n"
+    opened = "\n".join(f'- id={i} label="Q{i}" text="t{i}{"x" * 398}"' for i in (1, 2))
+    assert got == {
+        (1, 0, "grading"): f"Mark the following 1 answers.\n\n{asked(0)}ocrConfidence: 0.50\nstudentAnswer: a0{'y' * 1498}\n---",
+        (1, 0, "model_answers"): f"Write the expected answer for these 2 unanswered question(s).\n\n{asked(1)}---\n{asked(2)}---",
+        (1, 0, "mapping"): f'Unmatched questions:\n{opened}\n\nUnmatched answers (handwriting OCR, may contain errors):\n- id=1 writtenLabel=none text="a1{"y" * 598}"',
+        (9, None, "structure"): "Lines from the question paper, in printed order:\n\n0: one\n2: two",
+    }
+
+
+def test_request_batches_cover_students(spark):
+    import os
+
+    from markloom.plans.intake_queries import request_batches
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    rows = request_batches(spark, data).collect()
+    assert {r.student_ix for r in rows} == {None, 0, 1, 2} and {"grading", "structure"} <= {r.request for r in rows}
