@@ -3,13 +3,16 @@
 1. Every text becomes its set of word shingles (64-bit hashes). Texts with equal sets are one class from here
    on (similarity 1), so copies never meet in pairs.
 2. MinHash values of each distinct set are cut into bands; band and row counts follow from the target recall at
-   the threshold. Sets that share a band hash are candidates. Only (band hash, class) rows are shuffled, and each
-   bucket links its members to its least one, so a bucket of n gives n - 1 edges.
-3. The components of these edges hold every candidate pair. Each component's sets are brought together and *all*
-   its pairs are compared on the full shingle sets, by counting common shingles as a matrix product. Components
-   larger than a block are cut into blocks, and each pair of blocks is a group of its own, so no group grows with
-   a component. A group returns one count of links per set and a spanning forest of its links, never the pairs.
-4. The components of the verified links are the duplicate classes."""
+   the threshold. Sets that share a band hash are in one bucket and are candidates. Only (band hash, set) rows are
+   shuffled; of buckets with the same members one is kept.
+3. Each bucket's sets are brought together and its pairs verified on the full shingle sets, by counting common
+   shingles as a matrix product; a pair that shares several buckets is counted in the first of them alone. Small
+   buckets are packed into groups of bounded size, larger ones are cut into blocks, and each pair of blocks is a
+   group of its own. A group returns one count of links per set and one edge per linked set, never the pairs.
+4. The components of the verified links are the duplicate classes.
+
+Keys that hold many rows (an often copied text, a large bucket, the centre of a class) are joined by ``hub_join``:
+at most 10,000 of them can be above its limit, and they are broadcast."""
 
 from __future__ import annotations
 
@@ -19,17 +22,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm.common import alnum_words, arrow_pass, materialize
-from markloom.llm.graph import connected_components
+from markloom.llm.graph import connected_components, hub_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.995
 HASHES = 128
-BLOCK = 1024
+BLOCK = 1024  # sets of a block, and
+BLOCK_SHINGLES = 2_000_000  # shingles of a block, on average
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MEMO_SIZE = 500_000
 
@@ -93,8 +97,14 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def row_key() -> Column:
+    """What tells a row's id and text from others: rows that agree in both are repeated rows."""
+    return F.concat_ws(":", F.md5(F.col("text").cast("binary")), F.col("doc_id").cast("string"))
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (hex of the shingle set; null without words), bands (array of longs; null without words)."""
+    """doc_id, row (see ``row_key``), key (hex of the shingle set; null without words), size (of the set), bands
+    (array of longs; null without words)."""
     rng = np.random.default_rng(20240229)
     a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -102,30 +112,33 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            keys, hashes = [], []
+            keys, sizes, hashes = [], [], []
             for text in _column(batch, "text").to_pylist():
                 s = shingler(text)
+                sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 hashes.append(band_hashes(s, a, b, bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [_column(batch, "doc_id"), pa.array(keys, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
-                ["doc_id", "key", "bands"],
-            )
+                [
+                    _column(batch, "doc_id"), _column(batch, "row"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()),
+                    pa.array(hashes, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "row", "key", "size", "bands"],
+            )
 
-    return arrow_pass(docs.select("doc_id", "text"), sign, "doc_id long, key string, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = docs.select("doc_id", row_key().alias("row"), "text")
+    return arrow_pass(asked, sign, f"doc_id {kind}, row string, key string, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The other columns of ``docs`` with ``shingles`` in place of ``text``: null where the text's set is not the
-    row's ``key``, as happens where several texts carry one doc_id."""
+    """The other columns of ``docs`` with ``shingles`` in place of ``text``."""
     kept = [f for f in docs.schema if f.name != "text"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            s = [shingler(t) for t in _column(batch, "text").to_pylist()]
-            wanted = _column(batch, "key").to_pylist()
-            s = [x.view(np.int64) if xxhash.xxh3_128_hexdigest(x.tobytes()) == k else None for x, k in zip(s, wanted, strict=True)]
+            s = [shingler(t).view(np.int64) for t in _column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(_column(batch, f.name) for f in kept), pa.array(s, pa.list_(pa.int64()))],
                 [*(f.name for f in kept), "shingles"],
@@ -135,39 +148,51 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_pass(docs, sets, schema)
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
-    """Boolean matrix: which sets of ``left`` and ``right`` (or of ``left`` itself) reach the threshold."""
-    sets = left if right is None else [*left, *right]
+def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many numbers each array of ``left`` and each of ``right`` (or of ``left`` itself) have in common."""
+    arrays = left if right is None else [*left, *right]
     n = len(left)
     a, b = (slice(None), slice(None)) if right is None else (slice(0, n), slice(n, None))
-    sizes = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), sizes)
-    _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    kept = df[col] > 1
+    row = np.repeat(np.arange(len(arrays)), [len(s) for s in arrays])
+    out = np.zeros((n, n if right is None else len(right)), np.float32)
+    _, col, met = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    kept = met[col] > 1
     row, col = row[kept], col[kept]
-    common = np.zeros((n, n if right is None else len(right)), np.float32)
     if len(col):
         _, col = np.unique(col, return_inverse=True)
         for at in range(0, col.max() + 1, 4096):
             part = (col >= at) & (col < at + 4096)
-            x = np.zeros((len(sets), min(4096, col.max() + 1 - at)), np.float32)
+            x = np.zeros((len(arrays), min(4096, col.max() + 1 - at)), np.float32)
             x[row[part], col[part] - at] = 1
-            common += x[a] @ x[b].T
-    return common >= threshold * (sizes[a, None] + sizes[None, b] - common) - 1e-6
+            out += x[a] @ x[b].T
+    return out
+
+
+def _reaches(common, left, right, threshold: float):
+    return common >= threshold * (left + right - common) - 1e-6
 
 
-def _small_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    out = np.zeros((len(sets), len(sets)), bool)
-    py = [frozenset(s.tolist()) for s in sets]
-    for i in range(len(py)):
-        for j in range(i):
-            c = len(py[i] & py[j])
-            out[i, j] = out[j, i] = c >= threshold * (len(py[i]) + len(py[j]) - c) - 1e-6
+def _linked(sets: list[np.ndarray], other: list[np.ndarray] | None, before: list[np.ndarray], others_before: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs that reach the threshold and meet in no earlier bucket."""
+    if other is None and len(sets) <= 8:
+        out = np.zeros((len(sets), len(sets)), bool)
+        own, met = [frozenset(s.tolist()) for s in sets], [frozenset(s.tolist()) for s in before]
+        for i in range(len(own)):
+            for j in range(i):
+                if met[i].isdisjoint(met[j]):
+                    out[i, j] = out[j, i] = _reaches(len(own[i] & own[j]), len(own[i]), len(own[j]), threshold)
+        return out
+    sizes = np.array([len(s) for s in sets])
+    others = sizes if other is None else np.array([len(s) for s in other])
+    out = _reaches(_common(sets, other), sizes[:, None], others[None, :], threshold)
+    out &= _common(before, others_before) == 0
+    if other is None:
+        np.fill_diagonal(out, False)
     return out
 
 
-def _forest(linked: np.ndarray, left: list[str], right: list[str]) -> list[tuple[str, str]]:
-    """Edges of a spanning forest of the links between the two sides."""
+def _stars(linked: np.ndarray, left: list[str], right: list[str]) -> list[tuple[str, str]]:
+    """(name, least name of its component) of the names joined by the links between the two sides."""
     root: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -176,46 +201,102 @@ def _forest(linked: np.ndarray, left: list[str], right: list[str]) -> list[tuple
             x = root[x]
         return x
 
-    out = []
     for i, j in zip(*np.nonzero(linked), strict=True):
         a, b = find(left[i]), find(right[j])
         if a != b:
             root[max(a, b)] = min(a, b)
-            out.append((left[i], right[j]))
-    return out
+    return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
 def compare_group(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """All pairs of each component of a group, or of two blocks of one: links per key (weighted by copies), and
-    forest edges as rows with ``b`` set."""
+    """The pairs of each bucket of a group, or of two blocks of one: links per key (weighted by copies), and edges
+    as rows with ``b`` set. No links give no rows."""
     keys, links, ends = [], [], []
-    for _, g in pdf.sort_values(["component", "key"]).groupby("component", sort=False):
+    for bucket, g in pdf.sort_values(["bucket", "key"]).groupby("bucket", sort=False):
         name, copies = g["key"].tolist(), g["copies"].to_numpy(np.int64)
         sets = [np.asarray(s, np.int64) for s in g["shingles"]]
+        before = [m[m < bucket] for m in (np.asarray(m, np.int64) for m in g["mine"])]
         lo, hi = int(g["low"].iloc[0]), int(g["high"].iloc[0])
+        counted = np.zeros(len(sets), np.int64)
         if lo == hi:
-            linked = _small_links(sets, threshold) if len(sets) <= 8 else _links(sets, None, threshold)
-            np.fill_diagonal(linked, False)
             left = right = np.arange(len(sets))
+            linked = _linked(sets, None, before, None, threshold)
+            counted += linked @ copies
         else:
             block = g["block"].to_numpy()
             left, right = np.nonzero(block == lo)[0], np.nonzero(block == hi)[0]
             if not len(left) or not len(right):
                 continue
-            linked = _links([sets[i] for i in left], [sets[i] for i in right], threshold)
-        counted = np.zeros(len(sets), np.int64)
-        counted[left] += linked @ copies[right]
-        if lo != hi:
+            pick = lambda from_, at: [from_[i] for i in at]
+            linked = _linked(pick(sets, left), pick(sets, right), pick(before, left), pick(before, right), threshold)
+            counted[left] += linked @ copies[right]
             counted[right] += linked.T @ copies[left]
         for i in np.nonzero(counted)[0]:
             keys.append(name[i])
             links.append(int(counted[i]))
             ends.append(None)
-        for a, b in _forest(linked, [name[i] for i in left], [name[i] for i in right]):
+        for a, b in _stars(linked, [name[i] for i in left], [name[i] for i in right]):
             keys.append(a)
             links.append(0)
             ends.append(b)
-    return pd.DataFrame({"key": keys, "links": pd.Series(links, dtype="int64"), "b": pd.Series(ends, dtype="object")})
+    text = lambda x: pd.Series(x, dtype="object")  # noqa: E731  an empty column keeps its kind
+    return pd.DataFrame({"key": text(keys), "links": pd.Series(links, dtype="int64"), "b": text(ends)})
+
+
+def classes(docs: DataFrame, shingle: int, threshold: float, recall: float, hashes: int, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """(signatures; per distinct set: key, component, class_id, first (row key of the class's least row), links,
+    copies; number of rows with words). The least row of a class has the least doc_id (nulls last), then row key."""
+    bands, rows = choose_bands(threshold, recall, hashes)
+    signed = materialize(signatures(docs, shingle, bands, rows))
+    rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    distinct = materialize(
+        signed.where("key is not null").groupBy("key").agg(
+            F.min(rep).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.any_value("bands").alias("bands")
+        )
+    )
+    totals = distinct.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    banded = distinct.select("key", "size", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.bit_xor(F.xxhash64("key")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"),
+    ).where("n > 1")
+    # buckets with the same members are one: their number and two sums of their hashes tell
+    kept = materialize(buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.first("w").alias("w")))
+    kept = kept.select(
+        "bucket", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"), "w"
+    )
+    packed = kept.where("n_blocks = 1").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    n_bins = max(1, (packed["n"] or 0) // block, (packed["w"] or 0) // BLOCK_SHINGLES)
+    member = hub_join(banded.select("key", "bucket"), kept, "bucket", "n", totals["n"] * bands)
+    placed = member.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("bucket", "n_blocks"))).alias("at"))
+    wanted = placed.join(distinct.select("key", "copies", F.col("rep.row").alias("row")), "key")
+    texts = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("key", "copies", "at", "text")
+    sets = shingle_sets(texts, shingle).dropDuplicates(["key"])
+    # small buckets share groups of about a block's size; larger ones have a group per pair of blocks
+    spread = sets.select("key", "copies", "at", "shingles", F.explode("at").alias("own")).select(
+        "key", "copies", F.col("at.bucket").alias("mine"), "shingles", "own.*",
+        F.pmod(F.xxhash64("key"), F.col("own.n_blocks")).cast("int").alias("block"),
+    )
+    spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "key", "copies", "mine", "shingles", "bucket", "block",
+        F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
+        F.when(F.col("n_blocks") > 1, F.col("bucket")).alias("owner"),
+        F.when(F.col("n_blocks") > 1, -1).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(n_bins))).alias("bin"),
+    )
+    compared = materialize(
+        spread.groupBy("owner", "bin", "low", "high").applyInPandas(
+            lambda pdf: compare_group(pdf, threshold), "key string, links long, b string"
+        )
+    )
+    joined = connected_components(compared.where("b is not null").select(F.col("key").alias("a"), "b"))
+    links = compared.groupBy("key").agg(F.sum("links").alias("links"))
+    per_key = materialize(
+        distinct.select("key", "rep", "copies").join(links, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")
+        .select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
+    )
+    names = per_key.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n_sets"))
+    named = hub_join(per_key.drop("rep"), names, "component", "n_sets", totals["n"])
+    return signed, named.select("key", "component", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("first"), "links", "copies"), totals["rows"]
 
 
 def near_duplicates(
@@ -232,73 +313,42 @@ def near_duplicates(
     the number of other rows whose shingle sets reach the threshold with its own, copies included; ``n_copies``
     the number of rows with an equal set, itself included. A text of fewer than ``shingle`` words is one shingle.
     Null texts, empty texts and texts without words are joined with nothing (class_id = doc_id, 0 links, 1 copy).
-    Repeated rows are copies of each other. Rows with a null doc_id are kept, and joined with the copies of their
-    text that have an id. Other columns are not used; an empty table gives no rows."""
-    bands, rows = choose_bands(threshold, recall, hashes)
-    signed = materialize(signatures(docs, shingle, bands, rows))
-    distinct = signed.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")
-    )
-    banded = distinct.select("key", F.explode("bands").alias("band")).repartition("band")
-    buckets = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("top")).where("low != top")
-    candidates = connected_components(
-        banded.join(buckets, "band").where("key != low").select(F.col("key").alias("a"), F.col("low").alias("b"))
-    )
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
-    copies = distinct.select("key", "rep", "copies")
-    placed = (
-        candidates.withColumnRenamed("node", "key")
-        .join(sizes, "component")
-        .join(copies, "key")
-        .select(
-            "key", "component", "copies", "n_blocks", F.col("rep").alias("doc_id"),
-            F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int").alias("block"),
-        )
-    )
-    texts = (
-        docs.select("doc_id", "text")
-        .join(placed, "doc_id")
-        .select("doc_id", "key", "component", "copies", "n_blocks", "block", "text")
+    Repeated rows are copies of each other; several texts under one doc_id are compared each. Rows with a null
+    doc_id are compared like others; a class of such rows alone has a null class_id. Other columns are not used;
+    an empty table gives no rows."""
+    signed, per_key, n_rows = classes(docs.select("doc_id", "text"), shingle, threshold, recall, hashes, block)
+    per_key = materialize(per_key)
+    with_words = hub_join(signed.where("key is not null").select("doc_id", "key"), per_key, "key", "copies", n_rows).select(
+        "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")
     )
-    sets = shingle_sets(texts, shingle).where("shingles is not null").dropDuplicates(["key"])
-    # components of one block share groups of about a block's size; larger ones have a group per pair of blocks
-    spread = sets.select(
-        "key", "component", "copies", "block", "shingles",
-        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("with"), "n_blocks",
-    ).select(
-        "key", "component", "copies", "block", "shingles",
-        F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
-        F.when(F.col("n_blocks") == 1, F.lit("")).otherwise(F.col("component")).alias("owner"),
-    )
-    n_bins = max(1, candidates.count() // block)
-    spread = spread.withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(n_bins)).cast("int"))
-    compared = materialize(
-        spread.groupBy("owner", "bin", "low", "high").applyInPandas(
-            lambda pdf: compare_group(pdf, threshold), "key string, links long, b string"
-        )
-    )
-    classes = connected_components(
-        compared.where("b is not null").select(F.col("key").alias("a"), "b")
-    ).withColumnRenamed("node", "key")
-    links = compared.groupBy("key").agg(F.sum("links").alias("links"))
-    per_key = copies.join(links, "key", "left").join(classes, "key", "left").select(
-        "key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component")
-    )
-    names = per_key.groupBy("component").agg(F.min("rep").alias("class_id"))
-    per_key = per_key.join(names, "component").select("key", "class_id", "copies", "links")
-    with_words = (
-        signed.where("key is not null").select("doc_id", "key")
-        .join(per_key, "key")
-        .select(
-            "doc_id", "class_id",
-            (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"),
-        )
-    )
     without = signed.where("key is null").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
-    )
+    )
     return with_words.unionByName(without)
 
 
+def keep_first(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+    hashes: int = HASHES,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the row with the least doc_id (nulls last), then
+    the least digest of its text, then the least other columns (which must be of kinds that have an order).
+
+    Rows without words (null and empty texts too) have no duplicates and are all kept. Different texts under one
+    doc_id are rows of their own. An empty table gives no rows."""
+    _, per_key, _ = classes(docs.select("doc_id", "text"), shingle, threshold, recall, hashes, block)
+    first = per_key.select(F.col("first").alias("_row")).distinct()
+    has_words = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    least = (
+        docs.where(has_words).withColumn("_row", row_key()).join(first, "_row", "left_semi")
+        .groupBy("_row").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_least")).select("_least.*")
+    )
+    return least.unionByName(docs.where(~has_words))
+
+
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

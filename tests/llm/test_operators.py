@@ -330,6 +330,42 @@ def test_near_duplicates_odd_rows(spark):
     assert ngram_join.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_without_links_null_ids_and_shared_ids(spark):
+    rng = random.Random(12)
+    w = prose(rng, 80).split()
+    changed = lambda *at: " ".join("other" if i in at else x for i, x in enumerate(w))
+    far = [(1, changed()), (2, changed(20, 60))]  # candidates, but below the threshold
+    assert all(r.n_links == 0 and r.class_id == r.doc_id for r in ngram_join.near_duplicates(docs(spark, far)).collect())
+    rows = [(None, changed()), (2, changed(0)), (3, changed(79)), (3, prose(rng, 90)), (3, changed(79)), (None, prose(rng, 70))]
+    got = [(r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs(spark, rows)).collect()]
+    want = [(None, 2, 3), (2, 2, 3), (3, 2, 3), (3, 2, 3), (3, 3, 0), (None, None, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = ngram_join.keep_first(docs(spark, [*rows, (4, "!"), (4, "!"), (5, None)])).collect()
+    want = [rows[1], rows[3], rows[5], (4, "!"), (4, "!"), (5, None)]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+    assert ngram_join.keep_first(docs(spark).limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_near_duplicates_recall_on_a_table(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    want = brute_classes([tuple(r) for r in table.collect()])
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(table).collect()}
+    links = sum(n for _, n in want.values())
+    assert links > 0 and all(got[i] <= want[i][1] for i in want)
+    assert sum(got.values()) >= 0.99 * links
+
+
+def test_hubs_are_joined_by_broadcast(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([("hub" if i % 3 else str(i), i) for i in range(3000)] + [(None, -1)], "k string, v long")
+    facts = rows.groupBy("k").agg(F.count("v").alias("n"), F.max("v").alias("top"))
+    got = graph.hub_join(rows, facts, "k", "n", 3000)
+    want = rows.join(facts, "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert ngram_join.compare_group(facts.toPandas().assign(bucket=0, key="x", copies=1, mine=[[0]] * facts.count(), block=0, low=0, high=0, shingles=[np.array([rng.random() * 1e9], np.int64) for _ in range(facts.count())]), 0.8).dtypes["b"] == object
+
+
 def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.choose_bands(t, 0.99, 128)
