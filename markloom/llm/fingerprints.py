@@ -1,11 +1,12 @@
 """Document fingerprints by Order MinHash, with array expressions inside each row (native, no shuffle).
 
-The alphabet is words: a k-mer is ``k`` words in a row, numbered by how often it has occurred before in the
-text, so repeats count. Each numbered k-mer is hashed once; the hash's high bits choose one of ``bins`` sketches
-(one-permutation hashing: the sketches are disjoint parts of one permutation, not one permutation each), and the
-``picks`` smallest of a sketch are put back into text order and hashed as a tuple. Two texts agree in a sketch
-only where they share the minimal k-mers and their order, which is what makes the fingerprint follow edit
-distance and not just the set of k-mers."""
+A k-mer is ``k`` words in a row, numbered by how often it has occurred before in the text, so repeats count; in a run
+of more than ``LONGEST`` characters without white space every character is a word. Each numbered k-mer is hashed
+once. A sketch selects the ``picks`` = 2 minimal k-mers of its own order, puts them back into text order and hashes
+the pair. The orders of the 64 sketches are rotations of one (densified one-permutation hashing): sketch ``b`` counts
+from ``b`` 64ths of the range of hashes on, and round its end. So every sketch has its full picks however short the
+text is, and two texts agree in a sketch only where they share the minimal k-mers and their order, which is what
+makes the fingerprint follow edit distance and not just the set of k-mers."""
 
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ from markloom.llm.common import let
 
 BIN_BITS = 6
 HALF = 1 << (BIN_BITS - 1)
+LONGEST = 20  # characters of a word; a longer run is taken by characters
 
 
 def _numbered(kmers: Column) -> Column:
@@ -49,37 +51,52 @@ def _numbered(kmers: Column) -> Column:
 
 
 def _sketches(numbered: Column) -> Column:
-    """Array of 2**BIN_BITS ints: the hash of each sketch's tuple, null where no k-mer fell into the sketch."""
+    """Array of 2**BIN_BITS ints: the hash of each sketch's pair."""
 
     def tuples(s: Column) -> Column:
-        bin_of = lambda x: F.shiftright(x["g"], 64 - BIN_BITS)
-        first = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (bin_of(F.get(s, i)) != bin_of(F.get(s, i - 1))),
-        )
+        bin_of = lambda x: F.shiftright(x["g"], 64 - BIN_BITS).cast("int")
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (bin_of(F.get(s, i)) != bin_of(F.get(s, i - 1))))
+        first = F.map_from_entries(F.transform(starts, lambda i: F.struct(bin_of(F.get(s, i)).alias("bin"), i.alias("i"))))
+
+        def pair(i: Column) -> Column:
+            """Hash of the k-mer at ``i`` and the next one in the order, by their places in the text."""
+            a, b = F.get(s, i), F.get(s, F.pmod(i + 1, n))
+            swap = a["p"] > b["p"]
+            hashed = F.xxhash64(F.when(swap, b["g"]).otherwise(a["g"]), F.when(swap, a["g"]).otherwise(b["g"]))
+            return F.shiftright(hashed, 32).cast("int")
+
+        def walk(m: Column) -> Column:
+            # from the last sketch to the first: one without a k-mer of its own takes the pair of the next; the last takes the first's
+            down = F.sequence(F.lit(HALF - 1), F.lit(-HALF), F.lit(-1))
+            filled = F.aggregate(
+                down, F.array().cast("array<int>"),
+                lambda acc, b: F.concat(acc, F.array(F.coalesce(m[b], F.try_element_at(acc, F.lit(-1)), F.lit(0)))),
+            )
+            return F.transform(F.reverse(filled), pair)
+
+        return let(first, walk)
 
-        def pick(i: Column) -> Column:
-            a, b = F.get(s, i), F.get(s, i + 1)
-            alone = b.isNull() | (bin_of(a) != bin_of(b))
-            hashed = (
-                F.when(alone, F.xxhash64(a["g"]))
-                .when(a["p"] < b["p"], F.xxhash64(a["g"], b["g"]))
-                .otherwise(F.xxhash64(b["g"], a["g"]))
-            )
-            return F.struct(bin_of(a).cast("int").alias("bin"), F.shiftright(hashed, 32).cast("int").alias("v"))
+    return let(F.array_sort(numbered), tuples)
 
-        chosen = F.map_from_entries(F.transform(first, pick))
-        return let(chosen, lambda m: F.transform(F.sequence(F.lit(-HALF), F.lit(HALF - 1)), lambda b: m[b]))
 
-    return let(F.array_sort(numbered), tuples)
+def words_of(text: Column) -> Column:
+    """Runs without white space; those of more than LONGEST characters as their characters."""
+    runs = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    is_long = lambda w: F.length(w) > LONGEST
+    return let(
+        runs,
+        lambda r: F.when(
+            F.exists(r, is_long), F.flatten(F.transform(r, lambda w: F.when(is_long(w), F.split(w, "")).otherwise(F.array(w))))
+        ).otherwise(r),
+    )
 
 
 def fingerprint(text: Column, k: int = 3) -> Column:
     """Array of 64 nullable ints. Null text counts as empty; a text without words has nulls only; a text of
-    fewer than ``k`` words is one k-mer. Equal texts have equal fingerprints."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    fewer than ``k`` words is one k-mer, which pairs with itself. Equal texts have equal fingerprints."""
     kmers = let(
-        words,
+        words_of(F.coalesce(text, F.lit(""))),
         lambda w: F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k))
         ),
@@ -104,17 +121,18 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 4000, max_buckets: int = 20000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], bytes_per_bucket: int = 16 << 20, max_buckets: int = 50_000) -> DataFrame:
     """Each row with ``next_<column>``: the values of the next row by ascending doc_id, cyclically.
 
-    Ids are cut at quantiles into buckets of about equal size, each bucket is one window partition, and the
-    first row of every bucket is also sent to the bucket before it, where it ends the window. One shuffle;
-    the driver sees at most ``max_buckets`` bucket minima. Rows of one doc_id follow each other by text; a null
-    doc_id comes first."""
+    Ids are cut at quantiles into buckets of about ``bytes_per_bucket`` of text (more where that would be over
+    ``max_buckets``), each bucket is one window partition, sorted with spilling, and has a shuffle partition to itself
+    on average; the first row of every bucket is also sent to the bucket before it, where it ends the window. One
+    shuffle; the driver sees one minimum per bucket. Rows of one doc_id follow each other by text, in one bucket; a
+    null doc_id comes first. An empty table gives no rows."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("double")
     keyed = docs.withColumn("_key", key)
-    n = keyed.select(F.count(F.lit(1))).first()[0]
-    n_buckets = max(1, min(max_buckets, n // rows_per_bucket))
+    size = keyed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_buckets = max(1, min(max_buckets, size["bytes"] // bytes_per_bucket, size["rows"]))
     shares = [i / n_buckets for i in range(1, n_buckets)]
     cuts = keyed.approxQuantile("_key", shares, 0.2 / n_buckets) if shares else []
     bucketizer = Bucketizer(
@@ -143,7 +161,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 4000,
     )
     placed = both.select("doc_id", *columns, "_key", F.col("_place.at").alias("_at"), F.col("_place.last").alias("_last"))
     order = Window.partitionBy("_at").orderBy("_last", "_key", "doc_id", "text")
-    led = placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    led = placed.repartition(max(2, n_buckets), "_at").select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return led.where(F.col("_last") == 0).drop("_key", "_at", "_last")
 
 

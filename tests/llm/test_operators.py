@@ -352,23 +352,113 @@ def test_pages_query_and_odd_rows(spark, tmp_path):
 # ---- 8 fingerprints
 
 
+def prints(spark, texts):
+    df = docs(spark, list(enumerate(texts)))
+    return [r.f for r in df.select("doc_id", fingerprints.fingerprint(F.col("text")).alias("f")).orderBy("doc_id").collect()]
+
+
+def share(a, b):
+    return np.mean([x == y for x, y in zip(a, b, strict=True)])
+
+
 def test_fingerprints_follow_order_and_edits(spark):
     rng = random.Random(5)
     t = prose(rng, 300)
     w = t.split()
     near = " ".join([*w[:150], "changed", *w[151:]])
-    back = " ".join(w[::-1])
-    rows = [(1, t), (2, t), (3, near), (4, back), (5, ""), (6, None), (7, "x")]
-    got = {r.doc_id: r for r in docs(spark, rows).select("doc_id", fingerprints.fingerprint(F.col("text")).alias("f")).collect()}
-    assert got[1].f == got[2].f and got[5].f == got[6].f == [None] * 64
-    share = lambda a, b: np.mean([x == y for x, y in zip(got[a].f, got[b].f, strict=True)])
-    assert share(1, 3) > 0.85 and share(1, 4) < 0.2
+    far = prose(rng, 300)
+    got = prints(spark, [t, t, near, far, "", None, "x", "a b c d", "c d a b", "a a a a a", "a a a a a a"])
+    assert got[0] == got[1] and got[4] == got[5] == [None] * 64 and None not in got[6]
+    assert share(got[0], got[2]) > 0.85 and share(got[0], got[3]) < 0.1
+    assert share(got[7], got[8]) < 0.5 and share(got[9], got[10]) < 1  # occurrences count
+
+
+def test_fingerprints_see_swapped_blocks_in_short_texts(spark):
+    """The halves of a text change places: all but a few k-mers stay, half of the pairs change their order."""
+    rng = random.Random(15)
+    for n in (30, 60, 100, 400):
+        texts = []
+        for _ in range(30):
+            w = prose(rng, n).split()
+            texts += [" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])]
+        got = prints(spark, texts)
+        mean = np.mean([share(got[i], got[i + 1]) for i in range(0, len(texts), 2)])
+        assert 0.3 < mean < 0.6
+
+
+def test_fingerprints_fall_with_edit_distance(spark):
+    rng = random.Random(16)
+    words_ = prose(rng, 200).split()
+    signs = [chr(0x4E00 + rng.randrange(3000)) for _ in range(440)]
+    texts = []
+    for source, gap in ((words_, " "), (signs, "")):
+        for edits in (0, 1, 5, 25, 100):
+            w = list(source)
+            for i in rng.sample(range(len(w)), edits):
+                w[i] = f"new{rng.randrange(10**6)}" if gap else chr(0x3400 + rng.randrange(3000))
+            texts.append(gap.join(w))
+    got = prints(spark, texts)
+    for at in (0, 5):
+        near = [share(got[at], got[at + i]) for i in range(5)]
+        assert near[0] == 1 and near[1] > 0.85 and near == sorted(near, reverse=True) and near[4] < 0.2
+
+
+def brute_fingerprint(text, k=3):
+    """Sketches as sets of what they select, by a slow way: the hashes come from Spark."""
+    w = []
+    for run in text.split():
+        w += list(run) if len(run) > 20 else [run]
+    grams = [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    seen, out = Counter(), []
+    for p, g in enumerate(grams):
+        out.append((g, seen[g], p))
+        seen[g] += 1
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(18)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(20)] + ["a a a b a a a b", "x" * 50, "one"]
+    got = prints(spark, texts)
+    for t, f in zip(texts, got, strict=True):
+        grams = brute_fingerprint(t)
+        rows = spark.createDataFrame([(list(g), n, p) for g, n, p in grams], "g array<string>, n int, p int")
+        hashed = sorted((r.h, r.p) for r in rows.select("p", F.xxhash64(F.xxhash64("g"), "n").alias("h")).collect())
+        pairs = []
+        for b in range(-32, 32):
+            turned = sorted(hashed, key=lambda x: (x[0] - (b << 58)) % 2**64)
+            a, c = turned[0], turned[1 % len(turned)]
+            pairs.append((a[0], c[0]) if a[1] <= c[1] else (c[0], a[0]))
+        want = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a long, b long")
+        want = [r.v for r in want.select("i", F.shiftright(F.xxhash64("a", "b"), 32).cast("int").alias("v")).orderBy("i").collect()]
+        assert f == want
+
+
+def test_fingerprint_query_and_odd_rows(spark, tmp_path):
+    rng = random.Random(19)
+    rows = [(i, prose(rng, rng.randint(0, 40)) + "é😀"[i % 2]) for i in range(30)] + [(50, None), (51, ""), (52, "word " * 30000)]
+    docs(spark, rows).withColumn("own", F.lit(1)).withColumn("next_text", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op8_document_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    edited = []
+    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        t, half = t or "", len(t or "") // 2
+        edited.append(t[: len(t) - half] + (after or "")[:half])
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited[-1].encode()).hexdigest())
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    hexed = lambda f: "".join("-" * 8 if v is None else f"{v & 0xFFFFFFFF:08x}" for v in f)
+    own, new = prints(spark, [t for _, t in rows]), prints(spark, edited)
+    assert [got[i].fingerprint for i, _ in rows] == [hexed(f) for f in own]
+    assert [got[i].edited_fingerprint for i, _ in rows] == [hexed(f) for f in new]
+    ties = docs(spark, [(1, "b"), (1, "a"), (None, "n"), (2, None), (1, "a")])
+    led = fingerprints.with_next(ties, ["text"], bytes_per_bucket=1).select("doc_id", "text", "next_text").collect()
+    assert sorted(map(str, map(tuple, led))) == sorted(map(str, [(None, "n", "a"), (1, "a", "a"), (1, "a", "b"), (1, "b", None), (2, None, "n")]))
 
 
 def test_next_document_over_many_buckets(spark):
     rng = random.Random(6)
     ids = rng.sample(range(10**6), 300)
-    led = fingerprints.with_next(docs(spark, [(i, f"t{i}") for i in ids]), ["text"], rows_per_bucket=10)
+    led = fingerprints.with_next(docs(spark, [(i, f"t{i}") for i in ids]), ["text"], bytes_per_bucket=40)
     order = sorted(ids)
     want = {i: f"t{order[(k + 1) % 300]}" for k, i in enumerate(order)}
     assert {r.doc_id: r.next_text for r in led.collect()} == want
