@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +31,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary one; on a cluster that is an error, for executors do not see each other's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="markloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -45,10 +50,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_pass(df: DataFrame, function, schema: str, batch_rows: int = 1000) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``batch_rows`` rows, so that a batch of whole texts stays small on both
-    sides, and with a worker that gives memory back when it is done: workers stay alive between tasks."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+#: Bounds of an Arrow batch, so that a batch of whole texts stays small on both sides; what the session says comes first.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in rows and bytes (the same bounds for all callers, and only where the
+    session sets none), and with a worker that gives memory back when it is done: workers stay alive between tasks."""
+    conf = df.sparkSession.conf
+    for name, bound in BATCHES.items():
+        if conf.get(name, None) is None:
+            conf.set(name, str(bound))
 
     def run(batches):
         yield from function(batches)
@@ -57,6 +69,19 @@ def arrow_pass(df: DataFrame, function, schema: str, batch_rows: int = 1000) ->
     return df.mapInArrow(run, schema)
 
 
+def steps(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in order, in parts of about ``chars`` characters at most; a longer text is a part of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for the row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,30 +2,25 @@
 
 The model file's protobuf is parsed here; normaliser (character map, white-space rules, dummy prefix), metaspace
 marker, piece scores and byte fallback are rebuilt as a ``tokenizers.Tokenizer``. A unigram model keeps its scores;
-a BPE model's scores are the order of its merges. Texts are cut before each run of markers, which is exact where no
-piece holds a marker after another character (checked on the vocabulary; else texts stay whole). Equal cuts are
-encoded once per task, in multithreaded batches, and each is compared with the sentencepiece library as it is first
-seen, so the ``parity`` of a row covers its whole text."""
+a BPE model's scores are the order of its merges. Whole normalised texts are encoded in multithreaded batches, and
+the sentencepiece library encodes the raw texts beside it: ``parity`` tells whether both give the same ids, so a
+fault of the character map, the white-space rules, the marker or the merges would show."""
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from markloom.llm.common import arrow_pass
+from markloom.llm.common import arrow_pass, steps
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_MEMO_SIZE = 100_000  # cuts remembered by a task; their ids are kept as packed bytes
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,10 +84,6 @@ class PieceModel:
     def unk_id(self) -> int:
         return next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
 
-    def cuttable(self) -> bool:
-        """Whether no piece holds a marker after another character."""
-        return self.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.pieces if kind in (NORMAL, USER))
-
     def merges(self) -> list[tuple[str, str]]:
         """Pairs of pieces that join to a piece, by the joined piece's score, as BPE applies them."""
         ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == NORMAL}
@@ -127,11 +118,9 @@ class Encoder:
             self.tokenizer.add_tokens([AddedToken(p, normalized=True, special=False) for p in user])
         steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
         if m.squeeze:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
         self.normalizer = normalizers.Sequence(steps) if steps else None
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S).findall if m.cuttable() else lambda s: [s]
         self.raw = [self._bytes(*p) for p in m.pieces]
-        self.memo: dict[str, tuple[bytes, bool]] = {}
 
     def _bytes(self, piece: str, _score: float, kind: int) -> bytes:
         if kind == BYTE:
@@ -143,7 +132,7 @@ class Encoder:
         return piece.replace(MARK, " ").encode()
 
     def normalise(self, text: str) -> str:
-        """The text as it is cut and encoded: white space marked, one marker put before it."""
+        """The text as it is encoded: white space marked, one marker put before it."""
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
         if not text:
@@ -152,32 +141,11 @@ class Encoder:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def _learn(self, cuts: list[str]) -> None:
-        """Encode cuts not met before, many at a time, and compare each with the sentencepiece library."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch(cuts, add_special_tokens=False)]
-        prefix = self.model.dummy_prefix
-        plain = [c.replace(MARK, " ") for c in cuts]
-        comparable = [not prefix or p.startswith(" ") for p in plain]
-        alone = [self.reference.piece_to_id(MARK)]  # a marker by itself stands for a white space that ends the text
-        theirs = iter(self.reference.encode([p[1:] if prefix else p for p, c in zip(plain, comparable, strict=True) if c], num_threads=1))
-        for cut, ids, c in zip(cuts, encoded, comparable, strict=True):
-            want = next(theirs) if c else None
-            self.memo[cut] = (np.array(ids, np.int32).tobytes(), ids == (alone if prefix and cut == MARK else want))
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity) of each text."""
-        if len(self.memo) > _MEMO_SIZE:
-            self.memo.clear()
-        cuts = [self.cut(self.normalise(t)) for t in texts]
-        if fresh := list({c for own in cuts for c in own if c not in self.memo}):
-            for at in range(0, len(fresh), 4096):
-                self._learn(fresh[at : at + 4096])
-        memo = self.memo
-        out = []
-        for own in cuts:
-            got = [memo[c] for c in own]
-            out.append((np.frombuffer(b"".join([ids for ids, _ in got]), np.int32), all([ok for _, ok in got])))
-        return out
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast([self.normalise(t) for t in texts], add_special_tokens=False)]
+        theirs = self.reference.encode(texts, num_threads=1)
+        return [(own, own == other) for own, other in zip(ours, theirs, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: byte pieces joined as UTF-8, markers as spaces, the dummy prefix taken away."""
@@ -198,36 +166,36 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, texts_per_step: int = 128) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, chars_per_step: int = 500_000) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip, parity for every row of ``docs`` (doc_id, text).
 
     ``round_trip`` tells whether decoding the ids gives the whole text again, ``parity`` whether the
-    sentencepiece library gives the same ids. Null and empty texts have no ids and both flags true. Very long texts
-    are encoded whole. A text holding the marker character itself reads back with a space in its place and has
-    round_trip false. Repeated rows are encoded each. Other columns are not used. Empty table: no rows. The model
-    file is read on the driver (``model_path``) and its bytes, of fixed size, are sent to the tasks."""
+    sentencepiece library gives the same ids for the raw text. Null and empty texts have no ids and both flags true.
+    Very long texts are encoded whole. A text holding the marker character itself reads back with a space in its
+    place and has round_trip false. Repeated rows are encoded each. Other columns are not used. Empty table: no
+    rows. The model file is read on the driver (``model_path``) and its bytes, of fixed size, are sent to the tasks."""
     sent = docs.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, texts_per_step):
-                batch = whole.slice(at, texts_per_step)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids, same, back = [], [], []
-                for text, (own, ok) in zip(texts, encoder.encode_batch(texts), strict=True):
+        for batch in batches:
+            ids, same, back = [], [], []
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for part in steps(texts, chars_per_step):
+                for text, (own, ok) in zip(part, encoder.encode_batch(part), strict=True):
                     ids.append(own)
                     same.append(ok)
-                    back.append(encoder.decode(own.tolist()) == text)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                        pa.array(back), pa.array(same),
-                    ],
-                    ["doc_id", "n_tokens", "ids", "round_trip", "parity"],
-                )
+                    back.append(encoder.decode(own) == text)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                    pa.array(back, pa.bool_()), pa.array(same, pa.bool_()),
+                ],
+                ["doc_id", "n_tokens", "ids", "round_trip", "parity"],
+            )
 
-    return arrow_pass(docs.select("doc_id", "text"), apply, "doc_id long, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return arrow_pass(docs.select("doc_id", "text"), apply, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -241,9 +209,9 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
             texts = [encoder.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return arrow_pass(encoded.select("doc_id", "ids"), apply, "doc_id long, text string")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return arrow_pass(encoded.select("doc_id", "ids"), apply, f"doc_id {kind}, text string")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text"))
-    return encode(docs)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
