@@ -6,24 +6,25 @@ a place, and blocks with shift 0 lead to the bucket of patterns that end in that
 by word. Blocks that stand in no pattern move the search by the whole pattern length less one, so most words of
 a clean document are never looked at.
 
-Benchmark items go out in blocks of a stated number of words (``block_words``), one broadcast per block, so a
-broadcast is bounded whatever the size of the benchmark; every document is searched for every block in one
-narrow pass without a shuffle."""
+The benchmark's words are counted first. Up to ``block_words`` they go out as one broadcast, and every document is
+searched in one narrow pass without a shuffle. A larger benchmark is dealt into lots of about that size by a hash of
+the items; each lot is broadcast in turn and has its own pass, so neither the driver nor a task ever holds more than a
+lot, and what the passes find is merged by row."""
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import alnum_words, arrow_pass
+from markloom.llm.common import alnum_words, arrow_pass, materialize
 
 WINDOW = 10
-SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, hits array<struct<start:int,end:int>>, items array<string>"
+SCHEMA = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 
 
 class Searcher:
@@ -67,17 +68,17 @@ class Searcher:
 
 
 class Tables:
-    """The searchers of one block of items."""
+    """The searchers of one lot of items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item, words in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
                 owners.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.owners = {p: sorted(x) for p, x in owners.items()}
+        self.owners = owners
         by_length: dict[int, list[tuple[int, ...]]] = {}
         for p in self.owners:
             by_length.setdefault(len(p), []).append(p)
@@ -105,64 +106,75 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items with words, as (item_id, words), in blocks of about ``block_words`` words; one partition at a time
-    is on the driver."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
-    for row in rows.toLocalIterator():
-        if words := alnum_words(row["text"]):
-            block.append((row["item_id"], words))
-            size += len(words)
-            if size >= block_words:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+def lots_of(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
+    """The benchmark's items (item_id as text, text) in lots of about ``block_words`` words."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    size = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))  # at most two more than its words
+    n = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    n_lots = max(1, -(-n // block_words))
+    lot = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_lots))
+    return [items.where(lot == i) for i in range(n_lots)] if n_lots > 1 else [items]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` (which needs ``text``) with n_words, n_hit, n_items, items_sha256, hits and items.
-
-    ``hits`` are disjoint half-open spans of word numbers inside occurrences of benchmark windows and ``items``
-    the ids whose windows occur, sorted as strings. Null or empty texts have no words. Repeated rows and ids are
-    searched row by row. An item whose text is null or has no words, or whose id is null, is no pattern; items
-    that share a window all count. An empty benchmark hits nothing. Columns of ``docs`` pass through unchanged,
-    but must not be named like the added ones."""
-    spark = docs.sparkSession
-    blocks = [
-        spark.sparkContext.broadcast(pickle.dumps(b)) for b in item_blocks(benchmark, block_words)
-    ]
-    kept = docs.schema
+def _search(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``docs`` (which needs ``text``) with n_words, hits and items: what one lot finds in each row."""
+    words = ((r["item_id"], alnum_words(r["text"])) for r in items.toLocalIterator())
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps([(i, w) for i, w in words if w]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [Tables(pickle.loads(b.value), window) for b in blocks]
+        tables = Tables(pickle.loads(sent.value), window)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            n_words, hits, found = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                words = alnum_words(text)
-                spans, items = [], set()
-                for t in tables:
-                    more, found = t.search(words)
-                    spans += more
-                    items |= found
-                spans = merged(spans)
-                ids = sorted(items)
-                row = (
-                    len(words), sum(b - a for a, b in spans), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(),
-                    [{"start": a, "end": b} for a, b in spans], ids,
-                )
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
+                own = alnum_words(text)
+                spans, items = tables.search(own)
+                n_words.append(len(own))
+                hits.append([{"start": a, "end": b} for a, b in merged(spans)])
+                found.append(sorted(items, key=lambda i: (i is not None, i)))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.list_(pa.string())]
-            names = ["n_words", "n_hit", "n_items", "items_sha256", "hits", "items"]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*batch.schema.names, *names]
-            )
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), SCHEMA])
-    return arrow_pass(docs, search, schema)
+            added = [pa.array(n_words, pa.int64()), pa.array(hits, span), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "n_words", "hits", "items"])
+
+    return arrow_pass(docs, search, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), SCHEMA]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` (which needs ``text``) with n_words, n_hit, n_items, items_sha256, hits and items.
+
+    ``hits`` are disjoint half-open spans of word numbers inside occurrences of benchmark windows and ``items``
+    the ids whose windows occur, sorted as strings. Null or empty texts have no words. Repeated rows and ids are
+    searched row by row. An item whose text is null or has no words is no pattern; items that share a window all
+    count; an item with a null id hits words, and stands (as a null, first) in ``items``, but not in n_items and the
+    digest. An empty benchmark hits nothing. Columns of ``docs`` pass through unchanged, but for those named like the
+    added ones, which the result replaces. An empty table gives no rows."""
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "hits", "items")
+    lots = lots_of(benchmark, block_words)
+    if len(lots) == 1:
+        found = _search(docs, lots[0], window)
+    else:
+        rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+        passes = [materialize(_search(rows.select("_row", "text"), lot, window).drop("text").where(F.size("hits") > 0)) for lot in lots]
+        parts = reduce(DataFrame.unionByName, passes).groupBy("_row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        plain = _search(rows, lots[0].limit(0), window).drop("hits", "items")
+        # spans of several lots may overlap: keep the parts of each that reach beyond those before it
+        joined = F.aggregate(
+            F.array_sort("hits"), F.array().cast("array<struct<start:int,end:int>>"),
+            lambda acc, h: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] < h["start"]), F.concat(acc, F.array(h))).otherwise(
+                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], h["end"]).alias("end"))))
+            ),
+        )
+        none = F.array().cast("array<string>")
+        found = (
+            plain.join(parts, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:int,end:int>>")))
+            .withColumn("hits", joined).withColumn("items", F.sort_array(F.array_distinct(F.coalesce("items", none)))).drop("_row")
+        )
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    named = F.filter("items", lambda i: i.isNotNull())
+    digest = F.sha2(F.array_join(named, ","), 256)
+    return found.select(
+        *(F.col(f"`{c}`") for c in docs.columns), "n_words", n_hit.alias("n_hit"), F.size(named).cast("long").alias("n_items"),
+        digest.alias("items_sha256"), "hits", "items",
+    )
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

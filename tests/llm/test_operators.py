@@ -202,24 +202,30 @@ def brute_hits(text, items):
         for i in range(len(w) - m + 1):
             if tuple(w[i : i + m]) in wins:
                 hit |= set(range(i, i + m))
-                found.add(str(item))
+                found |= {str(item)} if item is not None else set()
     return len(w), len(hit), sorted(found)
 
 
 @pytest.mark.parametrize("block_words", [500_000, 20])
 def test_decontamination_against_brute_force(spark, block_words):
     rng = random.Random(2)
-    items = [(i, prose(rng, n)) for i, n in enumerate((25, 10, 9, 3, 1, 40))] + [(6, None), (7, "!!"), (8, "a a a a a a a a a a a a")]
+    items = [(i, prose(rng, n)) for i, n in enumerate((25, 10, 9, 3, 1, 40))] + [(6, None), (7, "!!"), (8, "a a a a a a a a a a a a"), (None, prose(rng, 11))]
     rows = list(ODD)
     for i in range(60):
         t = prose(rng, rng.randint(0, 40))
         if i % 3 == 0:
-            p = words(items[i % 6][1])
+            p = words(items[i // 3 % 6 if i % 2 else -1][1])
             a = rng.randint(0, max(0, len(p) - 12))
             t += " " + ", ".join(p[a : a + 12]).upper() + "." + prose(rng, 5)
         rows.append((100 + i, t + (" a" * 15 if i % 20 == 0 else "")))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contamination(docs(spark, rows), bench, block_words=block_words).collect()
+    clashing = docs(spark, rows).withColumn("hits", F.lit(1)).withColumn("n_words", F.lit("x"))
+    found = decontamination.contamination(clashing, bench, block_words=block_words)
+    assert found.columns == ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "hits", "items"]
+    assert decontamination.contamination(clashing.limit(0), bench, block_words=block_words).count() == 0
+    assert all(r.n_hit == 0 for r in decontamination.contamination(clashing, bench.limit(0), block_words=block_words).collect())
+    got = found.collect()
+    assert all(a.end < b.start for r in got for a, b in zip(r.hits, r.hits[1:], strict=False))
     want = sorted((str(i), *brute_hits(t, items)[:2], hashlib.sha256(",".join(brute_hits(t, items)[2]).encode()).hexdigest()) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.items_sha256) for r in got) == want
 
