@@ -24,28 +24,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least doc_id. Texts without words have no
-    duplicates. Rows under one doc_id are one document; rows without an id are all kept."""
-    docs = docs.select(*COLUMNS)
-    kept = ngram_join.near_duplicates(docs).select(F.col("class_id").alias("doc_id")).where("doc_id is not null").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One document of each class of near duplicates: the one with the least doc_id (nulls last), then the least digest
+    of its text. Texts without words have no duplicates and stay; different texts under one doc_id are documents of
+    their own, as are rows without an id; repeated rows are one."""
+    return ngram_join.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts hold none and stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontamination.contamination(docs.select(*COLUMNS), benchmark).where("n_hit = 0").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a placeholder; ``n_chars`` follows the text (null for a null one)."""
+    """All documents, each secret replaced by a placeholder; ``n_chars`` follows the text (null for a null one). Null and
+    empty texts, repeated rows and rows without an id stay as they are."""
     clean = secrets.scan(docs.select(*COLUMNS), redact=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip, parity of every document."""
+    """doc_id, n_tokens, ids, round_trip, parity of every document; a null or empty text has no ids. Rows without an id and
+    repeated rows are encoded each."""
     return sentencepiece.encode(docs)
 
 
