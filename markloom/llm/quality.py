@@ -3,8 +3,8 @@
 A document is a bag of passages. Every passage is encoded from its bytes (shares of character kinds, word shapes
 and a hashed byte-pair profile) through a learnt layer; gated attention weighs the passages, and the document's
 score is a logistic function of the weighted passage representation. Weights are learnt from document labels
-alone, by full backpropagation in numpy on a bounded sample of labelled rows (``max_labelled``, chosen by a hash
-of the id); scoring is a narrow pass over all rows."""
+alone, by full backpropagation in numpy on a sample of labelled rows bounded in rows and passages, chosen by a hash
+(``max_labelled``, ``max_passages``); scoring is a narrow pass over all rows."""
 
 from __future__ import annotations
 
@@ -15,10 +15,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import arrow_pass
+from markloom.llm.common import arrow_pass, least_by_hash, materialize
 
 PASSAGE_BYTES = 1200
 PAIR_BUCKETS = 64
@@ -59,12 +59,8 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     x[:, :KINDS] = counts / size
     space = (kind == 4) | (kind == 5)
     same = np.zeros(len(joined), bool)
-    starts_word = np.zeros(len(joined), bool)
-    if len(joined):
-        same[1:] = where[1:] == where[:-1]
-        starts_word[1:] = space[:-1]
-        starts_word[0] = True
-        starts_word &= ~space
+    same[1:] = where[1:] == where[:-1]
+    starts_word = ~space & (~same | np.roll(space, 1))  # nothing of another text's passages is looked at
     words = np.bincount(where[starts_word], minlength=total)
     before = np.roll(kind, 1)
     ends_odd = same & space & np.isin(before, (7, 8, 9, 10))  # words that end in a symbol
@@ -167,29 +163,36 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, epo
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1), max_labelled: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1), max_labelled: int = 3000, max_passages: int = 100_000) -> Model:
     """Learn from labelled documents whose crc32(doc_id as text) modulo ``holdout[0]`` is not ``holdout[1]``.
 
-    At most ``max_labelled`` rows, those with the least hash of their id, are encoded on the executors and their
-    features (not their texts) collected. Labels that are null, and documents without a label, are not used; of
-    contradicting labels of one document the greater counts. Without any usable label the model says 0.5."""
-    named = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    At most ``max_labelled`` texts, those with the least hash of id and text, and of these as many as have
+    ``max_passages`` passages together, are encoded on the executors and their features (not their texts) collected.
+    Labels that are null or have no id, and documents without a label, are not used; of contradicting labels of one
+    document the greater counts; repeated rows count once. Without any usable label the model says 0.5."""
+    named = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % holdout[0] != holdout[1]
+    passages = F.greatest(F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE_BYTES), F.lit(1))
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest"), passages.alias("n"))
+    labelled = materialize(texts.join(named.where(fold), "doc_id").distinct())
+    order = Window.orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest")  # over max_labelled rows at most
     chosen = (
-        named.where(fold).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+        least_by_hash(labelled, ["doc_id", "digest"], max_labelled, labelled.count())
+        .withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= max_passages).drop("n", "sum")
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, owner = passage_features(batch.column(1).to_pylist())
+            x, owner = passage_features(batch.column(3).to_pylist())
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             packed = [x[first[i] : first[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["doc_id", "digest", "quality", "x"])
 
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    rows = arrow_pass(labelled, encode, "doc_id long, quality int, x binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["x"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").join(F.broadcast(chosen), ["doc_id", "digest"])
+    encoded = arrow_pass(wanted.select("doc_id", "digest", "quality", "text"), encode, f"doc_id {kind}, digest long, quality int, x binary")
+    rows = encoded.dropDuplicates(["doc_id", "digest"]).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["digest"]))
     if not rows:
         return Model(np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32), {
             "enc": np.zeros((N_FEATURES, 1), np.float32), "enc_b": np.zeros(1, np.float32), "att_v": np.zeros((1, 1), np.float32),
@@ -204,7 +207,9 @@ def score(docs: DataFrame, model: Model, rows_per_step: int = 64) -> DataFrame:
     """The rows of ``docs`` (which needs ``text``) with ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
 
     Nothing but the text is looked at. Null and empty texts are one empty passage and get its score; very long
-    texts are many passages. Columns pass through unchanged. An empty table gives no rows."""
+    texts are many passages. Repeated rows are scored each. Columns pass through unchanged, but for ones named
+    ``score`` or ``predicted``, which the result replaces. An empty table gives no rows."""
+    docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,5 +229,5 @@ def score(docs: DataFrame, model: Model, rows_per_step: int = 64) -> DataFrame:
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")

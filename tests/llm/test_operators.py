@@ -178,13 +178,57 @@ def test_chat_round_trip_of_hostile_texts(spark):
 # ---- 4 licences
 
 
-def test_licenses(spark):
+@pytest.fixture(scope="module")
+def license_model(spark):
+    rng = random.Random(7)
+    prose_ = [(prose(rng, rng.randint(1, 30)),) for _ in range(300)] + [("the same line again and again",)] * 500
+    return licenses.fit(spark, spark.createDataFrame(prose_, "par string"))
+
+
+def test_licenses(spark, license_model):
     rows = [
         *ODD, (20, "Some words here.\nReleased under the MIT License.\nMore."), (21, "This work is licensed under the GNU General Public License, version 3."),
         (22, "She has a driver license and a copy of the form."), (23, "Licensed under CC BY-NC 4.0."), (24, licenses.TEMPLATES[2][1].replace("free of charge", "for free")),
     ]
-    got = {(r.doc_id, r.par_no): (r.family, r.confirmed) for r in licenses.scan(docs(spark, rows)).collect()}
+    df = docs(spark, rows).withColumn("par", F.lit("clash")).withColumn("family", F.lit(1))
+    got = {(r.doc_id, r.par_no): (r.family, r.confirmed) for r in licenses.scan(df, license_model).collect()}
     assert got == {(20, 1): ("MIT", True), (21, 0): ("GPL", True), (23, 0): ("CC-BY-NC", True), (24, 0): ("MIT", True)}
+    assert licenses.scan(df.limit(0), license_model).count() == 0
+
+
+def test_licenses_held_out_and_calibrated(spark, license_model):
+    """Notices with other names, dates and words left out than in training; and prose that speaks of licences."""
+    rng = random.Random(9)
+    truth, lines = [], []
+    for family, text in licenses.TEMPLATES:
+        for _ in range(4):
+            w = text.split()
+            for i in sorted(rng.sample(range(len(w)), len(w) // 12), reverse=True):
+                w[i] = rng.choice(["project", "work", "2021", "Smith"])
+            lines.append(" ".join([*(["Copyright", "2020", "Jane", "Doe."] if rng.random() < 0.3 else []), *w]))
+            truth.append(family)
+    other = [
+        "The city revoked the license of the taxi company after the hearing.", "All players under the age of twelve are granted free entry.",
+        "The use of this bridge is permitted in accordance with the terms of the council.", "He was free to use, copy and modify whatever he found in the attic.",
+        "Public transport in the general area is provided without charge.", "The foundation published a new version of its annual letter.",
+        "Copying a painting by hand is the best way to learn.", "No warranty came with the second-hand car she bought.",
+    ] * 5 + [prose(rng, 12) for _ in range(60)]
+    rows = list(enumerate(lines + other))
+    got = {r.doc_id: (r.family, r.confirmed) for r in licenses.scan(docs(spark, rows), license_model).collect()}
+    right = sum(got.get(i, ("unknown",))[0] == t for i, t in enumerate(truth))
+    wrong = sum(i in got and got[i][1] for i in range(len(truth), len(rows)))
+    assert right >= 0.9 * len(truth) and wrong <= 0.02 * len(other)
+    confirmed = sum(got[i][1] for i in range(len(truth)) if i in got)
+    assert confirmed >= 0.8 * len(truth)
+
+
+def test_license_query_and_odd_rows(spark, tmp_path):
+    rows = [*ODD, (None, "Licensed under CC BY-NC 4.0."), (5, "a\nLicensed under the BSD 3-Clause License.\n\nb"), (8, "Licensed under CC BY-NC 4.0."), (8, "Licensed under CC BY-NC 4.0.")]
+    docs(spark, rows).withColumn("n_license", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(str, map(tuple, licenses.op4_license_scans(spark, str(tmp_path)).collect())))
+    known = {rows[-1][1]: (1, 1, 1, "CC-BY-NC"), rows[-3][1]: (3, 1, 1, "BSD")}
+    want = [(i, *known.get(t, (sum(bool(x.strip()) for x in (t or "").splitlines()), 0, 0, ""))) for i, t in rows]
+    assert got == sorted(map(str, want))
 
 
 # ---- 5 decontamination
@@ -245,6 +289,44 @@ def test_quality_odd_rows(spark):
     rows = quality.score(docs(spark), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert quality.score(docs(spark).limit(0), quality.fit(docs(spark).limit(0), labels.limit(0))).count() == 0
+    clashing = docs(spark).withColumn("score", F.lit("x")).withColumn("predicted", F.lit(1.5)).withColumn("digest", F.lit(1))
+    got = quality.score(clashing, quality.fit(clashing, labels.unionByName(labels)))
+    assert got.columns == ["doc_id", "text", "digest", "score", "predicted"] and got.count() == len(ODD)
+    assert [r.score for r in got.collect()] == [r.score for r in rows]
+
+
+def test_quality_fit_is_bounded(spark):
+    rows = [(i, "word " * 2000) for i in range(30)] + [(1, "other")] * 40
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = []
+    kept, quality.train = quality.train, lambda x, owner, y, **k: (seen.append((len(x), len(y))), kept(x, owner, y, epochs=1))[1]
+    try:
+        quality.fit(docs(spark, rows), labels, max_passages=50)
+        quality.fit(docs(spark, rows), labels, max_labelled=7)
+        quality.fit(docs(spark, rows), labels)
+    finally:
+        quality.train = kept
+    learnt = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30))
+    assert seen[0][0] <= 50 and seen[1][1] == 7 and seen[2][1] == learnt + (zlib.crc32(b"1") % 3 != 1)
+
+
+def test_quality_query_against_the_model(spark, tmp_path):
+    """The query is the model's score of each whole text; attention is computed here passage by passage."""
+    rng = random.Random(20)
+    rows = [(i, prose(rng, rng.randint(1, 900)) if i % 2 else "X!! | Y## " * rng.randint(1, 400)) for i in range(80)] + [(None, "a b"), (90, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in quality.op6_quality_classifier(spark, str(tmp_path)).collect()}
+    m = quality.fit(docs(spark, rows), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    for i, t in rows:
+        x, _ = quality.passage_features([t])
+        h = np.tanh((x - m.mean) / m.scale @ m.w["enc"] + m.w["enc_b"])
+        e = np.exp((np.tanh(h @ m.w["att_v"]) / (1 + np.exp(-(h @ m.w["att_u"])))) @ m.w["att_w"])
+        want = 1 / (1 + np.exp(-((e / e.sum()) @ h @ m.w["out"] + m.w["out_b"][0])))
+        assert math.isclose(got[i].score, want, abs_tol=1e-4)
+        assert got[i].held_out == (zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1) and got[i].predicted == (got[i].score >= 0.5)
+    held = [r for i, r in got.items() if r.held_out and i is not None and i < 80]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
 
 
 def test_quality_gradients_by_differences():
