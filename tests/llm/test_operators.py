@@ -56,6 +56,37 @@ def test_lm_counts_and_scores(spark):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_lm_is_the_same_however_the_table_is_cut(spark):
+    rng = random.Random(22)
+    rows = [(i % 290 if i % 7 else None, prose(rng, rng.randint(0, 80))) for i in range(500)] + ODD[:5]
+    scores = []
+    for n in (1, 7):
+        df = docs(spark, rows).withColumn("held_out", F.lit("clash")).withColumn("lot", F.lit(1)).repartition(n)
+        got = lm_scoring.score_corpus(df, share=0.9).collect()
+        assert len(got) == len(rows)
+        scores.append(sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), r.score) for r in got))
+    for a, b in zip(*scores, strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-4)
+    empty = lm_scoring.score_corpus(docs(spark).limit(0))
+    assert empty.count() == 0 and empty.columns[:4] == ["doc_id", "held_out", "n_tokens", "n_known"]
+
+
+def test_lm_learns_in_pieces_as_in_one():
+    v = lm_scoring.Vocabulary([b"w%d" % i for i in range(32)], np.arange(32, 0, -1), 32, 700, 40, 5, np.full(18, 9), np.full(18, 3))
+    start = lm_scoring.GatedLm.start(v, hidden=4)
+    rng = np.random.default_rng(5)
+    run = np.cumsum(rng.integers(0, 2, 80_000)) % 51  # the next number is this one or the one after
+    ends = []
+    for cuts in ([], sorted(rng.integers(0, len(run), 40))):
+        learner = lm_scoring.Learner(start, 0.01, 0.1, len(run))
+        for part in np.split(run.astype(np.int32), cuts):
+            learner.feed(part)
+        ends.append(learner.finish())
+    assert all(np.array_equal(ends[0].w[k], ends[1].w[k]) for k in start.w)
+    texts = [run[:2000].astype(np.int32)]
+    assert ends[0].log10_scores(texts)[0] > 0.95 * start.log10_scores(texts)[0]
+
+
 def test_lm_gradients_by_differences():
     v = lm_scoring.Vocabulary([b"w%d" % i for i in range(32)], np.arange(32, 0, -1), 32, 700, 40, 5, np.full(18, 9), np.full(18, 3))
     m = lm_scoring.GatedLm.start(v, hidden=4)
