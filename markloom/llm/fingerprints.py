@@ -54,10 +54,9 @@ def _sketches(numbered: Column) -> Column:
     """Array of 2**BIN_BITS ints: the hash of each sketch's pair."""
 
     def tuples(s: Column) -> Column:
-        bin_of = lambda x: F.shiftright(x["g"], 64 - BIN_BITS).cast("int")
+        bin_of = lambda i: F.shiftright(F.get(s, i)["g"], 64 - BIN_BITS).cast("int")
         n = F.size(s)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (bin_of(F.get(s, i)) != bin_of(F.get(s, i - 1))))
-        first = F.map_from_entries(F.transform(starts, lambda i: F.struct(bin_of(F.get(s, i)).alias("bin"), i.alias("i"))))
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (bin_of(i) != bin_of(i - 1)))
 
         def pair(i: Column) -> Column:
             """Hash of the k-mer at ``i`` and the next one in the order, by their places in the text."""
@@ -66,23 +65,20 @@ def _sketches(numbered: Column) -> Column:
             hashed = F.xxhash64(F.when(swap, b["g"]).otherwise(a["g"]), F.when(swap, a["g"]).otherwise(b["g"]))
             return F.shiftright(hashed, 32).cast("int")
 
-        def walk(m: Column) -> Column:
-            # from the last sketch to the first: one without a k-mer of its own takes the pair of the next; the last takes the first's
-            down = F.sequence(F.lit(HALF - 1), F.lit(-HALF), F.lit(-1))
-            filled = F.aggregate(
-                down, F.array().cast("array<int>"),
-                lambda acc, b: F.concat(acc, F.array(F.coalesce(m[b], F.try_element_at(acc, F.lit(-1)), F.lit(0)))),
-            )
-            return F.transform(F.reverse(filled), pair)
+        def fill(f: Column) -> Column:
+            # a sketch without a k-mer of its own begins at the next sketch's first; those after the last one at the first of all
+            before = lambda r: F.when(r == 0, F.lit(-HALF - 1)).otherwise(bin_of(F.get(f, r - 1)))
+            own = F.flatten(F.transform(f, lambda i, r: F.array_repeat(pair(i), bin_of(i) - before(r))))
+            return F.concat(own, F.array_repeat(pair(F.lit(0)), HALF - 1 - bin_of(n - 1)))
 
-        return let(first, walk)
+        return let(starts, fill)
 
     return let(F.array_sort(numbered), tuples)
 
 
 def words_of(text: Column) -> Column:
     """Runs without white space; those of more than LONGEST characters as their characters."""
-    runs = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    runs = F.array_remove(F.split(text, r"\s+"), "")
     is_long = lambda w: F.length(w) > LONGEST
     return let(
         runs,
@@ -140,12 +136,12 @@ def with_next(docs: DataFrame, columns: list[str], bytes_per_bucket: int = 16 <<
         inputCol="_key",
         outputCol="_bucket",
     )
-    keyed = bucketizer.transform(keyed)
+    keyed = bucketizer.transform(keyed).withColumn("_bucket", F.col("_bucket").cast("int"))
     minima = sorted(
         (r["_bucket"], r["low"]) for r in keyed.groupBy("_bucket").agg(F.min(key).alias("low")).collect()
     )
     before = [(low, minima[i - 1][0]) for i, (_, low) in enumerate(minima)]
-    ends = docs.sparkSession.createDataFrame(before, "_key double, _before double")
+    ends = docs.sparkSession.createDataFrame(before, "_key double, _before int")
     both = keyed.join(F.broadcast(ends), "_key", "left").withColumn(
         "_place",
         F.explode(
