@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What may stand before a label, how sub-parts are written, and which characters are read for digits.
+SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOISE = (
-    r"(?i)^\s*(?:section\s+[a-z0-9]+\s*[-–—:.]?\s*|part\s+[a-z0-9]+\s*[-–—:.]?\s*|ans(?:wer)?\s*[.:-]?\s*"
-    r"|sol(?:ution)?\s*[.:-]?\s*|q(?:uestion|ues|no)?\s*[.:-]?\s*|no\.?\s*)+"
+    r"(?i)^(?:" + SPACE + r"*(?:section\s+[a-z0-9]+\s*[-–—:.]?\s*|part\s+[a-z0-9]+\s*[-–—:.]?\s*|ans(?:wer)?\s*[.:-]?\s*"
+    r"|sol(?:ution)?\s*[.:-]?\s*|q(?:uestion|ues|no)?\s*[.:-]?\s*|no\.?\s*))+"
 )
 HEAD = r"^(\d{1,3})"
 BRACKETED = r"^\s*[(\[]\s*([a-zA-Z]{1,4})\s*(?:[)\]]|[^a-zA-Z]|$)"
@@ -29,9 +30,8 @@ def strip(text: Column) -> Column:
 
 
 def strip_label_noise(raw: Column) -> Column:
-    """The label without leading layers such as ``Section B - Q``. Null stays null."""
-    once = lambda t: strip(F.regexp_replace(t, NOISE, ""))
-    return once(once(strip(raw)))
+    """The label without leading layers such as ``Section B - Q``, however many. Null stays null."""
+    return strip(F.regexp_replace(strip(raw), NOISE, ""))
 
 
 def let(value: Column, body) -> Column:

@@ -147,18 +147,33 @@ def assemble_answers(islands: DataFrame) -> DataFrame:
     ).select("doc_id", "island", "f.label", "f.normalized", "text", "pages", "confidence", "appears_incomplete")
 
 
-def sheet_warnings(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """doc_id and its ordered warnings: crossed-out regions, answers that were hard to read."""
+# What a sheet's warnings say.
+WARNINGS = {
+    "capped": "Only the first %d of %d pages were processed.",
+    "struck": "%d crossed-out region(s) were ignored.",
+    "hard": "%d answer(s) were hard to read; their transcription may be inaccurate.",
+    "blank": "No handwriting was detected on answer sheet page(s) %s.",
+    "review": "%d answer(s) need review before you rely on the match.",
+}
+
+
+def sheet_warnings(blocks: DataFrame, answers: DataFrame, pages: DataFrame, reviews: DataFrame, most_pages: int) -> DataFrame:
+    """doc_id and its warnings in order: pages beyond ``most_pages``, crossed-out regions, answers that were hard to read,
+    blank pages (``pages``: doc_id, page_number, blank), answers that need review (``reviews``: doc_id, n_review)."""
     struck = blocks.groupBy("doc_id").agg(F.count_if("struck_out").alias("n_struck"))
     hard = answers.groupBy("doc_id").agg(F.count_if((F.col("confidence") > 0) & (F.col("confidence") < UNSURE)).alias("n_hard"))
-    n = F.coalesce("n_hard", F.lit(0))
+    blank = F.array_sort(F.collect_list(F.when(F.col("blank"), F.col("page_number"))))
+    seen = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), blank.alias("blank"))
     said = F.array_compact(
         F.array(
-            F.when(F.col("n_struck") > 0, F.format_string("%d crossed-out region(s) were ignored.", "n_struck")),
-            F.when(n > 0, F.format_string("%d answer(s) were hard to read; their transcription may be inaccurate.", n)),
+            F.when(F.col("n_pages") > most_pages, F.format_string(WARNINGS["capped"], F.lit(most_pages), "n_pages")),
+            F.when(F.col("n_struck") > 0, F.format_string(WARNINGS["struck"], "n_struck")),
+            F.when(F.col("n_hard") > 0, F.format_string(WARNINGS["hard"], "n_hard")),
+            F.when(F.size("blank") > 0, F.format_string(WARNINGS["blank"], F.array_join(F.col("blank").cast("array<string>"), ", "))),
+            F.when(F.col("n_review") > 0, F.format_string(WARNINGS["review"], "n_review")),
         )
     )
-    return struck.join(hard, "doc_id", "left").select("doc_id", said.alias("warnings"))
+    return struck.join(hard, "doc_id", "left").join(seen, "doc_id", "left").join(reviews, "doc_id", "left").select("doc_id", said.alias("warnings"))
 
 
 def _let(value: Column, f) -> Column:

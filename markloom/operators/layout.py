@@ -83,14 +83,16 @@ def blocks_of(lines: DataFrame, keys: Keys = PAGE) -> DataFrame:
 
 
 def cap_blocks(blocks: DataFrame, most: int = 26, keys: Keys = PAGE) -> DataFrame:
-    """At most ``most`` blocks a page: only the widest gaps between blocks stay breaks (of equal ones the later)."""
+    """At most ``most`` blocks a page: only the widest gaps between blocks stay breaks (of equal ones the later). A merged block
+    touches the bottom (``touches_bottom``, where the blocks say so) if one of its parts does."""
     w = Window.partitionBy(*keys).orderBy("top", "block")
     gapped = blocks.withColumn("_gap", F.col("top") - F.lag("bottom").over(w))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("_gap"), F.desc("block")))
     brk = gapped.withColumn("_brk", (F.col("_gap").isNotNull() & (rank <= most - 1)).cast("long"))
     merged = brk.withColumn("_m", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    flags = [F.bool_or("touches_bottom").alias("touches_bottom")] if "touches_bottom" in blocks.columns else []
     return merged.groupBy(*keys, F.col("_m").alias("block")).agg(
-        F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.sum("n_lines").alias("n_lines")
+        F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.sum("n_lines").alias("n_lines"), *flags
     )
 
 
@@ -122,41 +124,41 @@ def ink_mask(gray: np.ndarray, divisor: int = 8, percent: int = 12) -> np.ndarra
     return gray.astype(np.int64) * count * 100 <= sums * (100 - percent)
 
 
-def _runs(row: np.ndarray) -> np.ndarray:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
-    return edges.reshape(-1, 2)
+def _all_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of every horizontal run of ink, from one difference over the whole mask."""
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    rows, starts = np.nonzero(edges == 1)
+    return rows, starts, np.nonzero(edges == -1)[1]
 
 
 def suppress_rules(mask: np.ndarray, least: float = 0.45, thickest: int = 5) -> np.ndarray:
     """Without ruled lines: long horizontal runs whose thickness, probed downwards at mid-run, is small."""
     out = mask.copy()
     h, w = out.shape
-    for y in range(h):
-        for a, b in _runs(out[y]):
-            if b - a < int(w * least):
-                continue
-            thick = y
-            while thick < h and out[thick, (a + b) // 2] and thick - y <= thickest:
-                thick += 1
-            if thick - y <= thickest:
-                out[y, a:b] = False
+    rows, starts, ends = _all_runs(out)
+    for y, a, b in zip(*(x[ends - starts >= int(w * least)].tolist() for x in (rows, starts, ends)), strict=True):  # few rows have long runs
+        column = out[y : y + thickest + 1, (a + b) // 2]
+        thick = len(column) if column.all() else int(column.argmin())
+        if thick <= thickest:
+            out[y, a:b] = False
     return out
 
 
-def ink_runs(pages: DataFrame, keys: Keys = PAGE) -> DataFrame:
+def ink_runs(pages: DataFrame, keys: Keys = PAGE, rules: bool = True) -> DataFrame:
     """doc_id, y, x0, x1, ink: runs of ink of every page (doc_id, width, height, gray: row-major bytes), ruled lines
-    left out. Pages under 80 pixels on a side, or without as many bytes as pixels, give no runs."""
+    left out (unless ``rules`` is false). Pages under 80 pixels on a side, or without as many bytes as pixels, give no runs."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            parts = []
             for *page, w, h, gray in zip(*(pdf[k] for k in keys), pdf["width"], pdf["height"], pdf["gray"], strict=True):
                 if min(w, h) < 80 or gray is None or len(gray) != w * h:
                     continue
-                mask = suppress_rules(ink_mask(np.frombuffer(gray, np.uint8).reshape(h, w)))
-                for y in range(h):
-                    rows += [(*page, y, a, b, b - a) for a, b in _runs(mask[y]).tolist()]
-            yield pd.DataFrame(rows, columns=[*keys, "y", "x0", "x1", "ink"]).astype("int64")
+                mask = ink_mask(np.frombuffer(gray, np.uint8).reshape(h, w))
+                y, x0, x1 = _all_runs(suppress_rules(mask) if rules else mask)
+                parts.append(pd.DataFrame(dict(zip(keys, page, strict=True)) | {"y": y, "x0": x0, "x1": x1, "ink": x1 - x0}))
+            none = pd.DataFrame(columns=[*keys, "y", "x0", "x1", "ink"])
+            yield (pd.concat(parts) if parts else none).astype("int64")
 
     return pages.select(*keys, "width", "height", "gray").mapInPandas(read, "".join(f"{k} long, " for k in keys) + "y long, x0 long, x1 long, ink long")
 

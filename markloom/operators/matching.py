@@ -1,7 +1,7 @@
 """Linking answers to questions, sheet by sheet (paper_id, student_ix), by ever weaker signals.
 
 Questions: paper_id, q_ord, label, normalized, text. Answers: paper_id, student_ix, a_ord, label, normalized,
-confidence, n_pages, text. Matches: paper_id, student_ix, q_ord, a_ord, confidence, method, reason. Later signals only
+confidence, pages (of its regions, in order), text. Matches: paper_id, student_ix, q_ord, a_ord, confidence, method, reason. Later signals only
 fill gaps: each works on what the ones before have left open. All joins and windows are keyed by paper or sheet; the
 order-dependent choices are folds over the arrays of one sheet, whose sizes are bounded by a sheet's pages."""
 
@@ -17,6 +17,21 @@ from markloom.sources.shared import settle
 SHEET = ["paper_id", "student_ix"]
 EXPLICIT, FUZZY, STRUCTURAL = 0.97, 0.72, 0.68
 ACCEPT, MARGIN, REVIEW, LEGIBLE, SUGGESTED_MOST = 0.34, 0.06, 0.75, 0.5, 0.78
+STEPS = ("explicit_label", "fuzzy_label", "structural_order", "semantic_match", "llm_reasoning")
+
+# The sentences that explain a match.
+SAID = {
+    "explicit_label": 'The student wrote "%s", which matches question %s.',
+    "fuzzy_label": 'The written label "%s" is one digit away from question %s; handwriting OCR often confuses these.',
+    "structural_order": "This unlabelled answer sits between answers to neighbouring questions, and question %s is the only one left in that range.",
+    "semantic_match": "Matched on content similarity (lexical, score %.2f)",
+    "close": "; another question scored almost as highly",
+    "llm_reasoning": "Matched by AI reasoning over the answer's content.",
+    "none": "No handwritten answer could be linked to this question.",
+    "hard": "The handwriting in this answer was difficult to read.",
+    "pages": "This answer continues across pages %s.",
+}
+
 MATCH_COLUMNS = [*SHEET, "q_ord", "a_ord", "confidence", "method", "reason"]
 
 
@@ -46,7 +61,7 @@ def explicit_matches(questions: DataFrame, answers: DataFrame) -> DataFrame:
             "a_ord",
             F.lit(EXPLICIT).alias("confidence"),
             F.lit("explicit_label").alias("method"),
-            F.format_string('The student wrote "%s", which matches question %s.', "label", "q_label").alias("reason"),
+            F.format_string(SAID["explicit_label"], "label", "q_label").alias("reason"),
         )
     )
 
@@ -92,10 +107,7 @@ def resolve_in_order(candidates: DataFrame) -> DataFrame:
 def fuzzy_matches(questions: DataFrame, answers: DataFrame, matches: DataFrame) -> DataFrame:
     """Labels one digit away from the only open question that they could mean."""
     found = settle(resolve_in_order(fuzzy_candidates(questions, answers, matches)))
-    reason = F.format_string(
-        'The written label "%s" is one digit away from question %s; handwriting OCR often confuses these.', "label", "q_label"
-    )
-    return _explained(found, questions, answers, FUZZY, "fuzzy_label", reason)
+    return _explained(found, questions, answers, FUZZY, "fuzzy_label", F.format_string(SAID["fuzzy_label"], "label", "q_label"))
 
 
 def _explained(found: DataFrame, questions: DataFrame, answers: DataFrame, confidence: float, method: str, reason: Column) -> DataFrame:
@@ -167,11 +179,7 @@ def open_answers(questions: DataFrame, answers: DataFrame, matches: DataFrame) -
 def structural_matches(questions: DataFrame, answers: DataFrame, matches: DataFrame) -> DataFrame:
     free = open_questions(questions, answers, matches)
     found = settle(resolve_structural(nearest_anchors(questions, answers, matches), free))
-    reason = F.format_string(
-        "This unlabelled answer sits between answers to neighbouring questions, and question %s is the only one left in that range.",
-        "q_label",
-    )
-    return _explained(found, questions, answers, STRUCTURAL, "structural_order", reason)
+    return _explained(found, questions, answers, STRUCTURAL, "structural_order", F.format_string(SAID["structural_order"], "q_label"))
 
 
 def deterministic_matches(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -194,22 +202,26 @@ def lexical_index(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def term_weights(docs: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """(keys, ids, token, weight): share of the text's kept tokens times idf."""
+    """(keys, ids, token, weight): share of the text's kept tokens times idf. A text is tokenised once; the number of
+    texts with a token is counted over the same rows."""
     tokens = docs.select(*keys, *ids, tokenize(F.col("text")).alias("_t"))
+    n_docs = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"))
     counted = tokens.select(*keys, *ids, F.size("_t").alias("_n"), F.explode("_t").alias("token")).groupBy(*keys, *ids, "_n", "token").count()
-    return counted.join(lexical_index(docs, keys), [*keys, "token"]).select(
-        *keys, *ids, "token", (F.col("count") / F.col("_n") * F.col("idf")).alias("weight")
-    )
+    met = F.count(F.lit(1)).over(Window.partitionBy(*keys, "token"))
+    idf = F.log((F.col("_docs") + 1) / (F.col("_df") + 1)) + 1
+    return counted.withColumn("_df", met).join(n_docs, keys).select(*keys, *ids, "token", (F.col("count") / F.col("_n") * idf).alias("weight"))
 
 
 def lexical_pairs(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, q, score): cosine of the term weights of answers (side a) and questions (side q) with common tokens."""
+    """(keys, a, q, score): cosine of the term weights of answers (side a) and questions (side q) with common tokens, to
+    nine places, so that the order of summation cannot decide a tie. The weights are settled, as both sides read them,
+    and a token goes through the join as its hash."""
     w = term_weights(docs, keys, ["side", "ix"])
-    norm = w.groupBy(*keys, "side", "ix").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = w.join(norm, [*keys, "side", "ix"]).withColumn("weight", F.col("weight") / F.col("norm"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys, "side", "ix")))
+    unit = settle(w.select(*keys, "side", "ix", F.xxhash64("token").alias("token"), (F.col("weight") / norm).alias("weight")))
     a = unit.where("side = 'a'").select(*keys, "token", F.col("ix").alias("a"), F.col("weight").alias("wa"))
     q = unit.where("side = 'q'").select(*keys, "token", F.col("ix").alias("q"), F.col("weight").alias("wq"))
-    return a.join(q, [*keys, "token"]).groupBy(*keys, "a", "q").agg(F.sum(F.col("wa") * F.col("wq")).alias("score"))
+    return a.join(q, [*keys, "token"]).groupBy(*keys, "a", "q").agg(F.round(F.sum(F.col("wa") * F.col("wq")), 9).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -224,10 +236,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def embedding_pairs(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, q, score): cosine of answer and question vectors within a key, not below 0."""
+    """(keys, a, q, score): cosine of answer and question vectors within a key, not below 0, to nine places. Each question
+    meets each answer of its own sheet, whose sizes a sheet's pages bound; a sheet's questions travel as one array."""
     a = vectors.where("side = 'a'").select(*keys, F.col("ix").alias("a"), F.col("embedding").alias("va"))
-    q = vectors.where("side = 'q'").select(*keys, F.col("ix").alias("q"), F.col("embedding").alias("vq"))
-    return a.join(q, keys).select(*keys, "a", "q", F.greatest(F.lit(0.0), cosine(F.col("va"), F.col("vq"))).alias("score"))
+    q = vectors.where("side = 'q'").groupBy(*keys).agg(F.collect_list(F.struct(F.col("ix").alias("q"), F.col("embedding").alias("vq"))).alias("qs"))
+    met = a.join(q, keys).select(*keys, "a", "va", F.inline("qs"))
+    return met.select(*keys, "a", "q", F.round(F.greatest(F.lit(0.0), cosine(F.col("va"), F.col("vq"))), 9).alias("score"))
+
+
+def similarity_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, q, score, signal): pairs by vector (``embedding``) where every text of the key has one, else by words,
+    with ``signal`` unusable_response for lexical pairs that stand in for missing vectors."""
+    whole = texts.groupBy(*keys).agg(F.bool_and(F.col("embedding").isNotNull()).alias("_whole"))
+    marked = settle(texts.join(whole, keys))
+    by_vector = embedding_pairs(marked.where("_whole"), keys).withColumn("signal", F.lit("embedding"))
+    return by_vector.unionByName(lexical_pairs(marked.where("NOT _whole"), keys).withColumn("signal", F.lit("unusable_response")))
 
 
 def best_and_runner_up(pairs: DataFrame, keys: list[str], accept: float = ACCEPT) -> DataFrame:
@@ -255,35 +278,58 @@ def semantic_matches(questions: DataFrame, answers: DataFrame, matches: DataFram
         side(open_questions(questions, answers, matches), "q_ord", "q")
     )
     won = greedy_best_first(best_and_runner_up(lexical_pairs(docs, SHEET), SHEET), SHEET)
-    close = F.when(F.col("margin") >= MARGIN, "").otherwise("; another question scored almost as highly")
+    close = F.when(F.col("margin") >= MARGIN, "").otherwise(SAID["close"])
     return won.select(
         *SHEET,
         F.col("q").alias("q_ord"),
         F.col("a").alias("a_ord"),
         semantic_confidence(F.col("score"), F.col("margin")).alias("confidence"),
         F.lit("semantic_match").alias("method"),
-        F.concat(F.format_string("Matched on content similarity (lexical, score %.2f)", "score"), close, F.lit(".")).alias("reason"),
+        F.concat(F.format_string(SAID["semantic_match"], "score"), close, F.lit(".")).alias("reason"),
     )
 
 
-def apply_suggestions(suggestions: DataFrame, questions: DataFrame, answers: DataFrame, matches: DataFrame) -> DataFrame:
-    """Suggested pairs (sheet, seq, q_ord, a_ord, confidence, reason) whose question and answer are both open; the first
-    row wins on either side."""
-    open_ = (
-        suggestions.join(open_questions(questions, answers, matches).select(*SHEET, "q_ord"), [*SHEET, "q_ord"], "left_semi")
-        .join(open_answers(questions, answers, matches).select(*SHEET, "a_ord"), [*SHEET, "a_ord"], "left_semi")
-    )
+def resolve_suggestions(suggestions: DataFrame, open_q: DataFrame, open_a: DataFrame) -> DataFrame:
+    """(sheet, state) with state (questions, answers, taken): suggested pairs (sheet, seq, q_ord, a_ord, confidence, reason) of
+    an open question and an open answer in turn; the first row wins on either side."""
+    open_ = suggestions.join(open_q.select(*SHEET, "q_ord"), [*SHEET, "q_ord"], "left_semi").join(open_a.select(*SHEET, "a_ord"), [*SHEET, "a_ord"], "left_semi")
     steps = open_.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("seq", "q_ord", "a_ord", "confidence", "reason"))).alias("steps"))
-    row = "array<struct<seq:bigint,q_ord:bigint,a_ord:bigint,confidence:double,reason:string>>"
+    none = F.array().cast("array<bigint>")
+    rows = F.array().cast("array<struct<seq:bigint,q_ord:bigint,a_ord:bigint,confidence:double,reason:string>>")
+    zero = F.struct(none.alias("questions"), none.alias("answers"), rows.alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
-        used = F.exists(acc, lambda m: (m["q_ord"] == x["q_ord"]) | (m["a_ord"] == x["a_ord"]))
-        return F.when(used, acc).otherwise(F.concat(acc, F.array(x)))
+        used = F.array_contains(acc["questions"], x["q_ord"]) | F.array_contains(acc["answers"], x["a_ord"])
+        took = F.struct(
+            F.array_append(acc["questions"], x["q_ord"]).alias("questions"), F.array_append(acc["answers"], x["a_ord"]).alias("answers"),
+            F.array_append(acc["taken"], x).alias("taken"),
+        )
+        return F.when(used, acc).otherwise(took)
 
-    return steps.select(*SHEET, F.inline(F.aggregate("steps", F.array().cast(row), step))).select(
+    return steps.select(*SHEET, F.aggregate("steps", zero, step).alias("state"))
+
+
+def apply_suggestions(suggestions: DataFrame, questions: DataFrame, answers: DataFrame, matches: DataFrame) -> DataFrame:
+    """Matches of the suggestions that ``resolve_suggestions`` takes."""
+    state = resolve_suggestions(suggestions, open_questions(questions, answers, matches), open_answers(questions, answers, matches))
+    return state.select(*SHEET, F.inline("state.taken")).select(
         *SHEET, "q_ord", "a_ord", F.least(F.lit(SUGGESTED_MOST), F.coalesce("confidence", F.lit(0.5))).alias("confidence"),
-        F.lit("llm_reasoning").alias("method"),
-        F.coalesce(F.nullif(F.trim("reason"), F.lit("")), F.lit("Matched by AI reasoning over the answer's content.")).alias("reason"),
+        F.lit("llm_reasoning").alias("method"), F.coalesce(F.nullif(F.trim("reason"), F.lit("")), F.lit(SAID["llm_reasoning"])).alias("reason"),
+    )
+
+
+def corroborate(matches: DataFrame) -> DataFrame:
+    """(sheet, q_ord, a_ord, confidence, methods, reasons): one row per question. The earliest step's answer stands; later
+    steps that name the same answer raise its confidence by 0.15 of the weaker, to 0.99 at most, and add method and reason;
+    those that name another are left out."""
+    rank = F.array_position(F.array(*(F.lit(s) for s in STEPS)), F.col("method"))
+    steps = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "a_ord", "confidence", "method", "reason")))
+    per_question = matches.groupBy(*SHEET, "q_ord").agg(steps.alias("_all"))
+    per_question = per_question.withColumn("a_ord", F.col("_all")[0]["a_ord"]).withColumn("_same", F.filter("_all", lambda x: x["a_ord"] == F.col("a_ord")))
+    raised = lambda c, x: F.when(c.isNull(), x["confidence"]).otherwise(F.least(F.lit(0.99), F.greatest(c, x["confidence"]) + F.least(c, x["confidence"]) * 0.15))
+    return per_question.select(
+        *SHEET, "q_ord", "a_ord", F.aggregate("_same", F.lit(None).cast("double"), raised).alias("confidence"),
+        F.array_distinct(F.transform("_same", lambda x: x["method"])).alias("methods"), F.transform("_same", lambda x: x["reason"]).alias("reasons"),
     )
 
 
@@ -297,29 +343,36 @@ def cap_by_legibility(confidence: Column, reading: Column) -> Column:
     return F.when(reading < LEGIBLE, F.least(confidence, F.lit(0.6))).otherwise(confidence)
 
 
+def append_reasons(methods: Column, reasons: Column, reading: Column, pages: Column) -> Column:
+    """Struct (methods, reasons) of a match with what its answer adds: ``continuation`` for several regions, and notes on hard
+    handwriting and on several pages, which are named in order."""
+    distinct = F.array_sort(F.array_distinct(pages))
+    notes = F.array_compact(
+        F.array(
+            F.when(reading < LEGIBLE, SAID["hard"]),
+            F.when(F.size(distinct) > 1, F.format_string(SAID["pages"], F.array_join(distinct.cast("array<string>"), " and "))),
+        )
+    )
+    more = F.when(F.size(pages) > 1, F.array(F.lit("continuation"))).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.array_union(methods, more).alias("methods"), F.concat(reasons, notes).alias("reasons"))
+
+
 def finalize_mappings(questions: DataFrame, answers: DataFrame, matches: DataFrame) -> DataFrame:
     """One row per question of every sheet: paper_id, student_ix, q_ord, a_ord, confidence, band, status, methods, reasons."""
     sheets = answers.select(*SHEET).distinct()
-    read = answers.select(*SHEET, "a_ord", F.col("confidence").alias("reading"), "n_pages")
+    read = answers.select(*SHEET, "a_ord", F.col("confidence").alias("reading"), "pages")
     rows = (
         sheets.join(questions.select("paper_id", "q_ord"), "paper_id")
-        .join(matches, [*SHEET, "q_ord"], "left").join(read, [*SHEET, "a_ord"], "left")
+        .join(corroborate(matches), [*SHEET, "q_ord"], "left").join(read, [*SHEET, "a_ord"], "left")
     )
     found = F.col("a_ord").isNotNull()
     c = F.coalesce(cap_by_legibility(F.col("confidence"), F.coalesce("reading", F.lit(1.0))), F.lit(0.0))
-    reasons = F.array_compact(
-        F.array(
-            F.coalesce("reason", F.lit("No handwritten answer could be linked to this question.")),
-            F.when(F.col("reading") < LEGIBLE, "The handwriting in this answer was difficult to read."),
-            F.when(F.col("n_pages") > 1, "This answer continues across pages 1 and 2."),
-        )
-    )
-    methods = F.array_compact(F.array("method", F.when(F.col("n_pages") > 1, "continuation")))
+    none = F.struct(F.array().cast("array<string>").alias("methods"), F.array(F.lit(SAID["none"])).alias("reasons"))
+    said = F.when(found, append_reasons(F.col("methods"), F.col("reasons"), F.col("reading"), F.col("pages"))).otherwise(none)
     status = F.when(~found, "unanswered").when(c < REVIEW, "needs_review").otherwise("matched")
     return rows.select(
-        *SHEET, "q_ord", "a_ord", F.round(c, 3).alias("confidence"), confidence_band(c).alias("band"), status.alias("status"),
-        methods.alias("methods"), reasons.alias("reasons"),
-    )
+        *SHEET, "q_ord", "a_ord", F.round(c, 3).alias("confidence"), confidence_band(c).alias("band"), status.alias("status"), said.alias("_s")
+    ).select(*SHEET, "q_ord", "a_ord", "confidence", "band", "status", "_s.methods", "_s.reasons")
 
 
 def map_answers(questions: DataFrame, answers: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:

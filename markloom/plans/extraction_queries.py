@@ -84,7 +84,13 @@ def low_confidence_answers(spark, sf_dir):
 
 
 def sheet_warnings(spark, sf_dir):
-    return X.sheet_warnings(derived(spark, sf_dir, "blocks_in"), X.assemble_answers(_islands(spark, sf_dir)))
+    """Sheets of documents: 30 lines a page, of which 12 pages are kept; a page without text is blank; unlabelled answers need
+    review."""
+    b = derived(spark, sf_dir, "blocks_in")
+    answers = X.assemble_answers(_islands(spark, sf_dir))
+    pages = b.groupBy("doc_id", "page_number").agg(F.bool_and(F.trim("text") == "").alias("blank"))
+    reviews = answers.where("normalized IS NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_review"))
+    return X.sheet_warnings(b, answers, pages, reviews, 12)
 
 
 def apportion_inline_split(spark, sf_dir):
@@ -165,10 +171,16 @@ SELECT doc_id, coalesce(count(*) >= 3 AND count(DISTINCT m) >= 3 AND min(m) = 1
     "answer_islands": f"{_B} SELECT doc_id, pos, island FROM ai",
     "assemble_answers": f"{_B} SELECT {_AI} FROM aa",
     "low_confidence_answers": f"{_B} SELECT doc_id, count(*) FILTER (confidence > 0 AND confidence < 0.45) AS n_low FROM aa GROUP BY 1",
-    "sheet_warnings": f"""{_B}, sk AS (SELECT doc_id, count(*) FILTER (struck_out) AS n FROM blocks_in GROUP BY 1), hd AS (SELECT doc_id, count(*) FILTER (confidence > 0 AND confidence < 0.45) AS h FROM aa GROUP BY 1)
-SELECT doc_id, list_filter([CASE WHEN n > 0 THEN n || ' crossed-out region(s) were ignored.' END, CASE WHEN h > 0 THEN h || ' answer(s) were hard to read; their transcription may be inaccurate.' END], lambda x: x IS NOT NULL) AS warnings
-FROM sk LEFT JOIN hd USING (doc_id)""",
-    "apportion_inline_split": f"""{with_inputs('lines_in')}, s AS (SELECT doc_id, line_no, string_split(text, ' ')[1:3] AS p FROM lines_in), u AS (SELECT doc_id, line_no, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM s)
+    "sheet_warnings": f"""{_B}, sk AS (SELECT doc_id, count(*) FILTER (struck_out) AS n FROM blocks_in GROUP BY 1),
+hd AS (SELECT doc_id, count(*) FILTER (confidence > 0 AND confidence < 0.45) AS h, count(*) FILTER (normalized IS NULL) AS r FROM aa GROUP BY 1),
+pg AS (SELECT doc_id, page_number, bool_and(trim(text) = '') AS blank FROM blocks_in GROUP BY 1, 2),
+pb AS (SELECT doc_id, count(*) AS pages, string_agg(page_number, ', ' ORDER BY page_number) FILTER (blank) AS blank FROM pg GROUP BY 1)
+SELECT doc_id, list_filter([CASE WHEN pages > 12 THEN 'Only the first 12 of ' || pages || ' pages were processed.' END,
+  CASE WHEN n > 0 THEN n || ' crossed-out region(s) were ignored.' END, CASE WHEN h > 0 THEN h || ' answer(s) were hard to read; their transcription may be inaccurate.' END,
+  CASE WHEN blank IS NOT NULL THEN 'No handwriting was detected on answer sheet page(s) ' || blank || '.' END,
+  CASE WHEN r > 0 THEN r || ' answer(s) need review before you rely on the match.' END], lambda x: x IS NOT NULL) AS warnings
+FROM sk LEFT JOIN hd USING (doc_id) LEFT JOIN pb USING (doc_id)""",
+    "apportion_inline_split": f"""{with_inputs('lines_in')}, s AS (SELECT doc_id, line_no, string_split(text, ' ') AS p FROM lines_in), u AS (SELECT doc_id, line_no, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM s)
 SELECT doc_id, line_no, i - 1 AS part_no, round((sum(length(t)) OVER w - length(t)) / sum(length(t)) OVER (PARTITION BY doc_id, line_no), 9) AS start,
   round(sum(length(t)) OVER w / sum(length(t)) OVER (PARTITION BY doc_id, line_no), 9) AS "end" FROM u WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i ROWS UNBOUNDED PRECEDING)""",
     "answer_pages": f"{_B} SELECT doc_id, island, pages, len(pages) > 1 AS multi_page FROM aa",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.operators import layout as Y
@@ -50,7 +52,10 @@ def block_islands(spark, sf_dir):
 
 
 def cap_blocks(spark, sf_dir):
-    return Y.cap_blocks(_blocks(spark, sf_dir), 5)
+    """Printed pages keep 26 blocks, handwritten ones 22."""
+    b = _blocks(spark, sf_dir)
+    b = b.join(_height(b), "doc_id").withColumn("touches_bottom", F.col("bottom") >= 0.85 * F.col("page_h")).drop("page_h")
+    return reduce(DataFrame.unionByName, (Y.cap_blocks(b, most).withColumn("kind", F.lit(kind)) for kind, most in (("printed", 26), ("handwritten", 22))))
 
 
 def _box(spark, sf_dir, f):
@@ -125,23 +130,26 @@ lp AS (SELECT doc_id, CASE WHEN median(bottom - top) = 0 THEN 12 ELSE median(bot
 bi AS (SELECT *, CAST(sum(CASE WHEN gap > greatest(0.8 * median_height, 1.9 * CASE WHEN low_gap > 0 THEN low_gap ELSE 0.5 * median_height END) THEN 1 ELSE 0 END)
   OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM gp JOIN lp USING (doc_id)),
 bl AS (SELECT doc_id, block, min(top) AS top, max(bottom) AS bottom, min("left") AS "left", max("right") AS "right", count(*) AS n_lines FROM bi GROUP BY 1, 2),
-cb AS (SELECT *, CAST(sum(CASE WHEN gp IS NOT NULL AND rk <= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY top, block ROWS UNBOUNDED PRECEDING) AS BIGINT) AS m FROM
+ph AS (SELECT doc_id, greatest(3000, max(bottom))::DOUBLE AS page_h FROM bl GROUP BY 1),
+cb AS (SELECT *, CAST(sum(CASE WHEN gp IS NOT NULL AND rk < most THEN 1 ELSE 0 END) OVER (PARTITION BY kind, doc_id ORDER BY top, block ROWS UNBOUNDED PRECEDING) AS BIGINT) AS m FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gp DESC NULLS LAST, block DESC) AS rk FROM
-    (SELECT *, top - lag(bottom) OVER (PARTITION BY doc_id ORDER BY top, block) AS gp FROM bl) AS a) AS b),
-bx AS (SELECT doc_id, block, "left"::DOUBLE AS l, top::DOUBLE AS t, ("right" - "left")::DOUBLE AS w, (bottom - top)::DOUBLE AS h FROM bl)"""
+    (SELECT *, top - lag(bottom) OVER (PARTITION BY doc_id ORDER BY top, block) AS gp FROM bl JOIN ph USING (doc_id)) AS a) AS b
+  CROSS JOIN (SELECT 'printed' AS kind, 26 AS most UNION ALL SELECT 'handwritten', 22) AS k),
+bx AS (SELECT doc_id, block, "left"::DOUBLE AS l, top::DOUBLE AS t, ("right" - "left")::DOUBLE AS w, (bottom - top)::DOUBLE AS h, page_h FROM bl JOIN ph USING (doc_id))"""
 ORACLES = {
     "row_ink_profile": f"{_Y} SELECT * FROM pf",
     "line_islands": f"{_Y} SELECT * FROM ln",
     "line_pitch_stats": f"{_Y} SELECT * FROM lp",
     "block_islands": f"{_Y} SELECT doc_id, line, block FROM bi",
-    "cap_blocks": f"""{_Y} SELECT doc_id, m AS block, min(top) AS top, max(bottom) AS bottom, min("left") AS "left", max("right") AS "right", CAST(sum(n_lines) AS BIGINT) AS n_lines FROM cb GROUP BY 1, 2""",
-    "normalize_box": f"""{_Y}, n AS (SELECT *, greatest(0, least(1, l / 200)) AS x, greatest(0, least(1, t / 3000)) AS y FROM bx)
-SELECT doc_id, block, round(x, 9) AS x, round(y, 9) AS y, round(least(greatest(0, least(1, w / 200)), 1 - x), 9) AS width, round(least(greatest(0, least(1, h / 3000)), 1 - y), 9) AS height FROM n""",
+    "cap_blocks": f"""{_Y} SELECT doc_id, m AS block, min(top) AS top, max(bottom) AS bottom, min("left") AS "left", max("right") AS "right", CAST(sum(n_lines) AS BIGINT) AS n_lines,
+  bool_or(bottom >= 0.85 * page_h) AS touches_bottom, kind FROM cb GROUP BY kind, doc_id, m""",
+    "normalize_box": f"""{_Y}, n AS (SELECT *, greatest(0, least(1, l / 200)) AS x, greatest(0, least(1, t / page_h)) AS y FROM bx)
+SELECT doc_id, block, round(x, 9) AS x, round(y, 9) AS y, round(least(greatest(0, least(1, w / 200)), 1 - x), 9) AS width, round(least(greatest(0, least(1, h / page_h)), 1 - y), 9) AS height FROM n""",
     "pad_clip_box": f"""{_Y}, n AS (SELECT *, greatest(0, l - 2) AS x, greatest(0, t - 2) AS y FROM bx)
-SELECT doc_id, block, x, y, least(200 - x, w + 4) AS width, least(3000 - y, h + 4) AS height FROM n""",
-    "page_bands": f"{_Y} SELECT doc_id, block, bottom >= 2550 AS touches_bottom, top <= 450 AS touches_top FROM bl",
-    "meaningful_blocks": f"{_Y} SELECT doc_id, block FROM bx WHERE w * h / 600000 >= 0.0006 AND h >= 10",
-    "drop_blank_pages": f"""{_Y} SELECT doc_id FROM ink_in GROUP BY 1 HAVING sum(ink) / 600000.0 >= 0.0012 AND doc_id IN (SELECT doc_id FROM bx WHERE w * h / 600000 >= 0.0006 AND h >= 10)""",
+SELECT doc_id, block, x, y, least(200 - x, w + 4) AS width, least(page_h - y, h + 4) AS height FROM n""",
+    "page_bands": f"{_Y} SELECT doc_id, block, bottom >= 0.85::DOUBLE * page_h AS touches_bottom, top <= 0.15::DOUBLE * page_h AS touches_top FROM bl JOIN ph USING (doc_id)",
+    "meaningful_blocks": f"{_Y} SELECT doc_id, block FROM bx WHERE w * h / (200 * page_h) >= 0.0006 AND h >= 10",
+    "drop_blank_pages": f"""{_Y} SELECT doc_id FROM ink_in GROUP BY 1 HAVING sum(ink) / (200.0 * greatest(3000, max(y) + 1)) >= 0.0012 AND doc_id IN (SELECT doc_id FROM bx WHERE w * h / (200 * page_h) >= 0.0006 AND h >= 10)""",
     "union_boxes": f"""{_Y} SELECT doc_id, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom FROM bl GROUP BY 1""",
     "distribute_text_to_lines": f"""{with_inputs('lines_in')}, d AS (SELECT doc_id, line_no, string_split(text, ' ') AS p, line_no % 5 + 1 AS n FROM lines_in),
 e AS (SELECT *, unnest(range(n)) AS i FROM d), f AS (SELECT *, CAST(floor(i * len(p) / n) AS BIGINT) AS a, CAST(floor((i + 1) * len(p) / n) AS BIGINT) AS b FROM e)

@@ -16,7 +16,9 @@ def _q(spark, sf_dir):
 
 
 def _a(spark, sf_dir):
-    return settle(M.with_labels(derived(spark, sf_dir, "answers_in")).withColumnRenamed("ord", "a_ord"))
+    a = M.with_labels(derived(spark, sf_dir, "answers_in")).withColumnRenamed("ord", "a_ord")
+    pages = F.transform(F.sequence(F.lit(0), F.col("n_regions") - 1), lambda i: F.col("first_page") + i * F.col("page_step"))
+    return settle(a.withColumn("pages", pages).drop("first_page", "n_regions", "page_step"))
 
 
 def _qa(spark, sf_dir):
@@ -93,17 +95,13 @@ def term_weights(spark, sf_dir):
     return w.select("sheet", "side", "ix", "token", F.round("weight", 9).alias("weight"))
 
 
-def _rounded(df):
-    """Scores rounded, so that the order of summation cannot decide a tie."""
-    return df.withColumn("score", F.round("score", 9))
-
-
 def lexical_similarity_pairs(spark, sf_dir):
-    return _rounded(M.lexical_pairs(_docs(spark, sf_dir), ["sheet"]))
+    return M.lexical_pairs(_docs(spark, sf_dir), ["sheet"])
 
 
 def embedding_similarity_pairs(spark, sf_dir):
-    return _rounded(M.embedding_pairs(derived(spark, sf_dir, "vectors_in"), ["sheet"]))
+    """By vector; sheets of which a text lacks its vector by words."""
+    return M.similarity_pairs(derived(spark, sf_dir, "vector_texts_in"), ["sheet"])
 
 
 def cosine(spark, sf_dir):
@@ -134,15 +132,12 @@ def semantic_confidence(spark, sf_dir):
 
 
 def corroborated_confidence(spark, sf_dir):
-    """A pair reached by words and by structure: matches merged per pair, the weaker adding to the stronger."""
-    q, a = _qa(spark, sf_dir)
-    e = M.explicit_matches(q, a)
-    both = e.unionByName(e.where("q_ord % 2 = 0").withColumn("confidence", F.lit(0.68)).withColumn("method", F.lit("structural_order")))
-    merged = both.groupBy(*M.SHEET, "q_ord", "a_ord").agg(
-        F.max("confidence").alias("top"), F.min("confidence").alias("low"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("method")).alias("methods")
-    )
-    c = F.when(F.col("n") > 1, F.least(F.lit(0.99), F.col("top") + 0.15 * F.col("low"))).otherwise(F.col("top"))
-    return merged.select(*M.SHEET, "q_ord", "a_ord", F.round(c, 6).alias("confidence"), "methods")
+    """Explicit matches of which every second is reached by structure too, and every third by a step that names another answer."""
+    e = M.explicit_matches(*_qa(spark, sf_dir))
+    again = e.where("q_ord % 2 = 0").withColumn("confidence", F.lit(0.68)).withColumn("method", F.lit("structural_order"))
+    other = e.where("q_ord % 3 = 0").withColumn("a_ord", F.col("a_ord") + 1).withColumn("method", F.lit("semantic_match"))
+    merged = M.corroborate(e.unionByName(again).unionByName(other))
+    return merged.select(*M.SHEET, "q_ord", "a_ord", F.round("confidence", 6).alias("confidence"), "methods")
 
 
 def cap_by_legibility(spark, sf_dir):
@@ -176,7 +171,11 @@ def apply_suggested_matches(spark, sf_dir):
 
 
 def resolve_suggestions(spark, sf_dir):
-    return apply_suggested_matches(spark, sf_dir).select(*M.SHEET, "q_ord", "a_ord")
+    """The fold's state after the last suggestion: which questions and answers of a sheet are used, in the order taken."""
+    q, a = _qa(spark, sf_dir)
+    m = M.deterministic_matches(q, a)
+    state = M.resolve_suggestions(_suggested(q, a), M.open_questions(q, a, m), M.open_answers(q, a, m))
+    return state.select(*M.SHEET, "state.questions", "state.answers")
 
 
 def finalize_mappings(spark, sf_dir):
@@ -189,7 +188,11 @@ def match_reason_text(spark, sf_dir):
 
 
 def append_reasons(spark, sf_dir):
-    return finalize_mappings(spark, sf_dir).select(*M.SHEET, "q_ord", "methods", "reasons")
+    """What each answer adds to an explicit match."""
+    q, a = _qa(spark, sf_dir)
+    e = M.explicit_matches(q, a).join(a.select(*M.SHEET, "a_ord", F.col("confidence").alias("reading"), "pages"), [*M.SHEET, "a_ord"])
+    said = M.append_reasons(F.array("method"), F.array("reason"), F.col("reading"), F.col("pages"))
+    return e.select(*M.SHEET, "q_ord", said.alias("s")).select(*M.SHEET, "q_ord", "s.methods", "s.reasons")
 
 
 def unmatched_answers(spark, sf_dir):
@@ -229,8 +232,8 @@ QUERIES = {
 }
 
 _BASE = f"""{with_inputs('questions_in', 'answers_in')},
-{sql_labels('questions_in', 'raw_label', 'paper_id, ord AS q_ord, raw_label AS label, text', 'q').replace('SELECT paper_id, ord AS q_ord, raw_label AS label, text, CASE', 'SELECT CASE')},
-{sql_labels('answers_in', 'raw_label', 'paper_id, student_ix, ord AS a_ord, raw_label AS label, confidence, n_pages, text', 'a')},
+{sql_labels('questions_in', 'raw_label', 'paper_id, ord AS q_ord, raw_label AS label, marks, section, text', 'q').replace('SELECT paper_id, ord AS q_ord, raw_label AS label, marks, section, text, CASE', 'SELECT CASE')},
+{sql_labels('answers_in', 'raw_label', 'paper_id, student_ix, ord AS a_ord, raw_label AS label, confidence, list_transform(range(0, n_regions), lambda i: first_page + i * page_step) AS pages, text', 'a')},
 sheets AS (SELECT DISTINCT paper_id, student_ix FROM a),
 ex AS (SELECT a.paper_id, a.student_ix, q.q_ord, a.a_ord, 0.97::DOUBLE AS confidence, 'explicit_label' AS method,
     'The student wrote "' || a.label || '", which matches question ' || q.label || '.' AS reason
@@ -274,39 +277,71 @@ st0 AS (SELECT paper_id, student_ix, a_ord, q_ord FROM sf WHERE q_ord IS NOT NUL
 st AS (SELECT f.paper_id, f.student_ix, f.q_ord, f.a_ord, 0.68::DOUBLE AS confidence, 'structural_order' AS method,
     'This unlabelled answer sits between answers to neighbouring questions, and question ' || q.label || ' is the only one left in that range.' AS reason
   FROM st0 f JOIN q ON q.paper_id = f.paper_id AND q.q_ord = f.q_ord),
-m3 AS (SELECT * FROM m2 UNION ALL SELECT * FROM st),
-oq AS (SELECT s.paper_id, s.student_ix, q.q_ord, q.text FROM sheets s JOIN q USING (paper_id)
-  WHERE NOT EXISTS (SELECT 1 FROM m3 WHERE m3.paper_id = s.paper_id AND m3.student_ix = s.student_ix AND m3.q_ord = q.q_ord)),
-oa AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM m3 WHERE m3.paper_id = a.paper_id AND m3.student_ix = a.student_ix AND m3.a_ord = a.a_ord)
-  AND NOT EXISTS (SELECT 1 FROM stray0 s WHERE s.paper_id = a.paper_id AND s.student_ix = a.student_ix AND s.a_ord = a.a_ord)),
-fin AS (SELECT s.paper_id, s.student_ix, q.q_ord, m.a_ord, m.method, m.reason, a.confidence AS reading, a.n_pages,
+m3 AS (SELECT * FROM m2 UNION ALL SELECT * FROM st)"""
+
+
+def _open(m: str, oq: str, oa: str) -> str:
+    """What the matches ``m`` leave open."""
+    return f"""{oq} AS (SELECT s.paper_id, s.student_ix, q.q_ord, q.label, q.text FROM sheets s JOIN q USING (paper_id)
+  WHERE NOT EXISTS (SELECT 1 FROM {m} AS m WHERE m.paper_id = s.paper_id AND m.student_ix = s.student_ix AND m.q_ord = q.q_ord)),
+{oa} AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM {m} AS m WHERE m.paper_id = a.paper_id AND m.student_ix = a.student_ix AND m.a_ord = a.a_ord)
+  AND NOT EXISTS (SELECT 1 FROM stray0 s WHERE s.paper_id = a.paper_id AND s.student_ix = a.student_ix AND s.a_ord = a.a_ord))"""
+
+
+_NOTES = """[CASE WHEN reading < 0.5 THEN 'The handwriting in this answer was difficult to read.' END,
+      CASE WHEN len(list_distinct(pages)) > 1 THEN 'This answer continues across pages ' || array_to_string(list_sort(list_distinct(pages)), ' and ') || '.' END]"""
+
+
+def _final(m: str, out: str) -> str:
+    """One row per question of every sheet from the matches ``m``, one to a question."""
+    return f"""{out}0 AS (SELECT s.paper_id, s.student_ix, q.q_ord, m.a_ord, m.method, m.reason, a.confidence AS reading, a.pages,
     coalesce(CASE WHEN a.confidence < 0.5 THEN least(m.confidence, 0.6) ELSE m.confidence END, 0) AS c
-  FROM sheets s JOIN q USING (paper_id) LEFT JOIN m3 m ON m.paper_id = s.paper_id AND m.student_ix = s.student_ix AND m.q_ord = q.q_ord
+  FROM sheets s JOIN q USING (paper_id) LEFT JOIN {m} m ON m.paper_id = s.paper_id AND m.student_ix = s.student_ix AND m.q_ord = q.q_ord
     LEFT JOIN a ON a.paper_id = s.paper_id AND a.student_ix = s.student_ix AND a.a_ord = m.a_ord),
-final AS (SELECT paper_id, student_ix, q_ord, a_ord, round(c, 3) AS confidence,
+{out} AS (SELECT paper_id, student_ix, q_ord, a_ord, round(c, 3) AS confidence,
     CASE WHEN c <= 0 THEN 'none' WHEN c >= 0.85 THEN 'high' WHEN c >= 0.6 THEN 'medium' ELSE 'low' END AS band,
     CASE WHEN a_ord IS NULL THEN 'unanswered' WHEN c < 0.75 THEN 'needs_review' ELSE 'matched' END AS status,
-    list_filter([method, CASE WHEN n_pages > 1 THEN 'continuation' END], lambda x: x IS NOT NULL) AS methods,
-    list_filter([coalesce(reason, 'No handwritten answer could be linked to this question.'),
-      CASE WHEN reading < 0.5 THEN 'The handwriting in this answer was difficult to read.' END,
-      CASE WHEN n_pages > 1 THEN 'This answer continues across pages 1 and 2.' END], lambda x: x IS NOT NULL) AS reasons FROM fin)"""
-_BASE = _BASE.replace("%(m)s", "m2")
+    list_filter([method, CASE WHEN len(pages) > 1 THEN 'continuation' END], lambda x: x IS NOT NULL) AS methods,
+    list_filter(list_concat([coalesce(reason, 'No handwritten answer could be linked to this question.')], {_NOTES}), lambda x: x IS NOT NULL) AS reasons FROM {out}0)"""
+
+
+_BASE = _BASE.replace("%(m)s", "m2") + ",\n" + _open("m3", "oq", "oa") + ",\n" + _final("m3", "final")
 _ROWS = "paper_id, student_ix, q_ord, a_ord, confidence, method, reason"
 
 _STOP = "[" + ", ".join(lit(w) for w in STOPWORDS) + "]"
-_TOK = f"""{with_inputs('token_docs_in')}, tk AS (SELECT sheet, side, ix, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'),
-  lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS t FROM %s),
-ex0 AS (SELECT sheet, side, ix, len(t) AS n, unnest(t) AS token FROM tk),
-idx AS (SELECT sheet, token, count(DISTINCT (side, ix)) AS df, ln((nd + 1.0) / (count(DISTINCT (side, ix)) + 1)) + 1 AS idf
-  FROM ex0 JOIN (SELECT sheet, count(*) AS nd FROM tk GROUP BY 1) USING (sheet) GROUP BY sheet, token, nd),
-tw AS (SELECT sheet, side, ix, token, count(*) / n * idf AS weight FROM ex0 JOIN idx USING (sheet, token) GROUP BY sheet, side, ix, token, n, idf),
-un AS (SELECT sheet, side, ix, token, weight / sqrt(sum(weight * weight) OVER (PARTITION BY sheet, side, ix)) AS w FROM tw),
-pr AS (SELECT x.sheet, x.ix AS a, y.ix AS q, round(sum(x.w * y.w), 9) AS score FROM un x JOIN un y ON x.sheet = y.sheet AND x.token = y.token
-  AND x.side = 'a' AND y.side = 'q' GROUP BY 1, 2, 3),
-bs AS (SELECT sheet, a, q, score, score - coalesce(lead(score) OVER w, 0) AS margin, row_number() OVER w AS rn FROM pr
-  WINDOW w AS (PARTITION BY sheet, a ORDER BY score DESC, q)),
-be AS (SELECT sheet, a, q, score, round(margin, 9) AS margin FROM bs WHERE rn = 1 AND score >= 0.05)"""
-_ALL, _ONLY_Q = _TOK.replace("%s", "token_docs_in"), _TOK.replace("%s", "(SELECT * FROM token_docs_in WHERE side = 'q')")
+
+
+def _tok(source: str, keys: str, accept: float) -> str:
+    """Pairs (pr) of the texts of ``source`` (keys, side, ix, text), and the best question of each answer (be)."""
+    on = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
+    kx = ", ".join(f"x.{k}" for k in keys.split(", "))
+    return f"""tk AS (SELECT {keys}, side, ix, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'),
+  lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS t FROM {source}),
+ex0 AS (SELECT {keys}, side, ix, len(t) AS n, unnest(t) AS token FROM tk),
+idx AS (SELECT {keys}, token, count(DISTINCT (side, ix)) AS df, ln((nd + 1.0) / (count(DISTINCT (side, ix)) + 1)) + 1 AS idf
+  FROM ex0 JOIN (SELECT {keys}, count(*) AS nd FROM tk GROUP BY ALL) USING ({keys}) GROUP BY {keys}, token, nd),
+tw AS (SELECT {keys}, side, ix, token, count(*) / n * idf AS weight FROM ex0 JOIN idx USING ({keys}, token) GROUP BY {keys}, side, ix, token, n, idf),
+un AS (SELECT {keys}, side, ix, token, weight / sqrt(sum(weight * weight) OVER (PARTITION BY {keys}, side, ix)) AS w FROM tw),
+pr AS (SELECT {kx}, x.ix AS a, y.ix AS q, round(sum(x.w * y.w), 9) AS score FROM un x JOIN un y ON {on} AND x.token = y.token
+  AND x.side = 'a' AND y.side = 'q' GROUP BY ALL),
+bs AS (SELECT {keys}, a, q, score, score - coalesce(lead(score) OVER w, 0) AS margin, row_number() OVER w AS rn FROM pr
+  WINDOW w AS (PARTITION BY {keys}, a ORDER BY score DESC, q)),
+be AS (SELECT {keys}, a, q, score, round(margin, 9) AS margin FROM bs WHERE rn = 1 AND score >= {accept})"""
+
+
+_ALL = f"{with_inputs('token_docs_in')}, {_tok('token_docs_in', 'sheet', 0.05)}"
+_SHEETS = "paper_id, student_ix"
+_MAPPED = f"""{_BASE}, sd AS (SELECT {_SHEETS}, 'a' AS side, a_ord AS ix, text FROM oa UNION ALL SELECT {_SHEETS}, 'q', q_ord, text FROM oq),
+{_tok('sd', _SHEETS, 0.34)},
+sm AS (SELECT {_SHEETS}, q AS q_ord, a AS a_ord, CASE WHEN margin >= 0.06 THEN 1 ELSE 0.85 END * least(0.7, 0.42 + score * 0.4) AS confidence, 'semantic_match' AS method,
+    'Matched on content similarity (lexical, score ' || CAST(CAST(CAST(score AS DECIMAL(20, 9)) AS DECIMAL(20, 2)) AS VARCHAR) || ')' ||
+    CASE WHEN margin >= 0.06 THEN '' ELSE '; another question scored almost as highly' END || '.' AS reason
+  FROM be QUALIFY row_number() OVER (PARTITION BY {_SHEETS}, q ORDER BY score DESC, a) = 1),
+m4 AS (SELECT * FROM m3 UNION ALL SELECT * FROM sm),
+{_open('m4', 'oq4', 'oa4')}, {_final('m4', 'final4')},
+sg4 AS (SELECT oa4.paper_id, oa4.student_ix, oq4.q_ord, oa4.a_ord, 0.78::DOUBLE AS confidence, 'llm_reasoning' AS method, 'Matched by AI reasoning over the answer''s content.' AS reason
+  FROM oa4 JOIN oq4 ON oq4.paper_id = oa4.paper_id AND oq4.student_ix = oa4.student_ix AND oq4.q_ord = oa4.a_ord + 1 WHERE oa4.a_ord % 2 = 0),
+m5 AS (SELECT * FROM m4 UNION ALL SELECT * FROM sg4), {_final('m5', 'final5')}"""
 _COS = """SELECT vec_id, round(CASE WHEN n1 * n2 = 0 THEN 0 ELSE d / (n1 * n2) END, 9) AS cosine FROM (
   SELECT x.vec_id, list_sum(list_transform(range(1, 49), lambda i: x.embedding[i]::DOUBLE * y.embedding[i]::DOUBLE)) AS d,
     sqrt(list_sum(list_transform(x.embedding[1:48], lambda v: v::DOUBLE * v::DOUBLE))) AS n1,
@@ -328,11 +363,12 @@ WHERE NOT EXISTS (SELECT 1 FROM fz0 f WHERE f.paper_id = s.paper_id AND f.studen
     "open_questions": f"{_BASE} SELECT paper_id, student_ix, q_ord FROM oq",
     "open_answers": f"{_BASE} SELECT paper_id, student_ix, a_ord FROM oa",
     "lexical_index": f"{_ALL} SELECT sheet, token, df, round(idf, 9) AS idf FROM idx",
-    "term_weights": f"{_ONLY_Q} SELECT sheet, ix, token, round(weight, 9) AS weight FROM tw",
+    "term_weights": f"{_ALL} SELECT sheet, side, ix, token, round(weight, 9) AS weight FROM tw",
     "lexical_similarity_pairs": f"{_ALL} SELECT * FROM pr",
-    "embedding_similarity_pairs": f"""{with_inputs('vectors_in')} SELECT x.sheet, x.ix AS a, y.ix AS q,
-  round(greatest(0, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])), 9) AS score
-FROM vectors_in x JOIN vectors_in y ON x.sheet = y.sheet AND x.side = 'a' AND y.side = 'q'""",
+    "embedding_similarity_pairs": f"""{with_inputs('vector_texts_in')}, wh AS (SELECT sheet, bool_and(embedding IS NOT NULL) AS whole FROM vector_texts_in GROUP BY 1),
+vt AS (SELECT * FROM vector_texts_in JOIN wh USING (sheet) WHERE NOT whole), vv AS (SELECT * FROM vector_texts_in JOIN wh USING (sheet) WHERE whole), {_tok('vt', 'sheet', 0.05)}
+SELECT x.sheet, x.ix AS a, y.ix AS q, round(greatest(0, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])), 9) AS score, 'embedding' AS signal
+FROM vv x JOIN vv y ON x.sheet = y.sheet AND x.side = 'a' AND y.side = 'q' UNION ALL SELECT sheet, a, q, score, 'unusable_response' FROM pr""",
     "cosine": _COS,
     "rescaled_cosine": f"SELECT vec_id, greatest(0, cosine) AS score FROM ({_COS})",
     "best_and_runner_up": f"{_ALL} SELECT * FROM be",
@@ -351,11 +387,14 @@ FROM ex JOIN a USING (paper_id, student_ix, a_ord)""",
     "apply_suggested_matches": f"""{_BASE}, sg AS (SELECT paper_id, student_ix, a_ord + 1 AS q_ord, a_ord, 0.78::DOUBLE AS confidence, 'llm_reasoning' AS method,
   'Matched by AI reasoning over the answer''s content.' AS reason FROM oa WHERE a_ord % 2 = 0)
 SELECT {_ROWS} FROM sg WHERE EXISTS (SELECT 1 FROM oq WHERE oq.paper_id = sg.paper_id AND oq.student_ix = sg.student_ix AND oq.q_ord = sg.q_ord)""",
-    "resolve_suggestions": f"""{_BASE} SELECT oa.paper_id, oa.student_ix, oq.q_ord, oa.a_ord FROM oa JOIN oq
-  ON oq.paper_id = oa.paper_id AND oq.student_ix = oa.student_ix AND oq.q_ord = oa.a_ord + 1 WHERE oa.a_ord % 2 = 0""",
+    "resolve_suggestions": f"""{_BASE} SELECT oa.paper_id, oa.student_ix, list(oq.q_ord ORDER BY oa.a_ord) AS questions, list(oa.a_ord ORDER BY oa.a_ord) AS answers FROM oa JOIN oq
+  ON oq.paper_id = oa.paper_id AND oq.student_ix = oa.student_ix AND oq.q_ord = oa.a_ord + 1 WHERE oa.a_ord % 2 = 0 GROUP BY 1, 2""",
     "finalize_mappings": f"{_BASE} SELECT * FROM final",
     "match_reason_text": f"{_BASE} SELECT paper_id, student_ix, q_ord, reason FROM m3",
-    "append_reasons": f"{_BASE} SELECT paper_id, student_ix, q_ord, methods, reasons FROM final",
+    "append_reasons": f"""{_BASE}, x AS (SELECT ex.*, a.confidence AS reading, a.pages FROM ex JOIN a USING (paper_id, student_ix, a_ord))
+SELECT paper_id, student_ix, q_ord, list_filter([method, CASE WHEN len(pages) > 1 THEN 'continuation' END], lambda x: x IS NOT NULL) AS methods,
+  list_filter(list_concat([reason], {_NOTES}), lambda x: x IS NOT NULL) AS reasons FROM x""",
+    "map_answers": f"{_MAPPED} SELECT * FROM final5",
     "unmatched_answers": f"""{_BASE} SELECT paper_id, student_ix, a_ord FROM a
 WHERE NOT EXISTS (SELECT 1 FROM m3 WHERE m3.paper_id = a.paper_id AND m3.student_ix = a.student_ix AND m3.a_ord = a.a_ord)""",
     "unanswered_targets": f"""{_BASE} SELECT paper_id, student_ix, q_ord FROM final WHERE status = 'unanswered'

@@ -91,14 +91,17 @@ def scan_progress_frames(spark, sf_dir):
 PAGE, PAGE_LINES = ("doc_id", "page"), 200
 
 
-def _pages(spark, sf_dir):
-    """Page images drawn from the ink rows, a page for every 200 lines: white paper, dark strokes of alternating pixels."""
+def _pages(spark, sf_dir, rule=False):
+    """Page images drawn from the ink rows, a page for every 200 lines: white paper, dark strokes of alternating pixels; with
+    ``rule`` a ruled line as well."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         height = max(120, int(pdf["y"].max()) + 20)
         gray = np.full((height, 200), 245, np.uint8)
         for y, a, b in zip(pdf["y"], pdf["x0"], pdf["x1"], strict=True):
             gray[y, a : b + 1 : 2] = 20
+        if rule:
+            gray[height - 6 : height - 3, 5:195] = 20
         return pd.DataFrame({k: [pdf[k].iloc[0]] for k in PAGE} | {"width": [200], "height": [height], "gray": [gray.tobytes()]})
 
     page = F.floor(F.col("line_no") / PAGE_LINES)
@@ -111,6 +114,12 @@ def ink_mask(spark, sf_dir):
     return Y.ink_runs(_pages(spark, sf_dir), PAGE)
 
 
+def suppress_rules(spark, sf_dir):
+    """The runs of ink that are ruled lines: what the mask has and the mask without rules has not."""
+    ruled = _pages(spark, sf_dir, rule=True)
+    return Y.ink_runs(ruled, PAGE, rules=False).join(Y.ink_runs(ruled, PAGE), [*PAGE, "y", "x0", "x1"], "left_anti")
+
+
 def segment_pages(spark, sf_dir):
     return Y.segment_pages(_pages(spark, sf_dir), 200, keys=PAGE)
 
@@ -119,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         suggested_match_rows, model_answer_rows, structure_rows, merge_structure_rows, json_scan, scan_assessment_json,
-        scan_progress_frames, ink_mask, segment_pages,
+        scan_progress_frames, ink_mask, suppress_rules, segment_pages,
     )
 }
 
@@ -130,7 +139,7 @@ ORACLES = {
     "model_answer_rows": f"{_Q} SELECT paper_id, ord AS q_ord, 'because' AS answer, ['a', CAST(marks AS VARCHAR), 'c', 'd', 'e'] AS key_points FROM questions_in WHERE marks > 2 AND ord % 3 <> 1",
     "structure_rows": f"{_Q} SELECT paper_id, CAST(ord + 1 AS VARCHAR) AS normalized, ord AS start_line, marks AS reply_marks, 'Section A' AS reply_section FROM questions_in",
     "merge_structure_rows": f"""{_Q} SELECT paper_id, CAST(ord + 1 AS VARCHAR) AS normalized, CASE WHEN ord % 3 <> 2 AND ord % 2 = 1 THEN 7 ELSE marks END AS marks,
-  CASE WHEN ord % 3 = 1 THEN 'Section Z' ELSE 'Section A' END AS section, substring(text, 1, 40) AS text FROM questions_in WHERE ord % 3 <> 2 OR length(text) >= 3""",
+  CASE WHEN ord % 3 = 1 THEN 'Section Z' ELSE 'Section A' END AS section, text FROM questions_in WHERE ord % 3 <> 2 OR length(text) >= 3""",
     "json_scan": "SELECT event_id, props AS payload FROM events",
     "scan_assessment_json": f"{with_inputs('grades_in')} SELECT paper_id, student_ix, question_no, marks, evaluation FROM grades_in",
     "scan_progress_frames": f"{with_inputs('stage_events_in')} SELECT job_id, stage, state, event_id FROM stage_events_in",

@@ -14,14 +14,15 @@ SELECT conv_id AS paper_id, CAST(n - 1 AS BIGINT) AS ord,
   CASE (conv_id + n - 1) % 5 WHEN 0 THEN concat(CAST(n AS STRING), '.') WHEN 1 THEN concat('Q', CAST(n AS STRING))
     WHEN 2 THEN concat('Q ', CAST(n AS STRING), ' (a)') WHEN 3 THEN concat(CAST(n AS STRING), '(b')
     ELSE concat('Section B - ', CAST(n AS STRING)) END AS raw_label,
-  CAST(1 + (conv_id + turn) % 5 AS BIGINT) AS marks, text
+  CASE WHEN (conv_id + n) % 6 <> 5 THEN CAST(1 + (conv_id + turn) % 5 AS BIGINT) END AS marks, CASE WHEN (conv_id + n - 1) % 5 = 4 THEN 'Section B' END AS section, text
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') AS q"""),
     "answers_in": (("conversations",), """
 SELECT paper_id, student_ix, ord, CASE WHEN k = 0 THEN NULL WHEN k = 1 AND student_ix <> 1 THEN concat('q', CAST(n + 10 AS STRING))
     WHEN (paper_id + ord) % 5 = 2 THEN concat(m, '(a)') WHEN (paper_id + ord) % 5 = 3 THEN concat('Ans. ', m, '(b)')
     ELSE concat('q', m) END AS raw_label,
   CAST((30 + (7 * paper_id + 13 * turn + student_ix) % 70) / 100.0 AS DOUBLE) AS confidence,
-  CASE WHEN (paper_id + ord) % 4 = 0 THEN 2 ELSE 1 END AS n_pages, text
+  CAST(1 + (paper_id + ord) % 6 AS INT) AS first_page, CASE WHEN (paper_id + ord) % 4 < 2 THEN 2 ELSE 1 END AS n_regions,
+  CASE WHEN (paper_id + ord) % 4 = 0 THEN 1 ELSE 0 END AS page_step, text
 FROM (SELECT conv_id AS paper_id, s AS student_ix, CAST(n - 1 AS BIGINT) AS ord, n, turn, text, (conv_id + 3 * s + n - 1) % 7 AS k,
     CASE WHEN (conv_id + 3 * s + n - 1) % 7 = 1 THEN '7' ELSE CAST(n AS STRING) END AS m
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant') AS a
@@ -45,12 +46,13 @@ FROM lines_in"""),
 SELECT doc_id, line_no, CAST(line_no * 11 + r + floor((line_no + 0.0) / 6.0) * 11 AS INT) AS y,
   CAST(3 + length(line) % 50 AS INT) AS ink, CAST(10 + line_no % 5 AS INT) AS x0, CAST(13 + line_no % 5 + length(line) % 50 AS INT) AS x1
 FROM raw_lines CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
-  UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS rs WHERE line_no < 200"""),
+  UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS rs"""),
     "grades_in": (("lineitem",), """
-SELECT paper_id, student_ix, question_no, marks, max_marks, evaluation, requires_review FROM (
+SELECT paper_id, student_ix, question_no, marks, max_marks, evaluation, requires_review, printed_marks, feedback, confidence FROM (
   SELECT l_orderkey AS paper_id, l_suppkey % 20 AS student_ix, CAST(l_linenumber AS BIGINT) AS question_no, CAST(l_quantity AS DOUBLE) AS marks,
     CAST(50 AS DOUBLE) AS max_marks, CASE l_returnflag WHEN 'A' THEN 'correct' WHEN 'N' THEN 'incorrect' ELSE 'partial' END AS evaluation,
-    l_partkey % 7 = 0 AS requires_review,
+    l_partkey % 7 = 0 AS requires_review, CASE WHEN l_partkey % 3 > 0 THEN CAST(5 + l_partkey % 50 AS BIGINT) END AS printed_marks,
+    CASE WHEN l_linestatus = 'O' THEN concat('see line ', CAST(l_linenumber AS STRING)) END AS feedback, CAST((l_partkey % 100) / 100.0 AS DOUBLE) AS confidence,
     row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 20, l_linenumber
       ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice) AS rn
   FROM lineitem) AS g WHERE rn = 1"""),
@@ -79,11 +81,24 @@ SELECT page_id % 50 AS batch_id, page_id AS file_ix, concat('scan_', CAST(page_i
   CASE WHEN page_id % 5 = 0 THEN concat('x%PDF-1.7', html) ELSE html END AS content
 FROM pages"""),
     "token_docs_in": (("documents", "benchmark"), """
-SELECT doc_id % 20 AS sheet, 'a' AS side, doc_id AS ix, text FROM documents
+SELECT CAST(floor(doc_id / 50.0) AS BIGINT) AS sheet, 'a' AS side, doc_id AS ix, text FROM documents
 UNION ALL SELECT s AS sheet, 'q' AS side, item_id AS ix, text FROM benchmark CROSS JOIN
-  (SELECT DISTINCT doc_id % 20 AS s FROM documents) AS st"""),
+  (SELECT DISTINCT CAST(floor(doc_id / 50.0) AS BIGINT) AS s FROM documents) AS st"""),
     "vectors_in": (("embeddings",), """
-SELECT CAST(label AS BIGINT) AS sheet, CASE WHEN vec_id % 5 = 0 THEN 'q' ELSE 'a' END AS side, vec_id AS ix, embedding FROM embeddings"""),
+SELECT CAST(floor(vec_id / 60.0) AS BIGINT) AS sheet, CASE WHEN vec_id % 5 = 0 THEN 'q' ELSE 'a' END AS side, vec_id AS ix, embedding FROM embeddings"""),
+    "vector_texts_in": (("vectors_in", "documents"), """
+SELECT sheet, side, ix, coalesce(text, '') AS text, CASE WHEN sheet % 3 = 1 AND ix % 7 = 0 THEN NULL ELSE embedding END AS embedding
+FROM vectors_in LEFT JOIN documents ON doc_id = ix"""),
+    "sheet_grades_in": (("answers_in",), """
+SELECT paper_id, student_ix, ord AS q_ord, CAST((paper_id + 3 * ord + student_ix) % 6 AS DOUBLE) AS marks, CAST(5 AS DOUBLE) AS max_marks,
+  CASE (paper_id + 3 * ord + student_ix) % 6 WHEN 5 THEN 'correct' WHEN 0 THEN CASE WHEN ord % 2 = 0 THEN 'not_attempted' ELSE 'incorrect' END ELSE 'partial' END AS evaluation,
+  CASE WHEN (paper_id + ord) % 3 = 0 THEN concat('Look at step ', CAST(ord + 1 AS STRING)) ELSE '' END AS feedback,
+  CAST(((paper_id + 7 * ord) % 100) / 100.0 AS DOUBLE) AS grade_confidence, (paper_id + ord + student_ix) % 4 = 0 AS requires_review
+FROM answers_in WHERE (paper_id + 2 * ord + student_ix) % 5 <> 4"""),
+    "sheet_edits_in": (("answers_in",), """
+SELECT paper_id, student_ix, ord AS q_ord, CASE WHEN (paper_id + ord) % 3 <> 1 THEN CAST((paper_id + 5 * ord) % 9 - 1 AS DOUBLE) END AS edit_marks,
+  CASE WHEN (paper_id + ord) % 3 <> 2 THEN concat('Teacher: see page ', CAST(ord + 1 AS STRING)) END AS edit_feedback
+FROM answers_in WHERE (paper_id + ord + 2 * student_ix) % 4 = 1"""),
 }
 
 DUCK = {
@@ -98,7 +113,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ink_of(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Eight rows of ink for every line of a document. The SELECT above ends after line 199; this form has no end."""
+    """Eight rows of ink for every line of a document, as in the SELECT above, and with the keys of pages."""
     n, size = F.col("line_no"), F.length("line") % 50
     return lines.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
         *keys, "line_no", (n * 11 + F.col("r") + F.floor(n / 6) * 11).cast("int").alias("y"), (3 + size).cast("int").alias("ink"),
@@ -128,7 +143,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _named(text: str, name: str, by: str) -> str:
     import re
 
-    return re.sub(rf"(?<=FROM )({name})\b", lambda _: by, text)
+    return re.sub(rf"(?<=FROM |JOIN )({name})\b", lambda _: by, text)
 
 
 def with_inputs(*names: str) -> str:

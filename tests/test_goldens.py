@@ -56,8 +56,8 @@ def test_json_repair(spark):
 
 def _sheet(spark, labels):
     q = spark.createDataFrame([(1, i, f"{i + 1}", f"{i + 1}", f"topic{i} word{i}") for i in range(4)], "paper_id long, q_ord long, label string, normalized string, text string")
-    rows = [(1, 0, i, x, x, 0.9, 1, "") for i, x in enumerate(labels)]
-    a = spark.createDataFrame(rows, "paper_id long, student_ix long, a_ord long, label string, normalized string, confidence double, n_pages int, text string")
+    rows = [(1, 0, i, x, x, 0.9, [1], "") for i, x in enumerate(labels)]
+    a = spark.createDataFrame(rows, "paper_id long, student_ix long, a_ord long, label string, normalized string, confidence double, pages array<int>, text string")
     return q, a
 
 
@@ -67,6 +67,21 @@ def test_positional_match_between_neighbours(spark):
     assert got == {(0, 0, "explicit_label"), (2, 2, "explicit_label"), (1, 1, "structural_order")}
 
 
+def test_reasons_name_the_pages_of_the_answer(spark):
+    q, a = _sheet(spark, ["1", "2"])
+    a = a.withColumn("pages", F.when(F.col("a_ord") == 0, F.array(F.lit(4), F.lit(3), F.lit(4))).otherwise(F.array(F.lit(2), F.lit(2))))
+    got = {r.q_ord: r for r in M.map_answers(q, a).collect()}
+    assert got[0].reasons[-1] == "This answer continues across pages 3 and 4." and got[0].methods == ["explicit_label", "continuation"]
+    assert len(got[1].reasons) == 1 and got[1].methods == ["explicit_label", "continuation"] and got[3].methods == []
+
+
+def test_corroboration(spark):
+    rows = [(1, 0, 0, 5, 0.6, "structural_order", "s"), (1, 0, 0, 5, 0.4, "semantic_match", "m"), (1, 0, 0, 7, 0.9, "llm_reasoning", "l")]
+    m = spark.createDataFrame(rows, "paper_id long, student_ix long, q_ord long, a_ord long, confidence double, method string, reason string")
+    got = M.corroborate(m).first()
+    assert (got.a_ord, round(got.confidence, 9), got.methods, got.reasons) == (5, 0.66, ["structural_order", "semantic_match"], ["s", "m"])
+
+
 def test_ambiguous_smudge_stays_open(spark):
     q, a = _sheet(spark, ["9"])
     assert M.deterministic_matches(q, a).count() == 0
@@ -75,11 +90,15 @@ def test_ambiguous_smudge_stays_open(spark):
 
 
 def test_clamped_edit_keeps_original(spark):
-    g = spark.createDataFrame([(1, 0, 1, 2.0, 5.0, "partial", True), (1, 0, 2, 0.0, 5.0, "not_attempted", False)], "paper_id long, student_ix long, question_no long, marks double, max_marks double, evaluation string, requires_review boolean")
-    e = spark.createDataFrame([(0, 1, 10, 99.0, None, "edit"), (0, 2, 11, 3.0, None, "edit"), (0, 2, 12, None, None, "revert")], "student_ix long, question_no long, seq long, marks double, feedback string, kind string")
+    g = spark.createDataFrame(
+        [(1, 0, 1, 2.0, 5.0, "partial", True, None, "", 0.5), (1, 0, 2, 0.0, 5.0, "not_attempted", False, None, "", 0.5), (1, 0, 3, None, None, None, None, 4, None, None)],
+        "paper_id long, student_ix long, question_no long, marks double, max_marks double, evaluation string, requires_review boolean, printed_marks long, feedback string, confidence double",
+    )
+    e = spark.createDataFrame([(0, 1, 10, 99.0, None, "edit"), (0, 2, 11, 3.0, None, "edit"), (0, 2, 12, None, None, "revert"), (0, 3, 13, None, "well done", "edit")], "student_ix long, question_no long, seq long, marks double, feedback string, kind string")
     rows = {r.question_no: r for r in R.apply_edits(g, R.latest_edits(e)).collect()}
     assert (rows[1].marks, rows[1].original_marks, rows[1].evaluation, rows[1].requires_review) == (5.0, 2.0, "correct", False)
     assert (rows[2].marks, rows[2].edited) == (0.0, False)
+    assert (rows[3].marks, rows[3].max_marks, rows[3].evaluation, rows[3].feedback, rows[3].confidence) == (0.0, 4.0, "incorrect", "well done", 1.0)
 
 
 def test_segment_page_with_rule(spark):
