@@ -117,12 +117,12 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, columns: list[str], bytes_per_bucket: int = 16 << 20, max_buckets: int = 50_000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], bytes_per_bucket: int = 4 << 20, max_buckets: int = 50_000) -> DataFrame:
     """Each row with ``next_<column>``: the values of the next row by ascending doc_id, cyclically.
 
     Ids are cut at quantiles into buckets of about ``bytes_per_bucket`` of text (more where that would be over
-    ``max_buckets``), each bucket is one window partition, sorted with spilling, and has a shuffle partition to itself
-    on average; the first row of every bucket is also sent to the bucket before it, where it ends the window. One
+    ``max_buckets``), each bucket is one window partition, sorted with spilling, and some four share a shuffle
+    partition, which evens their sizes out; the first row of every bucket is also sent to the bucket before it, where it ends the window. One
     shuffle; the driver sees one minimum per bucket. Rows of one doc_id follow each other by text, in one bucket; a
     null doc_id comes first. An empty table gives no rows."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("double")
@@ -157,7 +157,7 @@ def with_next(docs: DataFrame, columns: list[str], bytes_per_bucket: int = 16 <<
     )
     placed = both.select("doc_id", *columns, "_key", F.col("_place.at").alias("_at"), F.col("_place.last").alias("_last"))
     order = Window.partitionBy("_at").orderBy("_last", "_key", "doc_id", "text")
-    led = placed.repartition(max(2, n_buckets), "_at").select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    led = placed.repartition(max(2, n_buckets // 4), "_at").select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return led.where(F.col("_last") == 0).drop("_key", "_at", "_last")
 
 
