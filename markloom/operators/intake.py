@@ -57,13 +57,102 @@ def failure_sentence(kind: Column, step: Column) -> Column:
     return F.concat(step, F.lit(" was skipped because "), said, F.lit("."))
 
 
-def job_error(kind: Column) -> Column:
-    """Struct (code, retryable) of a job that fails for this kind of reason."""
-    code = (
-        F.when(kind == "credentials", "PROVIDER_AUTH").when(kind == "quota", "PROVIDER_QUOTA").when(kind == "network", "PROVIDER_NETWORK")
-        .when(kind == "provider_unavailable", "PROVIDER_UNAVAILABLE").otherwise("PROCESSING_FAILED")
+# What a job that fails says, by cause; the stages that read questions and answers; and the last resort.
+JOB_ERRORS = {
+    "rate": ("PROVIDER_ERROR", "The AI service is rate limited right now. Wait a minute and try again — no credits were used for the incomplete pages.", True),
+    "auth": ("PROVIDER_ERROR", "The AI provider rejected the configured credentials. Check AI_API_KEY in the deployment settings.", False),
+    "rejected": ("PROVIDER_ERROR", "The AI provider rejected the request. Check that AI_MODEL names a model your key can use.", False),
+    "overloaded": ("PROVIDER_ERROR", "The AI model is temporarily overloaded. This usually clears within a minute — please try again.", True),
+    "dropped": ("PROVIDER_ERROR", "The connection to the AI service dropped before processing finished. Please try again.", True),
+    "unreached": ("PROVIDER_ERROR", "The AI service could not be reached. Please try again in a moment.", True),
+    "offline": ("PROVIDER_ERROR", "Offline OCR is not available in this environment. Set AI_API_KEY (Gemini or Anthropic) so documents can be read here.", False),
+    "questions": ("QUESTION_EXTRACTION_FAILED", "Could not reliably extract the questions from this document. Check that the question paper is legible and try again.", True),
+    "answers": ("ANSWER_EXTRACTION_FAILED", "Could not reliably read the answer sheet. Check that the scan is clear and try again.", True),
+    "internal": ("INTERNAL", "Something went wrong while processing these files.", True),
+}
+QUESTION_STAGES = ("reading-question-paper", "detecting-questions")
+ANSWER_STAGES = ("reading-answer-sheet", "detecting-answers")
+OFFLINE = r"(?i)local ocr could not start|localocrunavailable"
+DROPPED = r"(?i)\bfetch\b|network|timeout|timed out|abort|econn|enotfound|eai_again"
+
+
+def job_error(error_class: Column, status: Column, message: Column, stage: Column) -> Column:
+    """Struct (code, message, retryable) of a job that failed with an error of this class (document, auth, network, provider
+    or other) in this stage. A document's own error keeps its message; causes at the provider come before the stage's
+    wording, for a dropped connection says nothing about a scan."""
+    provider = error_class.isin("auth", "network", "provider")
+    cause = (
+        F.when(provider & (status == 429), "rate")
+        .when(error_class == "auth", "auth")
+        .when(provider & status.between(400, 499) & (status != 408), "rejected")
+        .when(provider & (status >= 500), "overloaded")
+        .when(error_class == "network", "dropped")
+        .when(provider, "unreached")
+        .when(message.rlike(OFFLINE), "offline")
+        .when(message.rlike(DROPPED), "dropped")
+        .when(stage.isin(*QUESTION_STAGES), "questions")
+        .when(stage.isin(*ANSWER_STAGES), "answers")
+        .otherwise("internal")
+    )
+    own = F.struct(F.when(message.startswith("EMPTY_FILE"), "EMPTY_DOCUMENT").otherwise("INVALID_FILE").alias("code"), message.alias("message"), F.lit(False).alias("retryable"))
+    said = F.coalesce(*(F.when(cause == k, F.struct(F.lit(c).alias("code"), F.lit(m).alias("message"), F.lit(r).alias("retryable"))) for k, (c, m, r) in JOB_ERRORS.items()))
+    return F.when(error_class == "document", own).otherwise(said)
+
+
+def provenance(runs: DataFrame) -> DataFrame:
+    """sheet_id, id, model, degraded, local_mode of each run (requested, has_key, model, used_fallback): who read it. Without a
+    key or on request the local reader does, and ``local_mode`` says which of the two it was; a run that fell back says
+    no-key."""
+    wanted = F.lower(F.trim(F.coalesce("requested", F.lit(""))))
+    local = (wanted == "local") | ~F.col("has_key")
+    chosen = F.when(local, "local").when(wanted == "anthropic", "anthropic").otherwise("gemini")
+    by_local = F.col("used_fallback") | local
+    mode = F.when(F.col("used_fallback"), "no-key").when(wanted == "local", "chosen").when(local, "no-key")
+    return runs.select(
+        "sheet_id", F.when(by_local, "local").otherwise(chosen).alias("id"), F.when(by_local, "tesseract-eng").otherwise(F.col("model")).alias("model"),
+        by_local.alias("degraded"), mode.alias("local_mode"),
+    )
+
+
+NO_ANSWERS = ("ANSWER_EXTRACTION_FAILED", "No handwritten answers were detected on this sheet. Check that the scan is clear.", "No handwritten answers were detected on this sheet.")
+
+
+def failed_sheets(questions: DataFrame, sheets: DataFrame) -> DataFrame:
+    """One row per sheet (paper_id, sheet_ix, error_code or null, n_answers) that failed or has no answers: its error, counts,
+    and ``unanswered_rows``: the orders of the questions that get an unanswered row (none on a failed sheet)."""
+    n = questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list("q_ord")).alias("_all"))
+    failed = F.col("error_code").isNotNull()
+    zero = F.lit(0).cast("bigint")
+    return sheets.where(failed | (F.col("n_answers") == 0)).join(n, "paper_id").select(
+        "paper_id", "sheet_ix", F.coalesce("error_code", F.lit(NO_ANSWERS[0])).alias("error_code"), "total", zero.alias("answered"),
+        F.col("total").alias("unanswered"), zero.alias("needs_review"), zero.alias("unmatched_answers"),
+        F.when(failed, F.array().cast("array<bigint>")).otherwise(F.col("_all")).alias("unanswered_rows"),
+        F.when(~failed, NO_ANSWERS[2]).alias("reason"),
+    )
+
+
+def page_highlights(answers: DataFrame, mappings: DataFrame, questions: DataFrame, active: DataFrame) -> DataFrame:
+    """Regions to draw on the pages of every sheet: all regions of linked answers, quiet (muted), and of the sheet's ``active``
+    answer, whose tone is unmatched, review or active; its label stands on its first region of each page, and a note on
+    its last one where it runs over several pages."""
+    sheet = ["paper_id", "student_ix"]
+    plain = F.regexp_replace("label", "[.:]$", "")
+    linked = mappings.where("a_ord IS NOT NULL").join(questions.select("paper_id", "q_ord", "label"), ["paper_id", "q_ord"]).select(*sheet, "a_ord", "status", plain.alias("label"))
+    regions = answers.select(*sheet, "a_ord", "pages", F.posexplode("pages").alias("region", "page_number"))
+    muted = regions.join(linked, [*sheet, "a_ord"]).join(active, [*sheet, "a_ord"], "left_anti")
+    shown = regions.join(active, [*sheet, "a_ord"], "left_semi").join(linked, [*sheet, "a_ord"], "left")
+    first = F.array_position("pages", F.col("page_number")) == F.col("region") + 1
+    distinct = F.array_sort(F.array_distinct("pages"))
+    last = (F.size(distinct) > 1) & (F.col("region") == F.size("pages") - 1)
+    tone = F.when(F.col("label").isNull(), "unmatched").when(F.col("status") == "needs_review", "review").otherwise("active")
+    none = F.lit(None).cast("string")
+    key = [*sheet, "a_ord", "region", "page_number"]
+    return muted.select(*key, F.lit("muted").alias("tone"), none.alias("label"), none.alias("note"), F.concat(F.lit("Answer to question "), "label").alias("title")).unionByName(
+        shown.select(
+            *key, tone.alias("tone"), F.when(first, F.coalesce("label", F.lit("Unmatched"))).alias("label"),
+            F.when(last, F.concat(F.lit("continues · pages "), F.array_join(distinct.cast("array<string>"), ", "))).alias("note"), none.alias("title"),
+        )
     )
-    return F.struct(code.alias("code"), kind.isin("quota", "network", "provider_unavailable").alias("retryable"))
 
 
 def first_per_step(calls: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ QUERIES = {
 }
 
 
-def _order(source: str, number: str, tolerance: float) -> str:
+def order_sql(source: str, number: str, tolerance: float) -> str:
     return f"""(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, band, x, {number}) - 1 AS pos FROM (
   SELECT *, CAST(sum(st) OVER (PARTITION BY doc_id, page_number ORDER BY y, x, {number} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS band FROM (
   SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, page_number ORDER BY y, x, {number}) > {tolerance}::DOUBLE THEN 1 ELSE 0 END AS st FROM {source}) AS a) AS b)"""
@@ -121,7 +121,7 @@ def _order(source: str, number: str, tolerance: float) -> str:
 
 _SEC = f"regexp_extract(trim(text), {lit(T.SECTION)}, %d)"
 _LINE = "doc_id, pos, page_number, text, x, y, width, height"
-_Q = f"""{with_inputs('lines_in')}, ol AS {_order('lines_in', 'line_no', X.LINE_TOLERANCE)},
+_Q = f"""{with_inputs('lines_in')}, ol AS {order_sql('lines_in', 'line_no', X.LINE_TOLERANCE)},
 {sql_leading('ol', 'text', _LINE, 'll')},
 lm AS (SELECT *, {_SEC.replace('%d', '1')} AS sw, {_SEC.replace('%d', '2')} AS sc, trim({_SEC.replace('%d', '3')}) AS sr,
   regexp_matches(trim(text), {lit(T.FURNITURE)}) AS furniture, {sql_marks('text')} AS marks FROM ll),
@@ -138,7 +138,7 @@ qa AS (SELECT doc_id, island, arg_min(label, pos) AS label, arg_min(normalized,
   min(x) FILTER (here) AS x, min(y) FILTER (here) AS y, max(x + width) FILTER (here) AS "right", max(y + height) FILTER (here) AS bottom, min(pos) AS start FROM qp GROUP BY 1, 2),
 qq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS ord, row_number() OVER (PARTITION BY doc_id, normalized ORDER BY start) AS rep FROM qa WHERE length(text) >= 3)"""
 _B = f"""{with_inputs('blocks_in')}, ub AS (SELECT * FROM blocks_in WHERE NOT struck_out AND trim(text) <> ''),
-ob AS {_order('ub', 'block_no', X.BLOCK_TOLERANCE)},
+ob AS {order_sql('ub', 'block_no', X.BLOCK_TOLERANCE)},
 {sql_labels('ob', 'label', 'doc_id, pos, page_number, y, height, is_continuation, touches_bottom, touches_top, confidence, label AS given, text', 'g').replace('SELECT doc_id, pos, page_number, y, height, is_continuation, touches_bottom, touches_top, confidence, label AS given, text, CASE', 'SELECT CASE')},
 {sql_leading('(SELECT * RENAME (normalized AS gn) FROM g) AS gg', 'text', 'doc_id, pos, page_number, y, height, is_continuation, touches_bottom, touches_top, confidence, given, text, gn', 'x')},
 rb AS (SELECT *, CASE WHEN gn <> '' THEN gn WHEN normalized <> '' THEN normalized END AS norm, CASE WHEN gn <> '' THEN trim(given) WHEN normalized <> '' THEN label END AS lab,
@@ -157,7 +157,7 @@ ps AS (SELECT a.doc_id, 'q_' || a.normalized AS question_id, CASE WHEN a.part TH
   NOT a.part AND EXISTS (SELECT 1 FROM pl b WHERE b.doc_id = a.doc_id AND b.main = a.main AND b.part) AS has_siblings FROM pl a)"""
 _AI = "doc_id, island, label, normalized, text, pages, confidence, appears_incomplete"
 ORACLES = {
-    "reading_order": f"{with_inputs('lines_in')} SELECT doc_id, line_no, band, pos FROM {_order('lines_in', 'line_no', X.LINE_TOLERANCE)}",
+    "reading_order": f"{with_inputs('lines_in')} SELECT doc_id, line_no, band, pos FROM {order_sql('lines_in', 'line_no', X.LINE_TOLERANCE)}",
     "question_islands": f"{_Q} SELECT doc_id, pos, starts, island FROM qi",
     "section_fill_down": f"{_Q} SELECT doc_id, pos, section FROM qi",
     "assemble_questions": f"""{_Q} SELECT doc_id, ord, regexp_replace(label, '\\s+', ' ', 'g') AS label, normalized, text, marks, section, page_number, round(x, 6) AS x, round(y, 6) AS y,

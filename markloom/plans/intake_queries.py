@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from markloom.operators import extraction as X
 from markloom.operators import intake as I
 from markloom.operators import matching as M
-from markloom.plans.matching_queries import _qa
+from markloom.plans.extraction_queries import order_sql
+from markloom.plans.label_queries import lit
+from markloom.plans.matching_queries import _BASE, _MAPPED, _qa
 from markloom.sources.inputs import derived, with_inputs
 from markloom.sources.shared import settle
 from markloom.streaming import progress as S
@@ -56,8 +58,9 @@ def ordered_distinct(spark, sf_dir):
 
 
 def ordered_distinct_warnings(spark, sf_dir):
+    """Kinds of failure of a sheet in the order in which they were first seen."""
     w = F.array_sort(F.collect_list(F.struct("event_id", "kind")))
-    said = F.array_sort(F.array_distinct(F.transform(w, lambda x: x["kind"])))
+    said = F.array_distinct(F.transform(w, lambda x: x["kind"]))
     return _calls(spark, sf_dir).where("kind IS NOT NULL").groupBy("sheet_id").agg(said.alias("kinds"))
 
 
@@ -76,7 +79,8 @@ def describe_degradation(spark, sf_dir):
 
 
 def job_error_class(spark, sf_dir):
-    return _calls(spark, sf_dir).where("kind IS NOT NULL").select("event_id", I.job_error(F.col("kind")).alias("e")).select("event_id", "e.code", "e.retryable")
+    e = I.job_error(F.col("job_class"), F.col("status"), F.col("job_message"), F.col("stage"))
+    return derived(spark, sf_dir, "call_log_in").select("event_id", e.alias("e")).select("event_id", "e.code", "e.message", "e.retryable")
 
 
 def first_degradation_per_step(spark, sf_dir):
@@ -88,8 +92,11 @@ def actionable_degradations(spark, sf_dir):
 
 
 def provider_provenance(spark, sf_dir):
-    p = _calls(spark, sf_dir).groupBy("sheet_id").agg(F.bool_or(F.col("kind").isNotNull()).alias("degraded"), F.count_if(F.col("kind").isNull()).alias("n_ok"))
-    return p.select("sheet_id", F.when(F.col("n_ok") > 0, "remote").otherwise("local").alias("provider"), "degraded", (F.col("n_ok") == 0).alias("local_mode"))
+    """Sheets as runs: a run falls back where none of its calls went through."""
+    used = _calls(spark, sf_dir).groupBy("sheet_id").agg((F.count_if(F.col("kind").isNull()) == 0).alias("used_fallback"))
+    n = F.col("sheet_id")
+    requested = F.when(n % 7 == 0, " LOCAL ").when(n % 7 == 1, "anthropic").when(n % 7 == 2, "gemini").when(n % 7 == 3, "other")
+    return I.provenance(used.select("sheet_id", requested.alias("requested"), (n % 5 != 0).alias("has_key"), F.lit("model-1").alias("model"), "used_fallback"))
 
 
 def batch_outcome(spark, sf_dir):
@@ -104,10 +111,12 @@ def batch_outcome(spark, sf_dir):
 
 
 def failed_sheet_row(spark, sf_dir):
-    """Every question of a paper unanswered for a sheet that failed."""
-    q = derived(spark, sf_dir, "questions_in").select("paper_id", "ord")
-    failed = validate_uploads(spark, sf_dir).where("error_code IS NOT NULL").select(F.col("batch_id").alias("paper_id"), "file_ix", "error_code")
-    return q.join(failed, "paper_id").select("paper_id", "file_ix", "ord", F.lit("unanswered").alias("status"), "error_code")
+    """Sheets that failed, and every fifth of the others as one on which no answer was found."""
+    q = derived(spark, sf_dir, "questions_in").select("paper_id", F.col("ord").alias("q_ord"))
+    sheets = validate_uploads(spark, sf_dir).select(
+        F.col("batch_id").alias("paper_id"), F.col("file_ix").alias("sheet_ix"), "error_code", F.when(F.col("file_ix") % 5 == 0, 0).otherwise(3).alias("n_answers")
+    )
+    return I.failed_sheets(q, sheets)
 
 
 def live_progress(spark, sf_dir):
@@ -178,10 +187,10 @@ def region_rows(spark, sf_dir):
 
 
 def page_highlights(spark, sf_dir):
-    """Regions of answers per page; the label stands on the first region of a page."""
-    b = derived(spark, sf_dir, "blocks_in").where("label IS NOT NULL")
-    w = Window.partitionBy("doc_id", "page_number", "label").orderBy("block_no")
-    return b.withColumn("rn", F.row_number().over(w)).select("doc_id", "page_number", "block_no", F.when(F.col("rn") == 1, F.col("label")).alias("label"))
+    """With a sheet's last answer selected on papers of even number, its first on the others."""
+    q, a = _qa(spark, sf_dir)
+    active = a.groupBy(*M.SHEET).agg(F.max("a_ord").alias("hi"), F.min("a_ord").alias("lo")).select(*M.SHEET, F.when(F.col("paper_id") % 2 == 0, F.col("hi")).otherwise(F.col("lo")).alias("a_ord"))
+    return I.page_highlights(a, M.finalize_mappings(q, a, M.deterministic_matches(q, a)), q, active)
 
 
 QUERIES = {
@@ -204,7 +213,10 @@ _C = f"""{with_inputs('call_log_in')}, c AS (SELECT *, CASE WHEN status = 200 TH
 fs AS (SELECT * FROM c WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sheet_id, step_no ORDER BY event_id) = 1)"""
 _E = f"""{with_inputs('stage_events_in')}, ls AS (SELECT job_id, stage, state FROM stage_events_in QUALIFY row_number() OVER (PARTITION BY job_id, stage ORDER BY ts DESC, event_id DESC) = 1)"""
 _SAID = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in I.SENTENCES.items()) + " END"
+_CODES = " ".join(f"WHEN cause = '{k}' THEN '{c}'" for k, (c, _, _) in I.JOB_ERRORS.items())
+_MESSAGES = " ".join(f"WHEN cause = '{k}' THEN {lit(m)}" for k, (_, m, _) in I.JOB_ERRORS.items())
 _B = with_inputs("blocks_in")
+_ASKED = "'questionId: ' || f.q_ord || chr(10) || 'label: ' || q.label || chr(10) || 'maxMarks: ' || coalesce(q.marks, 1) || chr(10) || 'question: ' || substring(q.text, 1, 800) || chr(10)"
 ORACLES = {
     "scan_file_manifest": f"""{_M} SELECT batch_id, file_ix, extension, mime_type = 'application/pdf' OR extension = '.pdf' OR contains(substring(content, 1, 1024), '%PDF-') AS is_pdf FROM e""",
     "validate_uploads": f"{_M} SELECT * FROM v",
@@ -212,20 +224,31 @@ ORACLES = {
     "batch_size_guard": f"{_M} SELECT batch_id, count(*) AS n, count(*) > 20 OR bool_or(byte_size = 0) AS refused FROM e GROUP BY 1",
     "dedupe_uploads": f"{_M} SELECT batch_id, min(file_ix) AS file_ix FROM e GROUP BY batch_id, file_name, byte_size",
     "ordered_distinct": f"{_M} SELECT DISTINCT batch_id, mime_type FROM e",
-    "ordered_distinct_warnings": f"{_C} SELECT sheet_id, list_sort(list(DISTINCT kind)) AS kinds FROM c WHERE kind IS NOT NULL GROUP BY 1",
+    "ordered_distinct_warnings": f"{_C} SELECT sheet_id, list(kind ORDER BY e) AS kinds FROM (SELECT sheet_id, kind, min(event_id) AS e FROM c WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
     "first_n_clean": "SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda p: trim(p)), lambda p: p <> '')[1:4] AS points FROM benchmark",
     "classify_provider_failure": f"{_C} SELECT event_id, kind FROM c",
     "describe_degradation": f"{_C} SELECT event_id, 'Step ' || step_no || ' was skipped because ' || {_SAID} || '.' AS sentence FROM c WHERE kind IS NOT NULL",
-    "job_error_class": f"""{_C} SELECT event_id, CASE kind WHEN 'credentials' THEN 'PROVIDER_AUTH' WHEN 'quota' THEN 'PROVIDER_QUOTA' WHEN 'network' THEN 'PROVIDER_NETWORK'
-  WHEN 'provider_unavailable' THEN 'PROVIDER_UNAVAILABLE' ELSE 'PROCESSING_FAILED' END AS code, kind IN ('quota', 'network', 'provider_unavailable') AS retryable FROM c WHERE kind IS NOT NULL""",
+    "job_error_class": f"""{with_inputs('call_log_in')}, x AS (SELECT *, CASE WHEN job_class = 'document' THEN 'document' WHEN job_class = 'other' THEN
+    CASE WHEN regexp_matches(job_message, {lit(I.OFFLINE)}) THEN 'offline' WHEN regexp_matches(job_message, {lit(I.DROPPED)}) THEN 'dropped'
+      WHEN stage IN ('reading-question-paper', 'detecting-questions') THEN 'questions' WHEN stage IN ('reading-answer-sheet', 'detecting-answers') THEN 'answers' ELSE 'internal' END
+    WHEN status = 429 THEN 'rate' WHEN job_class = 'auth' THEN 'auth' WHEN status BETWEEN 400 AND 499 AND status <> 408 THEN 'rejected' WHEN status >= 500 THEN 'overloaded'
+    WHEN job_class = 'network' THEN 'dropped' ELSE 'unreached' END AS cause FROM call_log_in)
+SELECT event_id, CASE WHEN cause = 'document' THEN CASE WHEN job_message LIKE 'EMPTY_FILE%' THEN 'EMPTY_DOCUMENT' ELSE 'INVALID_FILE' END {_CODES} END AS code,
+  CASE WHEN cause = 'document' THEN job_message {_MESSAGES} END AS message, cause NOT IN ('document', 'auth', 'rejected', 'offline') AS retryable FROM x""",
     "first_degradation_per_step": f"{_C} SELECT sheet_id, step_no, event_id, kind FROM fs",
     "actionable_degradations": f"""{_C} SELECT sheet_id, event_id, kind FROM fs
 QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY CASE WHEN kind IN ('quota', 'credentials', 'misconfigured') THEN 0 ELSE 1 END, event_id) = 1""",
-    "provider_provenance": f"""{_C} SELECT sheet_id, CASE WHEN count(*) FILTER (kind IS NULL) > 0 THEN 'remote' ELSE 'local' END AS provider, bool_or(kind IS NOT NULL) AS degraded,
-  count(*) FILTER (kind IS NULL) = 0 AS local_mode FROM c GROUP BY 1""",
+    "provider_provenance": f"""{_C}, u AS (SELECT sheet_id, count(*) FILTER (kind IS NULL) = 0 AS fell, sheet_id % 7 AS r, sheet_id % 5 <> 0 AS key FROM c GROUP BY 1)
+SELECT sheet_id, CASE WHEN fell OR r = 0 OR NOT key THEN 'local' WHEN r = 1 THEN 'anthropic' ELSE 'gemini' END AS id,
+  CASE WHEN fell OR r = 0 OR NOT key THEN 'tesseract-eng' ELSE 'model-1' END AS model, fell OR r = 0 OR NOT key AS degraded,
+  CASE WHEN fell THEN 'no-key' WHEN r = 0 THEN 'chosen' WHEN NOT key THEN 'no-key' END AS local_mode FROM u""",
     "batch_outcome": f"""{_M}, b AS (SELECT batch_id, count(*) AS n, count(error_code) AS failed, arg_min(error_code, file_ix) FILTER (error_code IS NOT NULL) AS fe FROM v GROUP BY 1)
 SELECT batch_id, failed, CASE WHEN failed = n THEN fe END AS job_error, CASE WHEN failed > 0 AND failed < n THEN failed || ' of ' || n || ' files failed' END AS warning FROM b""",
-    "failed_sheet_row": f"""{_M.replace('WITH RECURSIVE ', with_inputs('questions_in') + ', ')} SELECT paper_id, file_ix, ord, 'unanswered' AS status, error_code FROM questions_in JOIN v ON batch_id = paper_id WHERE error_code IS NOT NULL""",
+    "failed_sheet_row": f"""{_M.replace('WITH RECURSIVE ', with_inputs('questions_in') + ', ')}, n AS (SELECT paper_id, count(*) AS total, list(ord ORDER BY ord) AS orders FROM questions_in GROUP BY 1)
+SELECT paper_id, file_ix AS sheet_ix, coalesce(error_code, 'ANSWER_EXTRACTION_FAILED') AS error_code, total, 0::BIGINT AS answered, total AS unanswered, 0::BIGINT AS needs_review,
+  0::BIGINT AS unmatched_answers, CASE WHEN error_code IS NULL THEN orders ELSE [] END AS unanswered_rows,
+  CASE WHEN error_code IS NULL THEN 'No handwritten answers were detected on this sheet.' END AS reason
+FROM n JOIN v ON batch_id = paper_id WHERE error_code IS NOT NULL OR file_ix % 5 = 0""",
     "live_progress": f"""{_E} SELECT job_id, stage, CASE WHEN state = 'active' AND bool_or(state = 'failed') OVER (PARTITION BY job_id) THEN 'failed' ELSE state END AS state FROM ls""",
     "stage_progress_percent": f"""{_E} SELECT job_id, CAST(floor((count(*) FILTER (state IN ('done', 'skipped')) + CASE WHEN bool_or(state = 'active') THEN 0.5 ELSE 0 END) * 100 / 9 + 0.5) AS BIGINT) AS percent FROM ls GROUP BY 1""",
     "cut_off_runs": f"{_E} SELECT DISTINCT job_id FROM stage_events_in WHERE job_id NOT IN (SELECT job_id FROM stage_events_in WHERE event_type = 'purchase')",
@@ -234,10 +257,31 @@ h AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PR
 SELECT job_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n FROM h GROUP BY job_id, s HAVING NOT bool_or(event_type = 'purchase')""",
     "write_progress_frames": f"""{_E} SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS seq, 'stage' AS type FROM stage_events_in
 UNION ALL SELECT job_id, count(*) + 1, CASE WHEN bool_or(state = 'failed') THEN 'error' ELSE 'result' END FROM stage_events_in GROUP BY 1""",
-    "request_batches": f"""{with_inputs('questions_in')} SELECT paper_id, md5(string_agg('Q' || (ord + 1) || ' ' || substring(text, 1, 800), chr(10) ORDER BY ord)) AS request_md5 FROM questions_in GROUP BY 1""",
+    "request_batches": f"""{_MAPPED.replace('WITH RECURSIVE ', with_inputs('lines_in') + ', ', 1)},
+tried AS (SELECT f.paper_id, f.student_ix, count(*) AS n_rows, string_agg({_ASKED} || 'ocrConfidence: ' || CAST(CAST(CAST(a.confidence AS DECIMAL(9, 6)) AS DECIMAL(9, 2)) AS VARCHAR)
+    || chr(10) || 'studentAnswer: ' || substring(a.text, 1, 1500) || chr(10) || '---', chr(10) ORDER BY f.q_ord) AS body
+  FROM final4 f JOIN q USING (paper_id, q_ord) JOIN a ON a.paper_id = f.paper_id AND a.student_ix = f.student_ix AND a.a_ord = f.a_ord GROUP BY 1, 2),
+miss AS (SELECT * FROM final4 WHERE status = 'unanswered' QUALIFY row_number() OVER (PARTITION BY paper_id, student_ix ORDER BY q_ord) <= 20),
+una AS (SELECT f.paper_id, f.student_ix, count(*) AS n_rows, string_agg({_ASKED} || '---', chr(10) ORDER BY f.q_ord) AS body FROM miss f JOIN q USING (paper_id, q_ord) GROUP BY 1, 2),
+lf AS (SELECT paper_id, student_ix, count(*) AS n, string_agg('- id=' || q_ord || ' label="' || label || '" text="' || substring(text, 1, 400) || '"', chr(10) ORDER BY q_ord) AS body FROM oq4 GROUP BY 1, 2),
+rt AS (SELECT paper_id, student_ix, count(*) AS n, string_agg('- id=' || a_ord || ' writtenLabel=' || CASE WHEN coalesce(label, '') <> '' THEN '"' || label || '"' ELSE 'none' END
+    || ' text="' || substring(text, 1, 600) || '"', chr(10) ORDER BY a_ord) AS body FROM oa4 GROUP BY 1, 2),
+nl AS (SELECT doc_id AS paper_id, count(*) AS n_rows, string_agg(pos || ': ' || trim(text), chr(10) ORDER BY pos) AS body FROM {order_sql('lines_in', 'line_no', X.LINE_TOLERANCE)} WHERE trim(text) <> '' GROUP BY 1)
+SELECT paper_id, student_ix, 'grading' AS request, n_rows, md5('Mark the following ' || n_rows || ' answers.' || chr(10) || chr(10) || body) AS request_md5 FROM tried
+UNION ALL SELECT paper_id, student_ix, 'model_answers', n_rows, md5('Write the expected answer for these ' || n_rows || ' unanswered question(s).' || chr(10) || chr(10) || body) FROM una
+UNION ALL SELECT paper_id, student_ix, 'mapping', lf.n + rt.n, md5('Unmatched questions:' || chr(10) || lf.body || chr(10) || chr(10) || 'Unmatched answers (handwriting OCR, may contain errors):' || chr(10) || rt.body)
+  FROM lf JOIN rt USING (paper_id, student_ix)
+UNION ALL SELECT paper_id, NULL, 'structure', n_rows, md5('Lines from the question paper, in printed order:' || chr(10) || chr(10) || substring(body, 1, 60000)) FROM nl""",
     "fill_missing_regions": f"""{_B} SELECT doc_id, block_no, CASE WHEN block_no % 3 <> 0 THEN text ELSE '' END AS text, CASE WHEN block_no % 3 <> 0 THEN confidence ELSE 0 END::DOUBLE AS confidence FROM blocks_in""",
-    "scan_region_responses": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", text, label, confidence FROM blocks_in WHERE block_no % 3 <> 0",
-    "region_rows": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", label FROM blocks_in WHERE block_no % 3 <> 0",
-    "page_highlights": f"""{_B} SELECT doc_id, page_number, block_no, CASE WHEN row_number() OVER (PARTITION BY doc_id, page_number, label ORDER BY block_no) = 1 THEN label END AS label
-FROM blocks_in WHERE label IS NOT NULL""",
+    "scan_region_responses": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", text, label, confidence FROM blocks_in",
+    "region_rows": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", label FROM blocks_in",
+    "page_highlights": f"""{_BASE}, ac AS (SELECT paper_id, student_ix, CASE WHEN paper_id % 2 = 0 THEN max(a_ord) ELSE min(a_ord) END AS a_ord FROM a GROUP BY 1, 2),
+lk AS (SELECT f.paper_id, f.student_ix, f.a_ord, f.status, regexp_replace(q.label, '[.:]$', '') AS label FROM final f JOIN q USING (paper_id, q_ord) WHERE f.a_ord IS NOT NULL),
+rg AS (SELECT paper_id, student_ix, a_ord, pages, generate_subscripts(pages, 1) - 1 AS region, unnest(pages) AS page_number FROM a)
+SELECT paper_id, student_ix, a_ord, CAST(region AS INT) AS region, page_number, 'muted' AS tone, NULL AS label, NULL AS note, 'Answer to question ' || label AS title
+FROM rg JOIN lk USING (paper_id, student_ix, a_ord) ANTI JOIN ac USING (paper_id, student_ix, a_ord)
+UNION ALL SELECT paper_id, student_ix, a_ord, CAST(region AS INT), page_number, CASE WHEN label IS NULL THEN 'unmatched' WHEN status = 'needs_review' THEN 'review' ELSE 'active' END,
+  CASE WHEN list_position(pages, page_number) = region + 1 THEN coalesce(label, 'Unmatched') END,
+  CASE WHEN len(list_distinct(pages)) > 1 AND region = len(pages) - 1 THEN 'continues · pages ' || array_to_string(list_sort(list_distinct(pages)), ', ') END, NULL
+FROM rg SEMI JOIN ac USING (paper_id, student_ix, a_ord) LEFT JOIN lk USING (paper_id, student_ix, a_ord)""",
 }

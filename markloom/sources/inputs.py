@@ -70,6 +70,9 @@ FROM events_k"""),
 SELECT event_id, user_id AS sheet_id, event_id % 5 AS step_no,
   CASE event_id % 8 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 400 WHEN 3 THEN 404 WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 503 END AS status,
   CASE event_id % 11 WHEN 0 THEN 'auth' WHEN 1 THEN 'network' ELSE 'provider' END AS error_class,
+  CASE event_id % 13 WHEN 0 THEN 'document' WHEN 1 THEN 'other' WHEN 2 THEN 'other' WHEN 3 THEN 'other' WHEN 4 THEN 'auth' WHEN 5 THEN 'network' ELSE 'provider' END AS job_class,
+  CASE event_id % 6 WHEN 0 THEN 'reading-question-paper' WHEN 1 THEN 'detecting-questions' WHEN 2 THEN 'reading-answer-sheet' WHEN 3 THEN 'detecting-answers' ELSE 'mapping' END AS stage,
+  CASE event_id % 10 WHEN 0 THEN 'EMPTY_FILE: no bytes' WHEN 1 THEN 'Local OCR could not start' WHEN 2 THEN 'TypeError: fetch failed' WHEN 3 THEN 'prefetched page was lost' WHEN 4 THEN 'ECONNRESET' ELSE 'no such page' END AS job_message,
   CASE event_id % 3 WHEN 0 THEN 'error: API_KEY_INVALID' WHEN 1 THEN 'quota exceeded' ELSE '' END AS body,
   CASE event_id % 7 WHEN 0 THEN 'fetch failed' WHEN 1 THEN 'request timed out' WHEN 2 THEN 'Unexpected token' ELSE 'no reply' END AS message
 FROM events"""),
