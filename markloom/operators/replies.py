@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions.labels import strip
-from markloom.functions.payload import as_confidence, as_number, repair_json
+from markloom.functions.payload import as_boolean, as_confidence, as_number, repair_json
+from markloom.operators.review import to_evaluation
 
 MATCHES = "matches array<struct<questionId:string,answerId:string,confidence:string,reason:string>>"
 ANSWERS = "answers array<struct<questionId:string,answer:string,keyPoints:array<string>>>"
 QUESTIONS = "questions array<struct<label:string,startLine:string,marks:string,section:string>>"
+GRADES = "grades array<struct<questionId:string,marksObtained:string,maxMarks:string,confidence:string,evaluation:string,feedback:string,requiresReview:string>>"
 SUGGESTED_MOST = 0.78
+NO_FEEDBACK = "No feedback was generated."
 
 
 def reply_rows(replies: DataFrame, keys: list[str], field: str, schema: str) -> DataFrame:
@@ -62,3 +65,20 @@ def merge_structure(drafts: DataFrame, rows: DataFrame, lines: DataFrame, keys:
     added = rows.join(drafts, on, "left_anti").join(lines.select(*keys, F.col("line_no").alias("start_line"), "text"), [*keys, "start_line"])
     new = added.where(F.length("text") >= 3).select(*on, F.col("reply_marks").alias("marks"), F.col("reply_section").alias("section"), "text")
     return enriched.unionByName(new)
+
+
+def grade_rows(replies: DataFrame, keys: list[str], targets: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Grades of the questions asked (``targets``: keys, question_no, printed_marks, needs_review), from replies (keys, ``also``,
+    reply): rows for other questions are dropped, and of several for one the last counts. The maximum is the reply's, else
+    the printed one, else 1, and 1 at least; marks are clamped to it."""
+    rows = reply_rows(replies, [*keys, *(also or [])], "grades", GRADES).withColumn("question_no", as_number(F.col("r.questionId")).cast("bigint"))
+    known = rows.join(targets, [*keys, "question_no"])
+    last = known.groupBy(*keys, "question_no").agg(F.max_by(F.struct("r", "printed_marks", "needs_review"), F.struct(*(also or []), "seq")).alias("x"))
+    top = F.greatest(F.lit(1.0), F.coalesce(as_number(F.col("x.r.maxMarks")), F.col("x.printed_marks").cast("double"), F.lit(1.0)))
+    said = F.nullif(strip(F.coalesce("x.r.feedback", F.lit(""))), F.lit(""))
+    return last.select(
+        *keys, "question_no", F.least(top, F.greatest(F.lit(0.0), F.coalesce(as_number(F.col("x.r.marksObtained")), F.lit(0.0)))).alias("marks"), top.alias("max_marks"),
+        to_evaluation(F.col("x.r.evaluation")).alias("evaluation"), F.coalesce(said, F.lit(NO_FEEDBACK)).alias("feedback"),
+        as_confidence(F.col("x.r.confidence"), 0.6).alias("confidence"),
+        (F.coalesce(as_boolean(F.col("x.r.requiresReview")), F.lit(False)) | F.coalesce("x.needs_review", F.lit(False))).alias("requires_review"),
+    )

@@ -27,32 +27,67 @@ def latest_edits(edits: DataFrame) -> DataFrame:
     )
 
 
-def apply_edits(grades: DataFrame, edits: DataFrame) -> DataFrame:
-    """The grade in force: an edit's marks, clamped to 0..max, and the verdict that follows from them, over the original,
-    which stays beside it. An edit without marks keeps the verdict. Rows without an edit are as they were."""
-    e = grades.join(edits, ["student_ix", "question_no"], "left")
+def grade_in_force(rows: DataFrame) -> DataFrame:
+    """``rows`` with the grade that counts in place of the original (marks, max_marks, evaluation, feedback, confidence,
+    requires_review; null where nothing was graded), ``original_marks`` and ``edited``.
+
+    An edit (edit_marks or edit_feedback) has marks clamped to 0..maximum (the grade's, else printed_marks, else 1), the
+    verdict that follows from the marks, its own feedback or else the grade's, confidence 1, and needs no review. An
+    empty edit is none; rows without an edit are as they were."""
     edited = F.col("edit_marks").isNotNull() | F.col("edit_feedback").isNotNull()
-    clamped = F.greatest(F.lit(0.0), F.least(F.col("edit_marks"), F.col("max_marks")))
-    marks = F.when(F.col("edit_marks").isNotNull(), clamped)  # least and greatest skip nulls
-    verdict = (
-        F.when(marks >= F.col("max_marks"), "correct").when(marks > 0, "partial")
-        .when(F.col("evaluation") == "not_attempted", "not_attempted").otherwise("incorrect")
-    )
-    return e.select(
-        *ROW,
-        F.col("marks").alias("original_marks"),
-        "max_marks",
-        F.coalesce(marks, "marks").alias("marks"),
-        F.when(F.col("edit_marks").isNotNull(), verdict).otherwise(F.col("evaluation")).alias("evaluation"),
-        F.col("edit_feedback").alias("feedback"),
-        F.coalesce(edited, F.lit(False)).alias("edited"),
-        (F.col("requires_review") & ~edited).alias("requires_review"),
+    top = F.coalesce("max_marks", F.col("printed_marks").cast("double"), F.lit(1.0))
+    given = F.when(F.col("edit_marks").isNotNull(), F.least(top, F.greatest(F.lit(0.0), F.col("edit_marks")))).otherwise(F.coalesce("marks", F.lit(0.0)))
+    stays = F.coalesce("evaluation", F.lit("incorrect")) == "not_attempted"
+    verdict = F.when(given >= top, "correct").when(given > 0, "partial").when(stays, "not_attempted").otherwise("incorrect")
+    changed = {
+        "marks": given, "max_marks": top, "evaluation": verdict, "feedback": F.coalesce("edit_feedback", "feedback", F.lit("")),
+        "confidence": F.lit(1.0), "requires_review": F.lit(False),
+    }
+    new = {c: F.when(edited, v).otherwise(F.col(c)) for c, v in changed.items()}
+    return rows.withColumns({"original_marks": F.col("marks"), "edited": edited, **new}).drop("edit_marks", "edit_feedback")
+
+
+def apply_edits(grades: DataFrame, edits: DataFrame) -> DataFrame:
+    """The grades in force of ``grades`` under the latest ``edits`` (student_ix, question_no)."""
+    kept = grades.join(edits, ["student_ix", "question_no"], "left")
+    return grade_in_force(kept).select(
+        *ROW, "original_marks", "max_marks", "marks", "evaluation", "feedback", "confidence", "edited", "requires_review"
     )
 
 
+NO_MAPPING = "No mapping was produced for this question."
+
+
+def question_rows(
+    questions: DataFrame, sheets: DataFrame, mappings: DataFrame, answers: DataFrame, grades: DataFrame, model_answers: DataFrame, edits: DataFrame
+) -> DataFrame:
+    """Every question of a paper for every sheet of it, in printed order, with its mapping (or the default: unanswered),
+    linked answer, grade in force, and expected answer: paper_id, student_ix, q_ord, label, text, section, printed_marks,
+    a_ord, match_confidence, band, status, methods, reasons, answer_text, pages, multi_page, original_marks, marks,
+    max_marks, evaluation, feedback, confidence, requires_review, edited, model_answer, key_points."""
+    q = questions.select("paper_id", "q_ord", "label", "text", "section", F.col("marks").alias("printed_marks"))
+    m = mappings.select(*SHEET, "q_ord", "a_ord", F.col("confidence").alias("match_confidence"), "band", "status", "methods", "reasons")
+    a = answers.select(*SHEET, "a_ord", F.col("text").alias("answer_text"), F.array_sort(F.array_distinct("pages")).alias("pages"))
+    g = grades.select(*SHEET, "q_ord", "marks", "max_marks", "evaluation", "feedback", F.col("grade_confidence").alias("confidence"), "requires_review")
+    key = [*SHEET, "q_ord"]
+    rows = (
+        sheets.join(q, "paper_id").join(m, key, "left").join(a, [*SHEET, "a_ord"], "left").join(g, key, "left")
+        .join(model_answers.select("paper_id", "q_ord", F.col("answer").alias("model_answer"), "key_points"), ["paper_id", "q_ord"], "left")
+        .join(edits, key, "left")
+    )
+    texts = "array<string>"
+    filled = rows.withColumns({
+        "match_confidence": F.coalesce("match_confidence", F.lit(0.0)), "band": F.coalesce("band", F.lit("none")), "status": F.coalesce("status", F.lit("unanswered")),
+        "methods": F.coalesce("methods", F.array().cast(texts)), "reasons": F.coalesce("reasons", F.array(F.lit(NO_MAPPING))),
+        "pages": F.coalesce("pages", F.array().cast("array<int>")),
+    })
+    return grade_in_force(filled).withColumn("multi_page", F.size("pages") > 1)
+
+
 def grade_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Marks, maximum and rounded percentage per key; 0 percent of a maximum of 0."""
-    s = rows.groupBy(*keys).agg(F.sum("marks").alias("marks_obtained"), F.sum("max_marks").alias("max_marks"))
+    """Marks, maximum and rounded percentage of what was graded per key; 0 percent of a maximum of 0; keys without a grade
+    have no row."""
+    s = rows.where("marks IS NOT NULL").groupBy(*keys).agg(F.sum("marks").alias("marks_obtained"), F.sum("max_marks").alias("max_marks"))
     share = F.when(F.col("max_marks") > 0, F.col("marks_obtained") / F.col("max_marks") * 100).otherwise(0.0)
     return s.withColumn("percentage", F.floor(share + 0.5).cast("bigint"))
 
@@ -84,28 +119,78 @@ def search_rows(rows: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     return rows.where(hay.contains(n)) if n else rows
 
 
-def first_of_sheet(rows: DataFrame, n: int = 4) -> DataFrame:
-    order = Window.partitionBy(*SHEET).orderBy("question_no")
-    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
+def plain_label(label: Column) -> Column:
+    """Without a full stop or colon at the end."""
+    return F.regexp_replace(label, "[.:]$", "")
+
+
+def number_text(x: Column) -> Column:
+    """Whole numbers without places."""
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
-def report_heading(row_marks: Column, max_marks: Column, evaluation: Column, edited: Column, label: Column) -> Column:
-    """``Q4 · 3/5 marks · Partially correct · edited by teacher``; a dash where nothing is graded."""
+def report_heading(row_marks: Column, max_marks: Column, evaluation: Column, edited: Column, label: Column, status: Column) -> Column:
+    """``Q4  ·  3/5 marks  ·  Partially correct  ·  edited by teacher``; a dash where nothing is graded."""
     names = {"correct": "Correct", "partial": "Partially correct", "incorrect": "Incorrect", "not_attempted": "Not attempted"}
-    verdict = F.coalesce(*(F.when(evaluation == k, v) for k, v in names.items()))
-    whole = lambda x: F.format_string("%.0f", x)
-    marks = F.coalesce(F.concat(whole(row_marks), F.lit("/"), whole(max_marks), F.lit(" marks")), F.lit("—"))
-    return F.concat_ws(" · ", F.concat(F.lit("Q"), label), marks, verdict, F.when(edited, "edited by teacher"))
-
-
-def report_rows(rows: DataFrame) -> DataFrame:
-    """Text rows of a sheet's report in order: a header, the tallies, and a row per question."""
-    total = grade_summary(rows, SHEET).join(verdict_tallies(rows, SHEET), SHEET)
-    head = F.format_string("Score %.0f/%.0f (%d%%)", "marks_obtained", "max_marks", "percentage")
-    tally = F.format_string("%d correct, %d partial, %d incorrect, %d edited", "correct", "partial", "incorrect", "edited")
-    top = total.select(*SHEET, F.posexplode(F.array(head, tally)).alias("line", "text")).withColumn("line", F.col("line").cast("bigint") - 2)
-    heading = report_heading(F.col("marks"), F.col("max_marks"), F.col("evaluation"), F.col("edited"), F.col("question_no").cast("string"))
-    return top.unionByName(rows.select(*SHEET, F.col("question_no").alias("line"), heading.alias("text")))
+    verdict = F.coalesce(*(F.when(evaluation == k, v) for k, v in names.items()), F.when(status == "unanswered", "Unanswered"), F.lit("Not graded"))
+    marks = F.concat(F.coalesce(F.concat(number_text(row_marks), F.lit("/"), number_text(max_marks)), F.lit("—")), F.lit(" marks"))
+    return F.concat_ws("  ·  ", F.concat(F.lit("Q"), label), marks, verdict, F.when(edited, "edited by teacher"))
+
+
+def _listed(rows: Column, n: int = 4) -> Column:
+    """``label — the first 90 characters of the text`` of the first rows."""
+    return F.slice(F.transform(rows, lambda r: F.concat(plain_label(r["label"]), F.lit(" — "), F.substring(r["text"], 1, 90))), 1, n)
+
+
+def sheet_reviews(rows: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Per sheet its question rows in printed order (``rows``), ``strengths``: the first four that are right, and
+    ``improvements``: the first four that are graded and not, or if there are none the areas of its summary (``summaries``:
+    sheet, name, file_name, summary, improvement_areas). A sheet's questions bound the array."""
+    row = F.struct("q_ord", "label", "text", "answer_text", "marks", "max_marks", "evaluation", "feedback", "edited", "status")
+    per = rows.groupBy(*SHEET).agg(F.array_sort(F.collect_list(row)).alias("rows")).join(summaries, SHEET, "left")
+    improve = _listed(F.filter("rows", lambda r: r["evaluation"].isin("incorrect", "partial", "not_attempted")))
+    areas = F.coalesce("improvement_areas", F.array().cast("array<string>"))
+    return per.withColumns({
+        "strengths": _listed(F.filter("rows", lambda r: r["evaluation"] == "correct")),
+        "improvements": F.when(F.size(improve) > 0, improve).otherwise(areas),
+    })
+
+
+def report_rows(rows: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(sheet, line, text): a sheet's report in order: header, score and tallies, four rows at most for each question,
+    strengths, areas to improve, and overall feedback."""
+    counts = verdict_tallies(rows, SHEET)
+    total = grade_summary(rows, SHEET).withColumn("_band", grade_band(F.col("percentage")))
+    s = sheet_reviews(rows, summaries).join(counts, SHEET).join(total, SHEET, "left")
+    graded = F.col("marks_obtained").isNotNull()
+    one = lambda *texts: F.array_compact(F.array(*(t if isinstance(t, Column) else F.lit(t) for t in texts)))
+    letter, name = F.split("_band", " ", 2)[0], F.split("_band", " ", 2)[1]
+    head = one(
+        "EVALUATION REPORT", F.col("name"), F.col("file_name"),
+        F.when(graded, F.concat(number_text(F.col("marks_obtained")), F.lit(" / "), number_text(F.col("max_marks")))).otherwise(
+            F.lit("Automatic evaluation did not run for this student, so no marks were awarded.")
+        ),
+        F.when(graded, F.concat(F.col("percentage").cast("string"), F.lit("%   Grade "), letter, F.lit("   "), name)),
+        F.when(graded, F.format_string("Correct %d  ·  Partial %d  ·  Incorrect %d  ·  Unanswered %d", "correct", "partial", "incorrect", "not_attempted")),
+        F.when(graded & (F.col("edited") > 0), F.concat(F.col("edited").cast("string"), F.when(F.col("edited") == 1, " question").otherwise(" questions"), F.lit(" reviewed and adjusted by the teacher."))),
+        "Question-wise evaluation",
+    )
+
+    def of_question(r: Column) -> Column:
+        said = F.coalesce(r["answer_text"], F.lit(""))
+        return one(
+            report_heading(r["marks"], r["max_marks"], r["evaluation"], r["edited"], plain_label(r["label"]), r["status"]), r["text"],
+            F.when(said != "", F.concat(F.lit("Answer: "), F.regexp_replace(said, r"\n+", " "))).otherwise(F.lit("Answer: not found on the sheet.")),
+            F.when(r["feedback"] != "", F.concat(F.lit("Feedback: "), r["feedback"])),
+        )
+
+    bullets = lambda items, none: F.when(F.size(items) > 0, F.transform(items, lambda x: F.concat(F.lit("•  "), x))).otherwise(F.array(F.lit(none)))
+    end = F.when(F.coalesce("summary", F.lit("")) != "", F.array(F.lit("Overall feedback"), F.col("summary"))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(
+        head, F.flatten(F.transform("rows", of_question)), one("Strengths"), bullets(F.col("strengths"), "No question was fully correct."),
+        one("Areas to improve"), bullets(F.col("improvements"), "Nothing outstanding — every question scored full marks."), end,
+    )
+    return s.select(*SHEET, F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("bigint"))
 
 
 def merge_grades(questions: DataFrame, replies: DataFrame) -> DataFrame:

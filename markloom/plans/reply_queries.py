@@ -12,7 +12,7 @@ from markloom.functions.payload import balanced_json
 from markloom.operators import layout as Y
 from markloom.operators import replies as P
 from markloom.sources.inputs import derived, ink_of, with_inputs
-from markloom.sources.shared import settle
+from markloom.sources.shared import shared_folder
 from markloom.streaming import progress as S
 
 
@@ -77,8 +77,7 @@ def scan_assessment_json(spark, sf_dir):
 
 
 def _folder(spark):
-    settle(spark.range(1))  # makes sure that a shared folder is set
-    return spark.conf.get("spark.checkpoint.dir")
+    return shared_folder(spark)
 
 
 def scan_progress_frames(spark, sf_dir):

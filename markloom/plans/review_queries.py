@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from markloom.functions import payload as P
+from markloom.operators import matching as M
+from markloom.operators import replies as P2
 from markloom.operators import review as R
+from markloom.plans.label_queries import lit
+from markloom.plans.matching_queries import _BASE, _qa
+from markloom.plans.reply_queries import model_answer_rows
 from markloom.sources.inputs import derived, with_inputs
+from markloom.sources.shared import publish, settle
 
 
 def _g(spark, sf_dir):
     return derived(spark, sf_dir, "grades_in")
 
 
+def _base(spark, sf_dir):
+    """Grades, of which some questions of some papers have none."""
+    none = (F.col("paper_id") % 11 == 0) & (F.col("question_no") % 3 == 0)
+    graded = ("marks", "max_marks", "evaluation", "feedback", "confidence", "requires_review")
+    return _g(spark, sf_dir).withColumns({c: F.when(~none, F.col(c)) for c in graded})
+
+
 def _rows(spark, sf_dir):
-    return R.apply_edits(_g(spark, sf_dir), R.latest_edits(derived(spark, sf_dir, "review_edits_in")))
+    return R.apply_edits(_base(spark, sf_dir), R.latest_edits(derived(spark, sf_dir, "review_edits_in")))
 
 
 def latest_review_edits(spark, sf_dir):
@@ -43,12 +58,33 @@ def class_rollup(spark, sf_dir):
     return s
 
 
+def _full(spark, sf_dir):
+    """Question rows of every sheet; the third student of a paper lacks every third mapping."""
+    q, a = _qa(spark, sf_dir)
+    m = M.finalize_mappings(q, a, M.deterministic_matches(q, a)).where("student_ix <> 2 OR q_ord % 3 <> 2")
+    model = model_answer_rows(spark, sf_dir)
+    sheets = a.select(*R.SHEET).distinct()
+    return settle(R.question_rows(q, sheets, m, a, derived(spark, sf_dir, "sheet_grades_in"), model, derived(spark, sf_dir, "sheet_edits_in")))
+
+
+def _summaries(rows):
+    """What the grader said of a whole sheet."""
+    n = F.col("student_ix")
+    areas = F.when(n % 2 == 0, F.array(F.lit("Show the steps"), F.lit("Units")))
+    return rows.select(*R.SHEET).distinct().select(
+        *R.SHEET, F.concat(F.lit("Student "), (n + 1).cast("string")).alias("name"), F.concat(F.lit("paper_"), F.col("paper_id").cast("string"), F.lit(".pdf")).alias("file_name"),
+        F.when(n == 1, F.lit("A good start.")).alias("summary"), areas.alias("improvement_areas"),
+    )
+
+
 def strengths_top4(spark, sf_dir):
-    return R.first_of_sheet(_rows(spark, sf_dir).where("evaluation = 'correct'")).select(*R.ROW)
+    rows = _full(spark, sf_dir)
+    return R.sheet_reviews(rows, _summaries(rows)).select(*R.SHEET, "strengths")
 
 
 def improvements_top4(spark, sf_dir):
-    return R.first_of_sheet(_rows(spark, sf_dir).where("evaluation <> 'correct'")).select(*R.ROW)
+    rows = _full(spark, sf_dir)
+    return R.sheet_reviews(rows, _summaries(rows)).select(*R.SHEET, "improvements")
 
 
 def grades_in_printed_order(spark, sf_dir):
@@ -59,17 +95,19 @@ def grades_in_printed_order(spark, sf_dir):
 
 
 def report_heading(spark, sf_dir):
-    h = R.report_heading(F.col("marks"), F.col("max_marks"), F.col("evaluation"), F.col("edited"), F.col("question_no").cast("string"))
+    status = F.when(F.col("marks").isNull() & (F.col("question_no") % 2 == 0), "unanswered").otherwise("matched")
+    h = R.report_heading(F.col("marks"), F.col("max_marks"), F.col("evaluation"), F.col("edited"), F.col("question_no").cast("string"), status)
     return _rows(spark, sf_dir).select(*R.ROW, h.alias("heading"))
 
 
 def write_report_rows(spark, sf_dir):
-    return R.report_rows(_rows(spark, sf_dir))
+    rows = _full(spark, sf_dir)
+    return R.report_rows(rows, _summaries(rows))
 
 
 def filter_rows(spark, sf_dir):
     rows = _rows(spark, sf_dir).withColumn(
-        "status", F.when(F.col("marks") == 0, "unanswered").when(F.col("requires_review"), "needs_review").otherwise("matched")
+        "status", F.when(F.coalesce("marks", F.lit(0.0)) == 0, "unanswered").when(F.col("requires_review"), "needs_review").otherwise("matched")
     )
     names = ("answered", "unanswered", "review", "edited")
     out = None
@@ -88,8 +126,13 @@ def filter_counts(spark, sf_dir):
 
 
 def search_rows(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("label", F.concat(F.lit("Q"), F.col("question_no").cast("string")))
-    return R.search_rows(rows, " Me About 1", ["label", "evaluation", "feedback"]).select(*R.ROW)
+    """Over label, text, section, answer and feedback of every question row, for three needles."""
+    rows = _full(spark, sf_dir)
+    found = [R.search_rows(rows, n, ["label", "text", "section", "answer_text", "feedback"]).select(F.lit(n).alias("needle"), *R.SHEET, "q_ord") for n in _NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
+_NEEDLES = (" look AT step 1", "section b ", "the")
 
 
 def flatten_review_edits(spark, sf_dir):
@@ -128,40 +171,43 @@ def ready_students(spark, sf_dir):
 
 
 def write_published_snapshot(spark, sf_dir):
-    return _rows(spark, sf_dir).join(ready_students(spark, sf_dir), R.SHEET, "left_semi").select(*R.ROW, "marks", "evaluation")
-
-
-_REPLY = "concat('```json\\n{\"grades\":[{\"questionId\":', q, ',\"marksObtained\":\"', m, '\",\"confidence\":', c, ',\"evaluation\":\"', e, '\"}]}\\n``` as asked')"
+    """Grades in force of the students that are ready, written once under the publication's number and read back."""
+    stamp = derived(spark, sf_dir, "review_edits_in").where("kind = 'publish'").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"]
+    ready = _rows(spark, sf_dir).join(ready_students(spark, sf_dir), R.SHEET, "left_semi").select(*R.ROW, "marks", "evaluation")
+    return publish(ready, stamp)
+
+
+def _reply_parts():
+    """Pieces of a grader's reply: columns, and literals between them. A row for a question that was not asked, one that a
+    later row takes back, and the one that counts: marks as text, confidence on either scale."""
+    n = F.col("question_no")
+    q = n.cast("string")
+    m = F.when(n % 2 == 0, F.col("marks") * 2).otherwise(F.col("marks")).cast("int").cast("string")
+    c = F.when(n % 2 == 0, F.lit("85")).otherwise(F.lit("0.4"))
+    e = F.when(F.col("evaluation") == "incorrect", "Not Attempted").otherwise(F.upper("evaluation"))
+    top = F.when(n % 3 == 1, F.lit(',"maxMarks":60')).when(n % 3 == 2, F.lit(',"maxMarks":"0"')).otherwise(F.lit(""))
+    said = F.when(n % 2 == 1, F.concat(F.lit(',"feedback":" Look at line '), q, F.lit(' "'))).otherwise(F.lit(""))
+    held = F.when(n % 5 == 0, F.lit(',"requiresReview":true')).otherwise(F.lit(""))
+    return (
+        '{"grades":[{"questionId":99,"marksObtained":1},{"questionId":', q, ',"marksObtained":0,"evaluation":"correct"},{"questionId":', q,
+        ',"marksObtained":"', m, '"', top, said, held, ',"confidence":', c, ',"evaluation":"', e, '"}]}',
+    )
 
 
 def _replies(spark, sf_dir):
-    """Grader replies as text: fenced JSON with prose after it, marks as text, confidence on either scale."""
-    part = _g(spark, sf_dir).select(
-        *R.ROW, F.col("question_no").cast("string").alias("q"), F.when(F.col("question_no") % 2 == 0, F.col("marks") * 2).otherwise(F.col("marks")).cast("int").cast("string").alias("m"),
-        F.when(F.col("question_no") % 2 == 0, F.lit("85")).otherwise(F.lit("0.4")).alias("c"),
-        F.when(F.col("evaluation") == "incorrect", "Not Attempted").otherwise(F.upper("evaluation")).alias("e"),
-    )
-    text = F.concat(F.lit('```json\n{"grades":[{"questionId":'), "q", F.lit(',"marksObtained":"'), "m", F.lit('","confidence":'), "c", F.lit(',"evaluation":"'), "e", F.lit('"}]}\n``` as asked'))
-    return part.select(*R.ROW, text.alias("reply"))
+    parts = [F.lit(x) if isinstance(x, str) else x for x in _reply_parts()]
+    return _g(spark, sf_dir).select(*R.ROW, F.concat(F.lit("```json\n"), *parts, F.lit("\n``` as asked")).alias("reply"))
 
 
 def repair_json_payload(spark, sf_dir):
     return _replies(spark, sf_dir).select(*R.ROW, P.repair_json(F.col("reply")).alias("payload"))
 
 
-_GRADES = T.StructType([T.StructField("grades", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("questionId", "marksObtained", "confidence", "evaluation")])))])
-
-
-def _graded(spark, sf_dir):
-    parsed = repair_json_payload(spark, sf_dir).select(*R.SHEET, F.posexplode(F.from_json("payload", _GRADES)["grades"]).alias("pos", "g"))
-    return parsed.select(
-        *R.SHEET, P.as_number(F.col("g.questionId")).cast("bigint").alias("question_no"), P.as_number(F.col("g.marksObtained")).alias("reply_marks"),
-        P.as_confidence(F.col("g.confidence"), 0.6).alias("reply_confidence"), R.to_evaluation(F.col("g.evaluation")).alias("reply_evaluation"),
-    )
-
-
 def grade_rows(spark, sf_dir):
-    return _graded(spark, sf_dir)
+    """Grades read from replies, each of which was asked about one question."""
+    targets = _g(spark, sf_dir).select(*R.ROW, "printed_marks", F.col("requires_review").alias("needs_review"))
+    replies = _replies(spark, sf_dir).withColumnRenamed("question_no", "asked")
+    return P2.grade_rows(replies, R.SHEET, targets, ["asked"])
 
 
 def coerce_fields(spark, sf_dir):
@@ -175,18 +221,20 @@ def to_evaluation(spark, sf_dir):
 
 
 def merge_grades(spark, sf_dir):
-    q = _g(spark, sf_dir).select(*R.ROW, F.lit(50.0).alias("printed_marks"), (F.col("question_no") % 4 != 0).alias("attempted"), F.col("requires_review").alias("needs_review"))
-    replied = _graded(spark, sf_dir).where("question_no % 3 <> 0")  # the others were never answered
-    r = replied.withColumn("reply_max", F.lit(None).cast("double")).withColumn("reply_review", F.lit(False))
+    g = _g(spark, sf_dir)
+    q = g.select(*R.ROW, F.col("printed_marks").cast("double").alias("printed_marks"), (F.col("question_no") % 4 != 0).alias("attempted"), F.col("requires_review").alias("needs_review"))
+    replied = grade_rows(spark, sf_dir).where("question_no % 3 <> 0")  # the others were never answered
+    r = replied.select(
+        *R.ROW, F.col("marks").alias("reply_marks"), F.col("max_marks").alias("reply_max"), F.col("evaluation").alias("reply_evaluation"),
+        F.col("confidence").alias("reply_confidence"), F.col("requires_review").alias("reply_review"),
+    )
     return R.merge_grades(q, r)
 
 
 def assessment_rows(spark, sf_dir):
-    """Every question of a paper for every student of it, with defaults where nothing is linked."""
-    g = _g(spark, sf_dir)
-    grid = g.select("paper_id", "question_no").distinct().join(g.select(*R.SHEET).distinct(), "paper_id")
-    r = grid.join(_rows(spark, sf_dir), R.ROW, "left")
-    return r.select(*R.ROW, F.coalesce("marks", F.lit(0.0)).alias("marks"), F.coalesce("evaluation", F.lit("not_attempted")).alias("evaluation"), F.coalesce("edited", F.lit(False)).alias("edited"))
+    """Question rows of every sheet, texts as digests."""
+    rows = _full(spark, sf_dir)
+    return rows.withColumns({"text": F.md5("text"), "answer_text": F.md5("answer_text")})
 
 
 QUERIES = {
@@ -199,31 +247,88 @@ QUERIES = {
     )
 }
 
+
+
+def _in_force(source: str, name: str, keys: str) -> str:
+    """CTEs that end in ``name``: the grade that counts of rows with an original grade, printed_marks, edit_marks and edit_feedback."""
+    return f"""{name}0 AS (SELECT *, edit_marks IS NOT NULL OR edit_feedback IS NOT NULL AS edited, coalesce(max_marks, printed_marks, 1)::DOUBLE AS mx FROM {source}),
+{name}1 AS (SELECT *, CASE WHEN edit_marks IS NOT NULL THEN least(mx, greatest(0, edit_marks)) ELSE coalesce(marks, 0) END AS em FROM {name}0),
+{name} AS (SELECT {keys}, marks AS original_marks, CASE WHEN edited THEN mx ELSE max_marks END AS max_marks, CASE WHEN edited THEN em ELSE marks END AS marks,
+    CASE WHEN NOT edited THEN evaluation WHEN em >= mx THEN 'correct' WHEN em > 0 THEN 'partial'
+      WHEN coalesce(evaluation, 'incorrect') = 'not_attempted' THEN 'not_attempted' ELSE 'incorrect' END AS evaluation,
+    CASE WHEN edited THEN coalesce(edit_feedback, feedback, '') ELSE feedback END AS feedback, CASE WHEN edited THEN 1 ELSE confidence END AS confidence,
+    edited, CASE WHEN edited THEN false ELSE requires_review END AS requires_review FROM {name}1)"""
+
+
+def _heading(label: str, status: str) -> str:
+    number = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+    return f"""'Q' || {label} || '  ·  ' || coalesce({number('marks')} || '/' || {number('max_marks')}, '—') || ' marks  ·  ' ||
+    CASE evaluation WHEN 'correct' THEN 'Correct' WHEN 'partial' THEN 'Partially correct' WHEN 'incorrect' THEN 'Incorrect' WHEN 'not_attempted' THEN 'Not attempted'
+      ELSE CASE WHEN {status} = 'unanswered' THEN 'Unanswered' ELSE 'Not graded' END END || CASE WHEN edited THEN '  ·  edited by teacher' ELSE '' END"""
+
+
 _R = f"""{with_inputs('grades_in', 'review_edits_in')},
 le AS (SELECT student_ix, question_no, kind, marks, feedback FROM review_edits_in WHERE kind IN ('edit', 'revert')
   QUALIFY row_number() OVER (PARTITION BY student_ix, question_no ORDER BY seq DESC) = 1),
 led AS (SELECT student_ix, question_no, marks AS edit_marks, feedback AS edit_feedback FROM le WHERE kind = 'edit'),
-j AS (SELECT g.*, edit_marks, edit_feedback, greatest(0, least(edit_marks, max_marks)) AS em,
-    coalesce(edit_marks IS NOT NULL OR edit_feedback IS NOT NULL, false) AS edited FROM grades_in g LEFT JOIN led USING (student_ix, question_no)),
-r AS (SELECT paper_id, student_ix, question_no, marks AS original_marks, max_marks, CASE WHEN edit_marks IS NULL THEN marks ELSE em END AS marks,
-    CASE WHEN edit_marks IS NULL THEN evaluation WHEN em >= max_marks THEN 'correct' WHEN em > 0 THEN 'partial'
-      WHEN evaluation = 'not_attempted' THEN evaluation ELSE 'incorrect' END AS evaluation, edit_feedback AS feedback, edited,
-    requires_review AND NOT edited AS requires_review FROM j),
+gb AS (SELECT paper_id, student_ix, question_no, printed_marks, CASE WHEN graded THEN marks END AS marks, CASE WHEN graded THEN max_marks END AS max_marks,
+    CASE WHEN graded THEN evaluation END AS evaluation, CASE WHEN graded THEN feedback END AS feedback, CASE WHEN graded THEN confidence END AS confidence,
+    CASE WHEN graded THEN requires_review END AS requires_review FROM (SELECT *, NOT (paper_id % 11 = 0 AND question_no % 3 = 0) AS graded FROM grades_in)),
+j AS (SELECT gb.*, edit_marks, edit_feedback FROM gb LEFT JOIN led USING (student_ix, question_no)),
+{_in_force('j', 'r', 'paper_id, student_ix, question_no')},
 s AS (SELECT paper_id, student_ix, sum(marks) AS marks_obtained, sum(max_marks) AS max_marks,
-    CAST(floor(CASE WHEN sum(max_marks) > 0 THEN sum(marks) / sum(max_marks) * 100 ELSE 0 END + 0.5) AS BIGINT) AS percentage FROM r GROUP BY 1, 2),
+    CAST(floor(CASE WHEN sum(max_marks) > 0 THEN sum(marks) / sum(max_marks) * 100 ELSE 0 END + 0.5) AS BIGINT) AS percentage FROM r WHERE marks IS NOT NULL GROUP BY 1, 2),
 v AS (SELECT paper_id, student_ix, count(*) FILTER (evaluation = 'correct') AS correct, count(*) FILTER (evaluation = 'partial') AS partial,
     count(*) FILTER (evaluation = 'incorrect') AS incorrect, count(*) FILTER (evaluation = 'not_attempted') AS not_attempted, count(*) FILTER (edited) AS edited FROM r GROUP BY 1, 2),
-h AS (SELECT paper_id, student_ix, question_no, 'Q' || question_no || ' · ' || CAST(round_even(marks, 0) AS INT) || '/' || CAST(max_marks AS INT) || ' marks · ' ||
-    CASE evaluation WHEN 'correct' THEN 'Correct' WHEN 'partial' THEN 'Partially correct' WHEN 'incorrect' THEN 'Incorrect' ELSE 'Not attempted' END
-    || CASE WHEN edited THEN ' · edited by teacher' ELSE '' END AS heading FROM r)"""
-_R = _R.replace("CAST(round_even(marks, 0) AS INT)", "printf('%.0f', CAST(CAST(marks AS DECIMAL(20, 9)) AS DECIMAL(20, 0)))")
+h AS (SELECT paper_id, student_ix, question_no, {_heading('question_no', "CASE WHEN marks IS NULL AND question_no % 2 = 0 THEN 'unanswered' END")} AS heading FROM r)"""
 _K = "paper_id, student_ix, question_no"
 _READY = "(SELECT DISTINCT paper_id, student_ix FROM grades_in WHERE (paper_id + student_ix) % 7 <> 0)"
-_REP = f"""{with_inputs('grades_in')}, rp AS (SELECT {_K}, evaluation, marks, CAST(question_no AS VARCHAR) AS q,
-  CAST(CAST(CASE WHEN question_no % 2 = 0 THEN marks * 2 ELSE marks END AS INT) AS VARCHAR) AS m, CASE WHEN question_no % 2 = 0 THEN '85' ELSE '0.4' END AS c,
-  CASE WHEN evaluation = 'incorrect' THEN 'Not Attempted' ELSE upper(evaluation) END AS e FROM grades_in WHERE question_no % 3 <> 0),
-gr AS (SELECT paper_id, student_ix, question_no, CAST(m AS DOUBLE) AS reply_marks, CASE WHEN c = '85' THEN 0.85 ELSE 0.4 END::DOUBLE AS reply_confidence,
-  CASE WHEN e = 'Not Attempted' THEN 'not_attempted' ELSE lower(e) END AS reply_evaluation FROM rp)"""
+_PIECES = """'{"grades":[{"questionId":99,"marksObtained":1},{"questionId":' || question_no || ',"marksObtained":0,"evaluation":"correct"},{"questionId":' || question_no
+    || ',"marksObtained":"' || m || '"' || CASE question_no % 3 WHEN 1 THEN ',"maxMarks":60' WHEN 2 THEN ',"maxMarks":"0"' ELSE '' END
+    || CASE WHEN question_no % 2 = 1 THEN ',"feedback":" Look at line ' || question_no || ' "' ELSE '' END || CASE WHEN question_no % 5 = 0 THEN ',"requiresReview":true' ELSE '' END
+    || ',"confidence":' || c || ',"evaluation":"' || e || '"}]}'"""
+_REP = f"""{with_inputs('grades_in')}, rp AS (SELECT *, CAST(CAST(CASE WHEN question_no % 2 = 0 THEN marks * 2 ELSE marks END AS INT) AS VARCHAR) AS m,
+  CASE WHEN question_no % 2 = 0 THEN '85' ELSE '0.4' END AS c, CASE WHEN evaluation = 'incorrect' THEN 'Not Attempted' ELSE upper(evaluation) END AS e,
+  greatest(1, CASE question_no % 3 WHEN 1 THEN 60 WHEN 2 THEN 0 ELSE coalesce(printed_marks, 1) END)::DOUBLE AS top FROM grades_in),
+gr AS (SELECT paper_id, student_ix, question_no, least(top, greatest(0, CAST(m AS DOUBLE))) AS marks, top AS max_marks,
+  CASE WHEN e = 'Not Attempted' THEN 'not_attempted' ELSE lower(e) END AS evaluation,
+  CASE WHEN question_no % 2 = 1 THEN 'Look at line ' || question_no ELSE 'No feedback was generated.' END AS feedback,
+  CASE WHEN c = '85' THEN 0.85 ELSE 0.4 END::DOUBLE AS confidence, requires_review OR question_no % 5 = 0 AS requires_review FROM rp)"""
+_S = "paper_id, student_ix"
+_FULL = f"""{_BASE.replace(with_inputs('questions_in', 'answers_in'), with_inputs('questions_in', 'answers_in', 'sheet_grades_in', 'sheet_edits_in'), 1)},
+mp AS (SELECT * FROM final WHERE student_ix <> 2 OR q_ord % 3 <> 2),
+md AS (SELECT paper_id, q_ord, 'because' AS model_answer, ['a', CAST(marks AS VARCHAR), 'c', 'd', 'e'] AS key_points FROM q WHERE marks > 2 AND q_ord % 3 <> 1),
+fq AS (SELECT s.paper_id, s.student_ix, q.q_ord, q.label, q.text, q.section, q.marks AS printed_marks, mp.a_ord, coalesce(mp.confidence, 0) AS match_confidence,
+    coalesce(mp.band, 'none') AS band, coalesce(mp.status, 'unanswered') AS status, coalesce(mp.methods, []) AS methods,
+    coalesce(mp.reasons, ['No mapping was produced for this question.']) AS reasons, a.text AS answer_text, coalesce(list_sort(list_distinct(a.pages)), []) AS pages,
+    g.marks, g.max_marks, g.evaluation, g.feedback, g.grade_confidence AS confidence, g.requires_review, md.model_answer, md.key_points, ed.edit_marks, ed.edit_feedback
+  FROM sheets s JOIN q USING (paper_id) LEFT JOIN mp ON mp.paper_id = s.paper_id AND mp.student_ix = s.student_ix AND mp.q_ord = q.q_ord
+    LEFT JOIN a ON a.paper_id = s.paper_id AND a.student_ix = s.student_ix AND a.a_ord = mp.a_ord
+    LEFT JOIN sheet_grades_in g ON g.paper_id = s.paper_id AND g.student_ix = s.student_ix AND g.q_ord = q.q_ord
+    LEFT JOIN md ON md.paper_id = s.paper_id AND md.q_ord = q.q_ord
+    LEFT JOIN sheet_edits_in ed ON ed.paper_id = s.paper_id AND ed.student_ix = s.student_ix AND ed.q_ord = q.q_ord),
+{_in_force('fq', 'fr', f"{_S}, q_ord, label, text, section, printed_marks, a_ord, match_confidence, band, status, methods, reasons, answer_text, pages, len(pages) > 1 AS multi_page, model_answer, key_points")},
+lb AS (SELECT *, regexp_replace(label, '[.:]$', '') AS plain, regexp_replace(label, '[.:]$', '') || ' — ' || substring(text, 1, 90) AS item FROM fr),
+rv AS (SELECT {_S}, coalesce(list(item ORDER BY q_ord) FILTER (evaluation = 'correct'), [])[1:4] AS strengths,
+    coalesce(list(item ORDER BY q_ord) FILTER (evaluation <> 'correct'), CASE WHEN student_ix % 2 = 0 THEN ['Show the steps', 'Units'] ELSE [] END)[1:4] AS improvements FROM lb GROUP BY 1, 2)"""
+_NUM = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+_REPORT = f"""{_FULL}, sc AS (SELECT {_S}, sum(marks) AS got, sum(max_marks) AS top, count(*) FILTER (evaluation = 'correct') AS c1, count(*) FILTER (evaluation = 'partial') AS c2,
+    count(*) FILTER (evaluation = 'incorrect') AS c3, count(*) FILTER (evaluation = 'not_attempted') AS c4, count(*) FILTER (edited) AS c5 FROM lb GROUP BY 1, 2),
+sp AS (SELECT *, CAST(floor(CASE WHEN top > 0 THEN got / top * 100 ELSE 0 END + 0.5) AS BIGINT) AS pc FROM sc),
+hd AS (SELECT {_S}, list_filter(['EVALUATION REPORT', 'Student ' || (student_ix + 1), 'paper_' || paper_id || '.pdf',
+    CASE WHEN got IS NULL THEN 'Automatic evaluation did not run for this student, so no marks were awarded.' ELSE {_NUM('got')} || ' / ' || {_NUM('top')} END,
+    CASE WHEN got IS NOT NULL THEN pc || '%   Grade ' || CASE WHEN pc >= 90 THEN 'A+   Outstanding' WHEN pc >= 80 THEN 'A   Excellent' WHEN pc >= 70 THEN 'B   Good'
+      WHEN pc >= 60 THEN 'C   Fair' WHEN pc >= 40 THEN 'D   Needs work' ELSE 'E   Needs support' END END,
+    CASE WHEN got IS NOT NULL THEN 'Correct ' || c1 || '  ·  Partial ' || c2 || '  ·  Incorrect ' || c3 || '  ·  Unanswered ' || c4 END,
+    CASE WHEN got IS NOT NULL AND c5 > 0 THEN c5 || CASE WHEN c5 = 1 THEN ' question' ELSE ' questions' END || ' reviewed and adjusted by the teacher.' END,
+    'Question-wise evaluation'], lambda x: x IS NOT NULL) AS head FROM sp),
+ql AS (SELECT {_S}, flatten(list(list_filter([{_heading('plain', 'status')}, text,
+    CASE WHEN coalesce(answer_text, '') <> '' THEN 'Answer: ' || regexp_replace(answer_text, '\\n+', ' ', 'g') ELSE 'Answer: not found on the sheet.' END,
+    CASE WHEN feedback <> '' THEN 'Feedback: ' || feedback END], lambda x: x IS NOT NULL) ORDER BY q_ord)) AS body FROM lb GROUP BY 1, 2),
+al AS (SELECT {_S}, list_concat(list_concat(head, body), list_concat(['Strengths'], list_concat(
+    CASE WHEN len(strengths) > 0 THEN list_transform(strengths, lambda x: '•  ' || x) ELSE ['No question was fully correct.'] END, list_concat(['Areas to improve'], list_concat(
+    CASE WHEN len(improvements) > 0 THEN list_transform(improvements, lambda x: '•  ' || x) ELSE ['Nothing outstanding — every question scored full marks.'] END,
+    CASE WHEN student_ix = 1 THEN ['Overall feedback', 'A good start.'] ELSE [] END))))) AS lines FROM hd JOIN ql USING ({_S}) JOIN rv USING ({_S}))"""
 ORACLES = {
     "latest_review_edits": f"{_R} SELECT * FROM led",
     "edit_overlay": f"{_R} SELECT * FROM r",
@@ -232,35 +337,35 @@ ORACLES = {
   WHEN percentage >= 70 THEN 'B Good' WHEN percentage >= 60 THEN 'C Fair' WHEN percentage >= 40 THEN 'D Needs work' ELSE 'E Needs support' END AS band FROM s""",
     "verdict_tallies": f"{_R} SELECT * FROM v",
     "class_rollup": f"{_R} SELECT paper_id, student_ix, sum(marks) AS marks, count(*) AS n FROM r GROUP BY ROLLUP (paper_id, student_ix)",
-    "strengths_top4": f"{_R} SELECT {_K} FROM r WHERE evaluation = 'correct' QUALIFY row_number() OVER (PARTITION BY paper_id, student_ix ORDER BY question_no) <= 4",
-    "improvements_top4": f"{_R} SELECT {_K} FROM r WHERE evaluation <> 'correct' QUALIFY row_number() OVER (PARTITION BY paper_id, student_ix ORDER BY question_no) <= 4",
+    "strengths_top4": f"{_FULL} SELECT {_S}, strengths FROM rv",
+    "improvements_top4": f"{_FULL} SELECT {_S}, improvements FROM rv",
     "grades_in_printed_order": f"{with_inputs('grades_in')} SELECT {_K}, row_number() OVER (PARTITION BY paper_id, student_ix ORDER BY question_no) AS place FROM grades_in",
     "report_heading": f"{_R} SELECT * FROM h",
-    "write_report_rows": f"""{_R} SELECT paper_id, student_ix, -2 AS line, printf('Score %.0f/%.0f (%d%%)', CAST(CAST(marks_obtained AS DECIMAL(20, 9)) AS DECIMAL(20, 0)), max_marks, percentage) AS text FROM s
-UNION ALL SELECT paper_id, student_ix, -1, printf('%d correct, %d partial, %d incorrect, %d edited', correct, partial, incorrect, edited) FROM v
-UNION ALL SELECT paper_id, student_ix, question_no, heading FROM h""",
-    "filter_rows": f"""{_R}, st AS (SELECT *, CASE WHEN marks = 0 THEN 'unanswered' WHEN requires_review THEN 'needs_review' ELSE 'matched' END AS status FROM r)
+    "write_report_rows": f"{_REPORT} SELECT {_S}, CAST(generate_subscripts(lines, 1) - 1 AS BIGINT) AS line, unnest(lines) AS text FROM al",
+    "filter_rows": f"""{_R}, st AS (SELECT *, CASE WHEN coalesce(marks, 0) = 0 THEN 'unanswered' WHEN requires_review THEN 'needs_review' ELSE 'matched' END AS status FROM r)
 SELECT 'answered' AS tab, {_K} FROM st WHERE status = 'matched' UNION ALL SELECT 'unanswered', {_K} FROM st WHERE status = 'unanswered'
 UNION ALL SELECT 'review', {_K} FROM st WHERE status = 'needs_review' UNION ALL SELECT 'edited', {_K} FROM st WHERE edited""",
     "filter_counts": f"""{_R} SELECT paper_id, count(*) AS all_rows, count(*) FILTER (marks > 0) AS answered, count(*) FILTER (marks = 0) AS unanswered,
   count(*) FILTER (requires_review) AS review, count(*) FILTER (edited) AS edited FROM r GROUP BY 1""",
-    "search_rows": f"{_R} SELECT {_K} FROM r WHERE contains(lower('Q' || question_no || ' ' || evaluation || ' ' || coalesce(feedback, '')), 'me about 1')",
+    "search_rows": " UNION ALL ".join(
+        f"SELECT {lit(n)} AS needle, {_S}, q_ord FROM ({_FULL} SELECT * FROM fr) WHERE contains(lower(concat_ws(' ', coalesce(label, ''), coalesce(text, ''), coalesce(section, ''), coalesce(answer_text, ''), coalesce(feedback, ''))), {lit(n.strip().lower())})"
+        for n in _NEEDLES
+    ),
     "flatten_review_edits": f"{_R} SELECT *, edit_marks IS NOT NULL OR edit_feedback IS NOT NULL AS has_edit FROM led",
     "publish_still_valid": f"""{_R}, p AS (SELECT student_ix, max(seq) FILTER (kind = 'publish') AS p, max(seq) FILTER (kind <> 'publish') AS e FROM review_edits_in GROUP BY 1)
 SELECT student_ix, coalesce(e, -1) < p AS valid FROM p WHERE p IS NOT NULL""",
     "publish_record": f"{_R} SELECT paper_id, list(DISTINCT student_ix ORDER BY student_ix) AS student_ids, bool_or(edited) AS includes_teacher_edits FROM r GROUP BY 1",
     "ready_students": f"{with_inputs('grades_in')} SELECT * FROM {_READY} AS x",
-    "write_published_snapshot": f"{_R} SELECT {_K}, marks, evaluation FROM r SEMI JOIN {_READY} AS x USING (paper_id, student_ix)",
-    "repair_json_payload": f"""{_REP} SELECT {_K}, '{{"grades":[{{"questionId":' || q || ',"marksObtained":"' || m || '","confidence":' || c || ',"evaluation":"' || e || '"}}]}}' AS payload FROM rp""",
+    "write_published_snapshot": f"""{_R} SELECT {_K}, marks, evaluation, (SELECT coalesce(max(seq), 0) FROM review_edits_in WHERE kind = 'publish') AS publish_seq
+FROM r SEMI JOIN {_READY} AS x USING (paper_id, student_ix)""",
+    "repair_json_payload": f"{_REP} SELECT {_K}, {_PIECES} AS payload FROM rp",
     "grade_rows": f"{_REP} SELECT * FROM gr",
     "coerce_fields": f"""{with_inputs('events_k')} SELECT event_id, CAST(k AS DOUBLE) AS number, greatest(0, least(1, CASE WHEN k > 1 THEN k / 100.0 ELSE coalesce(k, 0.5) END))::DOUBLE AS confidence,
   event_type = 'click' AS flag FROM events_k""",
     "to_evaluation": f"""{with_inputs('grades_in')} SELECT {_K}, CASE WHEN marks % 5 = 0 THEN 'not_attempted' WHEN marks % 5 = 1 THEN 'partial' ELSE evaluation END AS evaluation FROM grades_in""",
-    "merge_grades": f"""{_REP}, q AS (SELECT {_K}, question_no % 4 <> 0 AS att, requires_review AS nr FROM grades_in)
-SELECT {_K}, CASE WHEN att AND reply_marks IS NOT NULL THEN greatest(0, least(reply_marks, 50)) ELSE 0 END AS marks, 50::DOUBLE AS max_marks,
-  CASE WHEN NOT att THEN 'not_attempted' ELSE coalesce(reply_evaluation, 'partial') END AS evaluation,
-  CASE WHEN NOT att THEN 1 ELSE coalesce(reply_confidence, 0) END::DOUBLE AS confidence, att AND (reply_marks IS NULL OR nr) AS requires_review
-FROM q LEFT JOIN gr USING (paper_id, student_ix, question_no)""",
-    "assessment_rows": f"""{_R}, grid AS (SELECT * FROM (SELECT DISTINCT paper_id, question_no FROM grades_in) JOIN (SELECT DISTINCT paper_id, student_ix FROM grades_in) USING (paper_id))
-SELECT {_K}, coalesce(marks, 0) AS marks, coalesce(evaluation, 'not_attempted') AS evaluation, coalesce(edited, false) AS edited FROM grid LEFT JOIN r USING (paper_id, student_ix, question_no)""",
+    "merge_grades": f"""{_REP}, qs AS (SELECT {_K}, printed_marks, question_no % 4 <> 0 AS att, requires_review AS nr FROM grades_in), rr AS (SELECT * FROM gr WHERE question_no % 3 <> 0)
+SELECT {_K}, CASE WHEN att AND rr.marks IS NOT NULL THEN rr.marks ELSE 0 END AS marks, CASE WHEN att AND rr.marks IS NOT NULL THEN rr.max_marks ELSE coalesce(printed_marks, 1) END::DOUBLE AS max_marks,
+  CASE WHEN NOT att THEN 'not_attempted' ELSE coalesce(rr.evaluation, 'partial') END AS evaluation, CASE WHEN NOT att THEN 1 ELSE coalesce(rr.confidence, 0) END::DOUBLE AS confidence,
+  att AND (rr.marks IS NULL OR nr OR rr.requires_review) AS requires_review FROM qs LEFT JOIN rr USING (paper_id, student_ix, question_no)""",
+    "assessment_rows": f"{_FULL} SELECT * REPLACE (md5(text) AS text, md5(answer_text) AS answer_text) FROM fr",
 }

@@ -52,7 +52,7 @@ SELECT paper_id, student_ix, question_no, marks, max_marks, evaluation, requires
   SELECT l_orderkey AS paper_id, l_suppkey % 20 AS student_ix, CAST(l_linenumber AS BIGINT) AS question_no, CAST(l_quantity AS DOUBLE) AS marks,
     CAST(50 AS DOUBLE) AS max_marks, CASE l_returnflag WHEN 'A' THEN 'correct' WHEN 'N' THEN 'incorrect' ELSE 'partial' END AS evaluation,
     l_partkey % 7 = 0 AS requires_review, CASE WHEN l_partkey % 3 > 0 THEN CAST(5 + l_partkey % 50 AS BIGINT) END AS printed_marks,
-    CASE WHEN l_linestatus = 'O' THEN concat('see line ', CAST(l_linenumber AS STRING)) END AS feedback, CAST((l_partkey % 100) / 100.0 AS DOUBLE) AS confidence,
+    CASE WHEN l_returnflag = 'N' THEN concat('see line ', CAST(l_linenumber AS STRING)) END AS feedback, CAST((l_partkey % 100) / 100.0 AS DOUBLE) AS confidence,
     row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 20, l_linenumber
       ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice) AS rn
   FROM lineitem) AS g WHERE rn = 1"""),

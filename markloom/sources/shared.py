@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once and read back: what is used several times is computed once, and its plan stays
-    short. The folder is spark.checkpoint.dir, or a temporary one where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session gets a temporary one; on a
+    cluster that is an error, for executors do not see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="markloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read back: what is used several times is computed once, and
+    its plan stays short."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def publish(df: DataFrame, stamp: int) -> DataFrame:
+    """The rows of ``df`` frozen under ``publish_seq``: written once, a folder per publication, and read back. An empty table
+    is published as one."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/publish_seq={stamp}")
+    return spark.read.schema(f"{_ddl(df)}, publish_seq long").parquet(path)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
