@@ -45,3 +45,33 @@ def test_stages(spark, tmp_path):
     assert {i: t for i, t in seen["secrets"].items() if i != 202} == {i: rows[i][1] for i in clean}
     last = pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in last} == clean | {202} and all(r.round_trip and r.parity for r in last)
+
+
+ODD = [
+    (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, " \n ", None, "s", 3), (None, "no id here but words", "en", "s", 20), (None, "no id here but words", "en", "s", 20),
+    (5, "one text", "en", "a", 8), (5, "another text entirely", "en", "b", 21), (5, "one text", "en", "a", 8), (6, "word " * 30000, "en", "s", 150000), (7, "one text", "de", "s", 8),
+]
+
+
+@pytest.mark.skipif(not os.path.exists(sentencepiece.MODEL_PATH), reason="no model file")
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, several texts under one id, other columns."""
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a benchmark passage of some words that no document of this table has")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(ODD, SCHEMA).selectExpr("*", "1 AS score", "'x' AS secrets", "2 AS hits", "3 AS _row")
+    for name, stage in pipeline.STAGES:
+        rows = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == rows.columns and empty.count() == 0
+        got = rows.collect()
+        if name == "sentencepiece":
+            assert len(got) == len(ODD) and all(r.parity for r in got)
+            continue
+        assert rows.columns == list(pipeline.COLUMNS)
+        want = {
+            "quality": ODD,  # without labels nothing is rejected
+            "near_duplicates": [*ODD[:3], ODD[3], ODD[5], ODD[6], ODD[8]],
+            "decontamination": ODD,
+            "secrets": [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s, _ in ODD],
+        }[name]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
