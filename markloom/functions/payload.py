@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from markloom.functions.labels import strip
+from markloom.functions.labels import let, strip
 
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
@@ -13,7 +13,8 @@ FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 def balanced_json(text: Column) -> Column:
     """The first balanced object or array of a text, brackets inside quoted strings not counted; null if there is none.
 
-    A fold over the characters from the first opener: state is (depth, in string, after a backslash, end)."""
+    A fold over brackets, quotes, backslashes, and the runs between them, from the first opener: state is (depth, in string,
+    after a backslash, place, end)."""
     start = F.least(*(F.when(F.locate(c, text) > 0, F.locate(c, text)) for c in "{["))
     tail = F.substring(text, start, F.length(text))
     zero = F.struct(
@@ -28,12 +29,12 @@ def balanced_json(text: Column) -> Column:
                 depth.alias("depth"),
                 F.when((c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
                 (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
-                (s["at"] + 1).alias("at"),
+                (s["at"] + F.length(c)).alias("at"),
                 F.when(closed, s["at"] + 1).otherwise(0).alias("end"),
             )
         )
 
-    end = F.aggregate(F.split(tail, ""), zero, step)["end"]
+    end = F.aggregate(F.regexp_extract_all(tail, F.lit(r'(["\\{}\[\]]|[^"\\{}\[\]]+)'), F.lit(1)), zero, step)["end"]
     return F.when(end > 0, F.substring(tail, F.lit(1), end))
 
 
@@ -43,7 +44,7 @@ def repair_json(text: Column) -> Column:
     fenced = F.regexp_extract(text, FENCE, 1)
     bare = strip(F.when(fenced != "", fenced).otherwise(text))
     parses = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"^\s*[\[{]"), t)
-    return F.coalesce(parses(bare), parses(balanced_json(bare)))
+    return let(bare, lambda t: F.coalesce(parses(t), let(balanced_json(t), parses)))
 
 
 def as_number(value: Column) -> Column:

@@ -53,6 +53,7 @@ def inline_parts(text: Column) -> Column:
     """The line cut where a further question starts: at a number token before a capital or bracket that follows white
     space and an ended sentence or note. Each piece is trimmed; empty ones are dropped."""
     pieces = F.split(strip(text), rf"(?<=\s)(?={INLINE})")
+    # Fixed value: a note of marks that may stand between two questions.
     note = r"(?i)\s*(?:\[\s*\d{1,3}\s*(?:marks?|m)?\s*\]|\(\s*\d{1,3}\s*marks?\s*\))\s*$"
 
     def ended(before: Column) -> Column:
@@ -74,9 +75,8 @@ def inline_parts(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of [a-z0-9] longer than two characters that are no stop words, repeats kept."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+")
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*STOPWORDS))
 
 
 def student_name(file_name: Column, index: Column) -> Column:
