@@ -2,17 +2,20 @@
 
 The model file's protobuf is parsed here; normaliser (character map, white-space rules, dummy prefix), metaspace
 marker, piece scores and byte fallback are rebuilt as a ``tokenizers.Tokenizer``. A unigram model keeps its scores;
-a BPE model's scores are the order of its merges. Whole normalised texts are encoded in multithreaded batches, and
-the sentencepiece library encodes the raw texts beside it: ``parity`` tells whether both give the same ids, so a
-fault of the character map, the white-space rules, the marker or the merges would show."""
+a BPE model's scores are the order of its merges. Whole normalised texts are encoded in batches, by as many threads as
+the task has cores (spark.task.cpus), and the sentencepiece library encodes the raw texts beside it: ``parity`` tells
+whether both give the same ids, so a fault of the character map, the white-space rules, the marker or the merges would
+show."""
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from markloom.llm.common import arrow_pass, steps
@@ -177,6 +180,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, chars_per_step: int =
     sent = docs.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(TaskContext.get().cpus()))  # threads of a batch: the task's own cores
         encoder = _encoder(sent.value)
         for batch in batches:
             ids, same, back = [], [], []
