@@ -27,6 +27,24 @@ def test_layout_reads_every_line_of_a_long_document(spark, tables):
     assert {(r.doc_id, r.page) for r in R.segment_pages(spark, folder).select("doc_id", "page").collect()} >= {(1, 0), (1, 1), (1, 2)}
 
 
+def test_ruled_lines_are_found_on_every_page(spark, tables):
+    from markloom.plans.reply_queries import suppress_rules
+
+    folder = tables(documents=([(1, "\n".join(["some words here"] * 250)), (2, "short\ntext")], "doc_id long, text string"))
+    rows = suppress_rules(spark, folder).collect()
+    assert sorted((r.doc_id, r.page) for r in rows) == sorted([(1, 0), (1, 1), (2, 0)] * 3)
+    assert all(r.x1 - r.x0 > 90 for r in rows)
+
+
+def test_published_snapshot_is_frozen(spark, tmp_path):
+    from markloom.sources.shared import publish
+
+    rows = spark.createDataFrame([(1, 0, 2.0), (1, 1, None)], "paper_id long, student_ix long, marks double")
+    got = publish(rows, 7)
+    assert got.columns[-1] == "publish_seq" and sorted(map(tuple, got.collect())) == [(1, 0, 2.0, 7), (1, 1, None, 7)]
+    assert publish(rows.limit(0), 8).count() == 0
+
+
 def test_term_weights_cover_both_sides(spark, tables):
     import math
 
@@ -39,7 +57,7 @@ def test_term_weights_cover_both_sides(spark, tables):
         ("a", 1, "apple"): 2 / 3 * two, ("a", 1, "banana"): 1 / 3 * one, ("a", 21, "cherry"): two,
         ("q", 7, "apple"): two / 2, ("q", 7, "cherry"): two / 2,
     }
-    assert got == {(1, *k): pytest.approx(v, abs=1e-8) for k, v in want.items()}
+    assert got == {(0, *k): pytest.approx(v, abs=1e-8) for k, v in want.items()}  # both documents are on sheet 0
 
 
 def test_merged_structure_keeps_whole_texts(spark, tables):
