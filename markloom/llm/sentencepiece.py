@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -183,18 +185,18 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, chars_per_step: int =
         os.environ.setdefault("RAYON_NUM_THREADS", str(TaskContext.get().cpus()))  # threads of a batch: the task's own cores
         encoder = _encoder(sent.value)
         for batch in batches:
-            ids, same, back = [], [], []
+            ids, ends, same, back = array("i"), [0], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in steps(texts, chars_per_step):
                 for text, (own, ok) in zip(part, encoder.encode_batch(part), strict=True):
-                    ids.append(own)
+                    ids.extend(own)
+                    ends.append(len(ids))
                     same.append(ok)
                     back.append(encoder.decode(own) == text)
+            ends = np.array(ends, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(ids, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                    pa.array(back, pa.bool_()), pa.array(same, pa.bool_()),
-                ],
+                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(back, pa.bool_()), pa.array(same, pa.bool_())],
                 ["doc_id", "n_tokens", "ids", "round_trip", "parity"],
             )
 
