@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from markloom.llm import chat, decontamination, fingerprints, html, licenses, lm_scoring, ngram_join, quality, secrets, sentencepiece
+from markloom.llm import chat, decontamination, fingerprints, html, licenses, lm_scoring, ngram_join, quality, secrets, sentencepiece, simhash
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
