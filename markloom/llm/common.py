@@ -42,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: cuts the lineage, and is computed once."""
     spark = df.sparkSession

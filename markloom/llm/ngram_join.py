@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import alnum_words, arrow_pass, materialize
+from markloom.llm.common import alnum_words, arrow_pass, free_name, materialize
 from markloom.llm.graph import connected_components, hub_join
 
 SHINGLE = 5
@@ -341,11 +341,12 @@ def keep_first(
     Rows without words (null and empty texts too) have no duplicates and are all kept. Different texts under one
     doc_id are rows of their own. An empty table gives no rows."""
     _, per_key, _ = classes(docs.select("doc_id", "text"), shingle, threshold, recall, hashes, block)
-    first = per_key.select(F.col("first").alias("_row")).distinct()
+    row = free_name(docs, "_row")
+    first = per_key.select(F.col("first").alias(row)).distinct()
     has_words = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
     least = (
-        docs.where(has_words).withColumn("_row", row_key()).join(first, "_row", "left_semi")
-        .groupBy("_row").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_least")).select("_least.*")
+        docs.where(has_words).withColumn(row, row_key()).join(first, row, "left_semi")
+        .groupBy(row).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(f"{row}_least")).select(f"{row}_least.*")
     )
     return least.unionByName(docs.where(~has_words))
 
