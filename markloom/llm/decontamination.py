@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import alnum_words, arrow_pass, materialize
+from markloom.llm.common import alnum_words, arrow_pass, free_name, materialize
 
 WINDOW = 10
 SCHEMA = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
@@ -106,14 +106,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def lots_of(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
-    """The benchmark's items (item_id as text, text) in lots of about ``block_words`` words."""
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def lots_of(benchmark: DataFrame, block_words: int, window: int) -> list[DataFrame]:
+    """The benchmark's items (item_id as text, text) in lots of about ``block_words`` words. An item of more words is cut
+    into parts that share ``window`` - 1 words, so each of its windows lies whole in one part."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    size = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))  # at most two more than its words
-    n = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    words = F.filter(F.split("text", SEPARATORS), lambda w: w != "")
+    sized = items.select("*", F.size(words).alias("n"))
+    n = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     n_lots = max(1, -(-n // block_words))
+    if n_lots == 1:
+        return [items]
+    step = max(block_words, window)
+    last = F.greatest(F.col("n") - window, F.lit(0))
+    parts = (
+        sized.withColumn("words", F.when(F.col("n") > step, words))
+        .withColumn("at", F.explode(F.when(F.col("n") > step, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array(F.lit(0)))))
+        .select("item_id", F.when(F.col("n") > step, F.array_join(F.slice("words", F.col("at") + 1, F.lit(step + window - 1)), " ")).otherwise(F.col("text")).alias("text"))
+    )
     lot = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_lots))
-    return [items.where(lot == i) for i in range(n_lots)] if n_lots > 1 else [items]
+    return [parts.where(lot == i) for i in range(n_lots)]
 
 
 def _search(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
@@ -148,13 +162,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     digest. An empty benchmark hits nothing. Columns of ``docs`` pass through unchanged, but for those named like the
     added ones, which the result replaces. An empty table gives no rows."""
     docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "hits", "items")
-    lots = lots_of(benchmark, block_words)
+    lots = lots_of(benchmark, block_words, window)
     if len(lots) == 1:
         found = _search(docs, lots[0], window)
     else:
-        rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-        passes = [materialize(_search(rows.select("_row", "text"), lot, window).drop("text").where(F.size("hits") > 0)) for lot in lots]
-        parts = reduce(DataFrame.unionByName, passes).groupBy("_row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        row = free_name(docs, "_row")
+        rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+        passes = [materialize(_search(rows.select(row, "text"), lot, window).drop("text").where(F.size("hits") > 0)) for lot in lots]
+        parts = reduce(DataFrame.unionByName, passes).groupBy(row).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
         plain = _search(rows, lots[0].limit(0), window).drop("hits", "items")
         # spans of several lots may overlap: keep the parts of each that reach beyond those before it
         joined = F.aggregate(
@@ -165,8 +180,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         )
         none = F.array().cast("array<string>")
         found = (
-            plain.join(parts, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:int,end:int>>")))
-            .withColumn("hits", joined).withColumn("items", F.sort_array(F.array_distinct(F.coalesce("items", none)))).drop("_row")
+            plain.join(parts, row, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:int,end:int>>")))
+            .withColumn("hits", joined).withColumn("items", F.sort_array(F.array_distinct(F.coalesce("items", none)))).drop(row)
         )
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
     named = F.filter("items", lambda i: i.isNotNull())
