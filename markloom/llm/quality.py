@@ -167,14 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1), m
     """Learn from labelled documents whose crc32(doc_id as text) modulo ``holdout[0]`` is not ``holdout[1]``.
 
     At most ``max_labelled`` texts, those with the least hash of id and text, and of these as many as have
-    ``max_passages`` passages together, are encoded on the executors and their features (not their texts) collected.
+    ``max_passages`` passages together, are encoded on the executors and their features (not their texts) collected. A
+    text that has more passages by itself is not learnt from; it does not keep others out.
     Labels that are null or have no id, and documents without a label, are not used; of contradicting labels of one
     document the greater counts; repeated rows count once. Without any usable label the model says 0.5."""
     named = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % holdout[0] != holdout[1]
     passages = F.greatest(F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE_BYTES), F.lit(1))
     texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest"), passages.alias("n"))
-    labelled = materialize(texts.join(named.where(fold), "doc_id").distinct())
+    labelled = materialize(texts.where(F.col("n") <= max_passages).join(named.where(fold), "doc_id").distinct())
     order = Window.orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest")  # over max_labelled rows at most
     chosen = (
         least_by_hash(labelled, ["doc_id", "digest"], max_labelled, labelled.count())
