@@ -24,15 +24,15 @@ from markloom.llm.common import arrow_pass
 # What HTML elements are.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol option p pre section select "
+    "figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe label legend li main menu nav ol option p pre section select "
     "summary table tbody td textarea tfoot th thead tr ul title head".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED_TAGS = frozenset("script style template title iframe".split())  # what stands in them is no text of the page
+DROPPED_TAGS = frozenset("script style template title iframe noscript svg".split())  # what stands in them is no text of the page
 REST_TAGS = frozenset("script style".split())  # without an end tag these go on to the page's end
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTEXTS = {"nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside": "aside", "form": "form", "dialog": "aside", "button": "form",
-            "fieldset": "form", "select": "form", "textarea": "form", "article": "main", "main": "main", "li": "list", "dd": "list", "dt": "list"}
+            "fieldset": "form", "select": "form", "textarea": "form", "label": "form", "article": "main", "main": "main", "li": "list", "dd": "list", "dt": "list"}
 NAMED = (
     ("ad", re.compile(r"(?<![a-z])(ads?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|doubleclick)(?![a-z])")),
     ("nav", re.compile(r"(?<![a-z])(nav\w*|menus?|breadcrumbs?|topbar|toolbar|pagination|pager|tags?|skip)(?![a-z])")),
@@ -46,6 +46,7 @@ NAMED = (
 ROLES = {"navigation": "nav", "banner": "head", "contentinfo": "foot", "complementary": "aside", "search": "form", "main": "main",
          "article": "main", "alert": "aside", "dialog": "aside", "form": "form", "menu": "nav"}
 COMMENT_TITLE = re.compile(r"(\d+ )?(reader |user )?(comments?|replies|responses|leave a (reply|comment)|join the discussion|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?", re.I)
+SIDES_NAMED = frozenset("nav head foot aside form ad comment".split())
 CONTEXT_NAMES = ("nav", "head", "foot", "aside", "form", "ad", "comment", "list", "main", "heading")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *CONTEXT_NAMES, "outside")
 
@@ -71,9 +72,10 @@ class Block:
 
 
 @lru_cache(maxsize=4096)
-def _contexts(tag: str, attributes: str) -> frozenset[str]:
-    """What the element's tag, role, and names of class and id tell."""
+def _contexts(tag: str, attributes: str) -> tuple[frozenset[str], frozenset[str]]:
+    """What the element's tag and role tell, and what its names of class and id do."""
     found = {CONTEXTS[tag]} if tag in CONTEXTS else set()
+    named = set()
     if tag in HEADINGS:
         found.add("heading")
     for m in ATTRIBUTE.finditer(attributes):
@@ -82,8 +84,8 @@ def _contexts(tag: str, attributes: str) -> frozenset[str]:
             found |= {ROLES[v] for v in value.split() if v in ROLES}
         elif tag not in ("body", "html", "article", "main"):
             for v in value.replace("_", "-").split():
-                found |= {name for name, pattern in NAMED if pattern.search(v)}
-    return frozenset(found)
+                named |= {name for name, pattern in NAMED if pattern.search(v)}
+    return frozenset(found), frozenset(named)
 
 
 def decoded(raw: str) -> str:
@@ -158,45 +160,69 @@ class _Outline:
     """Elements that tell something of the text in them, in the order of their start tags; the first is the page."""
 
     def __init__(self):
-        self.parent, self.own, self.mark, self.holds, self.words, self.blocks = [-1], [frozenset()], [""], [False], [0], [0]
+        none = frozenset()
+        self.parent, self.own, self.named, self.mark, self.holds = [-1], [none], [none], [""], [False]
+        self.words, self.blocks, self.plain = [0], [0], [0]  # ``plain``: words outside links
 
-    def add(self, parent: int, own: frozenset[str], mark: str) -> int:
-        """``mark``: the tag of an element for the page's main part, or empty."""
+    def add(self, parent: int, own: frozenset[str], named: frozenset[str], mark: str) -> int:
+        """``own``: told by tag and role; ``named``: by class and id; ``mark``: the tag of an element for the page's main part,
+        or empty."""
         up = parent
         while mark and up >= 0 and not self.holds[up]:
             self.holds[up] = True
             up = self.parent[up]
         self.parent.append(parent)
         self.own.append(own)
+        self.named.append(named)
         self.mark.append(mark)
         self.holds.append(False)
-        self.words.append(0)
-        self.blocks.append(0)
+        for counts in (self.words, self.blocks, self.plain):
+            counts.append(0)
         return len(self.own) - 1
 
+    def forgiven(self, part: list[int]) -> frozenset[str]:
+        """What names tell of most of the words outside links, in the page's main part or in a page without one, where hardly
+        any other text is left: it says nothing of them."""
+        hard, soft = [frozenset()], [frozenset()]
+        total = clean = 0
+        by_name: Counter[str] = Counter()
+        for i in range(len(self.own)):
+            if i:
+                hard.append(hard[self.parent[i]] | (self.own[i] if not self.holds[i] or self.mark[i] else frozenset()))
+                soft.append(soft[self.parent[i]] | (self.named[i] if not self.holds[i] or self.mark[i] else frozenset()))
+            if self.plain[i] and (part[i] or not self.holds[0]) and not hard[i] & SIDES_NAMED:
+                total += self.plain[i]
+                bad = soft[i] & SIDES_NAMED
+                clean += 0 if bad else self.plain[i]
+                for name in bad:
+                    by_name[name] += self.plain[i]
+        return frozenset(name for name, n in by_name.items() if 2 * n > total and 4 * clean < n)
+
     def settle(self) -> tuple[list[frozenset[str]], list[int]]:
         """What holds for the text in each element, and the main part that it stands in (0: none).
 
-        An element around the page's main part says nothing of it; in a page without one, nor does an element around
-        three blocks or more that has most of the page's words. An article inside another that has more text of its
-        own is a reader's."""
+        An element around the page's main part says nothing of it; in a page without one, nor does the tag of an element
+        around three blocks or more that has most of the page's words, nor do names that would leave hardly any text. An article
+        inside another that has more text of its own is a reader's."""
         n = len(self.own)
+        part = [0] * n
+        for i in range(1, n):
+            part[i] = i if self.mark[i] else part[self.parent[i]]
+        forgiven = self.forgiven(part)
         for i in range(n - 1, 0, -1):
             self.words[self.parent[i]] += self.words[i]
             self.blocks[self.parent[i]] += self.blocks[i]
-        part = [0] * n
         inner = [0] * n  # words of the main parts inside a main part
         for i in range(1, n):
-            part[i] = i if self.mark[i] else part[self.parent[i]]
             if self.mark[i]:
                 inner[part[self.parent[i]]] += self.words[i]
         told = [frozenset()]
         for i in range(1, n):
-            own, outer = self.own[i], part[self.parent[i]]
+            own, outer = self.own[i] | (self.named[i] - forgiven), part[self.parent[i]]
             if self.holds[i] and not self.mark[i]:
                 own = own & {"main"}
             elif not self.holds[0] and self.blocks[i] > 2 and 2 * self.words[i] > self.words[0]:
-                own = own & {"main", "list", "heading"}
+                own = (self.own[i] & {"main", "list", "heading"}) | (self.named[i] - forgiven)
             elif self.mark[i] == self.mark[outer] == "article" and self.words[outer] - inner[outer] > self.words[i]:
                 own = own | {"comment"}
             told.append(told[self.parent[i]] | own)
@@ -225,6 +251,7 @@ def flat_blocks(page: str) -> list[Block]:
                 linked = sum(_length(p.split(), p) for p, link in parts if link)
                 raw.append((text, n, min(linked, n), here))
                 outline.words[here] += n
+                outline.plain[here] += max(n - linked, 0)
                 outline.blocks[here] += 1
             parts = []
 
@@ -274,6 +301,8 @@ def flat_blocks(page: str) -> list[Block]:
             if tag in BLOCK_TAGS:
                 flush()
             end = ends.end_tag(tag, at)
+            if tag == "svg" and end >= 0 and page.find("<svg", at, end) >= 0:
+                end = -1  # of another drawing
             at = end if end >= 0 else len(page) if tag in REST_TAGS else at
             continue
         if tag in BLOCK_TAGS:
@@ -286,9 +315,9 @@ def flat_blocks(page: str) -> list[Block]:
             close("a")
         if tag in VOID_TAGS or (empty and tag not in BLOCK_TAGS):
             continue
-        own = _contexts(tag, attributes)
-        if own:
-            here = outline.add(here, own, tag if tag in ("article", "main") else "")
+        own, named = _contexts(tag, attributes)
+        if own or named:
+            here = outline.add(here, own, named, tag if tag in ("article", "main") else "")
         stack.append((tag, here))
         opened[tag] += 1
     if at < len(page):
@@ -376,7 +405,11 @@ LABELLED = [
     "<div class=cookie-notice>-W25</div><div class=topbar>-W4</div><div class=post><h2>+W5</h2><p>+W44</p><blockquote>+W20</blockquote><p>+W3</p></div><div class=comments><h3>-W2</h3><p>-W30</p><p>-W12</p></div>",
     "<article><h1>+W5</h1><p>+W33</p><div class=share><a>-W1</a><a>-W1</a></div><p>+W48</p><aside>-W18</aside><form><p>-W6</p></form><section class=comments><p>-W55</p></section></article>",
     "<article><h1>+W9</h1><div class=ad>-W15</div><p>+W25</p><nav><a>-W2</a></nav><p>+W2</p><footer>-W5</footer><header>-W4</header></article>",
+    "<article><header><h1>+W7</h1><p>-W5</p></header><h2>+<a>W4</a></h2><p>+W60</p><p>+<a>W12</a></p><ul><li>+<a>W5</a></li><li>+<a>W3</a></li><li>+W9</li></ul><p>+W40</p></article>",
+    "<header><h1>-W4</h1></header><article><header><h2>+W9</h2><p>-W3 <a>W2</a></p></header><p>+<a>W3</a></p><p>+W30</p><h3>+<a>W6</a></h3><p>+W22</p><ol><li>+<a>W8</a></li><li>+<a>W14</a></li></ol></article><footer>-W9</footer>",
+    "<main><h1>+<a>W5</a></h1><p>+<a>W20</a></p><p>+W35</p><ul><li>+<a>W2</a></li></ul><p>+W3 <a>W8</a></p></main><div><a>-W3</a></div><ul><li><a>-W4</a></li></ul>",
     "<main><div class=newsletter>-W22</div><p>+W64</p><div class=related><h3>-W2</h3><ul><li><a>-W7</a></li><li><a>-W6</a></li></ul></div><p>+W5</p></main>",
+    "<article><h1>+W1</h1><ul><li>+<a>W3</a></li><li>+<a>W2</a></li><li>+<a>W4</a></li><li>+<a>W1</a></li></ul></article><footer>-W5</footer>",
     "<table><tr><td>+W40</td></tr><tr><td>+W55</td></tr></table><div>-W2 <a>W2</a></div>",
     "<div><a>-W2</a></div><div><a>-W3</a></div><div>-W2</div><div><p>+W80</p><p>+W60</p><p>+W12</p><p>+W75</p></div><div><a>-W4</a></div><div>-W3</div>",
     "<p>-W2</p><h1>+W6</h1><p>+W40</p><p>+W30 <a>W3</a></p><p>+W18</p><p>+W50</p><p>-W1 <a>W2</a></p>",
@@ -395,7 +428,7 @@ SIDES = [
 PAGES = [
     "{side}<article><h1>+W6</h1><p>+{main}</p><p>+W{n}</p></article>{side}",
     "{side}<h1>+W6</h1><p>+{main}</p><p>+W{n}</p>{side}",
-    "<article><p>+{main}</p>{side}<p>+W{n}</p></article>",
+    "<article><p>+{main}</p>{inside}<p>+W{n}</p></article>",
     "<div><p>+{main}</p>{side}<p>+W{n}</p></div>",
 ]
 #: Pages whose tags and names tell nothing: menus and lists of links, single lines between them, and text. What such a
@@ -417,9 +450,14 @@ NAMELESS = [
 ]
 
 
+def _inside(side: str) -> str:
+    """A side block that stands in the article: links that nothing else tells of are the article's own."""
+    return side.replace("-{}", "+{}") if side in SIDES[-2:] else side
+
+
 def table() -> list[str]:
     made = [
-        page.format(side=side.format(f"W{a}"), main=f"W{b}", n=n)
+        page.format(side=side.format(f"W{a}"), inside=_inside(side).format(f"W{a}"), main=f"W{b}", n=n)
         for page in PAGES for side in SIDES for a, b, n in ((2, 30, 12), (9, 150, 40), (45, 16, 70), (20, 60, 1000))
     ]
     nameless = [

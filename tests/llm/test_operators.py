@@ -421,6 +421,84 @@ def test_pages_of_odd_making(page, want):
     assert html.main_text(page).split("\n\n")[-len(want):] == want[-len(want):]
 
 
+S = "word " * 9 + "end"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='review'><p>{A}</p><p>{A}</p></div><div class='review'><p>{A}</p><p>{A}</p></div>", [A] * 4),
+        (f"<div id=respond-article><p>{A}</p><p>{A}</p></div>", [A] * 2),
+        (f"<div class='sharing-economy'><p>{A}</p><p>{A}</p></div>", [A] * 2),
+        (f"<div class=cookie-notice>{S}</div><div class=reviews-page><h1>T of it</h1><p>{A}</p></div>", ["T of it", A]),
+        (f"<h1>T of it</h1><p>{A}</p><p>{A}</p><div class=comments>" + f"<p>{A}</p>" * 4 + "</div>", ["T of it", A, A]),
+        (f"<article><h1>T of it</h1><div class=review><p>{A}</p><p>{A}</p></div></article><footer>x</footer>", ["T of it", A, A]),
+        (f"<article><h1>T of it</h1><p>{A}</p><div class=comments><p>{A}</p><p>{A}</p></div></article>", ["T of it", A]),
+        (f"<form><div class=content><h1>T of it</h1><p>{A}</p><p>{A}</p></div></form>", ["T of it", A, A]),
+        (f"<article><h2><a href=x>{S}</a></h2><p>{A}</p><p><a href=y>{S}</a></p><ul><li><a>one two</a></li><li><a>three</a></li></ul><p>{A}</p></article>", [S, A, S, "one two", "three", A]),
+        (f"<main><h1><a>T</a></h1><p>{A}</p><p><a>{A}</a></p></main>", ["T", A, A]),
+        ("<article><h1>Links</h1><ul>" + "<li><a>one two three</a></li>" * 6 + "</ul></article>", ["Links", *["one two three"] * 6]),
+        (f"<article><p>{A}</p></article><ul><li><a>{S}</a></li><li><a>{S}</a></li></ul>", [A]),
+        (f"<article><p>{A}</p><nav><a>x</a><a>y z</a></nav><div class=share><a>tweet</a></div><p>{A}</p></article>", [A, A]),
+        (f"<header><h1>Site</h1></header><article><header><h1>Title here</h1><p>by me</p></header><p>{A}</p></article>", ["Title here", A]),
+        (f"<noscript>Please enable JavaScript</noscript><article><svg><text>draw</text></svg><p>{A}</p><noscript><img></noscript></article>", [A]),
+        (f"<article><p>{A}</p><label>Email</label><input></article><label>Name</label>", [A]),
+        (f"<div class='ad'>{S}</div><div class='post'><h1>T of it</h1><p>{A}</p></div><div class='ad'>{A}</div>", ["T of it", A]),
+    ],
+)
+def test_pages_with_hostile_names_and_links(page, want):
+    assert html.main_text(page).split("\n\n") == want
+
+
+def plain_blocks(page):
+    """Flat blocks of a well-formed page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.found, self.text, self.dropped = [], [], 0
+
+        def flush(self):
+            if (t := " ".join("".join(self.text).split())):
+                self.found.append(t)
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.BLOCK_TAGS:
+                self.flush()
+            if tag in html.DROPPED_TAGS:
+                self.dropped += 1
+            if tag == "br":
+                self.text.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in html.DROPPED_TAGS:
+                self.dropped -= 1
+            if tag in html.BLOCK_TAGS:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.dropped:
+                self.text.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    r.flush()
+    return r.found
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_blocks_of_a_table_against_a_plain_parser(spark):
+    """All text of every page, block by block; and of a main text all blocks stand among them, in order."""
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        want = plain_blocks(r.html)
+        assert [b.text for b in html.flat_blocks(r.html)] == want
+        rest = iter(want)
+        assert all(t in rest for t in html.main_text(r.html).split("\n\n"))
+
+
 @pytest.mark.parametrize("part", ["<a href='x>t ", "<span>", "</div></b>", '<a b="', "<p x='", "<script ", "<!--", "<", "<iframe>", '<a b="<', "<p a b c d='"])
 def test_pages_are_read_in_linear_time(part):
     began = time.process_time()
@@ -757,3 +835,51 @@ def test_components(spark):
 
 def test_shared_dir_is_read_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+# ---- names that clash
+
+
+INTERNAL = ("_row", "_row_", "row", "key", "hits", "items", "n_words", "score", "predicted", "secrets", "fp", "component", "item", "rank", "bucket", "piece", "fault", "edits", "_id", "_digest", "ids", "parity")
+
+
+def test_internal_names_as_extra_columns(spark):
+    from markloom.llm import lexical, repair, simhash
+
+    clash = lambda df, *own: df.select("*", *(F.lit("x").alias(n) for n in INTERNAL if n not in own))
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (3, "seven eight nine"), (None, None)]
+    plain = docs(spark, rows)
+    df = clash(plain)
+    items = clash(spark.createDataFrame([(1, "one two three"), (2, "seven eight nine")], "item_id long, text string"))
+    hit = decontamination.contamination(df, items, block_words=2)
+    assert {r.doc_id: (r.n_hit, r["_row"], r["_row_"], r["bucket"]) for r in hit.collect()} == {i: (n, "x", "x", "x") for i, n in ((1, 3), (2, 3), (3, 3), (None, 0))}
+    kept = ngram_join.keep_first(df).collect()
+    assert sorted((r.doc_id or 0, r["_row"], r["key"]) for r in kept) == [(i, "x", "x") for i in (0, 1, 3)]
+    assert sorted(map(str, simhash.near_duplicates(df).collect())) == sorted(map(str, simhash.near_duplicates(plain).collect()))
+    assert {(r.item_id, r.doc_id) for r in lexical.search_items(df, items).collect()} == {(1, 1), (1, 2), (2, 3)}
+    turns = spark.createDataFrame([(1, 0, "user", "a?", 1), (1, 1, "assistant", "b.", 1)], "conv_id long, turn long, role string, text string, n long")
+    assert [r.audit for r in repair.digest(repair.repair(clash(turns))).collect()] == ["KK"]
+    model = quality.fit(df, clash(spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
+    assert {r["secrets"] for r in quality.score(df, model).collect()} == {"x"}
+    assert {r["score"] for r in secrets.scan(df).collect()} == {"x"}
+
+
+def test_long_items_are_cut_into_parts(spark):
+    rng = random.Random(4)
+    item = prose(rng, 200)
+    w = item.split()
+    rows = [(i, " ".join([*prose(rng, 5).split(), *w[i : i + 12], *prose(rng, 5).split()])) for i in range(0, 188, 7)] + [(1000, " ".join(w[-10:])), (1001, " ".join(w[-9:]))]
+    benchmark = spark.createDataFrame([("b", item), ("c", "a b c")], "item_id string, text string")
+    parts = decontamination.lots_of(benchmark, 30, 10)
+    assert max(len(words(r["text"])) for p in parts for r in p.collect()) == 39
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in decontamination.contamination(docs(spark, rows), benchmark, block_words=30).collect()}
+    assert got == {i: brute_hits(t, [("b", item), ("c", "a b c")]) for i, t in rows}
+
+
+def test_quality_learns_beside_an_over_long_text(spark):
+    good, bad = "This is a clear sentence about rivers and towns. It tells what happened there. ", "zzz 111 $$$ click here buy buy "
+    rows = [(i, (good if i % 2 else bad) * 3) for i in range(60)] + [(1000 + i, bad * 20_000) for i in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1000 + i, 0) for i in range(3)], "doc_id long, quality int")
+    model = quality.fit(docs(spark, rows), labels, max_passages=100)
+    p = {r.doc_id: r.score for r in quality.score(docs(spark, [(1, good * 3), (2, bad * 3)]), model).collect()}
+    assert p[1] > 0.6 and p[2] < 0.4
