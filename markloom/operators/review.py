@@ -17,14 +17,12 @@ def to_evaluation(value: Column) -> Column:
 
 
 def latest_edits(edits: DataFrame) -> DataFrame:
-    """Last write per question by ``seq``; a revert leaves none. Holds in whatever order the writes arrive."""
+    """Last write per question of a sheet by ``seq``; a revert leaves none. Holds in whatever order the writes arrive."""
     last = (
-        edits.where("kind IN ('edit', 'revert')").groupBy("student_ix", "question_no")
+        edits.where("kind IN ('edit', 'revert')").groupBy(*ROW)
         .agg(F.max_by(F.struct("kind", "marks", "feedback"), "seq").alias("e"))
     )
-    return last.where("e.kind = 'edit'").select(
-        "student_ix", "question_no", F.col("e.marks").alias("edit_marks"), F.col("e.feedback").alias("edit_feedback")
-    )
+    return last.where("e.kind = 'edit'").select(*ROW, F.col("e.marks").alias("edit_marks"), F.col("e.feedback").alias("edit_feedback"))
 
 
 def grade_in_force(rows: DataFrame) -> DataFrame:
@@ -48,8 +46,8 @@ def grade_in_force(rows: DataFrame) -> DataFrame:
 
 
 def apply_edits(grades: DataFrame, edits: DataFrame) -> DataFrame:
-    """The grades in force of ``grades`` under the latest ``edits`` (student_ix, question_no)."""
-    kept = grades.join(edits, ["student_ix", "question_no"], "left")
+    """The grades in force of ``grades`` under the latest ``edits`` (paper_id, student_ix, question_no)."""
+    kept = grades.join(edits, ROW, "left")
     return grade_in_force(kept).select(
         *ROW, "original_marks", "max_marks", "marks", "evaluation", "feedback", "confidence", "edited", "requires_review"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from markloom.plans.extraction_queries import order_sql
 from markloom.plans.label_queries import lit
 from markloom.plans.matching_queries import _BASE, _MAPPED, _qa
 from markloom.sources.inputs import derived, with_inputs
-from markloom.sources.shared import settle
+from markloom.sources.shared import new_folder, settle
 from markloom.streaming import progress as S
 
 
@@ -119,12 +121,20 @@ def failed_sheet_row(spark, sf_dir):
     return I.failed_sheets(q, sheets)
 
 
+def _followed(spark, sf_dir):
+    """The progress of every job, followed as a stream: frames come in files that mix early and late ones."""
+    folder = new_folder(spark, "progress")
+    _events(spark, sf_dir).repartition(6, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    frames = spark.readStream.schema(S.EVENT).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    return S.follow_progress(frames, f"{folder}/jobs", f"{folder}/checkpoint").current(spark)
+
+
 def live_progress(spark, sf_dir):
-    return S.settled_states(S.latest_states(_events(spark, sf_dir)))
+    return _followed(spark, sf_dir).select("job_id", F.inline("stages"))
 
 
 def stage_progress_percent(spark, sf_dir):
-    return I.stage_progress(S.latest_states(_events(spark, sf_dir)))
+    return _followed(spark, sf_dir).select("job_id", "percent")
 
 
 def cut_off_runs(spark, sf_dir):
@@ -134,19 +144,34 @@ def cut_off_runs(spark, sf_dir):
 
 
 def stalled_jobs(spark, sf_dir):
-    """Sessions of a job (12 hours without a frame end one) that hold no terminal frame; the table is complete, so every
-    session is closed."""
-    s = S.stalled_jobs(S.closed_sessions(_events(spark, sf_dir)))
-    return s.select("job_id", F.unix_timestamp("session.start").alias("start_s"), "n")
+    """Sessions of a job (12 hours without a frame end one) that hold no terminal frame. The frames come as a stream, in slices
+    of time. When it has stopped, ticks of the clock past all frames arrive and it goes on from its checkpoint: the first
+    moves the watermark, with the second every session closes."""
+    folder = new_folder(spark, "sessions")
+    e = _events(spark, sf_dir).select(*S.EVENT.names)
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    write = lambda rows: rows.write.mode("append").parquet(f"{folder}/in")
+    frames = spark.readStream.schema(S.EVENT).option("maxFilesPerTrigger", 4).parquet
+    run = lambda: S.follow_sessions(frames(f"{folder}/in"), f"{folder}/closed", f"{folder}/checkpoint")
+    if low is None:
+        write(e.limit(0))
+    else:
+        step = (high - low) / 4
+        for i in range(4):
+            write(e.where((F.col("ts") >= low + i * step) & ((F.col("ts") < low + (i + 1) * step) if i < 3 else F.lit(True))))
+        none = {f.name: F.lit(None).cast(f.dataType) for f in S.EVENT.fields}
+        for days in (3, 4):
+            run()
+            write(spark.range(1).select(*(v.alias(k) for k, v in (none | {"ts": F.lit(high + timedelta(days=days))}).items())))
+    return S.stalled_jobs(run().current(spark)).select("job_id", F.unix_timestamp("start").alias("start_s"), "n")
 
 
 def write_progress_frames(spark, sf_dir):
-    """Each job's frames in order with one terminal frame at the end."""
-    e = _events(spark, sf_dir)
-    w = Window.partitionBy("job_id").orderBy("event_id")
-    frames = e.select("job_id", F.row_number().over(w).cast("bigint").alias("seq"), F.lit("stage").alias("type"))
-    last = e.groupBy("job_id").agg((F.count(F.lit(1)) + 1).alias("seq"), F.when(F.bool_or(F.col("state") == "failed"), "error").otherwise("result").alias("type"))
-    return frames.unionByName(last)
+    """Each job's frames in order with one terminal frame and its payload at the end, written as a commit and read back."""
+    folder = new_folder(spark, "frames")
+    S.commit_frames(S.frames_of(_events(spark, sf_dir)), folder, 0)
+    said = lambda f: F.get_json_object("payload", f"$.{f}").cast("bigint").alias
+    return S.read_commits(spark, folder).select("job_id", "seq", "type", "stage", "state", said("percent")("percent"), said("stage")("failed_stage"), F.get_json_object("payload", "$.message").alias("message"))
 
 
 def _requests(spark, sf_dir):
@@ -255,8 +280,10 @@ FROM n JOIN v ON batch_id = paper_id WHERE error_code IS NOT NULL OR file_ix % 5
     "stalled_jobs": f"""{_E}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM stage_events_in WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
 h AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT job_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n FROM h GROUP BY job_id, s HAVING NOT bool_or(event_type = 'purchase')""",
-    "write_progress_frames": f"""{_E} SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS seq, 'stage' AS type FROM stage_events_in
-UNION ALL SELECT job_id, count(*) + 1, CASE WHEN bool_or(state = 'failed') THEN 'error' ELSE 'result' END FROM stage_events_in GROUP BY 1""",
+    "write_progress_frames": f"""{_E}, pc AS (SELECT job_id, CAST(floor((count(*) FILTER (state IN ('done', 'skipped')) + CASE WHEN bool_or(state = 'active') THEN 0.5 ELSE 0 END) * 100 / 9 + 0.5) AS BIGINT) AS percent FROM ls GROUP BY 1),
+en AS (SELECT job_id, count(*) + 1 AS seq, arg_max(stage, event_id) FILTER (state = 'failed') AS fs FROM stage_events_in GROUP BY 1)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS seq, 'stage' AS type, stage, state, NULL AS percent, NULL AS failed_stage, NULL AS message FROM stage_events_in
+UNION ALL SELECT job_id, seq, CASE WHEN fs IS NOT NULL THEN 'error' ELSE 'result' END, NULL, NULL, CASE WHEN fs IS NULL THEN percent END, fs, 'Stage ' || fs || ' failed.' FROM en JOIN pc USING (job_id)""",
     "request_batches": f"""{_MAPPED.replace('WITH RECURSIVE ', with_inputs('lines_in') + ', ', 1)},
 tried AS (SELECT f.paper_id, f.student_ix, count(*) AS n_rows, string_agg({_ASKED} || 'ocrConfidence: ' || CAST(CAST(CAST(a.confidence AS DECIMAL(9, 6)) AS DECIMAL(9, 2)) AS VARCHAR)
     || chr(10) || 'studentAnswer: ' || substring(a.text, 1, 1500) || chr(10) || '---', chr(10) ORDER BY f.q_ord) AS body

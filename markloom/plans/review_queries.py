@@ -15,7 +15,9 @@ from markloom.plans.label_queries import lit
 from markloom.plans.matching_queries import _BASE, _qa
 from markloom.plans.reply_queries import model_answer_rows
 from markloom.sources.inputs import derived, with_inputs
-from markloom.sources.shared import publish, settle
+from markloom.sources.publications import Publications, frozen, versions
+from markloom.sources.shared import new_folder, settle
+from markloom.streaming import review as S
 
 
 def _g(spark, sf_dir):
@@ -33,12 +35,23 @@ def _rows(spark, sf_dir):
     return R.apply_edits(_base(spark, sf_dir), R.latest_edits(derived(spark, sf_dir, "review_edits_in")))
 
 
+def _arriving(spark, sf_dir):
+    """(a folder of its own, the review events as a stream: files that mix early and late ones)."""
+    folder = new_folder(spark, "reviews")
+    e = derived(spark, sf_dir, "review_edits_in").select(*(F.col(f.name).cast(f.dataType) for f in S.EVENT.fields))
+    e.repartition(6, F.xxhash64("seq")).write.parquet(f"{folder}/in")
+    return folder, S.read_events(spark, f"{folder}/in")
+
+
 def latest_review_edits(spark, sf_dir):
-    return R.latest_edits(derived(spark, sf_dir, "review_edits_in"))
+    """Kept up live: the edits arrive as a stream."""
+    folder, events = _arriving(spark, sf_dir)
+    return S.edits_in_force(S.follow_edits(events, f"{folder}/edits", f"{folder}/checkpoint"), spark)
 
 
 def edit_overlay(spark, sf_dir):
-    return _rows(spark, sf_dir)
+    """Grades in force under the edits as the stream has left them."""
+    return R.apply_edits(_base(spark, sf_dir), latest_review_edits(spark, sf_dir))
 
 
 def grade_summary(spark, sf_dir):
@@ -136,32 +149,28 @@ _NEEDLES = (" look AT step 1", "section b ", "the")
 
 
 def flatten_review_edits(spark, sf_dir):
-    """Edits as a map of maps per student, and back to rows."""
-    e = latest_review_edits(spark, sf_dir)
-    nested = e.groupBy("student_ix").agg(
+    """Edits of a paper as a map of maps, by student and question, and back to rows."""
+    e = R.latest_edits(derived(spark, sf_dir, "review_edits_in"))
+    own = e.groupBy("paper_id", "student_ix").agg(
         F.map_from_entries(F.collect_list(F.struct("question_no", F.struct("edit_marks", "edit_feedback").alias("edit")))).alias("edits")
     )
-    flat = nested.select("student_ix", F.explode("edits").alias("question_no", "edit"))
-    return flat.select("student_ix", "question_no", "edit.edit_marks", "edit.edit_feedback", (F.col("edit.edit_marks").isNotNull() | F.col("edit.edit_feedback").isNotNull()).alias("has_edit"))
-
-
-def _published(spark, sf_dir):
-    return derived(spark, sf_dir, "review_edits_in").groupBy("student_ix").agg(
-        F.max(F.when(F.col("kind") == "publish", F.col("seq"))).alias("publish_seq"),
-        F.max(F.when(F.col("kind") != "publish", F.col("seq"))).alias("edit_seq"),
-    )
+    nested = own.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("student_ix", "edits"))).alias("students"))
+    flat = nested.select("paper_id", F.explode("students").alias("student_ix", "edits")).select("paper_id", "student_ix", F.explode("edits").alias("question_no", "edit"))
+    return flat.select(*R.ROW, "edit.edit_marks", "edit.edit_feedback", (F.col("edit.edit_marks").isNotNull() | F.col("edit.edit_feedback").isNotNull()).alias("has_edit"))
 
 
 def publish_still_valid(spark, sf_dir):
-    p = _published(spark, sf_dir).where("publish_seq IS NOT NULL")
-    return p.select("student_ix", (F.coalesce(F.col("edit_seq"), F.lit(-1)) < F.col("publish_seq")).alias("valid"))
+    """Per paper whether its last publication holds, as the stream of events has left it."""
+    folder, events = _arriving(spark, sf_dir)
+    return S.follow_publications(events, f"{folder}/valid", f"{folder}/checkpoint").current(spark).select("paper_id", "valid", "publish_seq")
 
 
 def publish_record(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return rows.groupBy("paper_id").agg(
-        F.array_sort(F.collect_set("student_ix")).alias("student_ids"), F.bool_or("edited").alias("includes_teacher_edits")
-    )
+    """Per paper the students that are ready, and whether any teacher's edit is in force on it."""
+    ready = ready_students(spark, sf_dir).groupBy("paper_id").agg(F.array_sort(F.collect_list("student_ix")).alias("student_ids"))
+    edited = _rows(spark, sf_dir).groupBy("paper_id").agg(F.bool_or("edited").alias("includes_teacher_edits"))
+    none = F.array().cast("array<bigint>")
+    return edited.join(ready, "paper_id", "left").select("paper_id", F.coalesce("student_ids", none).alias("student_ids"), "includes_teacher_edits")
 
 
 def ready_students(spark, sf_dir):
@@ -171,10 +180,16 @@ def ready_students(spark, sf_dir):
 
 
 def write_published_snapshot(spark, sf_dir):
-    """Grades in force of the students that are ready, written once under the publication's number and read back."""
-    stamp = derived(spark, sf_dir, "review_edits_in").where("kind = 'publish'").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"]
-    ready = _rows(spark, sf_dir).join(ready_students(spark, sf_dir), R.SHEET, "left_semi").select(*R.ROW, "marks", "evaluation")
-    return publish(ready, stamp)
+    """Every publication of every paper: the grades of its ready students as they were in force when it was published,
+    written as versions beside each other and read back, with what the manifest says of the last."""
+    events = derived(spark, sf_dir, "review_edits_in")
+    published = settle(versions(events))
+    ready = _base(spark, sf_dir).join(ready_students(spark, sf_dir), R.SHEET, "left_semi")
+    store = Publications(new_folder(spark, "publications"))
+    store.write(frozen(ready, events, published), published, 0)
+    last = store.manifest.current(spark).select("paper_id", "version", "valid")
+    rows = store.read(spark).join(last, ["paper_id", "version"], "left")
+    return rows.select(*R.ROW, "publish_seq", "version", "marks", "evaluation", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
 def _reply_parts():
@@ -268,13 +283,13 @@ def _heading(label: str, status: str) -> str:
 
 
 _R = f"""{with_inputs('grades_in', 'review_edits_in')},
-le AS (SELECT student_ix, question_no, kind, marks, feedback FROM review_edits_in WHERE kind IN ('edit', 'revert')
-  QUALIFY row_number() OVER (PARTITION BY student_ix, question_no ORDER BY seq DESC) = 1),
-led AS (SELECT student_ix, question_no, marks AS edit_marks, feedback AS edit_feedback FROM le WHERE kind = 'edit'),
+le AS (SELECT paper_id, student_ix, question_no, kind, marks, feedback FROM review_edits_in WHERE kind IN ('edit', 'revert')
+  QUALIFY row_number() OVER (PARTITION BY paper_id, student_ix, question_no ORDER BY seq DESC) = 1),
+led AS (SELECT paper_id, student_ix, question_no, marks AS edit_marks, feedback AS edit_feedback FROM le WHERE kind = 'edit'),
 gb AS (SELECT paper_id, student_ix, question_no, printed_marks, CASE WHEN graded THEN marks END AS marks, CASE WHEN graded THEN max_marks END AS max_marks,
     CASE WHEN graded THEN evaluation END AS evaluation, CASE WHEN graded THEN feedback END AS feedback, CASE WHEN graded THEN confidence END AS confidence,
     CASE WHEN graded THEN requires_review END AS requires_review FROM (SELECT *, NOT (paper_id % 11 = 0 AND question_no % 3 = 0) AS graded FROM grades_in)),
-j AS (SELECT gb.*, edit_marks, edit_feedback FROM gb LEFT JOIN led USING (student_ix, question_no)),
+j AS (SELECT gb.*, edit_marks, edit_feedback FROM gb LEFT JOIN led USING (paper_id, student_ix, question_no)),
 {_in_force('j', 'r', 'paper_id, student_ix, question_no')},
 s AS (SELECT paper_id, student_ix, sum(marks) AS marks_obtained, sum(max_marks) AS max_marks,
     CAST(floor(CASE WHEN sum(max_marks) > 0 THEN sum(marks) / sum(max_marks) * 100 ELSE 0 END + 0.5) AS BIGINT) AS percentage FROM r WHERE marks IS NOT NULL GROUP BY 1, 2),
@@ -352,12 +367,21 @@ UNION ALL SELECT 'review', {_K} FROM st WHERE status = 'needs_review' UNION ALL
         for n in _NEEDLES
     ),
     "flatten_review_edits": f"{_R} SELECT *, edit_marks IS NOT NULL OR edit_feedback IS NOT NULL AS has_edit FROM led",
-    "publish_still_valid": f"""{_R}, p AS (SELECT student_ix, max(seq) FILTER (kind = 'publish') AS p, max(seq) FILTER (kind <> 'publish') AS e FROM review_edits_in GROUP BY 1)
-SELECT student_ix, coalesce(e, -1) < p AS valid FROM p WHERE p IS NOT NULL""",
-    "publish_record": f"{_R} SELECT paper_id, list(DISTINCT student_ix ORDER BY student_ix) AS student_ids, bool_or(edited) AS includes_teacher_edits FROM r GROUP BY 1",
+    "publish_still_valid": f"""{_R}, p AS (SELECT paper_id, max(seq) FILTER (kind = 'publish') AS p, max(seq) FILTER (kind <> 'publish') AS e FROM review_edits_in GROUP BY 1)
+SELECT paper_id, coalesce(e, -1) < p AS valid, p AS publish_seq FROM p WHERE p IS NOT NULL""",
+    "publish_record": f"""{_R}, rs AS (SELECT paper_id, list(student_ix ORDER BY student_ix) AS student_ids FROM {_READY} AS x GROUP BY 1)
+SELECT paper_id, coalesce(student_ids, []) AS student_ids, includes_teacher_edits FROM (SELECT paper_id, bool_or(edited) AS includes_teacher_edits FROM r GROUP BY 1) LEFT JOIN rs USING (paper_id)""",
     "ready_students": f"{with_inputs('grades_in')} SELECT * FROM {_READY} AS x",
-    "write_published_snapshot": f"""{_R} SELECT {_K}, marks, evaluation, (SELECT coalesce(max(seq), 0) FROM review_edits_in WHERE kind = 'publish') AS publish_seq
-FROM r SEMI JOIN {_READY} AS x USING (paper_id, student_ix)""",
+    "write_published_snapshot": f"""{_R}, pv AS (SELECT paper_id, seq AS publish_seq, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY seq) AS INT) AS version,
+    seq = (SELECT max(seq) FROM review_edits_in x WHERE x.paper_id = e.paper_id) AS valid FROM review_edits_in e WHERE kind = 'publish'),
+pe AS (SELECT {_K}, publish_seq, version, valid, kind, ed.marks AS m, ed.feedback AS f FROM gb JOIN pv USING (paper_id) SEMI JOIN {_READY} AS x USING (paper_id, student_ix)
+  LEFT JOIN (SELECT * FROM review_edits_in WHERE kind IN ('edit', 'revert')) AS ed USING (paper_id, student_ix, question_no) WHERE ed.seq IS NULL OR ed.seq < publish_seq
+  QUALIFY row_number() OVER (PARTITION BY {_K}, publish_seq ORDER BY ed.seq DESC) = 1),
+pk AS (SELECT {_K}, publish_seq, version, valid FROM gb JOIN pv USING (paper_id) SEMI JOIN {_READY} AS x USING (paper_id, student_ix)),
+pj AS (SELECT gb.*, pk.publish_seq, pk.version, pk.valid, CASE WHEN kind = 'edit' THEN m END AS edit_marks, CASE WHEN kind = 'edit' THEN f END AS edit_feedback
+  FROM pk JOIN gb USING (paper_id, student_ix, question_no) LEFT JOIN pe USING (paper_id, student_ix, question_no, publish_seq)),
+{_in_force('pj', 'pf', f'{_K}, publish_seq, version, valid')}
+SELECT {_K}, publish_seq, version, marks, evaluation, valid FROM pf""",
     "repair_json_payload": f"{_REP} SELECT {_K}, {_PIECES} AS payload FROM rp",
     "grade_rows": f"{_REP} SELECT * FROM gr",
     "coerce_fields": f"""{with_inputs('events_k')} SELECT event_id, CAST(k AS DOUBLE) AS number, greatest(0, least(1, CASE WHEN k > 1 THEN k / 100.0 ELSE coalesce(k, 0.5) END))::DOUBLE AS confidence,

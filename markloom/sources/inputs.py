@@ -60,12 +60,14 @@ SELECT paper_id, student_ix, question_no, marks, max_marks, evaluation, requires
 SELECT user_id AS job_id, event_id % 9 AS stage, CASE event_type WHEN 'click' THEN 'active' WHEN 'view' THEN 'done'
     WHEN 'signup' THEN 'skipped' WHEN 'error' THEN 'failed' ELSE 'done' END AS state, event_type, ts, event_id
 FROM events"""),
-    "review_edits_in": (("events_k",), """
-SELECT user_id AS student_ix, k % 20 AS question_no, event_id AS seq, ts,
-  CASE WHEN event_type IN ('click', 'view') THEN value END AS marks,
-  CASE WHEN event_type = 'signup' THEN concat('see me about ', CAST(k % 20 AS STRING)) END AS feedback,
-  CASE event_type WHEN 'error' THEN 'revert' WHEN 'purchase' THEN 'publish' ELSE 'edit' END AS kind
-FROM events_k"""),
+    "review_edits_in": (("events_k", "grades_in"), """
+SELECT e.paper_id, CASE WHEN e.event_type <> 'purchase' THEN g.student_ix END AS student_ix, CASE WHEN e.event_type <> 'purchase' THEN g.question_no END AS question_no,
+  e.event_id AS seq, e.ts, CASE WHEN e.event_type IN ('click', 'view') THEN e.value END AS marks,
+  CASE WHEN e.event_type = 'signup' THEN concat('see me about ', CAST(g.question_no AS STRING)) END AS feedback,
+  CASE e.event_type WHEN 'error' THEN 'revert' WHEN 'purchase' THEN 'publish' ELSE 'edit' END AS kind
+FROM (SELECT *, event_id - event_id % 10 AS paper_id FROM events_k) AS e
+JOIN (SELECT paper_id, student_ix, question_no, row_number() OVER (PARTITION BY paper_id ORDER BY student_ix, question_no) - 1 AS place,
+    count(*) OVER (PARTITION BY paper_id) AS size FROM grades_in) AS g ON g.paper_id = e.paper_id AND g.place = e.k % g.size"""),
     "call_log_in": (("events",), """
 SELECT event_id, user_id AS sheet_id, event_id % 5 AS step_no,
   CASE event_id % 8 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 400 WHEN 3 THEN 404 WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 503 END AS status,

@@ -30,14 +30,6 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def publish(df: DataFrame, stamp: int) -> DataFrame:
-    """The rows of ``df`` frozen under ``publish_seq``: written once, a folder per publication, and read back. An empty table
-    is published as one."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/publish_seq={stamp}")
-    return spark.read.schema(f"{_ddl(df)}, publish_seq long").parquet(path)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

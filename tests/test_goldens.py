@@ -94,7 +94,7 @@ def test_clamped_edit_keeps_original(spark):
         [(1, 0, 1, 2.0, 5.0, "partial", True, None, "", 0.5), (1, 0, 2, 0.0, 5.0, "not_attempted", False, None, "", 0.5), (1, 0, 3, None, None, None, None, 4, None, None)],
         "paper_id long, student_ix long, question_no long, marks double, max_marks double, evaluation string, requires_review boolean, printed_marks long, feedback string, confidence double",
     )
-    e = spark.createDataFrame([(0, 1, 10, 99.0, None, "edit"), (0, 2, 11, 3.0, None, "edit"), (0, 2, 12, None, None, "revert"), (0, 3, 13, None, "well done", "edit")], "student_ix long, question_no long, seq long, marks double, feedback string, kind string")
+    e = spark.createDataFrame([(1, 0, 1, 10, 99.0, None, "edit"), (1, 0, 2, 11, 3.0, None, "edit"), (1, 0, 2, 12, None, None, "revert"), (1, 0, 3, 13, None, "well done", "edit"), (2, 0, 1, 14, 1.0, None, "edit")], "paper_id long, student_ix long, question_no long, seq long, marks double, feedback string, kind string")
     rows = {r.question_no: r for r in R.apply_edits(g, R.latest_edits(e)).collect()}
     assert (rows[1].marks, rows[1].original_marks, rows[1].evaluation, rows[1].requires_review) == (5.0, 2.0, "correct", False)
     assert (rows[2].marks, rows[2].edited) == (0.0, False)
@@ -112,17 +112,15 @@ def test_segment_page_with_rule(spark):
     assert blocks[0].top >= 35 and blocks[-1].bottom <= 180
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(j, s, st, "view", f"2024-01-0{1 + s} 00:00:00", j * 10 + s) for j in range(5) for s, st in ((0, "done"), (1, "active"), (2, "failed" if j % 2 else "done"))]
-    e = spark.createDataFrame(rows, "job_id long, stage long, state string, event_type string, ts string, event_id long").withColumn("ts", F.to_timestamp("ts"))
-    folder = str(tmp_path / "frames")
-    S.write_frames(e, folder)
+def test_broken_frames_are_left_out(spark, tmp_path):
+    e = spark.createDataFrame([(1, 0, "done", "view", "2024-01-01 00:00:00", 5)], "job_id long, stage long, state string, event_type string, ts string, event_id long").withColumn("ts", F.to_timestamp("ts"))
+    S.write_frames(e, str(tmp_path / "frames"))
     with open(tmp_path / "frames" / "part-broken.txt", "w") as f:
         f.write('{"job_id": 1, "stage": \n\n')
-    live = S.run_available(S.latest_states(S.read_frames(spark, folder)), "live_states", str(tmp_path / "ck"))
-    got = {tuple(r) for r in S.settled_states(live).collect()}
-    assert got == {tuple(r) for r in S.settled_states(S.latest_states(e)).collect()}
-    assert (1, 1, "failed") in got and (2, 1, "active") in got
+    assert [(r.job_id, r.stage, r.event_id) for r in S.read_frames(spark, str(tmp_path / "frames"), stream=False).collect()] == [(1, 0, 5)]
+    q = S.read_frames(spark, str(tmp_path / "frames")).writeStream.format("memory").queryName("frames_seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("frames_seen").count() == 1
 
 
 def _png(width, height, value):

@@ -36,15 +36,6 @@ def test_ruled_lines_are_found_on_every_page(spark, tables):
     assert all(r.x1 - r.x0 > 90 for r in rows)
 
 
-def test_published_snapshot_is_frozen(spark, tmp_path):
-    from markloom.sources.shared import publish
-
-    rows = spark.createDataFrame([(1, 0, 2.0), (1, 1, None)], "paper_id long, student_ix long, marks double")
-    got = publish(rows, 7)
-    assert got.columns[-1] == "publish_seq" and sorted(map(tuple, got.collect())) == [(1, 0, 2.0, 7), (1, 1, None, 7)]
-    assert publish(rows.limit(0), 8).count() == 0
-
-
 def test_term_weights_cover_both_sides(spark, tables):
     import math
 
