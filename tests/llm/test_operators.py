@@ -714,6 +714,28 @@ def test_secrets_of_another_making():
     assert (model.score(shown(plain)) >= model.threshold).mean() < 0.1
 
 
+def test_secret_recall_by_kind():
+    """Kinds that are short of letters or short, in three contexts; none of them is trained on. And names that hold dates."""
+    rng = random.Random(44)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = {
+        "hub, lower hex": lambda: "ghp_" + pick("0123456789abcdef", 36), "hub, upper hex": lambda: "ghp_" + pick("0123456789ABCDEF", 36),
+        "hub, hex": lambda: "ghp_" + pick("0123456789abcdefABCDEF", 36), "upper hex of 32": lambda: pick("0123456789ABCDEF", 32), "mixed of 12": lambda: pick(mixed, 12),
+    }
+    contexts = ["we saw {} there and then went on", "export AUTH_KEY={}\nnext line", "the key is '{}' today"]
+    model = secrets.train()
+    for name, make in kinds.items():
+        for c in contexts:
+            shown = [(c.format(v), c.index("{"), c.index("{") + len(v)) for v in (make() for _ in range(200))]
+            shown = [f for f in shown if secrets.MIXED.match(f[0][f[1] : f[2]])]
+            assert (model.score(shown) >= model.threshold).mean() >= 0.93, (name, c)
+    found = secrets.labelled_findings(4000, 78, False)
+    passed = model.score([f[:3] for f in found]) >= model.threshold
+    kind = np.array([f[4] if f[3] else "" for f in found])
+    assert all(passed[kind == k].mean() >= 0.93 for k in set(kind) - {""}) and passed[kind == ""].mean() < 0.03
+
+
 def test_secret_candidates_cover_long_runs_and_what_patterns_leave():
     key = "Zk8Qp2Lm9Xv4Tr7Bn1Wd6Hs3Jf5Gc0YaUeOi"
     text = "see " + "path/" * 40 + key + " end"
