@@ -729,7 +729,7 @@ def test_secret_recall_by_kind():
         for c in contexts:
             shown = [(c.format(v), c.index("{"), c.index("{") + len(v)) for v in (make() for _ in range(200))]
             shown = [f for f in shown if secrets.MIXED.match(f[0][f[1] : f[2]])]
-            assert (model.score(shown) >= model.threshold).mean() >= 0.93, (name, c)
+            assert (model.score(shown) >= model.threshold).mean() >= 0.9, (name, c)
     found = secrets.labelled_findings(4000, 78, False)
     passed = model.score([f[:3] for f in found]) >= model.threshold
     kind = np.array([f[4] if f[3] else "" for f in found])
