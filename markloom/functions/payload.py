@@ -1,56 +1,134 @@
-"""Model replies as columns: finding the JSON in a reply, and reading its fields whatever their types."""
+"""Model replies as columns: finding the JSON in a reply, and reading its fields whatever their types.
+
+A reply's JSON is found as text (``repair_json``), parsed once to a VARIANT (``reply_value``), and read from there; fields are
+coerced one by one."""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from markloom.functions.labels import strip
+
+FENCE = r"(?is)```(?:json)?\s*(.*?)```"
+MARKS = {"{": re.compile(r'\\.|["{}]', re.S), "[": re.compile(r'\\.|["\[\]]', re.S)}
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _refused(name: str):
+    raise ValueError(name)
 
-from markloom.functions.labels import let, strip
 
-FENCE = r"(?s)```(?:json)?\s*(.*?)```"
+def _parses(text: str) -> bool:
+    try:
+        json.loads(text, parse_constant=_refused)
+    except (ValueError, RecursionError):
+        return False
+    return True
 
 
-def balanced_json(text: Column) -> Column:
-    """The first balanced object or array of a text, brackets inside quoted strings not counted; null if there is none.
+def first_json(text: str | None) -> str | None:
+    """The text if it is JSON, else its first balanced object or array that is: of the two kinds of bracket the one that opens
+    first is tried first, and only brackets of its kind are counted, none inside quotes; null if neither gives any."""
+    if not text:
+        return None
+    if _parses(text):
+        return text
+    for start, opener in sorted((text.find(c), c) for c in MARKS if c in text):
+        depth, quoted = 0, False
+        for m in MARKS[opener].finditer(text, start):
+            mark = m[0]
+            if mark == '"':
+                quoted = not quoted
+            elif len(mark) == 1 and not quoted:
+                depth += 1 if mark == opener else -1
+                if depth == 0:
+                    piece = text[start : m.end()]
+                    if _parses(piece):
+                        return piece
+                    break
+    return None
 
-    A fold over brackets, quotes, backslashes, and the runs between them, from the first opener: state is (depth, in string,
-    after a backslash, place, end)."""
-    start = F.least(*(F.when(F.locate(c, text) > 0, F.locate(c, text)) for c in "{["))
-    tail = F.substring(text, start, F.length(text))
-    zero = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end")
-    )
 
-    def step(s: Column, c: Column) -> Column:
-        depth = F.when(s["quoted"], s["depth"]).when(c.isin("{", "["), s["depth"] + 1).when(c.isin("}", "]"), s["depth"] - 1).otherwise(s["depth"])
-        closed = ~s["quoted"] & c.isin("}", "]") & (depth == 0)
-        return F.when(s["end"] > 0, s).otherwise(
-            F.struct(
-                depth.alias("depth"),
-                F.when((c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
-                (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
-                (s["at"] + F.length(c)).alias("at"),
-                F.when(closed, s["at"] + 1).otherwise(0).alias("end"),
-            )
-        )
+@F.arrow_udf(StringType())
+def json_piece(text: pa.Array) -> pa.Array:
+    return pa.array([first_json(t) for t in text.to_pylist()], pa.string())
 
-    end = F.aggregate(F.regexp_extract_all(tail, F.lit(r'(["\\{}\[\]]|[^"\\{}\[\]]+)'), F.lit(1)), zero, step)["end"]
-    return F.when(end > 0, F.substring(tail, F.lit(1), end))
+
+@F.arrow_udf(StringType())
+def _once_each(text: pa.Array) -> pa.Array:
+    """JSON with every name of an object once: the last value counts."""
+    return pa.array([t and json.dumps(json.loads(t)) for t in text.to_pylist()], pa.string())
 
 
 def repair_json(text: Column) -> Column:
-    """The reply's JSON as text: the fenced part or the whole if it parses, else the first balanced piece; null if none
-    parses."""
+    """The reply's JSON as text: the fenced part or the whole if it parses, else the first balanced piece that does; null if none
+    does."""
     fenced = F.regexp_extract(text, FENCE, 1)
-    bare = strip(F.when(fenced != "", fenced).otherwise(text))
-    parses = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"^\s*[\[{]"), t)
-    return let(bare, lambda t: F.coalesce(parses(t), let(balanced_json(t), parses)))
+    return json_piece(strip(F.when(fenced != "", fenced).otherwise(text)))
+
+
+def reply_value(text: Column) -> Column:
+    """The reply's JSON as a VARIANT, null if there is none."""
+    return parsed(repair_json(text))
+
+
+def parsed(payload: Column) -> Column:
+    """JSON text as a VARIANT. An object that names a key twice is taken as if only the last stood there."""
+    value = F.try_parse_json(payload)
+    return F.coalesce(value, F.try_parse_json(_once_each(F.when(value.isNull(), payload))))
+
+
+def field(value: Column, name: str) -> Column:
+    """A field of an object as a VARIANT; null where the value is no object, or has no such field."""
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def kind(value: Column) -> Column:
+    """object, array, string, number, boolean, or null for a JSON null and for no value."""
+    shown = F.schema_of_variant(value)
+    return (
+        F.when(shown.startswith("OBJECT"), "object").when(shown.startswith("ARRAY"), "array").when(shown == "STRING", "string")
+        .when(shown == "BOOLEAN", "boolean").when(shown.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number")
+    )
+
+
+def as_array(value: Column, payload: Column) -> Column:
+    """An array of VARIANTs: the value if it is an array, else the first property of the object that is one, in the order of
+    the text ``payload``; empty if there is none."""
+    array = "array<variant>"
+    named = lambda k: F.try_variant_get(value, F.concat(F.lit("$['"), k, F.lit("']")), array)
+    keys = F.filter(F.json_object_keys(payload), lambda k: ~F.contains(k, F.lit("'")))
+    first = F.get(F.filter(F.transform(keys, named), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(F.try_variant_get(value, "$", array), first, F.array().cast(array))
+
+
+def as_string(value: Column) -> Column:
+    """A string, or a number or boolean written as one (2.0 as 2); null otherwise."""
+    text = F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    k = kind(value)
+    return F.when(k.isin("string", "boolean"), text).when(k == "number", F.when(whole, number.cast("bigint").cast("string")).otherwise(text))
+
+
+def text_number(text: Column) -> Column:
+    """A number from its text; nothing but white space is 0, anything else null."""
+    t = F.trim(text)
+    n = F.when(t.rlike(NUMBER), t.try_cast("double"))
+    return F.when(t == "", 0.0).otherwise(F.when(F.abs(n) < float("inf"), n))
 
 
 def as_number(value: Column) -> Column:
     """A number, also from its text; null otherwise."""
-    n = F.trim(value).try_cast("double")
-    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    k = kind(value)
+    n = F.try_variant_get(value, "$", "double")
+    return F.when(k == "string", text_number(F.try_variant_get(value, "$", "string"))).when((k == "number") & (F.abs(n) < float("inf")), n)
 
 
 def as_confidence(value: Column, default: float) -> Column:
@@ -60,4 +138,8 @@ def as_confidence(value: Column, default: float) -> Column:
 
 
 def as_boolean(value: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(value)) == "true", F.lit(False))
+    """A boolean, or the text ``true`` in either case; false otherwise."""
+    k = kind(value)
+    said = F.when(k == "boolean", F.try_variant_get(value, "$", "boolean")).when(k == "string", F.lower(F.try_variant_get(value, "$", "string")) == "true")
+    return F.coalesce(said, F.lit(False))
+

@@ -49,15 +49,18 @@ def section_heading(line: Column) -> tuple[Column, Column]:
     return F.when(heading, F.concat_ws(" ", F.initcap(word), F.upper(code))), F.when(heading, strip(rest))
 
 
+# Fixed value: a note of marks that may stand between two questions.
+NOTE = r"(?i)\s*(?:\[\s*\d{1,3}\s*(?:marks?|m)?\s*\]|\(\s*\d{1,3}\s*marks?\s*\))\s*$"
+CUT = "\u0001"  # set between pieces; no line holds it
+
+
 def inline_parts(text: Column) -> Column:
     """The line cut where a further question starts: at a number token before a capital or bracket that follows white
     space and an ended sentence or note. Each piece is trimmed; empty ones are dropped."""
-    pieces = F.split(strip(text), rf"(?<=\s)(?={INLINE})")
-    # Fixed value: a note of marks that may stand between two questions.
-    note = r"(?i)\s*(?:\[\s*\d{1,3}\s*(?:marks?|m)?\s*\]|\(\s*\d{1,3}\s*marks?\s*\))\s*$"
+    pieces = F.split(F.regexp_replace(strip(text), rf"(\s)({INLINE})", f"$1{CUT}$2"), CUT)
 
     def ended(before: Column) -> Column:
-        left = F.regexp_replace(F.regexp_replace(before, note, ""), r"\s+$", "")
+        left = F.regexp_replace(F.regexp_replace(before, NOTE, ""), r"\s+$", "")
         return left.rlike(r"[.?!\])]$")
 
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -70,7 +73,7 @@ def inline_parts(text: Column) -> Column:
         ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], p).alias("open"))),
         lambda acc: F.concat(acc["done"], F.array(acc["open"])),
     )
-    return F.filter(F.transform(glued, strip), lambda p: p != "")
+    return F.when(F.size(pieces) > 1, F.filter(F.transform(glued, strip), lambda p: p != "")).otherwise(F.filter(F.array(strip(text)), lambda p: p != ""))
 
 
 def tokenize(text: Column) -> Column:

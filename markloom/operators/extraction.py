@@ -11,15 +11,49 @@ from markloom.functions import text as T
 LINE_TOLERANCE, BLOCK_TOLERANCE, WIDE_GAP, UNSURE = 0.008, 0.01, 0.075, 0.45
 
 
-def reading_order(rows: DataFrame, tolerance: float, number: str) -> DataFrame:
-    """``rows`` with ``band`` and ``pos``: rows of a page whose tops lie within the tolerance of the one before share a
-    band and are read from left to right; ``pos`` counts from 0 over the document."""
+def banded(rows: DataFrame, tolerance: float, number: str) -> DataFrame:
+    """``rows`` with ``band``: rows of a page whose tops lie within the tolerance of the one before share one."""
     page = Window.partitionBy("doc_id", "page_number").orderBy("y", "x", number)
     step = (F.col("y") - F.lag("y").over(page) > tolerance).cast("long")
-    banded = rows.withColumn("_step", F.coalesce(step, F.lit(0)))
-    banded = banded.withColumn("band", F.sum("_step").over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    order = Window.partitionBy("doc_id").orderBy("page_number", "band", "x", number)
-    return banded.drop("_step").withColumn("pos", F.row_number().over(order).cast("long") - 1)
+    stepped = rows.withColumn("_step", F.coalesce(step, F.lit(0)))
+    return stepped.withColumn("band", F.sum("_step").over(page.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+
+
+def _placed(rows: DataFrame, *within: str) -> DataFrame:
+    """``rows`` with ``pos``: their place in the document from 0, by page, band and ``within``. Rows of a page are ordered on
+    their own, and begin behind those of the pages before, whose number is a sum over one row per page."""
+    own = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("band", *within)).cast("long")
+    sizes = rows.groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("doc_id", "page_number", before.alias("_before"))
+    return rows.withColumn("_own", own).join(starts, ["doc_id", "page_number"]).withColumn("pos", F.col("_before") + F.col("_own") - 1).drop("_before", "_own")
+
+
+def reading_order(rows: DataFrame, tolerance: float, number: str) -> DataFrame:
+    """``rows`` with ``band`` and ``pos``: rows of a band are read from left to right; ``pos`` counts from 0 over the
+    document."""
+    return _placed(banded(rows, tolerance, number), "x", number)
+
+
+def split_inline(lines: DataFrame) -> DataFrame:
+    """``lines`` (line_no, text, x, width) with ``part_no``: a line that holds several questions is a row for each (line_no
+    becomes 100 line_no + part_no), with the share of the line's width that its characters have; others stay as they are."""
+    found = lines.withColumn("_parts", T.inline_parts(F.col("text")))
+    one = F.array(F.struct(F.lit(0).alias("part_no"), F.col("text").alias("part"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))
+    several = F.size("_parts") > 1
+    rows = found.withColumn("_several", several).withColumn("_p", F.explode(F.when(several, apportioned(F.col("_parts"))).otherwise(one)))
+    p = F.col("_p")
+    return rows.withColumns({
+        "part_no": p["part_no"], "text": p["part"], "line_no": F.when(F.col("_several"), F.col("line_no") * 100 + p["part_no"]).otherwise(F.col("line_no")),
+        "x": F.when(F.col("_several"), F.col("x") + F.col("width") * p["start"]).otherwise(F.col("x")),
+        "width": F.when(F.col("_several"), F.col("width") * (p["end"] - p["start"])).otherwise(F.col("width")),
+    }).drop("_parts", "_several", "_p")
+
+
+def question_lines(lines: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """The lines of question papers in reading order, those that hold several questions cut into their parts."""
+    cut = split_inline(banded(lines, tolerance, "line_no").withColumns({"_x": F.col("x"), "_line": F.col("line_no")}))
+    return _placed(cut, "_x", "_line", "part_no").drop("_x", "_line")
 
 
 def with_question_starts(lines: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Page layout: boxes, ink rows, lines and blocks, and pages read from images. Pages are told apart by doc_id, or by the keys given."""
+"""Page layout: boxes, ink rows, lines and blocks, and pages read from images. A page is a document's page, or what the keys
+given say; every window and every group is one page, whose size the image bounds, however long its document is."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 BLANK, LEAST_AREA, LEAST_HEIGHT, LEAST_LINE = 0.0012, 0.0006, 10, 6
 Keys = tuple[str, ...]
-PAGE: Keys = ("doc_id",)
+PAGE: Keys = ("doc_id", "page")
 
 
 def clamp(x: Column) -> Column:
@@ -40,7 +41,7 @@ def meaningful(width: Column, height: Column, w: Column, h: Column) -> Column:
 
 
 def row_profile(runs: DataFrame, keys: Keys = PAGE) -> DataFrame:
-    """doc_id, y, ink, left, right from runs of ink (y, x0, x1, ink)."""
+    """doc_id, page, y, ink, left, right from runs of ink (y, x0, x1, ink)."""
     return runs.groupBy(*keys, "y").agg(F.sum("ink").alias("ink"), F.min("x0").alias("left"), F.max("x1").alias("right"))
 
 
@@ -57,7 +58,7 @@ def line_islands(profile: DataFrame, page_width: int, keys: Keys = PAGE) -> Data
 
 
 def line_pitch(lines: DataFrame, keys: Keys = PAGE) -> DataFrame:
-    """doc_id, median_height (12 where 0), low_gap: the gap at place floor(0.3 n) of the ascending non-negative gaps."""
+    """doc_id, page, median_height (12 where 0), low_gap: the gap at place floor(0.3 n) of the ascending non-negative gaps."""
     w = Window.partitionBy(*keys).orderBy("line")
     gaps = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(w))
     ok = F.array_sort(F.collect_list(F.when(F.col("gap") >= 0, F.col("gap"))))
@@ -82,7 +83,10 @@ def blocks_of(lines: DataFrame, keys: Keys = PAGE) -> DataFrame:
     )
 
 
-def cap_blocks(blocks: DataFrame, most: int = 26, keys: Keys = PAGE) -> DataFrame:
+KINDS = (("printed", 26), ("handwritten", 22))  # of pages, and how many blocks each keeps
+
+
+def cap_blocks(blocks: DataFrame, most: int | Column = 26, keys: Keys = PAGE) -> DataFrame:
     """At most ``most`` blocks a page: only the widest gaps between blocks stay breaks (of equal ones the later). A merged block
     touches the bottom (``touches_bottom``, where the blocks say so) if one of its parts does."""
     w = Window.partitionBy(*keys).orderBy("top", "block")
@@ -96,6 +100,13 @@ def cap_blocks(blocks: DataFrame, most: int = 26, keys: Keys = PAGE) -> DataFram
     )
 
 
+def cap_blocks_by_kind(blocks: DataFrame, keys: Keys = PAGE) -> DataFrame:
+    """``cap_blocks`` for every kind of page at once, with ``kind``."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("_most")) for k, n in KINDS))
+    each = blocks.withColumn("_k", F.explode(kinds)).select(*blocks.columns, "_k.*")
+    return cap_blocks(each, F.col("_most"), (*keys, "kind"))
+
+
 def distribute_lines(parts: Column, n: Column) -> Column:
     """``parts`` of a text spread over ``n`` layout lines: part i gets the slice from floor(i k / n)."""
     k = F.size(parts)
@@ -145,7 +156,7 @@ def suppress_rules(mask: np.ndarray, least: float = 0.45, thickest: int = 5) ->
 
 
 def ink_runs(pages: DataFrame, keys: Keys = PAGE, rules: bool = True) -> DataFrame:
-    """doc_id, y, x0, x1, ink: runs of ink of every page (doc_id, width, height, gray: row-major bytes), ruled lines
+    """doc_id, page, y, x0, x1, ink: runs of ink of every page (doc_id, page, width, height, gray: row-major bytes), ruled lines
     left out (unless ``rules`` is false). Pages under 80 pixels on a side, or without as many bytes as pixels, give no runs."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

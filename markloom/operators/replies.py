@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.functions.labels import strip
-from markloom.functions.payload import as_boolean, as_confidence, as_number, repair_json
+from markloom.functions.labels import canonical_label, split_leading_label, strip
+from markloom.functions.payload import as_array, as_boolean, as_confidence, as_number, as_string, field, kind, parsed, repair_json
+from markloom.functions.text import MIN_TEXT, strip_marks
 from markloom.operators.review import to_evaluation
 
-MATCHES = "matches array<struct<questionId:string,answerId:string,confidence:string,reason:string>>"
-ANSWERS = "answers array<struct<questionId:string,answer:string,keyPoints:array<string>>>"
-QUESTIONS = "questions array<struct<label:string,startLine:string,marks:string,section:string>>"
-GRADES = "grades array<struct<questionId:string,marksObtained:string,maxMarks:string,confidence:string,evaluation:string,feedback:string,requiresReview:string>>"
 SUGGESTED_MOST = 0.78
 NO_FEEDBACK = "No feedback was generated."
 
 
-def reply_rows(replies: DataFrame, keys: list[str], field: str, schema: str) -> DataFrame:
-    """(keys, seq, r): the rows of the array ``field`` in each reply's JSON; replies without any give none."""
-    parsed = F.from_json(repair_json(F.col("reply")), schema)[field]
-    return replies.select(*keys, F.posexplode(parsed).alias("seq", "r")).withColumn("seq", F.col("seq").cast("bigint"))
+def reply_rows(replies: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, seq, r: VARIANT): the objects of a reply's array: its field ``name``, or where there is none the reply itself; of
+    an object its first property that is an array. Replies without any give none. The JSON is parsed once."""
+    found = replies.select(*keys, repair_json(F.col("reply")).alias("_payload")).withColumn("_value", parsed(F.col("_payload")))
+    own = field(F.col("_value"), name)
+    wrapped = F.when(kind(own) == "object", F.to_json(own)).otherwise(F.col("_payload"))
+    rows = as_array(F.when(own.isNotNull() | F.array_contains(F.json_object_keys("_payload"), name), own).otherwise(F.col("_value")), wrapped)
+    listed = found.select(*keys, F.posexplode(rows).alias("seq", "r"))
+    return listed.where(kind(F.col("r")) == "object").withColumn("seq", F.col("seq").cast("bigint"))
+
+
+def _of(name: str) -> Column:
+    return field(F.col("r"), name)
+
+
+def whole(number: Column) -> Column:
+    """The number as a long if it has no fraction, else null."""
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2**53), number.cast("bigint"))
+
+
+def region_rows(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """Regions read (keys, index, text, label, confidence, is_continuation, struck_out): rows need a whole number as index; of
+    several with one index the last counts; a label that says null is none."""
+    label = strip(F.coalesce(as_string(_of("label")), F.lit("")))
+    rows = reply_rows(replies, keys, "regions").withColumn("index", whole(as_number(_of("index")))).where(F.col("index").isNotNull())
+    last = rows.groupBy(*keys, "index").agg(F.max("seq").alias("seq"))
+    return rows.join(last, [*keys, "index", "seq"], "left_semi").select(
+        *keys, "index", strip(F.coalesce(as_string(_of("text")), F.lit(""))).alias("text"), F.when((label != "") & (F.lower(label) != "null"), label).alias("label"),
+        as_confidence(_of("confidence"), 0.6).alias("confidence"), as_boolean(_of("isContinuation")).alias("is_continuation"), as_boolean(_of("struckOut")).alias("struck_out"),
+    )
 
 
 def suggested_matches(replies: DataFrame, keys: list[str]) -> DataFrame:
     """Suggested pairs with confidence (0.5 if not said, 0.78 at most) and reason."""
-    rows = reply_rows(replies, keys, "matches", MATCHES)
-    said = F.nullif(strip(F.coalesce("r.reason", F.lit(""))), F.lit(""))
+    rows = reply_rows(replies, keys, "matches")
+    said = F.nullif(strip(F.coalesce(as_string(_of("reason")), F.lit(""))), F.lit(""))
     return rows.select(
-        *keys, "seq", as_number(F.col("r.questionId")).cast("bigint").alias("q_ord"), as_number(F.col("r.answerId")).cast("bigint").alias("a_ord"),
-        F.least(F.lit(SUGGESTED_MOST), as_confidence(F.col("r.confidence"), 0.5)).alias("confidence"),
+        *keys, "seq", whole(as_number(_of("questionId"))).alias("q_ord"), whole(as_number(_of("answerId"))).alias("a_ord"),
+        F.least(F.lit(SUGGESTED_MOST), as_confidence(_of("confidence"), 0.5)).alias("confidence"),
         F.coalesce(said, F.lit("Matched by AI reasoning over the answer's content.")).alias("reason"),
     )
 
@@ -40,45 +63,83 @@ def clean_points(points: Column, most: int = 5) -> Column:
 
 def model_answers(replies: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
     """Expected answers for target questions (keys, q_ord) only; empty ones are dropped, key points cleaned."""
-    rows = reply_rows(replies, keys, "answers", ANSWERS).select(
-        *keys, as_number(F.col("r.questionId")).cast("bigint").alias("q_ord"), strip(F.coalesce("r.answer", F.lit(""))).alias("answer"),
-        clean_points(F.col("r.keyPoints")).alias("key_points"),
+    points = F.transform(F.try_variant_get(_of("keyPoints"), "$", "array<variant>"), as_string)
+    rows = reply_rows(replies, keys, "answers").select(
+        *keys, whole(as_number(_of("questionId"))).alias("q_ord"), strip(F.coalesce(as_string(_of("answer")), F.lit(""))).alias("answer"),
+        clean_points(F.transform(points, lambda p: F.coalesce(p, F.lit("")))).alias("key_points"),
     )
     return rows.where("answer <> ''").join(targets, [*keys, "q_ord"], "left_semi")
 
 
 def structure_rows(replies: DataFrame, keys: list[str]) -> DataFrame:
-    rows = reply_rows(replies, keys, "questions", QUESTIONS)
-    return rows.select(
-        *keys, F.col("r.label").alias("normalized"), as_number(F.col("r.startLine")).cast("bigint").alias("start_line"),
-        as_number(F.col("r.marks")).cast("bigint").alias("reply_marks"), F.col("r.section").alias("reply_section"),
+    """Questions that a reply names (keys, seq, label, normalized, start_line, end_line, reply_marks, reply_section), those whose
+    label can be read. The end line is the start line where none is said; marks count if they are above 0."""
+    label = strip(F.coalesce(as_string(_of("label")), F.lit("")))
+    rows = reply_rows(replies, keys, "questions").select(
+        *keys, "seq", label.alias("label"), as_number(_of("startLine")).alias("_s"), as_number(_of("endLine")).alias("_e"), as_number(_of("marks")).alias("_m"),
+        F.nullif(strip(F.coalesce(as_string(_of("section")), F.lit(""))), F.lit("")).alias("reply_section"),
     )
+    start = whole(F.coalesce("_s", F.lit(-1.0)))
+    read = rows.withColumn("normalized", canonical_label(F.col("label"))["normalized"]).where("normalized <> ''")
+    return read.select(
+        *keys, "seq", "label", "normalized", start.alias("start_line"), F.coalesce(whole(F.col("_e")), start).alias("end_line"),
+        F.when(F.col("_m") > 0, F.col("_m").cast("bigint")).alias("reply_marks"), "reply_section",
+    )
+
+
+RANGE_BUCKET = 64
+
+
+def range_texts(rows: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, body): the trimmed texts of the lines (keys, line_no, text) from start_line to end_line of each row, joined in
+    order. An interval join: rows meet lines by buckets of line numbers, so a long document is dealt by its parts."""
+    bucket = lambda c: F.floor(F.col(c) / RANGE_BUCKET)
+    spans = rows.select(*keys, "seq", "start_line", "end_line", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))).alias("_b"))
+    met = spans.join(lines.select(*keys, "line_no", "text", bucket("line_no").alias("_b")), [*keys, "_b"]).where("line_no BETWEEN start_line AND end_line")
+    texts = F.array_sort(F.collect_list(F.struct("line_no", strip(F.col("text")).alias("t"))))
+    return met.groupBy(*keys, "seq").agg(F.array_join(F.transform(texts, lambda x: x["t"]), " ").alias("body"))
 
 
 def merge_structure(drafts: DataFrame, rows: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Drafts (keys, normalized, marks, section, text) completed: known labels gain only what they lack, new labels whose
-    start line exists and has enough text become drafts of their own."""
+    """Drafts (keys, normalized, marks, section, text) completed by a reply's ``rows`` (see ``structure_rows``) over ``lines`` (keys,
+    line_no from 0, text).
+
+    A known label gains only what it lacks: the first marks and the first section said of it. A new label whose start line
+    exists becomes a draft with the text of its lines, up to the last there is, without label and marks, if that is long
+    enough; later rows of the label complete it like others."""
     on = [*keys, "normalized"]
-    enriched = drafts.join(rows.drop("start_line"), on, "left").select(
-        *on, F.coalesce("marks", "reply_marks").alias("marks"), F.coalesce("section", "reply_section").alias("section"), "text"
-    )
-    added = rows.join(drafts, on, "left_anti").join(lines.select(*keys, F.col("line_no").alias("start_line"), "text"), [*keys, "start_line"])
-    new = added.where(F.length("text") >= 3).select(*on, F.col("reply_marks").alias("marks"), F.col("reply_section").alias("section"), "text")
-    return enriched.unionByName(new)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    said = rows.join(drafts, on, "left_semi").groupBy(*on).agg(first("reply_marks"), first("reply_section"))
+    complete = lambda own, other: F.coalesce(F.when(F.col(own) != 0, F.col(own)), F.col(other)).alias(own)
+    enriched = drafts.join(said, on, "left").select(*on, complete("marks", "reply_marks"), F.coalesce("section", "reply_section").alias("section"), "text")
+    n = lines.groupBy(*keys).agg((F.max("line_no") + 1).alias("_n"))
+    new = rows.join(drafts, on, "left_anti").join(n, keys)
+    spans = new.where("start_line >= 0 AND start_line < _n").withColumn("end_line", F.least(F.col("_n") - 1, F.greatest("start_line", "end_line")))
+    rest = split_leading_label(F.col("body"))["rest"]
+    texts = range_texts(spans, lines, keys).withColumn("text", strip_marks(F.when(rest != "", rest).otherwise(F.col("body")))).where(F.length("text") >= MIN_TEXT)
+    long = new.join(texts.select(*keys, "seq", "text"), [*keys, "seq"])
+    opens = F.min("seq").over(Window.partitionBy(*on))
+    adding = long.withColumn("_o", opens).where("seq = _o").select(*on, "_o", "text")
+    later = new.join(adding, on).where("seq >= _o").groupBy(*on, "text").agg(first("reply_marks"), first("reply_section"))
+    return enriched.unionByName(later.select(*on, F.col("reply_marks").alias("marks"), F.col("reply_section").alias("section"), "text"))
 
 
 def grade_rows(replies: DataFrame, keys: list[str], targets: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Grades of the questions asked (``targets``: keys, question_no, printed_marks, needs_review), from replies (keys, ``also``,
     reply): rows for other questions are dropped, and of several for one the last counts. The maximum is the reply's, else
     the printed one, else 1, and 1 at least; marks are clamped to it."""
-    rows = reply_rows(replies, [*keys, *(also or [])], "grades", GRADES).withColumn("question_no", as_number(F.col("r.questionId")).cast("bigint"))
-    known = rows.join(targets, [*keys, "question_no"])
-    last = known.groupBy(*keys, "question_no").agg(F.max_by(F.struct("r", "printed_marks", "needs_review"), F.struct(*(also or []), "seq")).alias("x"))
-    top = F.greatest(F.lit(1.0), F.coalesce(as_number(F.col("x.r.maxMarks")), F.col("x.printed_marks").cast("double"), F.lit(1.0)))
-    said = F.nullif(strip(F.coalesce("x.r.feedback", F.lit(""))), F.lit(""))
+    rows = reply_rows(replies, [*keys, *(also or [])], "grades").withColumn("question_no", whole(as_number(_of("questionId"))))
+    read = rows.select(
+        *keys, *(also or []), "seq", "question_no", as_number(_of("marksObtained")).alias("_marks"), as_number(_of("maxMarks")).alias("_max"),
+        to_evaluation(as_string(_of("evaluation"))).alias("evaluation"), F.nullif(strip(F.coalesce(as_string(_of("feedback")), F.lit(""))), F.lit("")).alias("_said"),
+        as_confidence(_of("confidence"), 0.6).alias("confidence"), as_boolean(_of("requiresReview")).alias("_review"),
+    )
+    known = read.join(targets, [*keys, "question_no"])
+    fields = ("_marks", "_max", "evaluation", "_said", "confidence", "_review", "printed_marks", "needs_review")
+    last = known.groupBy(*keys, "question_no").agg(F.max_by(F.struct(*fields), F.struct(*(also or []), "seq")).alias("x")).select(*keys, "question_no", "x.*")
+    top = F.greatest(F.lit(1.0), F.coalesce("_max", F.col("printed_marks").cast("double"), F.lit(1.0)))
     return last.select(
-        *keys, "question_no", F.least(top, F.greatest(F.lit(0.0), F.coalesce(as_number(F.col("x.r.marksObtained")), F.lit(0.0)))).alias("marks"), top.alias("max_marks"),
-        to_evaluation(F.col("x.r.evaluation")).alias("evaluation"), F.coalesce(said, F.lit(NO_FEEDBACK)).alias("feedback"),
-        as_confidence(F.col("x.r.confidence"), 0.6).alias("confidence"),
-        (F.coalesce(as_boolean(F.col("x.r.requiresReview")), F.lit(False)) | F.coalesce("x.needs_review", F.lit(False))).alias("requires_review"),
+        *keys, "question_no", F.least(top, F.greatest(F.lit(0.0), F.coalesce("_marks", F.lit(0.0)))).alias("marks"), top.alias("max_marks"),
+        "evaluation", F.coalesce("_said", F.lit(NO_FEEDBACK)).alias("feedback"), "confidence",
+        (F.col("_review") | F.coalesce("needs_review", F.lit(False))).alias("requires_review"),
     )

@@ -15,7 +15,7 @@ def _ordered(spark, sf_dir):
 
 
 def _marked(spark, sf_dir):
-    return X.with_question_starts(_ordered(spark, sf_dir))
+    return X.with_question_starts(X.question_lines(derived(spark, sf_dir, "lines_in")))
 
 
 def _questions(spark, sf_dir):
@@ -94,9 +94,9 @@ def sheet_warnings(spark, sf_dir):
 
 
 def apportion_inline_split(spark, sf_dir):
-    lines = derived(spark, sf_dir, "lines_in").select("doc_id", "line_no", F.split("text", " ").alias("parts"))
-    parts = lines.select("doc_id", "line_no", F.inline(X.apportioned(F.col("parts"))))
-    return parts.select("doc_id", "line_no", F.col("part_no").cast("bigint").alias("part_no"), F.round("start", 9).alias("start"), F.round("end", 9).alias("end"))
+    """Lines of all documents in reading order, those with several questions cut, each part with its box."""
+    parts = X.question_lines(derived(spark, sf_dir, "lines_in"))
+    return parts.select("doc_id", "line_no", "part_no", "pos", F.round("x", 9).alias("x"), F.round("width", 9).alias("width"), F.md5("text").alias("text_md5"))
 
 
 def answer_pages(spark, sf_dir):
@@ -121,7 +121,27 @@ def order_sql(source: str, number: str, tolerance: float) -> str:
 
 _SEC = f"regexp_extract(trim(text), {lit(T.SECTION)}, %d)"
 _LINE = "doc_id, pos, page_number, text, x, y, width, height"
-_Q = f"""{with_inputs('lines_in')}, ol AS {order_sql('lines_in', 'line_no', X.LINE_TOLERANCE)},
+#: Lines cut where a further question starts: a mark is set before every token, and pieces whose text before has not ended are put together again.
+def parts_sql(source: str, text: str = "text") -> str:
+    """CTEs that end in pn: the parts of the ``text`` of ``source``'s lines (doc_id, line_no), numbered, with their number and shares."""
+    return f"""pc AS (SELECT doc_id, line_no, string_split(regexp_replace(trim({text}), {lit(rf'(\s)({T.INLINE})')}, '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS pieces FROM {source}),
+pu AS (SELECT doc_id, line_no, pieces, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM pc),
+pv AS (SELECT *, CASE WHEN i > 1 AND regexp_matches(regexp_replace(regexp_replace(array_to_string(pieces[1:i - 1], ''), {lit(T.NOTE)}, ''), '\\s+$', ''), '[.?!\\])]$') THEN 1 ELSE 0 END AS st FROM pu),
+pg AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM pv),
+pp AS (SELECT doc_id, line_no, g, trim(string_agg(piece, '' ORDER BY i)) AS part FROM pg GROUP BY 1, 2, 3),
+pn AS (SELECT doc_id, line_no, part, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY g) - 1 AS part_no, count(*) OVER (PARTITION BY doc_id, line_no) AS n,
+  (sum(length(part)) OVER (PARTITION BY doc_id, line_no ORDER BY g ROWS UNBOUNDED PRECEDING) - length(part)) / sum(length(part)) OVER (PARTITION BY doc_id, line_no) AS s0,
+  sum(length(part)) OVER (PARTITION BY doc_id, line_no ORDER BY g ROWS UNBOUNDED PRECEDING) / sum(length(part)) OVER (PARTITION BY doc_id, line_no) AS s1 FROM pp WHERE part <> '')"""
+
+
+PARTS_SQL = f"""bd AS (SELECT *, CAST(sum(st) OVER (PARTITION BY doc_id, page_number ORDER BY y, x, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS band FROM (
+  SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, page_number ORDER BY y, x, line_no) > {X.LINE_TOLERANCE}::DOUBLE THEN 1 ELSE 0 END AS st FROM lines_in) AS a),
+{parts_sql("bd")},
+ol AS (SELECT doc_id, page_number, band, CASE WHEN n > 1 THEN line_no * 100 + part_no ELSE line_no END AS line_no, CAST(CASE WHEN n > 1 THEN part_no ELSE 0 END AS INT) AS part_no,
+    CASE WHEN n > 1 THEN part ELSE text END AS text, CASE WHEN n > 1 THEN x + width * s0 ELSE x END AS x, y, CASE WHEN n > 1 THEN width * (s1 - s0) ELSE width END AS width, height,
+    row_number() OVER (PARTITION BY doc_id ORDER BY page_number, band, bd.x, bd.line_no, part_no) - 1 AS pos
+  FROM bd LEFT JOIN (SELECT * FROM pn WHERE n > 1) AS pn USING (doc_id, line_no))"""
+_Q = f"""{with_inputs('lines_in')}, {PARTS_SQL},
 {sql_leading('ol', 'text', _LINE, 'll')},
 lm AS (SELECT *, {_SEC.replace('%d', '1')} AS sw, {_SEC.replace('%d', '2')} AS sc, trim({_SEC.replace('%d', '3')}) AS sr,
   regexp_matches(trim(text), {lit(T.FURNITURE)}) AS furniture, {sql_marks('text')} AS marks FROM ll),
@@ -180,8 +200,8 @@ SELECT doc_id, list_filter([CASE WHEN pages > 12 THEN 'Only the first 12 of ' ||
   CASE WHEN blank IS NOT NULL THEN 'No handwriting was detected on answer sheet page(s) ' || blank || '.' END,
   CASE WHEN r > 0 THEN r || ' answer(s) need review before you rely on the match.' END], lambda x: x IS NOT NULL) AS warnings
 FROM sk LEFT JOIN hd USING (doc_id) LEFT JOIN pb USING (doc_id)""",
-    "apportion_inline_split": f"""{with_inputs('lines_in')}, s AS (SELECT doc_id, line_no, string_split(text, ' ') AS p FROM lines_in), u AS (SELECT doc_id, line_no, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM s)
-SELECT doc_id, line_no, i - 1 AS part_no, round((sum(length(t)) OVER w - length(t)) / sum(length(t)) OVER (PARTITION BY doc_id, line_no), 9) AS start,
-  round(sum(length(t)) OVER w / sum(length(t)) OVER (PARTITION BY doc_id, line_no), 9) AS "end" FROM u WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i ROWS UNBOUNDED PRECEDING)""",
+    "inline_question_starts": f"""{with_inputs('lines_in')}, tw AS (SELECT doc_id, line_no, text || ' 7. Then ' || text AS text FROM lines_in), {parts_sql('tw')}
+SELECT doc_id, line_no, list(part ORDER BY part_no) AS parts FROM pn GROUP BY 1, 2""",
+    "apportion_inline_split": f"{with_inputs('lines_in')}, {PARTS_SQL} SELECT doc_id, line_no, part_no, pos, round(x, 9) AS x, round(width, 9) AS width, md5(text) AS text_md5 FROM ol",
     "answer_pages": f"{_B} SELECT doc_id, island, pages, len(pages) > 1 AS multi_page FROM aa",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from markloom.operators import extraction as X
 from markloom.operators import intake as I
 from markloom.operators import matching as M
+from markloom.operators import replies as P
 from markloom.plans.extraction_queries import order_sql
 from markloom.plans.label_queries import lit
 from markloom.plans.matching_queries import _BASE, _MAPPED, _qa
@@ -196,19 +197,33 @@ def fill_missing_regions(spark, sf_dir):
     )
 
 
-def scan_region_responses(spark, sf_dir):
-    """Replies, one JSON text per page with a row per region, back to rows; of rows with one index the last counts."""
+def _regions(spark, sf_dir):
+    """Replies of a reader, one per page with a row for every region, read back. Replies come as an object, fenced, as a bare
+    array, under another name, and behind a remark in brackets; besides the regions' rows they hold an earlier row of the
+    first region, rows without a usable index, and a number."""
     b = derived(spark, sf_dir, "blocks_in")
-    row = F.struct(F.col("block_no").alias("index"), "text", "label", "confidence")
-    replies = b.groupBy("doc_id", "page_number").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("regions"))).alias("reply"))
-    schema = "regions array<struct<index:bigint,text:string,label:string,confidence:double>>"
-    rows = replies.select("doc_id", "page_number", F.posexplode(F.from_json("reply", schema)["regions"]).alias("pos", "r"))
-    last = rows.groupBy("doc_id", "page_number", F.col("r.index").alias("index")).agg(F.max_by("r", "pos").alias("r"))
-    return last.select("doc_id", "page_number", "index", "r.text", "r.label", F.coalesce("r.confidence", F.lit(0.6)).alias("confidence"))
+    n = F.col("block_no")
+    index = F.when(n % 2 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise(n.cast("string"))
+    rest = F.to_json(F.struct("text", F.coalesce("label", F.when(n % 3 == 0, "NULL")).alias("label"), F.when(n % 5 != 0, F.col("confidence")).alias("confidence"), F.col("is_continuation").cast("string").alias("isContinuation"), F.col("struck_out").alias("struckOut")))
+    row = F.concat(F.lit('{"index":'), index, F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", row.alias("row")))), lambda x: x["row"]), ",")
+    odd = F.concat(F.lit('[{"index":'), F.min("block_no").cast("string"), F.lit(',"text":"old"},{"index":"x","text":"a"},{"index":1.5},7,null,'), rows, F.lit("]"))
+    pages = b.groupBy("doc_id", "page_number").agg(odd.alias("rows"))
+    how = F.pmod(F.col("doc_id") + F.col("page_number"), F.lit(5))
+    named = F.concat(F.lit('{"regions":'), F.col("rows"), F.lit("}"))
+    reply = (
+        F.when(how == 0, named).when(how == 1, F.concat(F.lit("Here:\n```JSON\n"), named, F.lit("\n``` Done."))).when(how == 2, F.col("rows"))
+        .when(how == 3, F.concat(F.lit('{"note":"[1]","found":'), F.col("rows"), F.lit("}"))).otherwise(F.concat(F.lit("As asked [see page]: "), named, F.lit(" - {end}")))
+    )
+    return P.region_rows(pages.select("doc_id", "page_number", reply.alias("reply")), ["doc_id", "page_number"])
+
+
+def scan_region_responses(spark, sf_dir):
+    return _regions(spark, sf_dir)
 
 
 def region_rows(spark, sf_dir):
-    return scan_region_responses(spark, sf_dir).select("doc_id", "page_number", "index", F.nullif("label", F.lit("null")).alias("label"))
+    return _regions(spark, sf_dir).select("doc_id", "page_number", "index", "label", "confidence")
 
 
 def page_highlights(spark, sf_dir):
@@ -300,8 +315,8 @@ UNION ALL SELECT paper_id, student_ix, 'mapping', lf.n + rt.n, md5('Unmatched qu
   FROM lf JOIN rt USING (paper_id, student_ix)
 UNION ALL SELECT paper_id, NULL, 'structure', n_rows, md5('Lines from the question paper, in printed order:' || chr(10) || chr(10) || substring(body, 1, 60000)) FROM nl""",
     "fill_missing_regions": f"""{_B} SELECT doc_id, block_no, CASE WHEN block_no % 3 <> 0 THEN text ELSE '' END AS text, CASE WHEN block_no % 3 <> 0 THEN confidence ELSE 0 END::DOUBLE AS confidence FROM blocks_in""",
-    "scan_region_responses": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", text, label, confidence FROM blocks_in",
-    "region_rows": f"{_B} SELECT doc_id, page_number, block_no AS \"index\", label FROM blocks_in",
+    "scan_region_responses": f"""{_B} SELECT doc_id, page_number, block_no AS "index", trim(text) AS text, label, CASE WHEN block_no % 5 <> 0 THEN confidence ELSE 0.6 END::DOUBLE AS confidence, is_continuation, struck_out FROM blocks_in""",
+    "region_rows": f"""{_B} SELECT doc_id, page_number, block_no AS "index", label, CASE WHEN block_no % 5 <> 0 THEN confidence ELSE 0.6 END::DOUBLE AS confidence FROM blocks_in""",
     "page_highlights": f"""{_BASE}, ac AS (SELECT paper_id, student_ix, CASE WHEN paper_id % 2 = 0 THEN max(a_ord) ELSE min(a_ord) END AS a_ord FROM a GROUP BY 1, 2),
 lk AS (SELECT f.paper_id, f.student_ix, f.a_ord, f.status, regexp_replace(q.label, '[.:]$', '') AS label FROM final f JOIN q USING (paper_id, q_ord) WHERE f.a_ord IS NOT NULL),
 rg AS (SELECT paper_id, student_ix, a_ord, pages, generate_subscripts(pages, 1) - 1 AS region, unnest(pages) AS page_number FROM a)

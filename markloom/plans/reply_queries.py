@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from markloom.functions.payload import balanced_json
+from markloom.functions.payload import json_piece
+from markloom.operators import extraction as X
 from markloom.operators import layout as Y
 from markloom.operators import replies as P
-from markloom.sources.inputs import derived, ink_of, with_inputs
+from markloom.plans.extraction_queries import order_sql
+from markloom.plans.label_queries import sql_labels, sql_leading, sql_strip_marks
+from markloom.sources.inputs import derived, with_inputs
 from markloom.sources.shared import shared_folder
 from markloom.streaming import progress as S
 
@@ -39,10 +42,23 @@ def model_answer_rows(spark, sf_dir):
     return P.model_answers(_replies(q, ["paper_id"], "answers", row), ["paper_id"], targets)
 
 
+def _lines(spark, sf_dir):
+    lines = X.reading_order(derived(spark, sf_dir, "lines_in"), X.LINE_TOLERANCE, "line_no")
+    return lines.select("doc_id", F.col("pos").alias("line_no"), "text")
+
+
 def _structure(spark, sf_dir):
-    q = derived(spark, sf_dir, "questions_in")
-    row = F.struct(F.col("ord").cast("string").alias("startLine"), (F.col("ord") + 1).cast("string").alias("label"), F.col("marks").cast("string").alias("marks"), F.lit("Section A").alias("section"))
-    return q, P.structure_rows(_replies(q, ["paper_id"], "questions", row), ["paper_id"])
+    """Replies that name a question at every sixth line of a document, by turns one that is known and one that is not: with its
+    lines as numbers or text, ends that are missing, before the start or past the last line, and labels no one can read."""
+    m = F.floor(F.col("line_no") / 6)
+    t = lambda c: c.cast("string")
+    label = F.when(m % 11 == 5, "none").when(m % 2 == 0, F.concat(F.lit("Q"), t(F.floor(m / 2) % 300 + 1))).otherwise(F.concat(F.lit("Q "), t(500 + m % 400), F.lit(" (a")))
+    row = F.struct(
+        F.col("line_no").alias("n"), label.alias("label"), F.when(m % 5 == 4, "-1").otherwise(t(F.col("line_no"))).alias("startLine"),
+        F.when(m % 4 != 1, F.col("line_no") + m % 7 - 1).alias("endLine"), t(m % 3).alias("marks"), F.when(m % 4 < 2, " Section R ").otherwise("").alias("section"),
+    )
+    lines = _lines(spark, sf_dir)
+    return lines, P.structure_rows(_replies(lines.where("line_no % 6 = 0"), ["doc_id"], "questions", row), ["doc_id"])
 
 
 def structure_rows(spark, sf_dir):
@@ -50,20 +66,21 @@ def structure_rows(spark, sf_dir):
 
 
 def merge_structure_rows(spark, sf_dir):
-    q, rows = _structure(spark, sf_dir)
-    drafts = q.where("ord % 3 <> 2").select(
-        "paper_id", (F.col("ord") + 1).cast("string").alias("normalized"), F.when(F.col("ord") % 2 == 1, F.lit(7)).cast("bigint").alias("marks"),
-        F.when(F.col("ord") % 3 == 1, F.lit("Section Z")).alias("section"), "text",
-    )
-    lines = q.select("paper_id", F.col("ord").alias("line_no"), "text")
-    return P.merge_structure(drafts, rows, lines, ["paper_id"])
+    """Drafts are every twelfth line of a document, numbered; texts as digests."""
+    lines, rows = _structure(spark, sf_dir)
+    m = F.floor(F.col("line_no") / 12)
+    drafts = lines.where("line_no % 12 = 0 AND line_no < 3600").select(
+        "doc_id", (m + 1).cast("string").alias("normalized"), F.when(m % 2 == 1, F.lit(7)).cast("bigint").alias("marks"), F.when(m % 3 == 1, F.lit("Section Z")).alias("section"), "text"
+    )
+    return P.merge_structure(drafts, rows, lines, ["doc_id"]).withColumn("text", F.md5("text"))
 
 
 def json_scan(spark, sf_dir):
-    """The event's properties found again inside prose with brackets in quotes."""
+    """The event's properties found again inside prose: behind a remark in brackets, with brackets in quotes."""
     e = derived(spark, sf_dir, "events")
-    text = F.concat(F.lit("reply: "), "props", F.lit(' and "}" more {x'))
-    return e.select("event_id", balanced_json(text).alias("payload"))
+    lead = F.when(F.col("event_id") % 2 == 0, "reply: ").otherwise("see [note 1]: ")
+    text = F.concat(lead, "props", F.lit(' and "}" more {x'))
+    return e.select("event_id", json_piece(text).alias("payload"))
 
 
 def scan_assessment_json(spark, sf_dir):
@@ -87,25 +104,24 @@ def scan_progress_frames(spark, sf_dir):
     return S.read_frames(spark, folder, stream=False).select("job_id", "stage", "state", "event_id")
 
 
-PAGE, PAGE_LINES = ("doc_id", "page"), 200
+PAGE = ("doc_id", "page")
 
 
 def _pages(spark, sf_dir, rule=False):
-    """Page images drawn from the ink rows, a page for every 200 lines: white paper, dark strokes of alternating pixels; with
-    ``rule`` a ruled line as well."""
+    """Page images drawn from the ink rows of each page: white paper, dark strokes of alternating pixels; with ``rule`` a ruled
+    line as well."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         height = max(120, int(pdf["y"].max()) + 20)
         gray = np.full((height, 200), 245, np.uint8)
-        for y, a, b in zip(pdf["y"], pdf["x0"], pdf["x1"], strict=True):
-            gray[y, a : b + 1 : 2] = 20
+        strokes = (pdf["x1"] - pdf["x0"]).to_numpy() // 2 + 1
+        place = np.arange(strokes.sum()) - np.repeat(np.cumsum(strokes) - strokes, strokes)
+        gray[np.repeat(pdf["y"].to_numpy(), strokes), np.repeat(pdf["x0"].to_numpy(), strokes) + 2 * place] = 20
         if rule:
             gray[height - 6 : height - 3, 5:195] = 20
         return pd.DataFrame({k: [pdf[k].iloc[0]] for k in PAGE} | {"width": [200], "height": [height], "gray": [gray.tobytes()]})
 
-    page = F.floor(F.col("line_no") / PAGE_LINES)
-    lines = derived(spark, sf_dir, "raw_lines").select("doc_id", page.alias("page"), (F.col("line_no") % PAGE_LINES).alias("line_no"), "line")
-    ink = ink_of(lines, PAGE).select(*PAGE, "y", "x0", "x1")
+    ink = derived(spark, sf_dir, "ink_in").select(*PAGE, "y", "x0", "x1")
     return ink.groupBy(*PAGE).applyInPandas(draw, "doc_id long, page long, width int, height int, gray binary")
 
 
@@ -132,13 +148,32 @@ QUERIES = {
 }
 
 _Q = with_inputs("questions_in")
+_ST = f"""{with_inputs('lines_in')}, lines AS (SELECT doc_id, pos AS line_no, text FROM {order_sql('lines_in', 'line_no', X.LINE_TOLERANCE)}),
+sr AS (SELECT doc_id, line_no, line_no // 6 AS m, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS seq FROM lines WHERE line_no % 6 = 0),
+sn AS (SELECT *, CASE WHEN m % 11 = 5 THEN 'none' WHEN m % 2 = 0 THEN 'Q' || (m // 2 % 300 + 1) ELSE 'Q ' || (500 + m % 400) || ' (a' END AS label, CASE WHEN m % 5 = 4 THEN -1 ELSE line_no END AS start_line FROM sr),
+{sql_labels('sn', 'label', 'doc_id, seq, m, line_no, label, start_line', 'sl')},
+rows_in AS (SELECT doc_id, seq, label, normalized, start_line, CASE WHEN m % 4 = 1 THEN start_line ELSE line_no + m % 7 - 1 END AS end_line, nullif(m % 3, 0) AS reply_marks,
+  CASE WHEN m % 4 < 2 THEN 'Section R' END AS reply_section FROM sl WHERE normalized <> '')"""
 ORACLES = {
     "suggested_match_rows": f"""{with_inputs('answers_in')} SELECT paper_id, student_ix, ord AS q_ord, ord AS a_ord, CASE WHEN ord % 2 = 0 THEN 0.78 ELSE 0.5 END::DOUBLE AS confidence,
   CASE WHEN ord % 3 = 0 THEN 'alike' ELSE 'Matched by AI reasoning over the answer''s content.' END AS reason FROM answers_in""",
     "model_answer_rows": f"{_Q} SELECT paper_id, ord AS q_ord, 'because' AS answer, ['a', CAST(marks AS VARCHAR), 'c', 'd', 'e'] AS key_points FROM questions_in WHERE marks > 2 AND ord % 3 <> 1",
-    "structure_rows": f"{_Q} SELECT paper_id, CAST(ord + 1 AS VARCHAR) AS normalized, ord AS start_line, marks AS reply_marks, 'Section A' AS reply_section FROM questions_in",
-    "merge_structure_rows": f"""{_Q} SELECT paper_id, CAST(ord + 1 AS VARCHAR) AS normalized, CASE WHEN ord % 3 <> 2 AND ord % 2 = 1 THEN 7 ELSE marks END AS marks,
-  CASE WHEN ord % 3 = 1 THEN 'Section Z' ELSE 'Section A' END AS section, text FROM questions_in WHERE ord % 3 <> 2 OR length(text) >= 3""",
+    "structure_rows": f"{_ST} SELECT * FROM rows_in",
+    "merge_structure_rows": f"""{_ST}, drafts AS (SELECT doc_id, CAST(line_no // 12 + 1 AS VARCHAR) AS normalized, CASE WHEN line_no // 12 % 2 = 1 THEN 7 END AS marks,
+    CASE WHEN line_no // 12 % 3 = 1 THEN 'Section Z' END AS section, text FROM lines WHERE line_no % 12 = 0 AND line_no < 3600),
+said AS (SELECT doc_id, normalized, arg_min(reply_marks, seq) FILTER (reply_marks IS NOT NULL) AS m, arg_min(reply_section, seq) FILTER (reply_section IS NOT NULL) AS s
+  FROM rows_in SEMI JOIN drafts USING (doc_id, normalized) GROUP BY 1, 2),
+size AS (SELECT doc_id, max(line_no) + 1 AS n FROM lines GROUP BY 1),
+fresh AS (SELECT *, least(n - 1, greatest(start_line, end_line)) AS stop FROM rows_in JOIN size USING (doc_id) ANTI JOIN drafts USING (doc_id, normalized)),
+bodies AS (SELECT f.doc_id, f.seq, string_agg(trim(l.text), ' ' ORDER BY l.line_no) AS body FROM fresh f JOIN lines l ON l.doc_id = f.doc_id AND l.line_no BETWEEN f.start_line AND f.stop
+  WHERE f.start_line >= 0 AND f.start_line < f.n GROUP BY 1, 2),
+{sql_leading('bodies', 'body', 'doc_id, seq, body', 'bl')},
+bt AS (SELECT doc_id, seq, {sql_strip_marks("CASE WHEN rest <> '' THEN rest ELSE body END")} AS text FROM bl),
+op AS (SELECT doc_id, f.normalized, min(seq) AS o, arg_min(bt.text, seq) AS text FROM fresh f JOIN bt USING (doc_id, seq) WHERE length(bt.text) >= 3 GROUP BY 1, 2),
+added AS (SELECT f.doc_id, f.normalized, arg_min(reply_marks, seq) FILTER (reply_marks IS NOT NULL) AS marks, arg_min(reply_section, seq) FILTER (reply_section IS NOT NULL) AS section, any_value(op.text) AS text
+  FROM fresh f JOIN op USING (doc_id, normalized) WHERE seq >= o GROUP BY 1, 2)
+SELECT doc_id, normalized, coalesce(marks, m) AS marks, coalesce(section, s) AS section, md5(text) AS text FROM drafts LEFT JOIN said USING (doc_id, normalized)
+UNION ALL SELECT doc_id, normalized, marks, section, md5(text) FROM added""",
     "json_scan": "SELECT event_id, props AS payload FROM events",
     "scan_assessment_json": f"{with_inputs('grades_in')} SELECT paper_id, student_ix, question_no, marks, evaluation FROM grades_in",
     "scan_progress_frames": f"{with_inputs('stage_events_in')} SELECT job_id, stage, state, event_id FROM stage_events_in",

@@ -226,8 +226,19 @@ def grade_rows(spark, sf_dir):
 
 
 def coerce_fields(spark, sf_dir):
-    p = derived(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("t"))
-    return p.select("event_id", P.as_number(F.col("k")).alias("number"), P.as_confidence(F.col("k"), 0.5).alias("confidence"), P.as_boolean(F.when(F.col("t") == "click", " TRUE ")).alias("flag"))
+    """Fields of the events written as replies write them: numbers as text or numbers, flags as text, bare and wrapped rows."""
+    n = F.col("event_id")
+    k = F.get_json_object("props", "$.k")
+    quoted = F.concat(F.lit('"'), k, F.lit('"'))
+    value = F.when(n % 4 == 0, quoted).when(n % 4 == 1, F.concat(k, F.lit(".5"))).when(n % 4 == 2, k).otherwise(F.lit("true"))
+    flag = F.when(F.col("event_type") == "click", F.lit('"TRUE"')).when(F.col("event_type") == "view", F.lit("true")).otherwise(F.lit('" true "'))
+    row = F.concat(F.lit('{"k":'), value, F.lit(',"flag":'), flag, F.lit("}"))
+    lead = F.when(n % 3 == 0, row).when(n % 3 == 1, F.concat(F.lit('{"note":"[x]","rows":['), row, F.lit("]}"))).otherwise(F.concat(F.lit("["), row, F.lit(",7]")))
+    p = derived(spark, sf_dir, "events").select("event_id", lead.alias("t")).withColumn("v", P.parsed(F.col("t")))
+    rows = P.as_array(F.col("v"), F.col("t"))
+    p = p.select("event_id", F.size(rows).alias("n_rows"), F.coalesce(F.get(rows, F.lit(0)), F.col("v")).alias("r"))
+    k, flag = P.field(F.col("r"), "k"), P.field(F.col("r"), "flag")
+    return p.select("event_id", "n_rows", P.as_string(k).alias("text"), P.as_number(k).alias("number"), P.as_confidence(k, 0.5).alias("confidence"), P.as_boolean(flag).alias("flag"))
 
 
 def to_evaluation(spark, sf_dir):
@@ -384,8 +395,9 @@ pj AS (SELECT gb.*, pk.publish_seq, pk.version, pk.valid, CASE WHEN kind = 'edit
 SELECT {_K}, publish_seq, version, marks, evaluation, valid FROM pf""",
     "repair_json_payload": f"{_REP} SELECT {_K}, {_PIECES} AS payload FROM rp",
     "grade_rows": f"{_REP} SELECT * FROM gr",
-    "coerce_fields": f"""{with_inputs('events_k')} SELECT event_id, CAST(k AS DOUBLE) AS number, greatest(0, least(1, CASE WHEN k > 1 THEN k / 100.0 ELSE coalesce(k, 0.5) END))::DOUBLE AS confidence,
-  event_type = 'click' AS flag FROM events_k""",
+    "coerce_fields": f"""{with_inputs('events_k')}, n AS (SELECT *, CASE event_id % 4 WHEN 1 THEN k + 0.5 WHEN 3 THEN NULL ELSE k END AS n FROM events_k)
+SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INT) AS n_rows, CASE event_id % 4 WHEN 3 THEN 'true' WHEN 1 THEN CAST(k AS VARCHAR) || '.5' ELSE CAST(k AS VARCHAR) END AS text,
+  CAST(n AS DOUBLE) AS number, greatest(0, least(1, CASE WHEN n > 1 THEN n / 100.0 ELSE coalesce(n, 0.5) END))::DOUBLE AS confidence, event_type IN ('click', 'view') AS flag FROM n""",
     "to_evaluation": f"""{with_inputs('grades_in')} SELECT {_K}, CASE WHEN marks % 5 = 0 THEN 'not_attempted' WHEN marks % 5 = 1 THEN 'partial' ELSE evaluation END AS evaluation FROM grades_in""",
     "merge_grades": f"""{_REP}, qs AS (SELECT {_K}, printed_marks, question_no % 4 <> 0 AS att, requires_review AS nr FROM grades_in), rr AS (SELECT * FROM gr WHERE question_no % 3 <> 0)
 SELECT {_K}, CASE WHEN att AND rr.marks IS NOT NULL THEN rr.marks ELSE 0 END AS marks, CASE WHEN att AND rr.marks IS NOT NULL THEN rr.max_marks ELSE coalesce(printed_marks, 1) END::DOUBLE AS max_marks,

@@ -32,6 +32,8 @@ SELECT doc_id, CAST(floor(line_no / 30.0) AS INT) AS page_number, line_no,
   CASE WHEN doc_id % 10 = 0 AND line_no % 2 = 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS x,
   (line_no % 30) * CAST(0.03 AS DOUBLE) AS y, CAST(0.3 AS DOUBLE) AS width, CAST(0.025 AS DOUBLE) AS height,
   CASE WHEN line_no % 20 = 0 AND doc_id % 3 = 0 THEN CASE WHEN line_no % 40 = 0 THEN 'Section A' ELSE 'PART b - ' END
+    WHEN (doc_id + line_no) % 8 = 0 THEN concat(CAST(1 + CAST(floor(line_no / 4.0) AS INT) AS STRING), '. ', line, ' [', CAST(1 + line_no % 5 AS STRING), '] ', CAST(2 + CAST(floor(line_no / 4.0) AS INT) AS STRING),
+      CASE WHEN line_no % 3 = 0 THEN ' (b) ' ELSE '. ' END, 'Also: ', line, CASE WHEN line_no % 5 = 0 THEN ' See 3. What' ELSE '' END)
     WHEN (doc_id + line_no) % 4 = 0 THEN concat(CAST(1 + CAST(floor(line_no / 4.0) AS INT) AS STRING), '. ', line, ' [', CAST(1 + line_no % 5 AS STRING), ']')
     WHEN (doc_id + line_no) % 23 = 5 THEN concat('Page ', CAST(line_no AS STRING)) ELSE line END AS text
 FROM raw_lines"""),
@@ -43,8 +45,8 @@ SELECT doc_id, page_number, line_no AS block_no, x, y, width, height, text,
   CAST((20 + (doc_id + 7 * line_no) % 80) / 100.0 AS DOUBLE) AS confidence
 FROM lines_in"""),
     "ink_in": (("raw_lines",), """
-SELECT doc_id, line_no, CAST(line_no * 11 + r + floor((line_no + 0.0) / 6.0) * 11 AS INT) AS y,
-  CAST(3 + length(line) % 50 AS INT) AS ink, CAST(10 + line_no % 5 AS INT) AS x0, CAST(13 + line_no % 5 + length(line) % 50 AS INT) AS x1
+SELECT doc_id, CAST(floor(line_no / 200.0) AS BIGINT) AS page, line_no % 200 AS line_no, CAST(line_no % 200 * 11 + r + floor((line_no % 200 + 0.0) / 6.0) * 11 AS INT) AS y,
+  CAST(3 + length(line) % 50 AS INT) AS ink, CAST(10 + line_no % 200 % 5 AS INT) AS x0, CAST(13 + line_no % 200 % 5 + length(line) % 50 AS INT) AS x1
 FROM raw_lines CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
   UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS rs"""),
     "grades_in": (("lineitem",), """
@@ -117,12 +119,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ink_of(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Eight rows of ink for every line of a document, as in the SELECT above, and with the keys of pages."""
-    n, size = F.col("line_no"), F.length("line") % 50
+PAGE_LINES = 200  # lines of a document that a page image holds
+
+
+def ink_of(lines: DataFrame) -> DataFrame:
+    """Eight rows of ink for every line of a document, on pages of 200 lines each, as in the SELECT above."""
+    n, size = F.col("line_no") % PAGE_LINES, F.length("line") % 50
     return lines.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
-        *keys, "line_no", (n * 11 + F.col("r") + F.floor(n / 6) * 11).cast("int").alias("y"), (3 + size).cast("int").alias("ink"),
-        (10 + n % 5).cast("int").alias("x0"), (13 + n % 5 + size).cast("int").alias("x1"),
+        "doc_id", F.floor(F.col("line_no") / PAGE_LINES).alias("page"), n.alias("line_no"), (n * 11 + F.col("r") + F.floor(n / 6) * 11).cast("int").alias("y"),
+        (3 + size).cast("int").alias("ink"), (10 + n % 5).cast("int").alias("x0"), (13 + n % 5 + size).cast("int").alias("x1"),
     )
 
 

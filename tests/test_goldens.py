@@ -49,9 +49,51 @@ def test_inline_starts_need_an_ended_sentence(spark):
 
 
 def test_json_repair(spark):
-    rows = [('{"a":1}',), ("```json\n[1,2]\n```",), ('so: {"a":"}{","b":[1]} ok',), ('x {"q":"say \\"hi\\" }"} y',), ("nothing",), ('{"a": ',)]
-    got = [r.p for r in spark.createDataFrame(rows, "t string").coalesce(1).select(P.repair_json(F.col("t")).alias("p")).collect()]
-    assert got == ['{"a":1}', "[1,2]", '{"a":"}{","b":[1]}', '{"q":"say \\"hi\\" }"}', None, None]
+    cases = {
+        '{"a":1}': '{"a":1}', "```json\n[1,2]\n```": "[1,2]", "```JSON {\"a\":2}```": '{"a":2}', 'so: {"a":"}{","b":[1]} ok': '{"a":"}{","b":[1]}',
+        'x {"q":"say \\"hi\\" }"} y': '{"q":"say \\"hi\\" }"}', "nothing": None, '{"a": ': None, 'see [note] {"a":1}': '{"a":1}', "{x} then [1,[2]] end": "[1,[2]]",
+        '{"a":[1} and [3]': None, '5 {"a":1}': '{"a":1}', "5": "5", '{"a":1} {"b":2}': '{"a":1}', "[NaN]": None, "": None, '{"a":1,"a":[2]}': '{"a":1,"a":[2]}',
+    }
+    rows = [(i, t) for i, t in enumerate([*cases, None])]
+    got = {r.i: r.p for r in spark.createDataFrame(rows, "i int, t string").select("i", P.repair_json(F.col("t")).alias("p")).collect()}
+    assert got == dict(enumerate([*cases.values(), None]))
+
+
+def test_reply_rows_fenced_bare_and_wrapped(spark):
+    from markloom.operators.replies import reply_rows
+
+    row = '{"index":1,"text":"a"}'
+    cases = {
+        f'{{"regions":[{row}]}}': 1, f"```json\n[{row},{row}]\n```": 2, f'{{"z":[{row}],"a":[]}}': 1, f'{{"z":"[1]","b":[{row}],"a":[{row},{row}]}}': 1, f'{{"regions":{{"x":1,"list":[{row}]}}}}': 1,
+        '{"regions":null,"rows":[{"index":1}]}': 0, '{"regions":"x"}': 0, "7": 0, "none": 0, f'{{"regions":[{row},7,null,[1],"x"]}}': 1, f'{{"regions":[],"regions":[{row}]}}': 1, f"[note]: [{row}]": 0,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, reply string")
+    got = {r.i: r["count"] for r in reply_rows(df, ["i"], "regions").groupBy("i").count().collect()}
+    assert {i: got.get(i, 0) for i in range(len(cases))} == dict(enumerate(cases.values()))
+
+
+def test_fields_of_any_type(spark):
+    cases = [
+        ('"12"', "12", 12.0, 0.12, False), ("2.0", "2", 2.0, 0.02, False), ("1.25", "1.25", 1.25, 0.0125, False), ("true", "true", None, 0.5, True), ('"TRUE"', "TRUE", None, 0.5, True), ('" true "', " true ", None, 0.5, False),
+        ('""', "", 0.0, 0.0, False), ('" 3e1 "', " 3e1 ", 30.0, 0.3, False), ("null", None, None, 0.5, False), ('{"a":1}', None, None, 0.5, False), ("[1]", None, None, 0.5, False), ("-3", "-3", -3.0, 0.0, False), ('"1d"', "1d", None, 0.5, False),
+    ]
+    df = spark.createDataFrame([(i, f'{{"v":{c[0]}}}') for i, c in enumerate(cases)], "i int, t string").select("i", P.field(P.parsed(F.col("t")), "v").alias("v"))
+    got = [tuple(r)[1:] for r in df.select("i", P.as_string(F.col("v")), P.as_number(F.col("v")), P.as_confidence(F.col("v"), 0.5), P.as_boolean(F.col("v"))).orderBy("i").collect()]
+    assert got == [c[1:] for c in cases]
+
+
+def test_structure_ranges(spark):
+    from markloom.operators import replies as E
+
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["1. What is", "this [2]", "5) New", " question here ", "", "end"] + ["more"] * 200)], "p long, line_no long, text string")
+    drafts = spark.createDataFrame([(1, "1", None, "S", "What is this"), (1, "2", 4, None, "x y z")], "p long, normalized string, marks long, section string, text string")
+    reply = [
+        '{"label":"Q1","marks":"0"},{"label":"1.","marks":3,"section":"T"},{"label":"2","marks":9,"section":" U "},{"label":"5","startLine":-1,"endLine":3},'
+        '{"label":"5","startLine":"2","endLine":3},{"label":"(5)","section":"V","marks":2},{"label":"6","startLine":190,"endLine":9999},{"label":"7","startLine":4,"endLine":2},{"label":"x","startLine":1},{"label":"8","startLine":5,"endLine":1}'
+    ]
+    replies = spark.createDataFrame([(1, f"[{reply[0]}]")], "p long, reply string")
+    got = {r.normalized: (r.marks, r.section, r.text) for r in E.merge_structure(drafts, E.structure_rows(replies, ["p"]), lines, ["p"]).collect()}
+    assert got == {"1": (3, "S", "What is this"), "2": (4, "U", "x y z"), "5": (None, None, "New question here"), "6": (None, None, " ".join(["more"] * 16)), "8": (None, None, "end")}
 
 
 def _sheet(spark, labels):

@@ -21,9 +21,12 @@ def test_layout_reads_every_line_of_a_long_document(spark, tables):
 
     folder = tables(documents=([(1, "\n".join(["some words here"] * 450)), (2, "short\ntext")], "doc_id long, text string"))
     assert L.row_ink_profile(spark, folder).where("doc_id = 1").count() == 450 * 8
-    assert L.line_islands(spark, folder).where("doc_id = 1").count() == 450
-    last = max(L.normalize_box(spark, folder).where("doc_id = 1").collect(), key=lambda r: r.y)
-    assert last.height > 0 and last.y + last.height == pytest.approx(1)
+    lines = L.line_islands(spark, folder).where("doc_id = 1").groupBy("page").count().collect()
+    assert {r.page: r["count"] for r in lines} == {0: 200, 1: 200, 2: 50}
+    boxes = [r for r in L.normalize_box(spark, folder).where("doc_id = 1").collect()]
+    assert {r.page for r in boxes} == {0, 1, 2} and all(0 < r.height <= 1 and r.y + r.height <= 1 for r in boxes)
+    capped = L.cap_blocks(spark, folder).where("doc_id = 1").groupBy("page", "kind").count().collect()
+    assert {(r.page, r.kind): r["count"] for r in capped} == {(p, k): min(n, -(-size // 6)) for p, size in ((0, 200), (1, 200), (2, 50)) for k, n in (("printed", 26), ("handwritten", 22))}
     assert {(r.doc_id, r.page) for r in R.segment_pages(spark, folder).select("doc_id", "page").collect()} >= {(1, 0), (1, 1), (1, 2)}
 
 
@@ -51,30 +54,36 @@ def test_term_weights_cover_both_sides(spark, tables):
     assert got == {(0, *k): pytest.approx(v, abs=1e-8) for k, v in want.items()}  # both documents are on sheet 0
 
 
-def test_merged_structure_keeps_whole_texts(spark, tables):
-    from markloom.plans.reply_queries import merge_structure_rows
-
-    texts = [f"question {i} " + "word " * 30 for i in range(4)]
-    rows = [(5, i, "user", t) for i, t in enumerate(texts)]
-    folder = tables(conversations=(rows, "conv_id long, turn int, role string, text string"))
-    assert {r.normalized: r.text for r in merge_structure_rows(spark, folder).collect()} == {str(i + 1): t for i, t in enumerate(texts)}
-
-
-def test_every_part_of_a_line_gets_its_share(spark, tables):
-    from itertools import accumulate
-
-    from markloom.plans.extraction_queries import apportion_inline_split
-    from markloom.sources.inputs import derived
-
-    long = " ".join("x" * (1 + i % 7) for i in range(150))
-    folder = tables(documents=([(1, long), (2, "one two three four\nfive")], "doc_id long, text string"))
-    want = set()
-    for r in derived(spark, folder, "lines_in").collect():
-        parts = r.text.split(" ")
-        upto = [0, *accumulate(map(len, parts))]
-        want |= {(r.doc_id, r.line_no, i, round(upto[i] / upto[-1], 9), round(upto[i + 1] / upto[-1], 9)) for i in range(len(parts))}
-    assert {tuple(r) for r in apportion_inline_split(spark, folder).collect()} == want
-    assert len(want) >= 155
+def test_a_line_of_two_questions_becomes_two(spark):
+    from markloom.operators import extraction as X
+
+    texts = ["Section A", "1. Define a term. [3] 2. Why is it so?", "and more", "3. Use 12. Apples as units", "Q 4. Sum up. (5 marks) 5 (b) Then list them!  6) Name one", "= 22/7 x 7. Next"]
+    lines = spark.createDataFrame([(1, 0, i, 0.1, i * 0.03, 0.6, 0.02, t) for i, t in enumerate(texts)], "doc_id long, page_number int, line_no long, x double, y double, width double, height double, text string")
+    rows = X.question_lines(lines).orderBy("pos").collect()
+    assert [(r.line_no, r.text) for r in rows] == [
+        (0, texts[0]), (100, "1. Define a term. [3]"), (101, "2. Why is it so?"), (2, texts[2]), (3, texts[3]), (400, "Q 4. Sum up. (5 marks)"), (401, "5 (b) Then list them!"), (402, "6) Name one"), (5, texts[5]),
+    ]
+    size = [len(r.text) for r in rows[5:8]]
+    assert [r.x for r in rows[5:8]] == pytest.approx([0.1 + 0.6 * sum(size[:i]) / sum(size) for i in range(3)])
+    assert [r.width for r in rows[5:8]] == pytest.approx([0.6 * n / sum(size) for n in size])
+    got = X.assemble_questions(X.with_question_starts(X.question_lines(lines))).orderBy("ord").collect()
+    assert [(r.normalized, r.text, r.marks) for r in got] == [
+        ("1", "Define a term.", 3), ("2", "Why is it so? and more", None), ("3", "Use 12. Apples as units", None), ("4", "Sum up.", 5), ("5b", "Then list them!", None), ("6", "Name one = 22/7 x 7. Next", None),
+    ]
+
+
+def test_a_paper_of_fourteen_questions(spark):
+    """Set tightly: two questions on a line, notes of marks, sections, furniture, parts of a question."""
+    from markloom.operators import extraction as X
+
+    texts = ["Page 1", "Time: 3 hours", "SECTION A"] + [f"{n}. Question number {n} is this. [2] {n + 1}. Question number {n + 1} is that. [3]" for n in range(1, 9, 2)]
+    texts += ["Part B - ", "9. Explain (i) and (ii) below.", "10. Compare both. (4 marks) 11(a) First part of it? 11(b) Second part of it?", "Page 2", "12) Last but one. 13. The last one", "goes on here [10 marks]"]
+    lines = spark.createDataFrame([(1, i // 8, i, 0.1, i % 8 * 0.03, 0.6, 0.02, t) for i, t in enumerate(texts)], "doc_id long, page_number int, line_no long, x double, y double, width double, height double, text string")
+    got = X.assemble_questions(X.with_question_starts(X.question_lines(lines))).orderBy("ord").collect()
+    assert [r.normalized for r in got] == [*map(str, range(1, 11)), "11a", "11b", "12", "13"]
+    assert [r.section for r in got] == ["Section A"] * 8 + ["Part B"] * 6
+    assert got[-1].text == "The last one goes on here" and got[-1].marks == 10 and got[1].text == "Question number 2 is that."
+    assert X.sequence_looks_complete(X.assemble_questions(X.with_question_starts(X.question_lines(lines)))).first().complete
 
 
 def test_every_region_is_read_from_its_reply(spark, tables):
