@@ -7,15 +7,14 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from markloom.functions.labels import strip
-
-FENCE = r"(?is)```(?:json)?\s*(.*?)```"
+FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.I | re.S)
 MARKS = {"{": re.compile(r'\\.|["{}]', re.S), "[": re.compile(r'\\.|["\[\]]', re.S)}
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -33,8 +32,11 @@ def _parses(text: str) -> bool:
 
 
 def first_json(text: str | None) -> str | None:
-    """The text if it is JSON, else its first balanced object or array that is: of the two kinds of bracket the one that opens
+    """The text's fenced part, or the whole, if it is JSON, else its first balanced object or array that is: of the two kinds of bracket the one that opens
     first is tried first, and only brackets of its kind are counted, none inside quotes; null if neither gives any."""
+    if text and (fenced := FENCE.search(text)):
+        text = fenced[1]
+    text = (text or "").strip()
     if not text:
         return None
     if _parses(text):
@@ -69,8 +71,7 @@ def _once_each(text: pa.Array) -> pa.Array:
 def repair_json(text: Column) -> Column:
     """The reply's JSON as text: the fenced part or the whole if it parses, else the first balanced piece that does; null if none
     does."""
-    fenced = F.regexp_extract(text, FENCE, 1)
-    return json_piece(strip(F.when(fenced != "", fenced).otherwise(text)))
+    return json_piece(text)
 
 
 def reply_value(text: Column) -> Column:
@@ -89,13 +90,8 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def kind(value: Column) -> Column:
-    """object, array, string, number, boolean, or null for a JSON null and for no value."""
-    shown = F.schema_of_variant(value)
-    return (
-        F.when(shown.startswith("OBJECT"), "object").when(shown.startswith("ARRAY"), "array").when(shown == "STRING", "string")
-        .when(shown == "BOOLEAN", "boolean").when(shown.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number")
-    )
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
 def as_array(value: Column, payload: Column) -> Column:
@@ -108,38 +104,48 @@ def as_array(value: Column, payload: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", array), first, F.array().cast(array))
 
 
-def as_string(value: Column) -> Column:
+@dataclass(frozen=True)
+class Read:
+    """A JSON value and its text. What kind of value it is is asked only where the text leaves it open."""
+
+    text: Column
+    value: Column
+
+    @staticmethod
+    def of(value: Column) -> Read:
+        return Read(F.try_variant_get(value, "$", "string"), value)
+
+
+def read_fields(rows: DataFrame, value: str, names: list[str]) -> tuple[DataFrame, dict[str, Read]]:
+    """``rows`` with two columns for every named field of the VARIANT ``value``, and the fields as read from these. Each field is
+    looked up once, in a step of its own, so what is made of it stays small."""
+    looked = rows.withColumns({f"_v_{n}": field(F.col(value), n) for n in names})
+    read = looked.withColumns({f"_t_{n}": F.try_variant_get(f"_v_{n}", "$", "string") for n in names})
+    return read, {n: Read(F.col(f"_t_{n}"), F.col(f"_v_{n}")) for n in names}
+
+
+def as_string(value: Read) -> Column:
     """A string, or a number or boolean written as one (2.0 as 2); null otherwise."""
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    k = kind(value)
-    return F.when(k.isin("string", "boolean"), text).when(k == "number", F.when(whole, number.cast("bigint").cast("string")).otherwise(text))
+    t, shown = value.text, F.schema_of_variant(value.value)
+    return (
+        F.when(t.startswith("{") | t.startswith("["), F.when(shown == "STRING", t))
+        .when(t.endswith(".0"), F.when(shown == "STRING", t).otherwise(F.substring(t, F.lit(1), F.length(t) - 2))).otherwise(t)
+    )
 
 
-def text_number(text: Column) -> Column:
-    """A number from its text; nothing but white space is 0, anything else null."""
-    t = F.trim(text)
+def as_number(value: Read) -> Column:
+    """A number, also from its text (nothing but white space is 0); null otherwise."""
+    t = F.trim(value.text)
     n = F.when(t.rlike(NUMBER), t.try_cast("double"))
     return F.when(t == "", 0.0).otherwise(F.when(F.abs(n) < float("inf"), n))
 
 
-def as_number(value: Column) -> Column:
-    """A number, also from its text; null otherwise."""
-    k = kind(value)
-    n = F.try_variant_get(value, "$", "double")
-    return F.when(k == "string", text_number(F.try_variant_get(value, "$", "string"))).when((k == "number") & (F.abs(n) < float("inf")), n)
-
-
-def as_confidence(value: Column, default: float) -> Column:
+def as_confidence(value: Read, default: float) -> Column:
     """0..1; what is above 1 counts as a percentage."""
     n = F.coalesce(as_number(value), F.lit(default))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, n / 100).otherwise(n)))
 
 
-def as_boolean(value: Column) -> Column:
+def as_boolean(value: Read) -> Column:
     """A boolean, or the text ``true`` in either case; false otherwise."""
-    k = kind(value)
-    said = F.when(k == "boolean", F.try_variant_get(value, "$", "boolean")).when(k == "string", F.lower(F.try_variant_get(value, "$", "string")) == "true")
-    return F.coalesce(said, F.lit(False))
-
+    return F.coalesce(F.lower(value.text) == "true", F.lit(False))

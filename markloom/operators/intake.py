@@ -10,14 +10,15 @@ EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg")
 MIME_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/jpg")
 ACTIONABLE = ("quota", "credentials", "misconfigured")
 
-# What each kind of provider failure is called.
+# What is said of a step that was skipped, by the kind of failure. {step} is its name, {Step} with a capital.
 SENTENCES = {
-    "credentials": "the provider rejected the API key",
-    "network": "the provider could not be reached",
-    "quota": "the provider's usage quota was reached",
-    "provider_unavailable": "the provider is temporarily unavailable",
-    "misconfigured": "the provider rejected the request",
-    "unusable_response": "the provider's reply could not be used",
+    "quota": "The AI provider's quota ran out during this run, so {step} was skipped. Everything else completed normally — try again once the quota resets.",
+    "credentials": "The AI provider rejected the configured key, so {step} was skipped. Check AI_API_KEY.",
+    "misconfigured": "The AI provider rejected the request, so {step} was skipped. Check that AI_MODEL names a model this key can use.",
+    "network": "The connection to the AI service dropped, so {step} was skipped. Trying again usually resolves it.",
+    "provider_unavailable": "The AI model was temporarily overloaded, so {step} was skipped. Trying again usually resolves it.",
+    "not_configured": "{Step} needs a configured AI provider, so it was skipped.",
+    "unusable_response": "The AI service returned something unusable, so {step} was skipped.",
 }
 
 
@@ -53,8 +54,10 @@ def failure_kind(status: Column, error_class: Column, body: Column, message: Col
 
 
 def failure_sentence(kind: Column, step: Column) -> Column:
-    said = F.coalesce(*(F.when(kind == k, v) for k, v in SENTENCES.items()))
-    return F.concat(step, F.lit(" was skipped because "), said, F.lit("."))
+    """What is said of a skipped step; kinds that are not known count as unusable replies."""
+    template = F.coalesce(*(F.when(kind == k, v) for k, v in SENTENCES.items()), F.lit(SENTENCES["unusable_response"]))
+    capital = F.concat(F.upper(F.substring(step, 1, 1)), F.substring(step, F.lit(2), F.length(step)))
+    return F.replace(F.replace(template, F.lit("{step}"), step), F.lit("{Step}"), capital)
 
 
 # What a job that fails says, by cause; the stages that read questions and answers; and the last resort.

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.functions.labels import canonical_label, split_leading_label, strip
-from markloom.functions.payload import as_array, as_boolean, as_confidence, as_number, as_string, field, kind, parsed, repair_json
+from markloom.functions.payload import Read, as_array, as_boolean, as_confidence, as_number, as_string, field, is_object, parsed, read_fields, repair_json
 from markloom.functions.text import MIN_TEXT, strip_marks
 from markloom.operators.review import to_evaluation
+from markloom.sources.shared import settle
 
 SUGGESTED_MOST = 0.78
 NO_FEEDBACK = "No feedback was generated."
@@ -18,15 +19,16 @@ def reply_rows(replies: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(keys, seq, r: VARIANT): the objects of a reply's array: its field ``name``, or where there is none the reply itself; of
     an object its first property that is an array. Replies without any give none. The JSON is parsed once."""
     found = replies.select(*keys, repair_json(F.col("reply")).alias("_payload")).withColumn("_value", parsed(F.col("_payload")))
-    own = field(F.col("_value"), name)
-    wrapped = F.when(kind(own) == "object", F.to_json(own)).otherwise(F.col("_payload"))
-    rows = as_array(F.when(own.isNotNull() | F.array_contains(F.json_object_keys("_payload"), name), own).otherwise(F.col("_value")), wrapped)
-    listed = found.select(*keys, F.posexplode(rows).alias("seq", "r"))
-    return listed.where(kind(F.col("r")) == "object").withColumn("seq", F.col("seq").cast("bigint"))
+    own = found.withColumns({"_own": field(F.col("_value"), name), "_names": F.json_object_keys("_payload")})
+    told = F.coalesce(F.array_contains("_names", name), F.lit(False))
+    chosen = own.withColumns({"_from": F.when(told, F.col("_own")).otherwise(F.col("_value")), "_text": F.when(told & is_object(F.col("_own")), F.to_json("_own")).otherwise(F.col("_payload"))})
+    listed = chosen.select(*keys, as_array(F.col("_from"), F.col("_text")).alias("_rows")).select(*keys, F.posexplode_outer("_rows").alias("seq", "r"))  # a plain one infers a filter that reads replies twice
+    return listed.where(is_object(F.col("r"))).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-def _of(name: str) -> Column:
-    return field(F.col("r"), name)
+def _text(value: Read) -> Column:
+    """A field as trimmed text; empty where it is none."""
+    return strip(F.coalesce(as_string(value), F.lit("")))
 
 
 def whole(number: Column) -> Column:
@@ -37,23 +39,23 @@ def whole(number: Column) -> Column:
 def region_rows(replies: DataFrame, keys: list[str]) -> DataFrame:
     """Regions read (keys, index, text, label, confidence, is_continuation, struck_out): rows need a whole number as index; of
     several with one index the last counts; a label that says null is none."""
-    label = strip(F.coalesce(as_string(_of("label")), F.lit("")))
-    rows = reply_rows(replies, keys, "regions").withColumn("index", whole(as_number(_of("index")))).where(F.col("index").isNotNull())
-    last = rows.groupBy(*keys, "index").agg(F.max("seq").alias("seq"))
-    return rows.join(last, [*keys, "index", "seq"], "left_semi").select(
-        *keys, "index", strip(F.coalesce(as_string(_of("text")), F.lit(""))).alias("text"), F.when((label != "") & (F.lower(label) != "null"), label).alias("label"),
-        as_confidence(_of("confidence"), 0.6).alias("confidence"), as_boolean(_of("isContinuation")).alias("is_continuation"), as_boolean(_of("struckOut")).alias("struck_out"),
-    )
+    rows, f = read_fields(reply_rows(replies, keys, "regions"), "r", ["index", "text", "label", "confidence", "isContinuation", "struckOut"])
+    read = rows.select(
+        *keys, "seq", whole(as_number(f["index"])).alias("index"), _text(f["text"]).alias("text"), _text(f["label"]).alias("label"),
+        as_confidence(f["confidence"], 0.6).alias("confidence"), as_boolean(f["isContinuation"]).alias("is_continuation"), as_boolean(f["struckOut"]).alias("struck_out"),
+    ).where("index IS NOT NULL")
+    last = read.groupBy(*keys, "index").agg(F.max_by(F.struct("text", "label", "confidence", "is_continuation", "struck_out"), "seq").alias("x"))
+    named = F.when((F.col("x.label") != "") & (F.lower("x.label") != "null"), F.col("x.label"))
+    return last.select(*keys, "index", "x.text", named.alias("label"), "x.confidence", "x.is_continuation", "x.struck_out")
 
 
 def suggested_matches(replies: DataFrame, keys: list[str]) -> DataFrame:
     """Suggested pairs with confidence (0.5 if not said, 0.78 at most) and reason."""
-    rows = reply_rows(replies, keys, "matches")
-    said = F.nullif(strip(F.coalesce(as_string(_of("reason")), F.lit(""))), F.lit(""))
+    rows, f = read_fields(reply_rows(replies, keys, "matches"), "r", ["questionId", "answerId", "confidence", "reason"])
     return rows.select(
-        *keys, "seq", whole(as_number(_of("questionId"))).alias("q_ord"), whole(as_number(_of("answerId"))).alias("a_ord"),
-        F.least(F.lit(SUGGESTED_MOST), as_confidence(_of("confidence"), 0.5)).alias("confidence"),
-        F.coalesce(said, F.lit("Matched by AI reasoning over the answer's content.")).alias("reason"),
+        *keys, "seq", whole(as_number(f["questionId"])).alias("q_ord"), whole(as_number(f["answerId"])).alias("a_ord"),
+        F.least(F.lit(SUGGESTED_MOST), as_confidence(f["confidence"], 0.5)).alias("confidence"),
+        F.coalesce(F.nullif(_text(f["reason"]), F.lit("")), F.lit("Matched by AI reasoning over the answer's content.")).alias("reason"),
     )
 
 
@@ -63,28 +65,29 @@ def clean_points(points: Column, most: int = 5) -> Column:
 
 def model_answers(replies: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
     """Expected answers for target questions (keys, q_ord) only; empty ones are dropped, key points cleaned."""
-    points = F.transform(F.try_variant_get(_of("keyPoints"), "$", "array<variant>"), as_string)
-    rows = reply_rows(replies, keys, "answers").select(
-        *keys, whole(as_number(_of("questionId"))).alias("q_ord"), strip(F.coalesce(as_string(_of("answer")), F.lit(""))).alias("answer"),
-        clean_points(F.transform(points, lambda p: F.coalesce(p, F.lit("")))).alias("key_points"),
+    rows, f = read_fields(reply_rows(replies, keys, "answers"), "r", ["questionId", "answer"])
+    points = F.try_variant_get(field(F.col("r"), "keyPoints"), "$", "array<variant>")
+    read = rows.select(
+        *keys, whole(as_number(f["questionId"])).alias("q_ord"), _text(f["answer"]).alias("answer"),
+        clean_points(F.transform(points, lambda p: F.coalesce(as_string(Read.of(p)), F.lit("")))).alias("key_points"),
     )
-    return rows.where("answer <> ''").join(targets, [*keys, "q_ord"], "left_semi")
+    return settle(read.where("answer <> ''")).join(targets, [*keys, "q_ord"], "left_semi")
 
 
 def structure_rows(replies: DataFrame, keys: list[str]) -> DataFrame:
     """Questions that a reply names (keys, seq, label, normalized, start_line, end_line, reply_marks, reply_section), those whose
     label can be read. The end line is the start line where none is said; marks count if they are above 0."""
-    label = strip(F.coalesce(as_string(_of("label")), F.lit("")))
-    rows = reply_rows(replies, keys, "questions").select(
-        *keys, "seq", label.alias("label"), as_number(_of("startLine")).alias("_s"), as_number(_of("endLine")).alias("_e"), as_number(_of("marks")).alias("_m"),
-        F.nullif(strip(F.coalesce(as_string(_of("section")), F.lit(""))), F.lit("")).alias("reply_section"),
+    rows, f = read_fields(reply_rows(replies, keys, "questions"), "r", ["label", "startLine", "endLine", "marks", "section"])
+    read = rows.select(
+        *keys, "seq", _text(f["label"]).alias("label"), as_number(f["startLine"]).alias("_s"), as_number(f["endLine"]).alias("_e"), as_number(f["marks"]).alias("_m"),
+        F.nullif(_text(f["section"]), F.lit("")).alias("reply_section"),
     )
     start = whole(F.coalesce("_s", F.lit(-1.0)))
-    read = rows.withColumn("normalized", canonical_label(F.col("label"))["normalized"]).where("normalized <> ''")
-    return read.select(
+    named = read.withColumn("normalized", canonical_label(F.col("label"))["normalized"]).where("normalized <> ''")
+    return settle(named.select(
         *keys, "seq", "label", "normalized", start.alias("start_line"), F.coalesce(whole(F.col("_e")), start).alias("end_line"),
         F.when(F.col("_m") > 0, F.col("_m").cast("bigint")).alias("reply_marks"), "reply_section",
-    )
+    ))
 
 
 RANGE_BUCKET = 64
@@ -128,18 +131,20 @@ def grade_rows(replies: DataFrame, keys: list[str], targets: DataFrame, also: li
     """Grades of the questions asked (``targets``: keys, question_no, printed_marks, needs_review), from replies (keys, ``also``,
     reply): rows for other questions are dropped, and of several for one the last counts. The maximum is the reply's, else
     the printed one, else 1, and 1 at least; marks are clamped to it."""
-    rows = reply_rows(replies, [*keys, *(also or [])], "grades").withColumn("question_no", whole(as_number(_of("questionId"))))
+    rows, f = read_fields(
+        reply_rows(replies, [*keys, *(also or [])], "grades"), "r", ["questionId", "marksObtained", "maxMarks", "evaluation", "feedback", "confidence", "requiresReview"]
+    )
     read = rows.select(
-        *keys, *(also or []), "seq", "question_no", as_number(_of("marksObtained")).alias("_marks"), as_number(_of("maxMarks")).alias("_max"),
-        to_evaluation(as_string(_of("evaluation"))).alias("evaluation"), F.nullif(strip(F.coalesce(as_string(_of("feedback")), F.lit(""))), F.lit("")).alias("_said"),
-        as_confidence(_of("confidence"), 0.6).alias("confidence"), as_boolean(_of("requiresReview")).alias("_review"),
+        *keys, *(also or []), "seq", whole(as_number(f["questionId"])).alias("question_no"), as_number(f["marksObtained"]).alias("_marks"), as_number(f["maxMarks"]).alias("_max"),
+        as_string(f["evaluation"]).alias("_verdict"), _text(f["feedback"]).alias("_said"), as_confidence(f["confidence"], 0.6).alias("confidence"), as_boolean(f["requiresReview"]).alias("_review"),
     )
-    known = read.join(targets, [*keys, "question_no"])
-    fields = ("_marks", "_max", "evaluation", "_said", "confidence", "_review", "printed_marks", "needs_review")
+    # written once: joins push filters on the key below the reading, which then would happen twice
+    known = settle(read).join(targets, [*keys, "question_no"])
+    fields = ("_marks", "_max", "_verdict", "_said", "confidence", "_review", "printed_marks", "needs_review")
     last = known.groupBy(*keys, "question_no").agg(F.max_by(F.struct(*fields), F.struct(*(also or []), "seq")).alias("x")).select(*keys, "question_no", "x.*")
     top = F.greatest(F.lit(1.0), F.coalesce("_max", F.col("printed_marks").cast("double"), F.lit(1.0)))
     return last.select(
         *keys, "question_no", F.least(top, F.greatest(F.lit(0.0), F.coalesce("_marks", F.lit(0.0)))).alias("marks"), top.alias("max_marks"),
-        "evaluation", F.coalesce("_said", F.lit(NO_FEEDBACK)).alias("feedback"), "confidence",
+        to_evaluation(F.col("_verdict")).alias("evaluation"), F.coalesce(F.nullif("_said", F.lit("")), F.lit(NO_FEEDBACK)).alias("feedback"), "confidence",
         (F.col("_review") | F.coalesce("needs_review", F.lit(False))).alias("requires_review"),
     )

@@ -77,8 +77,10 @@ def classify_provider_failure(spark, sf_dir):
 
 
 def describe_degradation(spark, sf_dir):
-    step = F.concat(F.lit("Step "), F.col("step_no").cast("string"))
-    return _calls(spark, sf_dir).where("kind IS NOT NULL").select("event_id", I.failure_sentence(F.col("kind"), step).alias("sentence"))
+    """What is said of every call that failed; every ninth had no provider to go to."""
+    step = F.concat(F.lit("step "), F.col("step_no").cast("string"))
+    kind = F.when(F.col("event_id") % 9 == 8, "not_configured").otherwise(F.col("kind"))
+    return _calls(spark, sf_dir).where(kind.isNotNull()).select("event_id", I.failure_sentence(kind, step).alias("sentence"))
 
 
 def job_error_class(spark, sf_dir):
@@ -252,7 +254,7 @@ _C = f"""{with_inputs('call_log_in')}, c AS (SELECT *, CASE WHEN status = 200 TH
   WHEN regexp_matches(lower(message), 'fetch failed|timed out|econn|enotfound|network') THEN 'network' ELSE 'unusable_response' END AS kind FROM call_log_in),
 fs AS (SELECT * FROM c WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sheet_id, step_no ORDER BY event_id) = 1)"""
 _E = f"""{with_inputs('stage_events_in')}, ls AS (SELECT job_id, stage, state FROM stage_events_in QUALIFY row_number() OVER (PARTITION BY job_id, stage ORDER BY ts DESC, event_id DESC) = 1)"""
-_SAID = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in I.SENTENCES.items()) + " END"
+_SAID = "CASE kd " + " ".join("WHEN '" + k + "' THEN replace(replace(" + lit(v) + ", '{step}', 'step ' || step_no), '{Step}', 'Step ' || step_no)" for k, v in I.SENTENCES.items()) + " END"
 _CODES = " ".join(f"WHEN cause = '{k}' THEN '{c}'" for k, (c, _, _) in I.JOB_ERRORS.items())
 _MESSAGES = " ".join(f"WHEN cause = '{k}' THEN {lit(m)}" for k, (_, m, _) in I.JOB_ERRORS.items())
 _B = with_inputs("blocks_in")
@@ -267,7 +269,7 @@ ORACLES = {
     "ordered_distinct_warnings": f"{_C} SELECT sheet_id, list(kind ORDER BY e) AS kinds FROM (SELECT sheet_id, kind, min(event_id) AS e FROM c WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
     "first_n_clean": "SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda p: trim(p)), lambda p: p <> '')[1:4] AS points FROM benchmark",
     "classify_provider_failure": f"{_C} SELECT event_id, kind FROM c",
-    "describe_degradation": f"{_C} SELECT event_id, 'Step ' || step_no || ' was skipped because ' || {_SAID} || '.' AS sentence FROM c WHERE kind IS NOT NULL",
+    "describe_degradation": f"{_C}, k AS (SELECT *, CASE WHEN event_id % 9 = 8 THEN 'not_configured' ELSE kind END AS kd FROM c) SELECT event_id, {_SAID} AS sentence FROM k WHERE kd IS NOT NULL",
     "job_error_class": f"""{with_inputs('call_log_in')}, x AS (SELECT *, CASE WHEN job_class = 'document' THEN 'document' WHEN job_class = 'other' THEN
     CASE WHEN regexp_matches(job_message, {lit(I.OFFLINE)}) THEN 'offline' WHEN regexp_matches(job_message, {lit(I.DROPPED)}) THEN 'dropped'
       WHEN stage IN ('reading-question-paper', 'detecting-questions') THEN 'questions' WHEN stage IN ('reading-answer-sheet', 'detecting-answers') THEN 'answers' ELSE 'internal' END

@@ -114,27 +114,29 @@ def report_heading(spark, sf_dir):
 
 
 def write_report_rows(spark, sf_dir):
+    """The lines of every report, written in order with a folder for each student's number, and read back."""
     rows = _full(spark, sf_dir)
-    return R.report_rows(rows, _summaries(rows))
+    folder = new_folder(spark, "reports")
+    lines = R.report_rows(rows, _summaries(rows))
+    lines.repartition(*R.SHEET).sortWithinPartitions(*R.SHEET, "line").write.partitionBy("student_ix").parquet(folder)
+    return spark.read.schema(lines.schema).parquet(folder).select(*lines.columns)
+
+
+TABS = ("answered", "unanswered", "review", "edited")
 
 
 def filter_rows(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn(
-        "status", F.when(F.coalesce("marks", F.lit(0.0)) == 0, "unanswered").when(F.col("requires_review"), "needs_review").otherwise("matched")
-    )
-    names = ("answered", "unanswered", "review", "edited")
-    out = None
-    for n in names:
-        part = R.filter_rows(rows, n).select(F.lit(n).alias("tab"), *R.ROW)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The question rows under each tab, by their status."""
+    rows = _full(spark, sf_dir)
+    return reduce(DataFrame.unionByName, (R.filter_rows(rows, n).select(F.lit(n).alias("tab"), *R.SHEET, "q_ord") for n in TABS))
 
 
 def filter_counts(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return rows.groupBy("paper_id").agg(
-        F.count(F.lit(1)).alias("all_rows"), F.count_if(F.col("marks") > 0).alias("answered"),
-        F.count_if(F.col("marks") == 0).alias("unanswered"), F.count_if("requires_review").alias("review"), F.count_if("edited").alias("edited"),
+    """How many question rows of a sheet each tab shows."""
+    status = F.col("status")
+    return _full(spark, sf_dir).groupBy(*R.SHEET).agg(
+        F.count(F.lit(1)).alias("all_rows"), F.count_if(status == "matched").alias("answered"), F.count_if(status == "unanswered").alias("unanswered"),
+        F.count_if(status == "needs_review").alias("review"), F.count_if("edited").alias("edited"),
     )
 
 
@@ -237,7 +239,8 @@ def coerce_fields(spark, sf_dir):
     p = derived(spark, sf_dir, "events").select("event_id", lead.alias("t")).withColumn("v", P.parsed(F.col("t")))
     rows = P.as_array(F.col("v"), F.col("t"))
     p = p.select("event_id", F.size(rows).alias("n_rows"), F.coalesce(F.get(rows, F.lit(0)), F.col("v")).alias("r"))
-    k, flag = P.field(F.col("r"), "k"), P.field(F.col("r"), "flag")
+    p, f = P.read_fields(p, "r", ["k", "flag"])
+    k, flag = f["k"], f["flag"]
     return p.select("event_id", "n_rows", P.as_string(k).alias("text"), P.as_number(k).alias("number"), P.as_confidence(k, 0.5).alias("confidence"), P.as_boolean(flag).alias("flag"))
 
 
@@ -368,11 +371,10 @@ ORACLES = {
     "grades_in_printed_order": f"{with_inputs('grades_in')} SELECT {_K}, row_number() OVER (PARTITION BY paper_id, student_ix ORDER BY question_no) AS place FROM grades_in",
     "report_heading": f"{_R} SELECT * FROM h",
     "write_report_rows": f"{_REPORT} SELECT {_S}, CAST(generate_subscripts(lines, 1) - 1 AS BIGINT) AS line, unnest(lines) AS text FROM al",
-    "filter_rows": f"""{_R}, st AS (SELECT *, CASE WHEN coalesce(marks, 0) = 0 THEN 'unanswered' WHEN requires_review THEN 'needs_review' ELSE 'matched' END AS status FROM r)
-SELECT 'answered' AS tab, {_K} FROM st WHERE status = 'matched' UNION ALL SELECT 'unanswered', {_K} FROM st WHERE status = 'unanswered'
-UNION ALL SELECT 'review', {_K} FROM st WHERE status = 'needs_review' UNION ALL SELECT 'edited', {_K} FROM st WHERE edited""",
-    "filter_counts": f"""{_R} SELECT paper_id, count(*) AS all_rows, count(*) FILTER (marks > 0) AS answered, count(*) FILTER (marks = 0) AS unanswered,
-  count(*) FILTER (requires_review) AS review, count(*) FILTER (edited) AS edited FROM r GROUP BY 1""",
+    "filter_rows": " UNION ALL ".join(f"SELECT '{tab}' AS tab, {_S}, q_ord FROM ({_FULL} SELECT * FROM fr) WHERE {where}" for tab, where in (
+        ("answered", "status = 'matched'"), ("unanswered", "status = 'unanswered'"), ("review", "status = 'needs_review'"), ("edited", "edited"))),
+    "filter_counts": f"""{_FULL} SELECT {_S}, count(*) AS all_rows, count(*) FILTER (status = 'matched') AS answered, count(*) FILTER (status = 'unanswered') AS unanswered,
+  count(*) FILTER (status = 'needs_review') AS review, count(*) FILTER (edited) AS edited FROM fr GROUP BY 1, 2""",
     "search_rows": " UNION ALL ".join(
         f"SELECT {lit(n)} AS needle, {_S}, q_ord FROM ({_FULL} SELECT * FROM fr) WHERE contains(lower(concat_ws(' ', coalesce(label, ''), coalesce(text, ''), coalesce(section, ''), coalesce(answer_text, ''), coalesce(feedback, ''))), {lit(n.strip().lower())})"
         for n in _NEEDLES

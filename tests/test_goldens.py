@@ -77,8 +77,8 @@ def test_fields_of_any_type(spark):
         ('"12"', "12", 12.0, 0.12, False), ("2.0", "2", 2.0, 0.02, False), ("1.25", "1.25", 1.25, 0.0125, False), ("true", "true", None, 0.5, True), ('"TRUE"', "TRUE", None, 0.5, True), ('" true "', " true ", None, 0.5, False),
         ('""', "", 0.0, 0.0, False), ('" 3e1 "', " 3e1 ", 30.0, 0.3, False), ("null", None, None, 0.5, False), ('{"a":1}', None, None, 0.5, False), ("[1]", None, None, 0.5, False), ("-3", "-3", -3.0, 0.0, False), ('"1d"', "1d", None, 0.5, False),
     ]
-    df = spark.createDataFrame([(i, f'{{"v":{c[0]}}}') for i, c in enumerate(cases)], "i int, t string").select("i", P.field(P.parsed(F.col("t")), "v").alias("v"))
-    got = [tuple(r)[1:] for r in df.select("i", P.as_string(F.col("v")), P.as_number(F.col("v")), P.as_confidence(F.col("v"), 0.5), P.as_boolean(F.col("v"))).orderBy("i").collect()]
+    df, f = P.read_fields(spark.createDataFrame([(i, f'{{"v":{c[0]}}}') for i, c in enumerate(cases)], "i int, t string").select("i", P.parsed(F.col("t")).alias("r")), "r", ["v"])
+    got = [tuple(r)[1:] for r in df.select("i", P.as_string(f["v"]), P.as_number(f["v"]), P.as_confidence(f["v"], 0.5), P.as_boolean(f["v"])).orderBy("i").collect()]
     assert got == [c[1:] for c in cases]
 
 
