@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier, with an unknown class, confirmed by comparison with templates.
 
-A paragraph is a line of the text. Its words and word pairs (those that occur in the training table) are the sparse
+A paragraph is a line of the text together with those that it is wrapped to: a line that does not end a sentence goes on in the
+next, unless that is blank; marks of comments before it are left out. Its words and word pairs (those that occur in the training table) are the sparse
 features of a multinomial logistic regression over licence families and ``unknown``. The training table is made
 from the templates below, by dropping and cutting words, and from other prose; a part of it is held out to calibrate
 the least probability at which a family is believed. A believed family is confirmed where enough of the paragraph's
@@ -176,9 +177,18 @@ def fit(spark: SparkSession, prose: DataFrame) -> LicenseModel:
     return model
 
 
+#: A line end inside a paragraph: behind a line that ends no sentence, before one that is not blank, with its mark of a comment.
+WRAP = r"(?<=[^\s.!?:;])[ \t]*(?:\r\n|[\n\r])[ \t]*(?:(?:#+|//+|\*+|;+|--|>+)[ \t]+)?(?=\S)"
+
+
+def pars_of(text: Column) -> Column:
+    """The paragraphs of a text, those of white space too, which ``\\S`` tells apart."""
+    return F.split(F.regexp_replace(text, WRAP, " "), r"\R")
+
+
 def paragraphs_of(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keys``, par_no, par: the lines of each text that hold more than white space. Null texts have none."""
-    return docs.select(*keys, F.posexplode(F.split("text", r"\R")).alias("par_no", "par")).where(F.col("par").rlike(r"\S"))
+    """The ``keys``, par_no, par: the paragraphs of each text that hold more than white space. Null texts have none."""
+    return docs.select(*keys, F.posexplode(pars_of(F.col("text"))).alias("par_no", "par")).where(F.col("par").rlike(r"\S"))
 
 
 def scan(docs: DataFrame, model: LicenseModel, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -187,7 +197,7 @@ def scan(docs: DataFrame, model: LicenseModel, keys: tuple[str, ...] = ("doc_id"
 
     ``confirmed``: for some template of the family, at least half of the paragraph's word pairs or of the template's
     are common to both. Null, empty and white-space texts have no paragraphs and no rows; repeated rows are scanned
-    each; very long texts are many paragraphs, a very long line is one; other columns are not used. An empty table
+    each; very long texts are many paragraphs, a very long line or run of wrapped lines is one; other columns are not used. An empty table
     gives no rows."""
     spark = docs.sparkSession
     pars = paragraphs_of(docs, keys)
@@ -217,7 +227,7 @@ def op4_license_scans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("doc_id", "text").alias("_digest"), "*")
     keys = ("_id", "_digest")
-    n = F.size(F.filter(F.split("text", r"\R"), lambda p: p.rlike(r"\S")))
+    n = F.size(F.filter(pars_of(F.col("text")), lambda p: p.rlike(r"\S")))
     counted = docs.select(*keys, "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_paragraphs"))
     per_row = (
         scan(docs, fit(spark, paragraphs_of(docs)), keys)

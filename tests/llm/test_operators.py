@@ -254,8 +254,50 @@ def test_licenses_held_out_and_calibrated(spark, license_model):
     assert confirmed >= 0.8 * len(truth)
 
 
+def test_wrapped_licenses_are_one_paragraph(spark, license_model):
+    import textwrap
+
+    texts = [licenses.TEMPLATES[i][1] for i in (2, 5, 8, 16)]
+    rows = [(i, "Intro line.\n\n" + textwrap.fill(t, 60) + "\n\nThe end.") for i, t in enumerate(texts)]
+    rows += [(10 + i, "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 50)) + "\n */\n") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.family, r.confirmed) for r in licenses.scan(docs(spark, rows), license_model).collect()}
+    assert got == {k + i: (licenses.TEMPLATES[t][0], True) for k in (0, 10) for i, t in enumerate((2, 5, 8, 16))}
+    pars = licenses.paragraphs_of(docs(spark, [(1, "one\ntwo.\nthree\n\nfour:\n# five\r\n// six\n"), (2, "x"), (3, "\n \n")])).collect()
+    assert [(r.doc_id, r.par) for r in pars] == [(1, "one two."), (1, "three"), (1, "four:"), (1, "# five six"), (2, "x")]
+
+
+def test_licenses_against_plain_python(spark, license_model):
+    """The regression's probability from its coefficients, and the confirmation from pairs of words."""
+    import string
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(t.split()[rng.randrange(3) :])) for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(100 + i, prose(rng, 8) + " license of the work.") for i in range(10)] + [(200, "license")]
+    split = lambda t: [w.strip(string.punctuation).lower() for w in t.split()]
+    plain = [(i, t) for i, t in rows if all(re.fullmatch(r"[a-z0-9]+", w) for w in split(t))]
+    assert len(plain) > 15
+    pars = docs(spark, plain).select("doc_id", licenses.words_of(F.col("text")).alias("words"))
+    got = {r.doc_id: (r.family, r.probability) for r in license_model.classify(pars).collect()}
+    place = {w: i for i, w in enumerate(license_model.vocabulary.vocabulary)}
+    weights, base = license_model.regression.coefficientMatrix.toArray(), license_model.regression.interceptVector.toArray()
+    seen = {r.doc_id: r.confirmed for r in licenses.scan(docs(spark, plain), license_model).collect()}
+    for i, t in plain:
+        w = split(t)
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        logit = base + weights[:, [place[x] for x in {*w, *pairs} if x in place]].sum(1)
+        p = np.exp(logit - logit.max())
+        p /= p.sum()
+        family = license_model.families[p.argmax()] if p.max() >= license_model.threshold else "unknown"
+        assert got[i][0] == family and math.isclose(got[i][1], p.max(), rel_tol=1e-9)
+        if family != "unknown":
+            shared = [len(set(pairs) & set(o)) / min(len(set(pairs)), len(o)) for f, x in licenses.TEMPLATES if f == family for o in [[f"{a} {b}" for a, b in zip(split(x), split(x)[1:], strict=False)]]]
+            if all(re.fullmatch(r"[a-z0-9]+", y) for f, x in licenses.TEMPLATES if f == family for y in split(x)):
+                assert seen[i] == (max(shared) >= 0.5)
+        else:
+            assert i not in seen
+
+
 def test_license_query_and_odd_rows(spark, tmp_path):
-    rows = [*ODD, (None, "Licensed under CC BY-NC 4.0."), (5, "a\nLicensed under the BSD 3-Clause License.\n\nb"), (8, "Licensed under CC BY-NC 4.0."), (8, "Licensed under CC BY-NC 4.0.")]
+    rows = [*ODD, (None, "Licensed under CC BY-NC 4.0."), (5, "a.\nLicensed under the BSD 3-Clause License.\n\nb"), (8, "Licensed under CC BY-NC 4.0."), (8, "Licensed under CC BY-NC 4.0.")]
     docs(spark, rows).withColumn("n_license", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(str, map(tuple, licenses.op4_license_scans(spark, str(tmp_path)).collect())))
     known = {rows[-1][1]: (1, 1, 1, "CC-BY-NC"), rows[-3][1]: (3, 1, 1, "BSD")}
