@@ -148,9 +148,9 @@ def test_segment_page_with_rule(spark):
     for y, h in ((40, 10), (60, 10), (160, 10)):
         page[y : y + h, 20:160:2] = 20
     page[230:233, 5:195] = 20  # a ruled line
-    df = spark.createDataFrame([(1, 200, 300, page.tobytes()), (2, 40, 40, b""), (3, 200, 300, None)], "doc_id long, width int, height int, gray binary")
+    df = spark.createDataFrame([(1, 7, 200, 300, page.tobytes()), (2, 0, 40, 40, b""), (3, 0, 200, 300, None)], "doc_id long, page long, width int, height int, gray binary")
     blocks = Y.segment_pages(df, 200).orderBy("block").collect()
-    assert [b.doc_id for b in blocks] == [1, 1]
+    assert [(b.doc_id, b.page) for b in blocks] == [(1, 7), (1, 7)]
     assert blocks[0].top >= 35 and blocks[-1].bottom <= 180
 
 
