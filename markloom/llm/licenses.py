@@ -177,8 +177,9 @@ def fit(spark: SparkSession, prose: DataFrame) -> LicenseModel:
     return model
 
 
-#: A line end inside a paragraph: behind a line that ends no sentence, before one that is not blank, with its mark of a comment.
-WRAP = r"(?<=[^\s.!?:;])[ \t]*(?:\r\n|[\n\r])[ \t]*(?:(?:#+|//+|\*+|;+|--|>+)[ \t]+)?(?=\S)"
+#: A line end inside a paragraph: behind a line that ends no sentence (with nine blanks after it at most), before one that is not
+#: blank, with its mark of a comment. It starts with the line end, which is rare, so that most characters cost little.
+WRAP = r"(?:\r\n|[\n\r])(?<=[^\s.!?:;][ \t]{0,9}(?:\r\n|[\n\r]))[ \t]*(?:(?:#+|//+|\*+|;+|--|>+)[ \t]+)?(?=\S)"
 
 
 def pars_of(text: Column) -> Column:
