@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What may stand before a label, how sub-parts are written, and which characters are read for digits.
@@ -95,6 +95,27 @@ def split_leading_label(line: Column) -> Column:
     return let(strip(line), split)
 
 
+def with_leading_label(lines: DataFrame, text: str = "text") -> DataFrame:
+    """``lines`` with label (or null), normalized (or '') and rest of each line, as ``split_leading_label`` gives them. Every
+    pattern is looked up once a line, in steps that later ones read as columns, so code is generated for all of them."""
+    one = lines.withColumn("_t", strip(F.col(text)))
+    two = one.withColumns({"_lead": F.regexp_extract("_t", LEADING, 0), "_label": strip(F.regexp_extract("_t", LEADING, 1))})
+    three = two.withColumn("_clean", strip_label_noise(F.col("_label")))
+    token = F.regexp_extract("_clean", r"^[a-zA-Z0-9]{1,4}", 0)
+    reread = F.concat(F.translate(token, *READ_AS), F.substring("_clean", F.length(token) + 1, F.length("_clean")))
+    four = three.withColumn("_clean", F.when(F.col("_clean").rlike(HEAD) | (F.col("_label") == ""), F.col("_clean")).otherwise(reread))
+    five = four.withColumn("_head", F.regexp_extract("_clean", HEAD, 1)).withColumn("_tail", F.substring("_clean", F.length("_head") + 1, F.length("_clean")))
+    six = five.withColumns({"_inside": F.regexp_extract("_tail", BRACKETED, 1), "_beside": F.lower(F.regexp_extract("_tail", ATTACHED, 1)), "_main": F.col("_head").try_cast("int").cast("string")})
+    credible = (F.length("_beside") == 1) | ((F.col("_beside") != "") & F.col("_beside").rlike(ROMAN))
+    sub = F.when(F.col("_inside") != "", F.lower("_inside")).when(credible, F.col("_beside"))
+    normalized = F.when((F.col("_label") != "") & F.col("_main").isNotNull(), F.concat("_main", F.coalesce(sub, F.lit("")))).otherwise("")
+    seven = six.withColumn("normalized", normalized)
+    known = F.col("normalized") != ""
+    after = strip(F.substring("_t", F.length("_lead") + 1, F.length("_t")))
+    done = seven.withColumns({"label": F.when(known, F.col("_label")), "rest": F.when(known, after).otherwise(F.col("_t"))})
+    return done.drop("_t", "_lead", "_label", "_clean", "_head", "_tail", "_inside", "_beside", "_main")
+
+
 def label_sort_key(normalized: Column) -> tuple[Column, Column]:
     """(number, suffix): 2 before 10, 11a before 11b, labels without a number last by their text."""
     number = F.regexp_extract(normalized, r"^(\d+)", 1).try_cast("bigint")

@@ -63,18 +63,13 @@ def with_question_starts(lines: DataFrame) -> DataFrame:
     already; furniture opens none, and heading-only or blank lines neither."""
     heading = F.regexp_extract(L.strip(F.col("text")), T.SECTION, 1)
     section, rest = T.section_heading(F.col("text"))
-    read = lines.select(
-        "*",
-        L.split_leading_label(F.col("text")).alias("_l"),
-        section.alias("_section"),
-        ((heading != "") & (F.coalesce(rest, F.lit("x")) == "")).alias("_bare"),
-        L.strip(F.col("text")).rlike(T.FURNITURE).alias("furniture"),
-        T.detect_marks(F.col("text")).alias("marks"),
-    )
+    read = L.with_leading_label(lines).withColumns({
+        "_section": section, "_bare": (heading != "") & (F.coalesce(rest, F.lit("x")) == ""), "furniture": L.strip(F.col("text")).rlike(T.FURNITURE), "marks": T.detect_marks(F.col("text")),
+    })
     order = Window.partitionBy("doc_id").orderBy("pos")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    may = (F.col("_l.normalized") != "") & ~F.col("furniture") & ~F.col("_bare")
-    alone = may & (F.length("_l.rest") >= T.MIN_TEXT)
+    may = (F.col("normalized") != "") & ~F.col("furniture") & ~F.col("_bare")
+    alone = may & (F.length("rest") >= T.MIN_TEXT)
     opened = read.withColumn("_may", may).withColumn("_alone", alone)
     opened = opened.withColumn("_open", F.coalesce(F.max("_alone").over(before), F.lit(False)))
     starts = F.col("_may") & (F.col("_alone") | F.col("_open"))
@@ -82,8 +77,7 @@ def with_question_starts(lines: DataFrame) -> DataFrame:
         opened.withColumn("starts", starts)
         .withColumn("section", F.last("_section", True).over(upto))
         .withColumn("island", F.sum(F.col("starts").cast("long")).over(upto))
-        .withColumn("label", F.col("_l.label")).withColumn("normalized", F.col("_l.normalized")).withColumn("rest", F.col("_l.rest"))
-        .drop("_l", "_section", "_may", "_alone", "_open")
+        .drop("_section", "_may", "_alone", "_open")
     )
 
 

@@ -99,8 +99,7 @@ def repair_ocr_digits(spark, sf_dir):
 
 
 def split_leading_label(spark, sf_dir):
-    split = L.split_leading_label(F.col("text"))
-    return lines(spark, sf_dir).select("doc_id", "line_no", split.alias("p")).select("doc_id", "line_no", "p.*")
+    return L.with_leading_label(lines(spark, sf_dir)).select("doc_id", "line_no", "label", "normalized", "rest")
 
 
 def label_sort_key(spark, sf_dir):

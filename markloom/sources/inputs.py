@@ -87,6 +87,7 @@ SELECT page_id % 50 AS batch_id, page_id AS file_ix, concat('scan_', CAST(page_i
   CAST(length(html) * (page_id % 9) * 1000 AS BIGINT) AS byte_size, CAST(page_id % 20 + 1 AS INT) AS page_count,
   CASE WHEN page_id % 5 = 0 THEN concat('x%PDF-1.7', html) ELSE html END AS content
 FROM pages"""),
+    # every sheet is marked against the whole paper, so each holds the paper's questions: rows grow with the sheets, the paper is fixed
     "token_docs_in": (("documents", "benchmark"), """
 SELECT CAST(floor(doc_id / 50.0) AS BIGINT) AS sheet, 'a' AS side, doc_id AS ix, text FROM documents
 UNION ALL SELECT s AS sheet, 'q' AS side, item_id AS ix, text FROM benchmark CROSS JOIN

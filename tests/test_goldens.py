@@ -25,6 +25,14 @@ def test_labels(spark):
     assert got == [want for _, want in LABELS]
 
 
+def test_leading_labels_in_steps_as_at_once(spark):
+    rows = [(i, t) for i, t in enumerate([x for x, _ in LABELS] + [f"{x} Then what?" for x, _ in LABELS] + ["Section 12", "Section 12 3) Go", "part a 4[b: x", "q. 07 . why", "Ans 5 -b) so", "12", "  ", "1234 no", "3 . ii) x"])]
+    df = spark.createDataFrame(rows, "i int, text string")
+    once = df.select("i", L.split_leading_label(F.col("text")).alias("p")).select("i", "p.*")
+    steps = L.with_leading_label(df).select("i", "label", "normalized", "rest")
+    assert sorted(map(tuple, steps.collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_sort_key(spark):
     df = spark.createDataFrame([(x,) for x in ("10", "2", "11a", "11", "11b", "1", "x")], "n string")
     assert [r.n for r in df.orderBy(*L.label_sort_key(F.col("n"))).collect()] == ["1", "2", "10", "11", "11a", "11b", "x"]
