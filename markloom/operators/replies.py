@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.functions.labels import canonical_label, strip, with_leading_label
+from markloom.functions.labels import canonical_label, split_leading_label, strip
 from markloom.functions.payload import Read, as_array, as_boolean, as_confidence, as_number, as_string, field, is_object, parsed, read_fields, repair_json
 from markloom.functions.text import MIN_TEXT, strip_marks
 from markloom.operators.review import to_evaluation
@@ -118,7 +118,8 @@ def merge_structure(drafts: DataFrame, rows: DataFrame, lines: DataFrame, keys:
     n = lines.groupBy(*keys).agg((F.max("line_no") + 1).alias("_n"))
     new = rows.join(drafts, on, "left_anti").join(n, keys)
     spans = new.where("start_line >= 0 AND start_line < _n").withColumn("end_line", F.least(F.col("_n") - 1, F.greatest("start_line", "end_line")))
-    bodies = with_leading_label(range_texts(spans, lines, keys), "body")
+    rest = split_leading_label(F.col("body"))["rest"]
+    bodies = settle(range_texts(spans, lines, keys).withColumn("rest", rest))
     texts = bodies.withColumn("text", strip_marks(F.when(F.col("rest") != "", F.col("rest")).otherwise(F.col("body")))).where(F.length("text") >= MIN_TEXT)
     long = new.join(texts.select(*keys, "seq", "text"), [*keys, "seq"])
     opens = F.min("seq").over(Window.partitionBy(*on))
