@@ -105,13 +105,16 @@ def embedding_similarity_pairs(spark, sf_dir):
 
 
 def cosine(spark, sf_dir):
+    """Of every vector and the next one: over the whole length, and with only 48 values of the next one left."""
     e = derived(spark, sf_dir, "embeddings")
-    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.slice("embedding", 1, 48).alias("other"))
-    return e.join(other, "vec_id").select("vec_id", F.round(M.cosine(F.col("embedding"), F.col("other")), 9).alias("cosine"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    of = lambda v: F.round(M.cosine(F.col("embedding"), v), 9)
+    return e.join(other, "vec_id").select("vec_id", of(F.slice("other", 1, 48)).alias("cosine"), of(F.col("other")).alias("whole"))
 
 
 def rescaled_cosine(spark, sf_dir):
-    return cosine(spark, sf_dir).select("vec_id", F.greatest(F.lit(0.0), "cosine").alias("score"))
+    floor = lambda c: F.greatest(F.lit(0.0), c)
+    return cosine(spark, sf_dir).select("vec_id", floor("cosine").alias("score"), floor("whole").alias("whole_score"))
 
 
 def _best(spark, sf_dir, accept=0.05):
@@ -342,11 +345,11 @@ m4 AS (SELECT * FROM m3 UNION ALL SELECT * FROM sm),
 sg4 AS (SELECT oa4.paper_id, oa4.student_ix, oq4.q_ord, oa4.a_ord, 0.78::DOUBLE AS confidence, 'llm_reasoning' AS method, 'Matched by AI reasoning over the answer''s content.' AS reason
   FROM oa4 JOIN oq4 ON oq4.paper_id = oa4.paper_id AND oq4.student_ix = oa4.student_ix AND oq4.q_ord = oa4.a_ord + 1 WHERE oa4.a_ord % 2 = 0),
 m5 AS (SELECT * FROM m4 UNION ALL SELECT * FROM sg4), {_final('m5', 'final5')}"""
-_COS = """SELECT vec_id, round(CASE WHEN n1 * n2 = 0 THEN 0 ELSE d / (n1 * n2) END, 9) AS cosine FROM (
-  SELECT x.vec_id, list_sum(list_transform(range(1, 49), lambda i: x.embedding[i]::DOUBLE * y.embedding[i]::DOUBLE)) AS d,
-    sqrt(list_sum(list_transform(x.embedding[1:48], lambda v: v::DOUBLE * v::DOUBLE))) AS n1,
-    sqrt(list_sum(list_transform(y.embedding[1:48], lambda v: v::DOUBLE * v::DOUBLE))) AS n2
-  FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)"""
+_COS = """SELECT vec_id, round(CASE WHEN n1 * n2 = 0 THEN 0 ELSE d / (n1 * n2) END, 9) AS cosine, round(CASE WHEN m1 * m2 = 0 THEN 0 ELSE w / (m1 * m2) END, 9) AS whole FROM (
+  SELECT vec_id, list_sum(list_transform(range(1, 49), lambda i: a[i] * b[i])) AS d, list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i])) AS w,
+    sqrt(list_sum(list_transform(a[1:48], lambda v: v * v))) AS n1, sqrt(list_sum(list_transform(b[1:48], lambda v: v * v))) AS n2,
+    sqrt(list_sum(list_transform(a, lambda v: v * v))) AS m1, sqrt(list_sum(list_transform(b, lambda v: v * v))) AS m2
+  FROM (SELECT x.vec_id, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1))"""
 ORACLES = {
     "match_explicit_label": f"{_BASE} SELECT {_ROWS} FROM ex",
     "stray_labelled_answers": f"""{_BASE} SELECT paper_id, student_ix, a_ord, normalized FROM stray0 s
@@ -370,7 +373,7 @@ vt AS (SELECT * FROM vector_texts_in JOIN wh USING (sheet) WHERE NOT whole), vv
 SELECT x.sheet, x.ix AS a, y.ix AS q, round(greatest(0, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])), 9) AS score, 'embedding' AS signal
 FROM vv x JOIN vv y ON x.sheet = y.sheet AND x.side = 'a' AND y.side = 'q' UNION ALL SELECT sheet, a, q, score, 'unusable_response' FROM pr""",
     "cosine": _COS,
-    "rescaled_cosine": f"SELECT vec_id, greatest(0, cosine) AS score FROM ({_COS})",
+    "rescaled_cosine": f"SELECT vec_id, greatest(0, cosine) AS score, greatest(0, whole) AS whole_score FROM ({_COS})",
     "best_and_runner_up": f"{_ALL} SELECT * FROM be",
     "greedy_best_first": f"{_ALL} SELECT sheet, a, q, score FROM be QUALIFY row_number() OVER (PARTITION BY sheet, q ORDER BY score DESC, a) = 1",
     "semantic_confidence": f"""{_ALL} SELECT sheet, a, q,
