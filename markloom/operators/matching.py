@@ -202,11 +202,13 @@ def lexical_index(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def term_weights(docs: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """(keys, ids, token, weight): share of the text's kept tokens times idf. A text is tokenised once; the number of
-    texts with a token is counted over the same rows."""
+    """(keys, ids, token, weight): share of the text's kept tokens times idf. A text is tokenised once (an inner explode would
+    also filter by its tokens), and its tokens are dealt once, by key and token: both a text's repeats of a token and the texts
+    with it then meet in one task. Counting before they are dealt would save little, for most tokens stand once in their text."""
     tokens = docs.select(*keys, *ids, tokenize(F.col("text")).alias("_t"))
     n_docs = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"))
-    counted = tokens.select(*keys, *ids, F.size("_t").alias("_n"), F.explode("_t").alias("token")).groupBy(*keys, *ids, "_n", "token").count()
+    each = tokens.select(*keys, *ids, F.size("_t").alias("_n"), F.explode_outer("_t").alias("token")).where("token IS NOT NULL")
+    counted = each.repartition(*keys, "token").groupBy(*keys, *ids, "_n", "token").count()
     met = F.count(F.lit(1)).over(Window.partitionBy(*keys, "token"))
     idf = F.log((F.col("_docs") + 1) / (F.col("_df") + 1)) + 1
     return counted.withColumn("_df", met).join(n_docs, keys).select(*keys, *ids, "token", (F.col("count") / F.col("_n") * idf).alias("weight"))
