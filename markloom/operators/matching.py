@@ -216,14 +216,23 @@ def term_weights(docs: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
 
 def lexical_pairs(docs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, a, q, score): cosine of the term weights of answers (side a) and questions (side q) with common tokens, to
-    nine places, so that the order of summation cannot decide a tie. The weights are settled, as both sides read them,
-    and a token goes through the join as its hash."""
+    nine places, so that the order of summation cannot decide a tie. Where the weights of a token lie, each answer's takes the
+    questions' as a list, so neither is dealt again: only sums of squares by text and of products by pair are, combined first."""
     w = term_weights(docs, keys, ["side", "ix"])
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys, "side", "ix")))
-    unit = settle(w.select(*keys, "side", "ix", F.xxhash64("token").alias("token"), (F.col("weight") / norm).alias("weight")))
-    a = unit.where("side = 'a'").select(*keys, "token", F.col("ix").alias("a"), F.col("weight").alias("wa"))
-    q = unit.where("side = 'q'").select(*keys, "token", F.col("ix").alias("q"), F.col("weight").alias("wq"))
-    return a.join(q, [*keys, "token"]).groupBy(*keys, "a", "q").agg(F.round(F.sum(F.col("wa") * F.col("wq")), 9).alias("score"))
+    asked = F.collect_list(F.when(F.col("side") == "q", F.struct(F.col("ix").alias("q"), F.col("weight").alias("w"))))
+    met = w.withColumn("_asked", asked.over(Window.partitionBy(*keys, "token")))
+    own = F.array(F.struct(F.lit(None).cast("long").alias("q"), F.col("weight").alias("w")))
+    terms = F.when(F.col("side") == "a", F.concat(own, "_asked")).otherwise(own)
+    sums = (
+        met.select(*keys, "side", "ix", "weight", F.explode(terms).alias("_x"))
+        .groupBy(*keys, "side", "ix", F.col("_x.q").alias("q")).agg(F.sum(F.col("weight") * F.col("_x.w")).alias("s"))
+    )
+    sums = settle(sums)
+    norm = sums.where("q IS NULL").select(*keys, "side", "ix", F.sqrt("s").alias("n"))
+    na = norm.where("side = 'a'").select(*keys, F.col("ix").alias("a"), F.col("n").alias("na"))
+    nq = norm.where("side = 'q'").select(*keys, F.col("ix").alias("q"), F.col("n").alias("nq"))
+    dots = sums.where("q IS NOT NULL").select(*keys, F.col("ix").alias("a"), "q", "s")
+    return dots.join(na, [*keys, "a"]).join(nq, [*keys, "q"]).select(*keys, "a", "q", F.round(F.col("s") / (F.col("na") * F.col("nq")), 9).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
