@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from markloom.functions.payload import json_piece
@@ -105,24 +106,36 @@ def scan_progress_frames(spark, sf_dir):
 
 
 PAGE = ("doc_id", "page")
+IMAGES = 8 << 20  # bytes of the images that leave a task at a time, about
 
 
 def _pages(spark, sf_dir, rule=False):
     """Page images drawn from the ink rows of each page: white paper, dark strokes of alternating pixels; with ``rule`` a ruled
     line as well."""
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        height = max(120, int(pdf["y"].max()) + 20)
-        gray = np.full((height, 200), 245, np.uint8)
-        strokes = (pdf["x1"] - pdf["x0"]).to_numpy() // 2 + 1
-        place = np.arange(strokes.sum()) - np.repeat(np.cumsum(strokes) - strokes, strokes)
-        gray[np.repeat(pdf["y"].to_numpy(), strokes), np.repeat(pdf["x0"].to_numpy(), strokes) + 2 * place] = 20
-        if rule:
-            gray[height - 6 : height - 3, 5:195] = 20
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in PAGE} | {"width": [200], "height": [height], "gray": [gray.tobytes()]})
-
-    ink = derived(spark, sf_dir, "ink_in").select(*PAGE, "y", "x0", "x1")
-    return ink.groupBy(*PAGE).applyInPandas(draw, "doc_id long, page long, width int, height int, gray binary")
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heights, grays, size = [], [], 0
+            for i in range(batch.num_rows):
+                y, x0, x1 = (v.to_numpy() for v in batch.column(2)[i].values.flatten())
+                height = max(120, int(y.max()) + 20)
+                gray = np.full((height, 200), 245, np.uint8)
+                strokes = (x1 - x0) // 2 + 1
+                place = np.arange(strokes.sum()) - np.repeat(np.cumsum(strokes) - strokes, strokes)
+                gray[np.repeat(y, strokes), np.repeat(x0, strokes) + 2 * place] = 20
+                if rule:
+                    gray[height - 6 : height - 3, 5:195] = 20
+                heights.append(height)
+                grays.append(gray.tobytes())
+                size += gray.size
+                if size > IMAGES or i + 1 == batch.num_rows:
+                    own = [batch.column(k).slice(i + 1 - len(grays), len(grays)) for k in range(2)]
+                    sizes = [pa.array([200] * len(grays), pa.int32()), pa.array(heights, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*own, *sizes, pa.array(grays, pa.binary())], [*PAGE, "width", "height", "gray"])
+                    heights, grays, size = [], [], 0
+
+    ink = derived(spark, sf_dir, "ink_in").groupBy(*PAGE).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("ink"))
+    return Y.arrow_pages(ink, draw, "doc_id long, page long, width int, height int, gray binary")
 
 
 def ink_mask(spark, sf_dir):
