@@ -144,8 +144,7 @@ def ink_mask(spark, sf_dir):
 
 def suppress_rules(spark, sf_dir):
     """The runs of ink that are ruled lines: what the mask has and the mask without rules has not."""
-    ruled = _pages(spark, sf_dir, rule=True)
-    return Y.ink_runs(ruled, PAGE, rules=False).join(Y.ink_runs(ruled, PAGE), [*PAGE, "y", "x0", "x1"], "left_anti")
+    return Y.rule_runs(_pages(spark, sf_dir, rule=True), PAGE)
 
 
 def segment_pages(spark, sf_dir):

@@ -48,3 +48,12 @@ def test_masks_of_large_windows_use_wide_sums():
     wide = np.full((300, 3000), 255, np.uint8)  # 375 x 300 pixels of 255 times 100: beyond 32 bits
     wide[100:110, 100:900] = 0
     assert Y.ink_mask(wide).sum() == 8000
+
+
+def test_ruled_lines_are_found_in_one_pass(spark):
+    pages = _made_pages(spark)
+    columns = ("doc_id", "page", "y", "x0", "x1", "ink")
+    ruled = Y.ink_runs(pages, rules=False).join(Y.ink_runs(pages), ["doc_id", "page", "y", "x0", "x1"], "left_anti")
+    want = rows_of(ruled, *columns)
+    assert rows_of(Y.rule_runs(pages), *columns) == want and len(want) >= 180
+    assert "Join" not in Y.rule_runs(pages)._jdf.queryExecution().executedPlan().toString()
