@@ -3,9 +3,8 @@
 What is learnt from the corpus, over all training documents: the count of every token, found with one shuffle of
 partial counts and kept as a table. The recurrent model works on the ``head_words`` most frequent tokens, on
 classes of all other tokens by their shape, and on the end of a text. It is trained with truncated backpropagation
-in numpy, data-parallel: the training sample (a fixed share of the training documents, so it grows with the input)
-is dealt into lots by a hash of its rows; every lot starts from the common weights, and the weights are averaged
-between rounds. So the result does not depend on how the table is cut into partitions. A token's
+in numpy, data-parallel, on all training documents: each round's part of them is dealt into lots by a hash of its
+rows; every lot starts from the common weights, and the weights are averaged between rounds. So the result does not depend on how the table is cut into partitions. A token's
 probability is its class's, times its word's within the class (a softmax for the head, (count + 1) / (tokens +
 types + 1) of the class for the tail), so unseen tokens have a probability too.
 
@@ -30,11 +29,11 @@ HEAD_WORDS = 1024  # tokens with a word of their own in the model
 KNOWN_WORDS = 200_000  # bound of the tokens whose counts are sent to every task; counts of rarer ones are joined
 CLASS_SIZE = 32
 HIDDEN = 32
-SHARE = 0.25  # of the training documents, for the recurrent weights
+SHARE = 1.0  # of the training documents, for the recurrent weights: all of them
 ROUNDS = 2
-LOT_TOKENS = 500_000  # of a lot, about
+LOT_TOKENS = 2_000_000  # of a lot, about
 WINDOW = 32
-STREAMS = 64  # that learn side by side
+STREAMS, MOST_STREAMS = 64, 256  # that learn side by side: a step over more of them costs less a token, but a small lot needs its steps
 FLUSH = 400_000  # distinct tokens that a counting task holds before it passes them on
 
 SHAPES = 18
@@ -315,9 +314,9 @@ class Learner:
     streams and learnt window after window, the state carried over (truncated backpropagation). How the run is cut into
     pieces makes no difference. ``rate`` falls linearly, to ``decay`` times itself after ``expected`` numbers."""
 
-    CHUNK = STREAMS * WINDOW * 16
-
     def __init__(self, model: GatedLm, rate: float, decay: float, expected: float):
+        self.streams = min(MOST_STREAMS, max(STREAMS, int(expected / (WINDOW * 250))))  # some 250 steps, or as many streams as may be
+        self.chunk = self.streams * WINDOW * 16
         self.model = GatedLm(model.n_head, {k: a.copy() for k, a in model.w.items()})
         self.rate, self.decay, self.expected = rate, decay, expected
         self.m1 = {k: np.zeros_like(v) for k, v in self.model.w.items()}
@@ -328,18 +327,18 @@ class Learner:
     def feed(self, numbers: np.ndarray) -> None:
         self.waiting.append(numbers)
         self.size += len(numbers)
-        if self.size > self.CHUNK:
+        if self.size > self.chunk:
             run = np.concatenate(self.waiting)
             at = 0
-            while len(run) - at > self.CHUNK:
-                self._learn(run[at : at + self.CHUNK + 1], STREAMS)
-                at += self.CHUNK
+            while len(run) - at > self.chunk:
+                self._learn(run[at : at + self.chunk + 1], self.streams)
+                at += self.chunk
             self.waiting, self.size = [run[at:]], len(run) - at
 
     def finish(self) -> GatedLm:
         run = np.concatenate(self.waiting)
         if len(run) > 1:
-            self._learn(run, max(1, min(STREAMS, len(run) // (WINDOW + 1))))
+            self._learn(run, max(1, min(self.streams, len(run) // (WINDOW + 1))))
         self.waiting, self.size = [run[-1:]], 1
         return self.model
 
@@ -512,8 +511,8 @@ def score_corpus(docs: DataFrame, holdout: tuple[int, int] = (7, 2), share: floa
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Learns from the rows whose crc32(doc_id as text) modulo ``holdout[0]`` is not ``holdout[1]``; a null doc_id counts
-    as an empty text there. Token counts cover all of them; the recurrent weights are learnt on the ``share`` of them
-    with the least hashes of id and text, in ``rounds`` disjoint parts. Null and empty texts have one token, the end.
+    as an empty text there. Token counts cover all of them, and the recurrent weights are learnt on all of them (or on the
+    ``share`` of them with the least hashes of id and text), in ``rounds`` disjoint parts. Null and empty texts have one token, the end.
     Repeated rows are scored, and counted in training, each. Texts are scored whole, whatever their length. Scores do
     not depend on the table's partitions (up to the last digits of 32-bit sums). Other columns are not used; an empty
     table gives no rows; without training documents every token is unseen and the model's weights stay as they start."""
