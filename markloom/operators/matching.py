@@ -193,10 +193,26 @@ def deterministic_matches(questions: DataFrame, answers: DataFrame) -> DataFrame
 # ---- likeness of content -------------------------------------------------------------------------------------------
 
 
+TEXTS_A_TASK = 20_000
+
+
+def _tokens(docs: DataFrame) -> Column:
+    """The tokens of a text: its column ``tokens``, where the caller has read them before, else of ``text``."""
+    return F.col("tokens") if "tokens" in docs.columns else tokenize(F.col("text"))
+
+
+def _dealt_by_key(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts dealt by key over as many tasks as keep each at some ``TEXTS_A_TASK`` of them, whatever the session's number."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(max(least, -(-docs.count() // TEXTS_A_TASK)), *keys)
+
+
 def lexical_index(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token, df, idf) over the texts of each key: idf = ln((N + 1) / (df + 1)) + 1."""
+    """(keys, token, df, idf) over the texts of each key: idf = ln((N + 1) / (df + 1)) + 1. Texts are dealt by key first, so a
+    task counts the tokens of a bounded number of texts, and the counts are dealt no more."""
     n = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
-    df = docs.select(*keys, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+    dealt = _dealt_by_key(docs.select(*keys, *(c for c in ("text", "tokens") if c in docs.columns)), keys)
+    df = dealt.select(*keys, F.explode(F.array_distinct(_tokens(docs))).alias("token"))
     counted = df.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("df"))
     return counted.join(n, keys).select(*keys, "token", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
@@ -205,7 +221,7 @@ def term_weights(docs: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
     """(keys, ids, token, weight): share of the text's kept tokens times idf. A text is tokenised once (an inner explode would
     also filter by its tokens), and its tokens are dealt once, by key and token: both a text's repeats of a token and the texts
     with it then meet in one task. Counting before they are dealt would save little, for most tokens stand once in their text."""
-    tokens = docs.select(*keys, *ids, tokenize(F.col("text")).alias("_t"))
+    tokens = docs.select(*keys, *ids, _tokens(docs).alias("_t"))
     n_docs = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"))
     each = tokens.select(*keys, *ids, F.size("_t").alias("_n"), F.explode_outer("_t").alias("token")).where("token IS NOT NULL")
     counted = each.repartition(*keys, "token").groupBy(*keys, *ids, "_n", "token").count()

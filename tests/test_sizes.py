@@ -2,8 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from markloom.functions.text import tokenize
 from markloom.operators import layout as Y
+from markloom.operators import matching as M
 
 
 def _made_pages(spark, n=60, height=400):
@@ -57,3 +60,16 @@ def test_ruled_lines_are_found_in_one_pass(spark):
     want = rows_of(ruled, *columns)
     assert rows_of(Y.rule_runs(pages), *columns) == want and len(want) >= 180
     assert "Join" not in Y.rule_runs(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_holds_a_bounded_number_of_texts_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i // 4, f"word{i} common thing again thing") for i in range(100)], "sheet long, text string")
+    columns = ("sheet", "token", "df", "idf")
+    want = rows_of(M.lexical_index(docs, ["sheet"]), *columns)
+    monkeypatch.setattr(M, "TEXTS_A_TASK", 5)
+    small = M.lexical_index(docs, ["sheet"])
+    assert rows_of(small, *columns) == want and len(want) == 25 * 7
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert ", 20), REPARTITION_BY_NUM" in plan  # 100 texts, 5 a task
+    read = docs.select("sheet", tokenize(F.col("text")).alias("tokens"))
+    assert rows_of(M.lexical_index(read, ["sheet"]), *columns) == want
