@@ -23,9 +23,13 @@ def _refused(name: str):
     raise ValueError(name)
 
 
+#: Made once: ``json.loads`` with an option makes one for every text.
+STRICT = json.JSONDecoder(parse_constant=_refused)
+
+
 def _parses(text: str) -> bool:
     try:
-        json.loads(text, parse_constant=_refused)
+        STRICT.decode(text)
     except (ValueError, RecursionError):
         return False
     return True
@@ -81,17 +85,26 @@ def reply_value(text: Column) -> Column:
 
 def parsed(payload: Column) -> Column:
     """JSON text as a VARIANT. An object that names a key twice is taken as if only the last stood there."""
-    value = F.try_parse_json(payload)
+    return _or_once_each(F.try_parse_json(payload), payload)
+
+
+def _or_once_each(value: Column, payload: Column) -> Column:
     return F.coalesce(value, F.try_parse_json(_once_each(F.when(value.isNull(), payload))))
 
 
+def with_value(rows: DataFrame, payload: str, name: str) -> DataFrame:
+    """``rows`` with ``parsed`` of a column; the first parse is a step of its own, so it is not made again for what follows it."""
+    first = rows.withColumn("_first", F.try_parse_json(payload))
+    return first.withColumn(name, _or_once_each(F.col("_first"), F.col(payload))).drop("_first")
+
+
 def field(value: Column, name: str) -> Column:
     """A field of an object as a VARIANT; null where the value is no object, or has no such field."""
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", "struct<_:variant>").isNotNull()  # its schema would spell out all that it holds
 
 
 def as_array(value: Column, payload: Column) -> Column:
@@ -117,11 +130,10 @@ class Read:
 
 
 def read_fields(rows: DataFrame, value: str, names: list[str]) -> tuple[DataFrame, dict[str, Read]]:
-    """``rows`` with two columns for every named field of the VARIANT ``value``, and the fields as read from these. Each field is
-    looked up once, in a step of its own, so what is made of it stays small."""
-    looked = rows.withColumns({f"_v_{n}": field(F.col(value), n) for n in names})
-    read = looked.withColumns({f"_t_{n}": F.try_variant_get(f"_v_{n}", "$", "string") for n in names})
-    return read, {n: Read(F.col(f"_t_{n}"), F.col(f"_v_{n}")) for n in names}
+    """``rows`` with the texts of the named fields of the VARIANT ``value`` as one struct, and the fields as read from it. All fields
+    are looked up in one pass over the object; a field's value is asked for only where its text leaves its kind open."""
+    texts = F.try_variant_get(value, "$", f"struct<{', '.join(f'`{n}`:string' for n in names)}>")
+    return rows.withColumn("_t", texts), {n: Read(F.col("_t")[n], field(F.col(value), n)) for n in names}
 
 
 def as_string(value: Read) -> Column:

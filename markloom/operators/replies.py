@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.functions.labels import canonical_label, split_leading_label, strip
-from markloom.functions.payload import Read, as_array, as_boolean, as_confidence, as_number, as_string, field, is_object, parsed, read_fields, repair_json
+from markloom.functions.payload import Read, as_array, as_boolean, as_confidence, as_number, as_string, field, is_object, read_fields, repair_json, with_value
 from markloom.functions.text import MIN_TEXT, strip_marks
 from markloom.operators.review import to_evaluation
 from markloom.sources.shared import settle
@@ -18,7 +18,7 @@ NO_FEEDBACK = "No feedback was generated."
 def reply_rows(replies: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(keys, seq, r: VARIANT): the objects of a reply's array: its field ``name``, or where there is none the reply itself; of
     an object its first property that is an array. Replies without any give none. The JSON is parsed once."""
-    found = replies.select(*keys, repair_json(F.col("reply")).alias("_payload")).withColumn("_value", parsed(F.col("_payload")))
+    found = with_value(replies.select(*keys, repair_json(F.col("reply")).alias("_payload")), "_payload", "_value")
     own = found.withColumns({"_own": field(F.col("_value"), name), "_names": F.json_object_keys("_payload")})
     told = F.coalesce(F.array_contains("_names", name), F.lit(False))
     chosen = own.withColumns({"_from": F.when(told, F.col("_own")).otherwise(F.col("_value")), "_text": F.when(told & is_object(F.col("_own")), F.to_json("_own")).otherwise(F.col("_payload"))})
