@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from markloom.streaming.runs import KeyedTable, drain
 
@@ -45,35 +42,19 @@ def edits_in_force(table: KeyedTable, spark: SparkSession) -> DataFrame:
 VALIDITY = "paper_id long, valid boolean, publish_seq long, edit_seq long, change long"
 
 
-class PublishValidity(StatefulProcessor):
-    """Per paper the last publication and the last edit or revert. A row goes out where a paper's validity, or the publication
-    it holds for, changes: it holds while no edit came after. Papers without a publication give none."""
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "publish_seq long, edit_seq long, change long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        publish, edit, change = self.seen.get() if self.seen.exists() else (None, None, 0)
-        holds = lambda: publish is not None and (-1 if edit is None else edit) < publish
-        before = (publish, holds())
-        for r in rows:
-            if r["kind"] == "publish":
-                publish = max(r["seq"], -1 if publish is None else publish)
-            else:
-                edit = max(r["seq"], -1 if edit is None else edit)
-        valid = holds()
-        changed = publish is not None and (publish, valid) != before
-        self.seen.update((publish, edit, change + changed))
-        if changed:
-            yield Row(paper_id=key[0], valid=valid, publish_seq=publish, edit_seq=edit, change=change + 1)
-
-    def close(self) -> None:
-        pass
+def validity(events: DataFrame) -> DataFrame:
+    """Per paper the last publication and the last edit or revert: it holds while no edit came after. Papers without a publication
+    give none. Both numbers only grow, so their sum (``change``) tells which row of a paper is the later; works on a stream in
+    update or complete mode, where the two maxima are all the state of a paper."""
+    published = F.coalesce(F.col("kind") == "publish", F.lit(False))
+    last = events.groupBy("paper_id").agg(F.max(F.when(published, F.col("seq"))).alias("publish_seq"), F.max(F.when(~published, F.col("seq"))).alias("edit_seq"))
+    edited = F.coalesce("edit_seq", F.lit(-1))
+    holds = last.where("publish_seq IS NOT NULL")
+    return holds.select("paper_id", (edited < F.col("publish_seq")).alias("valid"), "publish_seq", "edit_seq", (F.col("publish_seq") + edited).alias("change"))
 
 
 def follow_publications(events: DataFrame, folder: str, checkpoint: str) -> KeyedTable:
-    """Changes of validity of a stream of events, kept as a table by paper while they arrive."""
-    changes = events.groupBy("paper_id").transformWithState(PublishValidity(), VALIDITY, "Append", "None")
+    """Validity of a stream of events, kept as a table by paper while they arrive."""
     table = KeyedTable(folder, T.StructType.fromDDL(VALIDITY), ["paper_id"], F.col("change"))
-    drain(changes, table.write, checkpoint, "append")
+    drain(validity(events), table.write, checkpoint, "update")
     return table

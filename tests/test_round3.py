@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from markloom.functions import payload as P
+from markloom.streaming import progress as S
+from markloom.streaming import review as V
 
 
 def test_fields_of_a_reply_are_read_in_one_pass(spark):
@@ -15,3 +17,22 @@ def test_fields_of_a_reply_are_read_in_one_pass(spark):
         (True, "x", "2"), (True, None, None), (True, None, "[1]"), (True, "2", None), (True, None, None), (False, None, None), (False, None, None), (False, None, None),
     ]
     assert read.columns == ["i", "t", "v", "_t"]  # one struct, not two columns and three lookups a field
+
+
+def test_followed_tables_take_no_python(spark, tmp_path, monkeypatch):
+    """Jobs and papers are followed by native steps: no frame goes through a Python worker, and late and repeated ones count right."""
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "transformWithState", None)
+    where = {k: f"file://{tmp_path}/{k}" for k in ("frames", "jobs", "ck1", "events", "papers", "ck2")}
+    frames = [[(1, 0, "done", "view", None, 1), (1, 1, "failed", "view", None, 3)], [(1, 1, "active", "view", None, 2), (1, 2, "active", "view", None, 4), (None, 1, "done", "view", None, 9)]]
+    events = [[(1, None, None, 5, None, None, None, "publish"), (2, 0, 0, 1, None, 1.0, None, "edit")], [(1, 0, 0, 4, None, 1.0, None, "edit"), (2, None, None, 0, None, None, None, "publish")]]
+    for batch in zip(frames, events, strict=True):
+        for rows, schema, folder in zip(batch, (S.EVENT, V.EVENT), ("frames", "events"), strict=True):
+            df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("event_id" if folder == "frames" else "seq"))
+            df.coalesce(1).write.mode("append").parquet(where[folder])
+        jobs = S.follow_progress(spark.readStream.schema(S.EVENT).parquet(where["frames"]), where["jobs"], where["ck1"])
+        papers = V.follow_publications(V.read_events(spark, where["events"]), where["papers"], where["ck2"])
+    (job,) = jobs.current(spark).collect()
+    assert (job.job_id, job.percent, [(s.stage, s.state) for s in job.stages]) == (1, 17, [(0, "done"), (1, "failed"), (2, "failed")])
+    assert {r.paper_id: (r.valid, r.publish_seq) for r in papers.current(spark).collect()} == {1: (True, 5), 2: (False, 0)}
