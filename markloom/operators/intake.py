@@ -170,10 +170,15 @@ def lead_failure(firsts: DataFrame) -> DataFrame:
     return firsts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def stage_progress(latest: DataFrame) -> DataFrame:
-    """job_id, percent from the latest state of each of a job's stages: done and skipped count whole, any active half."""
+def percent_done() -> Column:
+    """Of the latest states of a job's stages: done and skipped count whole, any active half."""
     done = F.count_if(F.col("state").isin("done", "skipped")) + F.when(F.bool_or(F.col("state") == "active"), 0.5).otherwise(0.0)
-    return latest.groupBy("job_id").agg(F.floor(done * 100 / N_STAGES + 0.5).cast("bigint").alias("percent"))
+    return F.floor(done * 100 / N_STAGES + 0.5).cast("bigint")
+
+
+def stage_progress(latest: DataFrame) -> DataFrame:
+    """job_id, percent from the latest state of each of a job's stages."""
+    return latest.groupBy("job_id").agg(percent_done().alias("percent"))
 
 
 MOST_TARGETS, MOST_LINE_CHARS = 20, 60_000

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
-from markloom.operators.intake import N_STAGES, stage_progress
+from markloom.operators.intake import percent_done, stage_progress
 from markloom.streaming.runs import KeyedTable, commits, drain
 
 EVENT = T.StructType(
@@ -94,46 +91,31 @@ def settled_states(latest: DataFrame) -> DataFrame:
     return flagged.select("job_id", "stage", state.alias("state"))
 
 
-PROGRESS = "job_id long, stages array<struct<stage:long,state:string>>, percent long, change long"
-
+STATES = "job_id long, stage long, state string, event_id long, at long"
 
-class JobProgress(StatefulProcessor):
-    """Per job the last state of every stage, by time and event, whatever the order in which frames arrive. A job that changes
-    gives one row: its stages as they stand (active ones have failed once one has) and its percent: done and skipped
-    stages count whole, any active half."""
 
-    def init(self, handle) -> None:
-        self.stages = handle.getMapState("stages", "stage long", "at long, event_id long, state string")
-        self.changes = handle.getValueState("changes", "n long")
+class ProgressTable(KeyedTable):
+    """The last state of every stage of a job, by time and event, whatever the order in which frames arrive."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = {k[0]: tuple(v) for k, v in self.stages.iterator()}
-        before = {k: v[2] for k, v in known.items()}
-        for r in rows:
-            now = (r["at"], r["event_id"], r["state"])
-            if r["stage"] not in known or known[r["stage"]][:2] < now[:2]:
-                known[r["stage"]] = now
-                self.stages.updateValue((r["stage"],), now)
-        states = {k: v[2] for k, v in known.items()}
-        if states == before:
-            return
-        n = self.changes.get()[0] + 1 if self.changes.exists() else 1
-        self.changes.update((n,))
-        done = sum(s in ("done", "skipped") for s in states.values()) + 0.5 * ("active" in states.values())
-        failed = "failed" in states.values()
-        shown = [Row(stage=k, state="failed" if failed and s == "active" else s) for k, s in sorted(states.items())]
-        yield Row(job_id=key[0], stages=shown, percent=int(done * 100 / N_STAGES + 0.5), change=n)
+    def __init__(self, folder: str):
+        super().__init__(folder, T.StructType.fromDDL(STATES), ["job_id", "stage"], F.struct("at", "event_id"))
 
-    def close(self) -> None:
-        pass
+    def current(self, spark: SparkSession) -> DataFrame:
+        """job_id, stages as they stand (active ones have failed once one has), percent: done and skipped stages count whole, any
+        active half."""
+        latest = super().current(spark)
+        failed = F.bool_or(F.col("state") == "failed")
+        jobs = latest.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("stage", "state"))).alias("_s"), failed.alias("_f"), percent_done().alias("percent"))
+        shown = F.transform("_s", lambda s: F.struct(s["stage"].alias("stage"), F.when(F.col("_f") & (s["state"] == "active"), "failed").otherwise(s["state"]).alias("state")))
+        return jobs.select("job_id", shown.alias("stages"), "percent")
 
 
-def follow_progress(events: DataFrame, folder: str, checkpoint: str) -> KeyedTable:
-    """The stages and percent of every job of a stream of frames, kept as a table while they arrive."""
+def follow_progress(events: DataFrame, folder: str, checkpoint: str) -> ProgressTable:
+    """The stages and percent of every job of a stream of frames, kept as a table while they arrive: a batch writes the last
+    frame of each of its stages."""
     frames = events.where("job_id IS NOT NULL").select("job_id", "stage", "state", "event_id", F.unix_micros("ts").alias("at"))
-    changes = frames.groupBy("job_id").transformWithState(JobProgress(), PROGRESS, "Append", "None")
-    table = KeyedTable(folder, T.StructType.fromDDL(PROGRESS), ["job_id"], F.col("change"))
-    drain(changes, table.write, checkpoint, "append")
+    table = ProgressTable(folder)
+    drain(frames, table.write, checkpoint, "append")
     return table
 
 
