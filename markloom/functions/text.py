@@ -30,14 +30,22 @@ MIN_TEXT = 3
 
 def detect_marks(text: Column) -> Column:
     """Marks between 1 and 100: of each pattern in turn the first hit is looked at; null if none is in range."""
-    found = [F.regexp_extract(text, "(?i)" + p, 1).try_cast("int") for p in MARKS]
+    found = [F.when(may, F.regexp_extract(text, "(?i)" + p, 1)).try_cast("int") for p, may in zip(MARKS, _may_hold(text), strict=True)]
     return F.coalesce(*(F.when(m.between(1, 100), m) for m in found))
 
 
+def _may_hold(text: Column) -> tuple[Column, Column, Column]:
+    """For each marks pattern, whether the text has what no hit can lack; most lines have none of it, and are not searched."""
+    word = F.contains(F.lower(text), F.lit("mark"))
+    return F.contains(text, F.lit("[")), word, word
+
+
 def strip_marks(text: Column) -> Column:
     """The first hit of each marks pattern replaced by a space, runs of white space made one, ends trimmed."""
-    for p in MARKS:
-        text = F.regexp_replace(text, f"(?is)^(.*?)(?:{p})", "$1 ")
+    bracket, word, _ = _may_hold(text)
+    one, two, three = (lambda t, p=p: F.regexp_replace(t, f"(?is)^(.*?)(?:{p})", "$1 ") for p in MARKS)
+    text = F.when(bracket, one(text)).otherwise(text)
+    text = F.when(word, three(two(text))).otherwise(text)  # what the first takes away holds no such word, or is a space now
     return strip(F.regexp_replace(text, r"\s{2,}", " "))
 
 
@@ -57,7 +65,12 @@ CUT = "\u0001"  # set between pieces; no line holds it
 def inline_parts(text: Column) -> Column:
     """The line cut where a further question starts: at a number token before a capital or bracket that follows white
     space and an ended sentence or note. Each piece is trimmed; empty ones are dropped."""
-    pieces = F.split(F.regexp_replace(strip(text), rf"(\s)({INLINE})", f"$1{CUT}$2"), CUT)
+    return parts_of(strip(text))
+
+
+def parts_of(line: Column) -> Column:
+    """``inline_parts`` of a line without white space at its ends; one without a token to cut at is looked through once."""
+    pieces = F.split(F.regexp_replace(line, rf"(\s)({INLINE})", f"$1{CUT}$2"), CUT)
 
     def ended(before: Column) -> Column:
         left = F.regexp_replace(F.regexp_replace(before, NOTE, ""), r"\s+$", "")
@@ -73,7 +86,8 @@ def inline_parts(text: Column) -> Column:
         ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], p).alias("open"))),
         lambda acc: F.concat(acc["done"], F.array(acc["open"])),
     )
-    return F.when(F.size(pieces) > 1, F.filter(F.transform(glued, strip), lambda p: p != "")).otherwise(F.filter(F.array(strip(text)), lambda p: p != ""))
+    whole = F.when(line == "", F.array().cast("array<string>")).otherwise(F.array(line))
+    return F.when(line.rlike(rf"\s{INLINE}"), F.filter(F.transform(glued, strip), lambda p: p != "")).otherwise(whole)
 
 
 def tokenize(text: Column) -> Column:
