@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from markloom.functions import labels as L
 from markloom.functions import payload as P
+from markloom.functions import text as T
 from markloom.streaming import progress as S
 from markloom.streaming import review as V
 
@@ -36,3 +38,26 @@ def test_followed_tables_take_no_python(spark, tmp_path, monkeypatch):
     (job,) = jobs.current(spark).collect()
     assert (job.job_id, job.percent, [(s.stage, s.state) for s in job.stages]) == (1, 17, [(0, "done"), (1, "failed"), (2, "failed")])
     assert {r.paper_id: (r.valid, r.publish_seq) for r in papers.current(spark).collect()} == {1: (True, 5), 2: (False, 0)}
+
+
+def test_labels_of_blocks_by_columns(spark):
+    """As ``resolve_block_label``: given labels that can and cannot be read, repeated by the text or not, several lines, none."""
+    told = [None, "Q2", "2)", "none", "", " Q 07 (ii"]
+    texts = [None, "", " ", "2. because", "2. because\n of\n\n it ", "Q7 (ii) so\nthus", "plain", "3) other\nline", "\n2. below", "12."]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in told for b in texts)], "i int, label string, text string")
+    want = df.select("i", L.resolve_block_label(F.col("label"), F.col("text")).alias("r")).select("i", "r.label", "r.normalized", "r.body")
+    got = L.with_block_label(df).select("i", "label", "normalized", "body")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_without_marks_are_not_searched(spark):
+    texts = ["a [5] b", "a (5 MARKS) b", "5 mark", "[5 marks] (3 marks) 2 marks", "[5 mar[2]ks]", "5 [3]marks", "(4 [2] mark)", "7 marK", "none", "", None, "[0] 4 marks", "a [200]  b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = F.col("t")
+    for p in T.MARKS:
+        plain = F.regexp_replace(plain, f"(?is)^(.*?)(?:{p})", "$1 ")
+    found = [F.regexp_extract("t", "(?i)" + p, 1).try_cast("int") for p in T.MARKS]
+    want = df.select("i", F.coalesce(*(F.when(m.between(1, 100), m) for m in found)), L.strip(F.regexp_replace(plain, r"\s{2,}", " ")))
+    got = df.select("i", T.detect_marks(F.col("t")), T.strip_marks(F.col("t")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "contains" in got._jdf.queryExecution().optimizedPlan().toString().lower()
