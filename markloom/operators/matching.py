@@ -7,8 +7,14 @@ order-dependent choices are folds over the arrays of one sheet, whose sizes are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from markloom.functions.labels import canonical_label
 from markloom.functions.text import tokenize
@@ -217,38 +223,110 @@ def lexical_index(docs: DataFrame, keys: list[str]) -> DataFrame:
     return counted.join(n, keys).select(*keys, "token", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+class _Weighed:
+    """The term weights of one key's texts as arrays: for every kept (text, token) the text's number, the token's and the weight.
+    Rows of equal ``ids`` are one text; their shares of tokens are told by the length of each."""
+
+    def __init__(self, texts: pa.Table, ids: list[str]):
+        listed = pc.split_pattern(texts.column("_t").combine_chunks(), " ")
+        length = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
+        words = listed.flatten().dictionary_encode()
+        self.words, n = words.dictionary, max(1, len(words.dictionary))
+        text = np.zeros(len(length), np.int64)
+        for c in ids:
+            own = texts.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            text = np.unique(text * (len(own.dictionary) + 1) + own.indices.to_numpy(), return_inverse=True)[1]
+        self.row = np.zeros(text.max() + 1, np.int64)  # a row of each text, which holds its ids
+        self.row[text] = np.arange(len(text))
+        sizes, size = np.unique(length, return_inverse=True)
+        cells, count = np.unique(np.repeat(text * len(sizes) + size, length) * n + words.indices.to_numpy(), return_counts=True)
+        part, self.word = np.divmod(cells, n)
+        self.text, size = np.divmod(part, len(sizes))
+        df = np.bincount(np.unique(self.text * n + self.word) % n, minlength=n)
+        self.weight = count / sizes[size] * (np.log((len(length) + 1) / (df + 1)) + 1)[self.word]
+
+
+def _by_key(docs: DataFrame, keys: list[str], ids: list[str], function, schema: StructType) -> DataFrame:
+    """``function`` (a table of keys, ids and ``_t``, a text's tokens joined by spaces) over the texts of each key. A text is tokenised
+    once and dealt once, whole: its tokens are never rows of a shuffle. Rows without a key meet none."""
+    texts = docs.select(*keys, *ids, F.nullif(F.array_join(_tokens(docs), " "), F.lit("")).alias("_t")).dropna(subset=keys)
+    return texts.groupBy(*keys).applyInArrow(function, schema)
+
+
+def _fields(docs: DataFrame, names: list[str]) -> list[StructField]:
+    return [StructField(c, docs.schema[c].dataType) for c in names]
+
+
 def term_weights(docs: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """(keys, ids, token, weight): share of the text's kept tokens times idf. A text is tokenised once (an inner explode would
-    also filter by its tokens), and its tokens are dealt once, by key and token: both a text's repeats of a token and the texts
-    with it then meet in one task. Counting before they are dealt would save little, for most tokens stand once in their text."""
-    tokens = docs.select(*keys, *ids, _tokens(docs).alias("_t"))
-    n_docs = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"))
-    each = tokens.select(*keys, *ids, F.size("_t").alias("_n"), F.explode_outer("_t").alias("token")).where("token IS NOT NULL")
-    counted = each.repartition(*keys, "token").groupBy(*keys, *ids, "_n", "token").count()
-    met = F.count(F.lit(1)).over(Window.partitionBy(*keys, "token"))
-    idf = F.log((F.col("_docs") + 1) / (F.col("_df") + 1)) + 1
-    return counted.withColumn("_df", met).join(n_docs, keys).select(*keys, *ids, "token", (F.col("count") / F.col("_n") * idf).alias("weight"))
+    """(keys, ids, token, weight): share of the text's kept tokens times idf = ln((N + 1) / (df + 1)) + 1 over the N texts of the key, of
+    which df hold the token. The texts of a key meet in one task, whose arrays its pages bound."""
+
+    def weigh(texts: pa.Table) -> pa.Table:
+        w = _Weighed(texts, ids)
+        of = texts.select([*keys, *ids]).take(pa.array(w.row[w.text]))
+        return pa.table([*of.columns, w.words.take(pa.array(w.word)), pa.array(w.weight)], [*keys, *ids, "token", "weight"])
+
+    return _by_key(docs, keys, ids, weigh, StructType([*_fields(docs, [*keys, *ids]), StructField("token", StringType()), StructField("weight", DoubleType())]))
+
+
+CELLS = 1 << 21  # of a block of weights by text and token, at most
+
+
+def _products(w: _Weighed, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(answers, questions, sums of products of weights) of texts with common tokens, block by block of both sides' texts."""
+    answer, question = (sides[w.text] == s for s in "aq")
+    n = len(w.words)
+    common = (np.bincount(w.word[answer], minlength=n) > 0) & (np.bincount(w.word[question], minlength=n) > 0)
+    place = np.cumsum(common) - 1
+    width = int(common.sum())
+    if not width:
+        return
+
+    def blocks(side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        kept = side & common[w.word]
+        texts, row = np.unique(w.text[kept], return_inverse=True)
+        word, weight, step = place[w.word[kept]], w.weight[kept], max(1, CELLS // width)
+        for first in range(0, len(texts), step):
+            rows = min(step, len(texts) - first)
+            inside = (row >= first) & (row < first + rows)
+            cells = np.bincount((row[inside] - first) * width + word[inside], weight[inside], rows * width)
+            yield texts[first : first + rows], cells.reshape(rows, width)
+
+    for asked, q in blocks(question):
+        for told, a in blocks(answer):
+            sums = a @ q.T
+            i, j = np.nonzero(sums)  # weights are above 0, so are the sums of those with a common token
+            yield told[i], asked[j], sums[i, j]
+
+
+def lexical_scores(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, scores): for every answer (side a) the questions (side q) with common tokens, as an array of (q, score): cosine of the
+    term weights, to nine places, so that the order of summation cannot decide a tie. The texts of a key meet in one task as
+    matrices; neither tokens nor pairs are dealt."""
+    ix = docs.schema["ix"].dataType
+
+    def score(texts: pa.Table) -> pa.Table:
+        w = _Weighed(texts, ["side", "ix"])
+        norm = np.sqrt(np.bincount(w.text, w.weight * w.weight, len(w.row)))
+        sides = np.array(texts.column("side").to_pylist(), object)[w.row]
+        found = list(_products(w, sides))
+        a, q, sums = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((q, a))
+        a, q, sums = a[order], q[order], sums[order]
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        own = texts.column("ix").combine_chunks()
+        pairs = pa.StructArray.from_arrays([own.take(pa.array(w.row[q])), pc.round(pa.array(sums / (norm[a] * norm[q])), 9)], ["q", "score"])
+        scores = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pairs)
+        of = texts.select(keys).take(pa.array(w.row[a[first]]))
+        return pa.table([*of.columns, own.take(pa.array(w.row[a[first]])), scores], [*keys, "a", "scores"])
+
+    pair = StructType([StructField("q", ix), StructField("score", DoubleType())])
+    return _by_key(docs, keys, ["side", "ix"], score, StructType([*_fields(docs, keys), StructField("a", ix), StructField("scores", ArrayType(pair))]))
 
 
 def lexical_pairs(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, q, score): cosine of the term weights of answers (side a) and questions (side q) with common tokens, to
-    nine places, so that the order of summation cannot decide a tie. Where the weights of a token lie, each answer's takes the
-    questions' as a list, so neither is dealt again: only sums of squares by text and of products by pair are, combined first."""
-    w = term_weights(docs, keys, ["side", "ix"])
-    asked = F.collect_list(F.when(F.col("side") == "q", F.struct(F.col("ix").alias("q"), F.col("weight").alias("w"))))
-    met = w.withColumn("_asked", asked.over(Window.partitionBy(*keys, "token")))
-    own = F.array(F.struct(F.lit(None).cast("long").alias("q"), F.col("weight").alias("w")))
-    terms = F.when(F.col("side") == "a", F.concat(own, "_asked")).otherwise(own)
-    sums = (
-        met.select(*keys, "side", "ix", "weight", F.explode(terms).alias("_x"))
-        .groupBy(*keys, "side", "ix", F.col("_x.q").alias("q")).agg(F.sum(F.col("weight") * F.col("_x.w")).alias("s"))
-    )
-    sums = settle(sums)
-    norm = sums.where("q IS NULL").select(*keys, "side", "ix", F.sqrt("s").alias("n"))
-    na = norm.where("side = 'a'").select(*keys, F.col("ix").alias("a"), F.col("n").alias("na"))
-    nq = norm.where("side = 'q'").select(*keys, F.col("ix").alias("q"), F.col("n").alias("nq"))
-    dots = sums.where("q IS NOT NULL").select(*keys, F.col("ix").alias("a"), "q", "s")
-    return dots.join(na, [*keys, "a"]).join(nq, [*keys, "q"]).select(*keys, "a", "q", F.round(F.col("s") / (F.col("na") * F.col("nq")), 9).alias("score"))
+    """(keys, a, q, score): the pairs of ``lexical_scores`` as rows."""
+    return lexical_scores(docs, keys).select(*keys, "a", F.inline("scores"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -287,6 +365,14 @@ def best_and_runner_up(pairs: DataFrame, keys: list[str], accept: float = ACCEPT
     return ranked.where(F.col("_rn") == 1).where(F.col("score") >= accept).drop("_rn")
 
 
+def best_of_scores(scores: DataFrame, keys: list[str], accept: float = ACCEPT) -> DataFrame:
+    """``best_and_runner_up`` of ``lexical_scores``: each answer's scores lie in its row, so nothing is dealt or sorted but they."""
+    ranked = scores.select(*keys, "a", F.sort_array(F.transform("scores", lambda x: F.struct((-x["score"]).alias("s"), x["q"].alias("q")))).alias("_r"))
+    second = F.coalesce(F.get("_r", F.lit(1))["s"], F.lit(0.0))
+    best = ranked.select(*keys, "a", F.get("_r", F.lit(0))["q"].alias("q"), (-F.get("_r", F.lit(0))["s"]).alias("score"), second.alias("_s"))
+    return best.where(F.col("score") >= accept).select(*keys, "a", "q", "score", (F.col("score") + F.col("_s")).alias("margin"))
+
+
 def greedy_best_first(best: DataFrame, keys: list[str]) -> DataFrame:
     """A question goes to the answer that scores it best; losers get no second choice."""
     order = Window.partitionBy(*keys, "q").orderBy(F.desc("score"), "a")
@@ -304,7 +390,7 @@ def semantic_matches(questions: DataFrame, answers: DataFrame, matches: DataFram
     docs = side(open_answers(questions, answers, matches), "a_ord", "a").unionByName(
         side(open_questions(questions, answers, matches), "q_ord", "q")
     )
-    won = greedy_best_first(best_and_runner_up(lexical_pairs(docs, SHEET), SHEET), SHEET)
+    won = greedy_best_first(best_of_scores(lexical_scores(docs, SHEET), SHEET), SHEET)
     close = F.when(F.col("margin") >= MARGIN, "").otherwise(SAID["close"])
     return won.select(
         *SHEET,
