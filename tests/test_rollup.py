@@ -1,0 +1,37 @@
+"""Marks rolled up by sheet, paper and class."""
+
+from markloom.operators import review as R
+
+ROWS = [(1, 0, 2.0), (1, 0, 3.0), (1, 1, None), (2, 0, 1.5), (2, None, 4.0), (None, 0, 1.0), (3, 5, None)]
+
+
+def _rows(spark, rows=ROWS):
+    return spark.createDataFrame(rows, "paper_id long, student_ix long, marks double")
+
+
+def test_levels_are_those_of_a_rollup(spark):
+    from pyspark.sql import functions as F
+
+    want = _rows(spark).rollup("paper_id", "student_ix").agg(F.sum("marks").alias("marks"), F.count(F.lit(1)).alias("n"))
+    got = R.class_rollup(_rows(spark), len(ROWS))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_rollup_of_nothing_is_the_whole_class(spark):
+    """As in SQL, whose grand total stands without rows too."""
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE t (paper_id BIGINT, student_ix BIGINT, marks DOUBLE)")
+        want = con.execute("SELECT paper_id, student_ix, sum(marks), count(*) FROM t GROUP BY ROLLUP (paper_id, student_ix)").fetchall()
+    assert list(map(tuple, R.class_rollup(_rows(spark, []), 0).collect())) == want
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Not over a fixed number of tasks, each of which would hold three rows for one."""
+    seen = []
+    settle = R.settle
+    monkeypatch.setattr(R, "settle", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    R.class_rollup(_rows(spark), 2_000_000)
+    assert "RepartitionByExpression" in seen[0] and ", 10" in seen[0] and not any("Expand" in p for p in seen)
