@@ -175,17 +175,23 @@ def publish_record(spark, sf_dir):
 
 
 def ready_students(spark, sf_dir):
-    s = _g(spark, sf_dir).groupBy(*R.SHEET).agg(F.count(F.lit(1)).alias("n"))
+    return _ready(_g(spark, sf_dir))
+
+
+def _ready(grades):
+    s = grades.groupBy(*R.SHEET).agg(F.count(F.lit(1)).alias("n"))
     failed = F.when((F.col("paper_id") + F.col("student_ix")) % 7 == 0, "NO_ANSWERS")
     return s.withColumn("error", failed).where("error IS NULL").select(*R.SHEET)
 
 
 def write_published_snapshot(spark, sf_dir):
     """Every publication of every paper: the grades of its ready students as they were in force when it was published,
-    written as versions beside each other and read back, with what the manifest says of the last."""
-    events = derived(spark, sf_dir, "review_edits_in")
+    written as versions beside each other and read back, with what the manifest says of the last. Events and grades are derived
+    once each; of the grades only those of published papers are dealt."""
+    events = settle(derived(spark, sf_dir, "review_edits_in"))
     published = settle(versions(events))
-    ready = _base(spark, sf_dir).join(ready_students(spark, sf_dir), R.SHEET, "left_semi")
+    grades = settle(_base(spark, sf_dir).join(published.select("paper_id").distinct(), "paper_id", "left_semi"))
+    ready = grades.join(_ready(grades), R.SHEET, "left_semi")
     store = Publications(new_folder(spark, "publications"))
     store.write(frozen(ready, events, published), published, 0)
     last = store.manifest.current(spark).select("paper_id", "version", "valid")

@@ -1,4 +1,4 @@
-"""Marks rolled up by sheet, paper and class."""
+"""Grades at size: marks rolled up by sheet, paper and class, and publications."""
 
 from markloom.operators import review as R
 
@@ -35,3 +35,15 @@ def test_rows_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(R, "settle", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
     R.class_rollup(_rows(spark), 2_000_000)
     assert "RepartitionByExpression" in seen[0] and ", 10" in seen[0] and not any("Expand" in p for p in seen)
+
+
+def test_publications_derive_grades_and_events_once(spark, monkeypatch):
+    """What is frozen is made of settled rows: the lines behind grades and edits are not read again for every step."""
+    import __spark_entry__ as entry
+    from markloom.sources.publications import Publications
+
+    seen = []
+    write = Publications.write
+    monkeypatch.setattr(Publications, "write", lambda self, rows, published, n: (seen.append(rows.inputFiles()), write(self, rows, published, n)))
+    got = entry.queries()["write_published_snapshot"](spark, entry.SMOKE_DIR)
+    assert got.count() > 0 and seen[0] and not any("lineitem" in f or "events.parquet" in f for f in seen[0])
