@@ -13,13 +13,13 @@ A document is scored whole: windows of a fixed number of steps, with the state c
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +33,21 @@ SHARE = 1.0  # of the training documents, for the recurrent weights: all of them
 ROUNDS = 2
 LOT_TOKENS = 2_000_000  # of a lot, about
 WINDOW = 32
+AHEAD = 8192  # numbers that scoring takes at a time, about
+TOGETHER = 4_000_000  # numbers of texts that wait to be scored side by side: a long text's steps cost the same alone
 STREAMS, MOST_STREAMS = 64, 256  # that learn side by side: a step over more of them costs less a token, but a small lot needs its steps
 FLUSH = 400_000  # distinct tokens that a counting task holds before it passes them on
 
 SHAPES = 18
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8: bytes.split() cuts at just these."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts with A-Z lower-cased, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # cuts at just these; an edge of white space leaves an empty word
+    words = lists.flatten()
+    of = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    real = pc.binary_length(words).to_numpy() > 0
+    return words.filter(pa.array(real)).cast(pa.binary()), np.bincount(of[real], minlength=len(texts))
 
 
 def shape(word: bytes) -> int:
@@ -51,30 +57,40 @@ def shape(word: bytes) -> int:
     return (end * 2 + (not word.isascii())) * 3 + (0 if len(word) <= 4 else 1 if len(word) <= 8 else 2)
 
 
+def shapes(words: pa.Array) -> np.ndarray:
+    """``shape`` of each of the words (binary, none of them empty)."""
+    size = pc.binary_length(words).to_numpy()
+    last = np.frombuffer(pc.binary_slice(words, -1).buffers()[2] or b"", np.uint8, len(words))
+    plain = ~((last >= 128) | ((48 <= last) & (last <= 57)) | ((97 <= last) & (last <= 122)))
+    end = np.where(plain, np.where(np.isin(last, list(b".,;:?")), 1, 2), 0)
+    ascii_ = np.asarray(pc.string_is_ascii(words.cast(pa.string(), safe=False)).to_numpy(zero_copy_only=False), bool)
+    return ((end * 2 + ~ascii_) * 3 + np.where(size <= 4, 0, np.where(size <= 8, 1, 2))).astype(np.int32)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, shape, c): the count of every token of ``docs``. Tasks count their own tokens first and pass
     partial counts on whenever they hold FLUSH distinct ones."""
 
-    def emit(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([w.decode("utf-8", "replace") for w in c], pa.string()),
-                pa.array([shape(w) for w in c], pa.int32()),
-                pa.array(list(c.values()), pa.int64()),
-            ],
-            ["token", "shape", "c"],
-        )
+    def emit(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        for part in held.combine_chunks().to_batches():
+            words = part.column("token")
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string(), safe=False), pa.array(shapes(words)), part.column("c")], ["token", "shape", "c"])
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("token", use_threads=False).aggregate([("c", "sum")]).rename_columns(["token", "c"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        waiting: list[pa.Table] = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                c.update(tokens(text))
-                if len(c) > FLUSH:
-                    yield emit(c)
-                    c = Counter()
-        if c:
-            yield emit(c)
+            own = tokens(batch.column(0))[0].value_counts()
+            waiting.append(pa.table({"token": own.field("values"), "c": own.field("counts")}))
+            if sum(map(len, waiting)) > FLUSH:
+                waiting = [merged(waiting)]
+                if len(waiting[0]) > FLUSH:
+                    yield from emit(waiting[0])
+                    waiting = []
+        if waiting:
+            yield from emit(merged(waiting))
 
     partial = arrow_pass(docs.select("text"), count, "token string, shape int, c long")
     return partial.groupBy("token").agg(F.first("shape").alias("shape"), F.sum("c").alias("c"))
@@ -99,10 +115,12 @@ class Vocabulary:
     def end(self) -> int:
         return self.n_head + SHAPES
 
-    def tables(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        """Place of each known word, and by place: its model number, and log10(count + 1)."""
-        number = np.array([i if i < self.n_head else self.n_head + shape(w) for i, w in enumerate(self.words)], np.int32)
-        return {w: i for i, w in enumerate(self.words)}, number, np.log10(self.counts + 1.0)
+    def tables(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The known words, and by their places: the model number, and log10(count + 1)."""
+        words = pa.array(self.words, pa.binary())
+        number = np.arange(len(words), dtype=np.int32)
+        number[self.n_head :] = self.n_head + shapes(words[self.n_head :])
+        return words, number, np.log10(self.counts + 1.0)
 
 
 def vocabulary(counts: DataFrame, n_texts: int, head_words: int = HEAD_WORDS, known_words: int = KNOWN_WORDS) -> tuple[Vocabulary, int]:
@@ -129,12 +147,33 @@ def vocabulary(counts: DataFrame, n_texts: int, head_words: int = HEAD_WORDS, kn
     return Vocabulary([w for w, _ in known], np.array([c for _, c in known], np.int64), n_head, n_tokens, n_types, n_texts, shape_tokens, shape_types), least
 
 
-def _exp_rows(logits: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray | float]:
-    """(exponentials, shift of each row), in place; bounded logits need no shift."""
-    top = 0.0 if bounded else logits.max(1)
+def _exp_columns(logits: np.ndarray, bounded: bool) -> np.ndarray | float:
+    """Exponentials in place; the shift of each column. Bounded logits need no shift."""
+    top = 0.0 if bounded else logits.max(0)
     if not bounded:
-        logits -= top[:, None]
-    return np.exp(logits, out=logits), top
+        logits -= top
+    np.exp(logits, out=logits)
+    return top
+
+
+def _order(values: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of whole numbers in 0..below-1: short ones are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+
+
+def _sums(rows: np.ndarray, below: int, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers 0..below-1 that occur in ``rows``, and the sums of their rows of ``values``, side by side. The values
+    have one row more, of zeros: each number's rows are filled up to eights with it, so that most is added evenly."""
+    order = _order(rows, below)
+    own = rows[order]
+    first = np.nonzero(np.diff(own, prepend=-1))[0]
+    n = np.diff(first, append=len(own))
+    eights = -(-n // 8)
+    start = np.cumsum(eights) - eights
+    at = np.full(8 * int(eights.sum()), len(own))
+    at[np.arange(len(own)) + np.repeat(8 * start - first, n)] = order
+    part = np.concatenate([np.take(v, at, axis=0).reshape(-1, 8, v.shape[1]).sum(1) for v in values], axis=1)
+    return own[first], np.add.reduceat(part, start, axis=0)
 
 
 @dataclass
@@ -165,32 +204,44 @@ class GatedLm:
             },
         )
 
-    def window(self, ids: np.ndarray, h: np.ndarray, keep: bool = False):
+    def _steps(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Weights of the steps, each gate's by itself (input rows of three gates; two gates; the last), with the signs
+        and factors of the exponents put into them."""
+        w, size = self.w, len(self.w["n"])
+        rows = [np.ascontiguousarray(w["x"][:, i * size : (i + 1) * size]) * np.float32(f) for i, f in enumerate((-1, -1, -2))]
+        return rows, -np.stack([w["zr"][:, :size], w["zr"][:, size:]]), w["n"] * np.float32(-2)
+
+    def window(self, ids: np.ndarray, h: np.ndarray, keep: bool = False, lives: list[int] | None = None, weights=None):
         """States after each step of ``ids`` (steps, streams), from the state ``h``; with ``keep`` also the gates of each
-        step. Signs and factors of the exponents are put into the weights beforehand."""
-        w, size = self.w, h.shape[1]
-        x, zr_w, n_w = w["x"].copy(), -w["zr"], w["n"] * np.float32(-2)
-        x[:, : 2 * size] *= -1
-        x[:, 2 * size :] *= -2
-        gates = np.take(x, ids, axis=0)
+        step and what the second let through. ``lives``: how many streams, the first ones, still go on at each step."""
+        (xz, xr, xn), zr_w, n_w = weights or self._steps()
+        size, kind = h.shape[1], xn.dtype
+        zr, n = np.empty((2, *ids.shape, size), kind), np.empty((*ids.shape, size), kind)
+        for table, gate in ((xz, zr[0]), (xr, zr[1]), (xn, n)):
+            np.take(table, ids, axis=0, out=gate, mode="clip")
         out = np.empty((*ids.shape, size), np.float32)
+        let = np.empty((len(ids) if keep else 1, *h.shape), kind)
+        more_zr, more_n = np.empty((2, *h.shape), kind), np.empty(h.shape, kind)
         with np.errstate(over="ignore"):
             for t in range(len(ids)):
-                zr, n = gates[t, :, : 2 * size], gates[t, :, 2 * size :]
-                zr += h @ zr_w
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                n += (zr[:, size:] * h) @ n_w
-                np.exp(n, out=n)
-                n += 1
-                np.divide(2, n, out=n)
-                n -= 1
-                new = np.subtract(n, h, out=out[t])
-                new *= zr[:, :size]
+                k = lives[t] if lives else len(h)
+                h = h[:k]
+                gate, m, rh = zr[:, t, :k], n[t, :k], let[t if keep else 0, :k]
+                gate += np.matmul(h, zr_w, out=more_zr[:, :k])
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.multiply(gate[1], h, out=rh)
+                m += np.matmul(rh, n_w, out=more_n[:k])
+                np.exp(m, out=m)
+                m += 1
+                np.divide(2, m, out=m)
+                m -= 1
+                new = np.subtract(m, h, out=out[t, :k])
+                new *= gate[0]
                 new += h
                 h = new
-        return (out, h, gates) if keep else (out, h)
+        return (out, h, (zr, n, let)) if keep else (out, h)
 
     def bounded(self) -> bool:
         """Whether no logit can leave [-80, 80]: states lie between -1 and 1."""
@@ -201,112 +252,119 @@ class GatedLm:
     def class_of(self, target: np.ndarray) -> np.ndarray:
         return np.where(target < self.n_head, target // CLASS_SIZE, target - self.n_head + self.n_head_classes)
 
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(head class, rows of its words) for the classes that occur."""
-        rows = np.nonzero(target < self.n_head)[0]
-        cls = target[rows] // CLASS_SIZE
-        order = np.argsort(cls, kind="stable")
-        rows, cls = rows[order], cls[order]
-        cuts = np.nonzero(np.diff(cls))[0] + 1
-        for part in np.split(rows, cuts):
-            if len(part):
-                yield int(target[part[0]] // CLASS_SIZE), part
-
-    def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target: of its class, and of its word for head words."""
+    def _outputs(self, h: np.ndarray, target: np.ndarray, bounded: bool):
+        """Rows in the order of their targets' classes, head words first: (order, states, classes, exponentials of all
+        classes, each one's own logit less its shift; then for the head words their place in the class, the exponentials
+        of its words, own logits likewise; and (class, first row, row after the last) of the head)."""
         w = self.w
-        logits = h @ w["c"]
-        logits += w["cb"]
-        out = logits[np.arange(len(h)), self.class_of(target)]
-        bounded = self.bounded()
-        p, top = _exp_rows(logits, bounded)
-        out -= np.log(p.sum(1)) + top
-        for c, rows in self._by_class(target):
+        cls = self.class_of(target)
+        order = _order(cls, len(w["cb"]))
+        h, cls, target = np.take(h, order, axis=0), cls[order], target[order]
+        each = np.arange(len(h))
+        p = w["c"].T @ h.T
+        p += w["cb"][:, None]
+        own = p[cls, each]
+        own -= _exp_columns(p, bounded)
+        cuts = np.searchsorted(cls, np.arange(self.n_head_classes + 1)).tolist()
+        parts = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        place = target[: cuts[-1]] % CLASS_SIZE
+        q = np.empty((CLASS_SIZE, len(place)), p.dtype)
+        for c, a, b in parts:
             s = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            inner = h[rows] @ w["o"][s].T
-            inner += w["ob"][s]
-            own = inner[np.arange(len(rows)), target[rows] - s.start]
-            p, top = _exp_rows(inner, bounded)
-            out[rows] += own - (np.log(p.sum(1)) + top)
+            np.matmul(w["o"][s], h[a:b].T, out=q[:, a:b])
+            q[:, a:b] += w["ob"][s, None]
+        own_q = q[place, each[: len(place)]]
+        own_q -= _exp_columns(q, bounded)
+        return order, h, cls, p, own, place, q, own_q, parts
+
+    def log_probs(self, h: np.ndarray, target: np.ndarray, bounded: bool | None = None) -> np.ndarray:
+        """Natural log probability of each target: of its class, and of its word for head words."""
+        order, _, _, p, own, _, q, own_q, _ = self._outputs(h, target, self.bounded() if bounded is None else bounded)
+        own -= np.log(p.sum(0))
+        own_q -= np.log(q.sum(0))
+        own[: len(own_q)] += own_q
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean loss over a window, back to its first step, and the state after it."""
         w, size = self.w, h0.shape[1]
-        out, last, gates = self.window(ids, h0, keep=True)
-        flat, goal = out.reshape(-1, size), target.ravel()
+        out, last, (zr, n, let) = self.window(ids, h0, keep=True)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        bounded = self.bounded()
-        p, _ = _exp_rows(flat @ w["c"] + w["cb"], bounded)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), self.class_of(goal)] -= 1
-        p /= len(p)
-        g["c"], g["cb"] = flat.T @ p, p.sum(0)
-        dflat = p @ w["c"].T
-        for c, rows in self._by_class(goal):
+        order, flat, cls, p, _, place, q, _, parts = self._outputs(out.reshape(-1, size), target.ravel(), self.bounded())
+        each, part = np.arange(len(flat)), np.float32(1 / len(flat))
+        p *= part / p.sum(0)
+        p[cls, each] -= part
+        g["c"], g["cb"] = (p @ flat).T, p.sum(1)
+        back = p.T @ w["c"].T
+        q *= part / q.sum(0)
+        q[place, each[: len(place)]] -= part
+        for c, a, b in parts:
             s = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            q, _ = _exp_rows(flat[rows] @ w["o"][s].T + w["ob"][s], bounded)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(rows)), goal[rows] - s.start] -= 1
-            q /= len(flat)
-            g["o"][s], g["ob"][s] = q.T @ flat[rows], q.sum(0)
-            dflat[rows] += q @ w["o"][s]
-        dout = dflat.reshape(out.shape)
-        z, r, n = gates[..., :size], gates[..., size : 2 * size], gates[..., 2 * size :]
+            g["o"][s], g["ob"][s] = q[:, a:b] @ flat[a:b], q[:, a:b].sum(1)
+            back[a:b] += q[:, a:b].T @ w["o"][s]
+        place_of = np.empty_like(order)
+        place_of[order] = each
+        dout = np.take(back, place_of, axis=0).reshape(out.shape)
         before = np.concatenate([h0[None], out[:-1]])
-        to_n, to_z, to_r, stay = z * (1 - n * n), (n - before) * z * (1 - z), before * r * (1 - r), 1 - z
-        back_n, back_zr = np.ascontiguousarray(w["n"].T), np.ascontiguousarray(w["zr"].T)
-        carry = np.zeros_like(h0)
-        dgates = np.empty_like(gates)
+        back_n = np.ascontiguousarray(w["n"].T)
+        back_zr = np.stack([w["zr"][:, :size].T, w["zr"][:, size:].T])
+        flats = [np.zeros((ids.size + 1, size), n.dtype) for _ in range(3)]
+        dz_all, dr_all, dn = (f[:-1].reshape(out.shape) for f in flats)
+        carry = np.zeros_like(dout[0])
+        more, through, left = np.empty_like(dn[0]), np.empty_like(dn[0]), np.empty_like(zr[:, 0])
         for t in range(len(ids) - 1, -1, -1):
-            d = dout[t] + carry
-            da = np.multiply(d, to_n[t], out=dgates[t, :, 2 * size :])
-            drh = da @ back_n
-            np.multiply(d, to_z[t], out=dgates[t, :, :size])
-            np.multiply(drh, to_r[t], out=dgates[t, :, size : 2 * size])
-            carry = dgates[t, :, : 2 * size] @ back_zr
-            d *= stay[t]
-            carry += d
-            drh *= r[t]
+            z, r, m, h, d = zr[0, t], zr[1, t], n[t], before[t], dout[t]
+            dz, dr, da = dz_all[t], dr_all[t], dn[t]
+            d += carry
+            np.subtract(1, zr[:, t], out=left)
+            np.multiply(d, z, out=through)
+            np.subtract(d, through, out=carry)
+            np.subtract(m, h, out=dz)
+            dz *= left[0]
+            dz *= through
+            np.multiply(m, m, out=da)
+            np.subtract(1, da, out=da)
+            da *= through
+            drh = np.matmul(da, back_n, out=through)
+            drh *= r
             carry += drh
-        g["n"] = (r * before).reshape(-1, size).T @ dgates[..., 2 * size :].reshape(-1, size)
-        g["zr"] = before.reshape(-1, size).T @ dgates[..., : 2 * size].reshape(-1, 2 * size)
-        rows = ids.ravel()
-        order = np.argsort(rows, kind="stable")
-        first = np.nonzero(np.diff(rows[order], prepend=-1))[0]
-        g["x"][rows[order][first]] = np.add.reduceat(dgates.reshape(-1, 3 * size)[order], first, axis=0)
+            np.multiply(drh, h, out=dr)
+            dr *= left[1]
+            carry += np.matmul(dz, back_zr[0], out=more)
+            carry += np.matmul(dr, back_zr[1], out=more)
+        states = before.reshape(-1, size)
+        g["n"] = let.reshape(-1, size).T @ flats[2][:-1]
+        g["zr"] = np.concatenate([states.T @ flats[0][:-1], states.T @ flats[1][:-1]], axis=1)
+        seen, sums = _sums(ids.ravel(), len(w["x"]), flats)
+        g["x"][seen] = sums
         return g, last
 
     def log10_scores(self, docs: list[np.ndarray], together: int = 512) -> np.ndarray:
         """log10 probability of each document's model numbers (which end with the end): documents of like lengths
         run side by side, window after window, and leave when they are over."""
-        out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        end = self.n_head + SHAPES
-        for at in range(0, len(order), together):
-            group = order[at : at + together]
-            lengths = np.array([len(docs[i]) for i in group])
-            h = np.zeros((len(group), self.w["n"].shape[0]), np.float32)
-            total = np.zeros(len(group))
-            for a in range(0, int(lengths[0]), WINDOW):
-                live = int((lengths > a).sum())
-                steps = min(WINDOW, int(lengths[0]) - a)
-                y = np.full((steps, live), -1, np.int64)
-                x = np.full((steps, live), end, np.int64)
-                for j in range(live):
-                    d = docs[group[j]]
-                    part = d[a : a + steps]
-                    y[: len(part), j] = part
-                    if a:
-                        x[0, j] = d[a - 1]
-                    x[1 : len(part), j] = part[:-1]
-                states, h = self.window(x, h[:live])
-                real = y.ravel() >= 0
-                p = np.zeros(real.shape)
-                p[real] = self.log_probs(states.reshape(-1, h.shape[1])[real], y.ravel()[real])
-                total[:live] += p.reshape(y.shape).sum(0)
-            out[group] = total / math.log(10)
-        return out
+        total = np.zeros(len(docs))
+        lengths = np.array([len(d) for d in docs], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        flat = np.concatenate([[self.n_head + SHAPES], *docs]).astype(np.int64)  # before each text stands an end
+        order = np.argsort(-lengths, kind="stable")
+        weights, bounded = self._steps(), self.bounded()
+        for group in np.split(order, range(together, len(order), together)):
+            size, first = lengths[group], starts[group]
+            h = np.zeros((len(group), len(self.w["n"])), np.float32)
+            a, longest = 0, int(size.max(initial=0))
+            while a < longest:
+                live = int((size > a).sum())
+                at = a + np.arange(min(longest - a, max(8, AHEAD // live)))[:, None]
+                real = at < size[:live]
+                at = np.minimum(at + first[:live], len(flat) - 2)
+                states, h = self.window(flat[at], h[:live], lives=real.sum(1).tolist(), weights=weights)
+                rows = np.flatnonzero(real)
+                p = self.log_probs(np.take(states.reshape(-1, h.shape[1]), rows, axis=0), flat[at.ravel()[rows] + 1], bounded)
+                total[group[:live]] += np.bincount(rows % live, weights=p, minlength=live)
+                a += len(at)
+        return total / math.log(10)
 
 
 class Learner:
@@ -356,20 +414,22 @@ class Learner:
             clip = min(1.0, 1.0 / (size + 1e-9))
             past = min(1.0, self.seen / self.expected)
             now = self.rate * (1 - (1 - self.decay) * past) * math.sqrt(1 - 0.98**self.updates) / (1 - 0.9**self.updates)
-            for k, d in g.items():
-                m1, m2 = self.m1[k], self.m2[k]
-                d *= clip
-                m1 *= 0.9
-                m1 += 0.1 * d
-                d *= d
-                m2 *= 0.98
-                d *= 0.02
-                m2 += d
-                np.sqrt(m2, out=d)
-                d += 1e-6
-                np.divide(m1, d, out=d)
-                d *= now
-                w[k] -= d
+            for k, all_d in g.items():
+                flat = [a.reshape(-1) for a in (np.ascontiguousarray(all_d), self.m1[k], self.m2[k], w[k])]
+                for a in range(0, len(flat[0]), 1 << 14):
+                    d, m1, m2, own = (x[a : a + (1 << 14)] for x in flat)
+                    d *= clip
+                    m1 *= 0.9
+                    m1 += 0.1 * d
+                    d *= d
+                    m2 *= 0.98
+                    d *= 0.02
+                    m2 += d
+                    np.sqrt(m2, out=d)
+                    d += 1e-6
+                    np.divide(m1, d, out=d)
+                    d *= now
+                    own -= d
 
 
 _BLOCK = 8192
@@ -400,7 +460,7 @@ def train_round(docs: DataFrame, n_lots: int, model: GatedLm, v: Vocabulary, rat
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, voc = sent.value
-        place, number, _ = voc.tables()
+        known, number, _ = voc.tables()
         lot, learner, n = None, None, 0
 
         def done() -> pa.RecordBatch:
@@ -413,14 +473,19 @@ def train_round(docs: DataFrame, n_lots: int, model: GatedLm, v: Vocabulary, rat
             )
 
         for batch in batches:
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not batch.num_rows:
+                continue
+            lots = batch.column(0).to_numpy()
+            words, per_text = tokens(batch.column(1))
+            numbers = _numbers(words, per_text, known, number, voc)[0]
+            ends = np.cumsum(per_text + 1)
+            for own, part in zip(lots[np.diff(lots, prepend=lots[0] - 1) != 0], np.split(numbers, ends[:-1][np.diff(lots) != 0]), strict=True):
                 if own != lot:
                     if learner is not None:
                         yield done()
-                    lot, learner, n = own, Learner(start, rate, decay, expected), 0
-                numbers = _numbers(tokens(text), place, number, voc)[0]
-                n += len(numbers)
-                learner.feed(numbers)
+                    lot, learner, n = int(own), Learner(start, rate, decay, expected), 0
+                n += len(part)
+                learner.feed(part)
         if learner is not None:
             yield done()
 
@@ -437,19 +502,17 @@ def train_round(docs: DataFrame, n_lots: int, model: GatedLm, v: Vocabulary, rat
     return GatedLm(model.n_head, _unpack(flat.astype(np.float32), model.w))
 
 
-def _numbers(words: list[bytes], place: dict[bytes, int], number: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Model numbers with the end, the places of the known words, and the words that are not known."""
-    at = np.fromiter((place.get(w, -1) for w in words), np.int32, len(words))
-    out = np.empty(len(words) + 1, np.int32)
-    out[-1] = v.end
-    known = at >= 0
-    out[:-1][known] = number[at[known]]
-    rare = []
-    for i in np.nonzero(~known)[0].tolist():
-        w = words[i]
-        out[i] = v.n_head + shape(w)
-        rare.append(w)
-    return out, at[known], rare
+def _numbers(words: pa.Array, per_text: np.ndarray, known: pa.Array, number: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Model numbers of the words of all texts, with an end after each text; and the place of each word, -1 where it is
+    not known."""
+    at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+    own = np.empty(len(at), np.int32)
+    rare = at < 0
+    own[~rare] = number[at[~rare]]
+    own[rare] = v.n_head + shapes(words.filter(pa.array(rare)))
+    out = np.full(len(at) + len(per_text), v.end, np.int32)
+    out[np.arange(len(at)) + np.repeat(np.arange(len(per_text)), per_text)] = own
+    return out, at
 
 
 def score(docs: DataFrame, counts: DataFrame, least: int, model: GatedLm, v: Vocabulary) -> DataFrame:
@@ -458,29 +521,45 @@ def score(docs: DataFrame, counts: DataFrame, least: int, model: GatedLm, v: Voc
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, voc = sent.value
-        place, number, logc = voc.tables()
+        known, number, logc = voc.tables()
         per_shape = np.log10(voc.shape_tokens + voc.shape_types + 1.0)
         end_log, end_known = math.log10(voc.n_texts + 1), int(voc.n_texts > 0)
+        waiting, texts, held = [], [], 0
+
+        def scored_batches() -> Iterator[pa.RecordBatch]:
+            inner, at = lm.log10_scores(texts), 0
+            for columns, tail in waiting:
+                columns[5] = pa.array(inner[at : at + len(tail)] + tail, pa.float64())
+                at += len(tail)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "logs", "inner", "rare"])
+
         for batch in batches:
-            ids, sums, n_known, tail, rares = [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                own, at, rare = _numbers(tokens(text), place, number, voc)
-                ids.append(own)
-                in_tail = own[own >= voc.n_head] - voc.n_head
-                logs = logc[at]
-                sums.append(float(logs.sum()) + end_log)
-                # what the class does not say of a tail word: its share of the class
-                tail.append(float(logs[at >= voc.n_head].sum()) - float(per_shape[in_tail[in_tail < SHAPES]].sum()))
-                n_known.append(len(at) + end_known)
-                rares.append([w.decode("utf-8", "replace") for w in rare])
-            inner = lm.log10_scores(ids) + np.array(tail) if ids else np.empty(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(n_known, pa.int64()),
-                    pa.array(sums, pa.float64()), pa.array(inner, pa.float64()), pa.array(rares, pa.list_(pa.string())),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "inner", "rare"],
-            )
+            if not batch.num_rows:
+                continue
+            words, per_text = tokens(batch.column(2))
+            numbers, at = _numbers(words, per_text, known, number, voc)
+            of, size, ends = np.repeat(np.arange(len(per_text)), per_text), len(per_text), np.cumsum(per_text + 1)
+            rare = at < 0
+            logs = np.zeros(len(at))
+            logs[~rare] = logc[at[~rare]]
+            # what the class does not say of a tail word: its share of the class
+            tail = rare | (at >= voc.n_head)
+            shares = logs[tail] - per_shape[np.delete(numbers, ends - 1)[tail] - voc.n_head]
+            offsets = np.append(0, np.cumsum(np.bincount(of[rare], minlength=size))).astype(np.int32)
+            columns = [
+                batch.column(0), batch.column(1), pa.array(per_text + 1, pa.int64()),
+                pa.array(np.bincount(of[~rare], minlength=size) + end_known, pa.int64()),
+                pa.array(np.bincount(of, weights=logs, minlength=size) + end_log, pa.float64()), None,
+                pa.ListArray.from_arrays(pa.array(offsets), words.filter(pa.array(rare)).cast(pa.string(), safe=False)),
+            ]
+            waiting.append((columns, np.bincount(of[tail], weights=shares, minlength=size)))
+            texts += np.split(numbers, ends[:-1])
+            held += len(numbers)
+            if held > TOGETHER:
+                yield from scored_batches()
+                waiting, texts, held = [], [], 0
+        if waiting:
+            yield from scored_batches()
 
     scored = materialize(
         arrow_pass(
