@@ -84,10 +84,24 @@ def question_rows(
     return grade_in_force(filled).withColumn("multi_page", F.size("pages") > 1)
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles rounded once, the same in whatever order the rows come: added one by one they differ in the last place, and
+    a share that lies on a half falls to either side. Two values add up as ever. Values are summed as whole numbers of 2^-20 and, for
+    the rest, of 2^-62; where one is too large or too fine for that, all are added as doubles."""
+    scaled = value * 2.0**20
+    rest = (scaled - F.floor(scaled)) * 2.0**42
+    fits = (F.abs(value) < 2.0**32) & (rest == F.floor(rest))
+    high, low = F.try_sum(F.when(fits, F.floor(scaled))), F.try_sum(F.when(fits, F.floor(rest)))
+    high, low = F.try_add(high, F.shiftright(low, 42)), low.bitwiseAND(F.lit(2**42 - 1))
+    whole = F.bool_and(fits) & (F.abs(high) < 2**53)
+    return F.when(whole, (high + low * 2.0**-42) * 2.0**-20).otherwise(F.sum(value))
+
+
 def grade_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Marks, maximum and rounded percentage of what was graded per key; 0 percent of a maximum of 0; keys without a grade
-    have no row."""
-    s = rows.where("marks IS NOT NULL").groupBy(*keys).agg(F.sum("marks").alias("marks_obtained"), F.sum("max_marks").alias("max_marks"))
+    have no row. Sums do not depend on the order of the rows."""
+    total = (exact_sum(F.col(c)).alias(t) for c, t in (("marks", "marks_obtained"), ("max_marks", "max_marks")))
+    s = rows.where("marks IS NOT NULL").groupBy(*keys).agg(*total)
     share = F.when(F.col("max_marks") > 0, F.col("marks_obtained") / F.col("max_marks") * 100).otherwise(0.0)
     return s.withColumn("percentage", F.floor(share + 0.5).cast("bigint"))
 

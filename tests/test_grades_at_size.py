@@ -1,5 +1,7 @@
 """Grades at size: marks rolled up by sheet, paper and class, and publications."""
 
+from pyspark.sql import functions as F
+
 from markloom.operators import review as R
 
 ROWS = [(1, 0, 2.0), (1, 0, 3.0), (1, 1, None), (2, 0, 1.5), (2, None, 4.0), (None, 0, 1.0), (3, 5, None)]
@@ -47,3 +49,25 @@ def test_publications_derive_grades_and_events_once(spark, monkeypatch):
     monkeypatch.setattr(Publications, "write", lambda self, rows, published, n: (seen.append(rows.inputFiles()), write(self, rows, published, n)))
     got = entry.queries()["write_published_snapshot"](spark, entry.SMOKE_DIR)
     assert got.count() > 0 and seen[0] and not any("lineitem" in f or "events.parquet" in f for f in seen[0])
+
+
+def test_percentage_does_not_depend_on_the_order_of_rows(spark):
+    """81.75 of 150 is 54.5 %, which is 55; as doubles some orders add up to less."""
+    from itertools import permutations
+
+    marks = (36.26, 8.49, 37.0)
+    rows = [(i, 0, m, 50.0) for i, order in enumerate(permutations(marks)) for m in order]
+    got = R.grade_summary(spark.createDataFrame(rows, "paper_id long, student_ix long, marks double, max_marks double").coalesce(1), R.SHEET).collect()
+    assert {(r.marks_obtained, r.max_marks, r.percentage) for r in got} == {(81.75, 150.0, 55)} and len(got) == 6
+
+
+def test_sums_are_exact_or_those_of_doubles(spark):
+    from math import fsum
+
+    inf, nan = float("inf"), float("nan")
+    exact = {1: [0.1, 0.2], 2: [0.01] * 3000, 3: [-0.3, 0.1, 0.1, 0.1, -7.25], 4: [1.0, 2.0**-52, 2.0**-53, 2.0**-53], 5: [0.5, None, 49.99]}
+    plain = {6: [1e-30, 2e-30], 7: [1e25, 1.0], 8: [inf, 1.0], 9: [nan, 1.0], 10: [None], 11: [4e9] * 5000}
+    rows = [(k, x) for k, xs in (exact | plain).items() for x in xs]
+    got = {r.k: r for r in spark.createDataFrame(rows, "k long, x double").groupBy("k").agg(R.exact_sum(F.col("x")).alias("s"), F.sum("x").alias("plain")).collect()}
+    assert {k: got[k].s for k in exact} == {k: fsum(x for x in xs if x is not None) for k, xs in exact.items()}
+    assert {k: repr(got[k].s) for k in plain} == {k: repr(got[k].plain) for k in plain}
