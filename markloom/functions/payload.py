@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.I | re.S)
+PLAIN_FENCE = r"^[^`]*+```(?:[jJ][sS][oO][nN])?[ \t\r\n]*+([{\[][^`]*+)```"
 MARKS = {"{": re.compile(r'\\.|["{}]', re.S), "[": re.compile(r'\\.|["\[\]]', re.S)}
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -78,6 +79,14 @@ def repair_json(text: Column) -> Column:
     return json_piece(text)
 
 
+def plain_json(text: Column) -> Column:
+    """The text from where an object or array opens, of replies that begin with it or whose first fenced part does (no other back
+    tick up to its end); empty or null for others. If JSON can be read from its beginning, this is what ``repair_json`` finds: what
+    may follow a balanced piece counts neither there nor here."""
+    begins = F.when(text.rlike(r"^[ \t\r\n]*[{\[]"), text)
+    return F.when(F.contains(text, F.lit("```")), F.regexp_extract(text, PLAIN_FENCE, 1)).otherwise(begins)
+
+
 def reply_value(text: Column) -> Column:
     """The reply's JSON as a VARIANT, null if there is none."""
     return parsed(repair_json(text))
@@ -148,13 +157,18 @@ def as_string(value: Read) -> Column:
 def as_number(value: Read) -> Column:
     """A number, also from its text (nothing but white space is 0); null otherwise."""
     t = F.trim(value.text)
-    n = F.when(t.rlike(NUMBER), t.try_cast("double"))
-    return F.when(t == "", 0.0).otherwise(F.when(F.abs(n) < float("inf"), n))
+    n = t.try_cast("double")
+    return F.when(t == "", 0.0).when(t.rlike(NUMBER) & (F.abs(n) < float("inf")), n)
 
 
 def as_confidence(value: Read, default: float) -> Column:
     """0..1; what is above 1 counts as a percentage."""
-    n = F.coalesce(as_number(value), F.lit(default))
+    return share(as_number(value), default)
+
+
+def share(number: Column, default: float) -> Column:
+    """A number as a confidence, see ``as_confidence``."""
+    n = F.coalesce(number, F.lit(default))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, n / 100).otherwise(n)))
 
 

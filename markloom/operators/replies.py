@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.functions.labels import canonical_label, split_leading_label, strip
-from markloom.functions.payload import Read, as_array, as_boolean, as_confidence, as_number, as_string, field, is_object, read_fields, repair_json, with_value
+from markloom.functions.payload import Read, as_array, as_boolean, as_confidence, as_number, as_string, field, is_object, plain_json, read_fields, repair_json, share, with_value
 from markloom.functions.text import MIN_TEXT, strip_marks
 from markloom.operators.review import to_evaluation
 from markloom.sources.shared import settle
@@ -19,11 +19,16 @@ def reply_rows(replies: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(keys, seq, r: VARIANT): the objects of a reply's array: its field ``name``, or where there is none the reply itself; of
     an object its first property that is an array. Replies without any give none. The JSON is parsed once."""
     found = with_value(replies.select(*keys, repair_json(F.col("reply")).alias("_payload")), "_payload", "_value")
-    own = found.withColumns({"_own": field(F.col("_value"), name), "_names": F.json_object_keys("_payload")})
-    told = F.coalesce(F.array_contains("_names", name), F.lit(False))
+    return _objects(found, keys, name).where(is_object(F.col("r")))
+
+
+def _objects(found: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, seq, r: VARIANT): what stands in the array of replies (keys, _payload, _value); one row without r for a reply without any."""
+    own = found.withColumn("_own", field(F.col("_value"), name))
+    told = F.col("_own").isNotNull() | F.coalesce(F.array_contains(F.json_object_keys("_payload"), name), F.lit(False))
     chosen = own.withColumns({"_from": F.when(told, F.col("_own")).otherwise(F.col("_value")), "_text": F.when(told & is_object(F.col("_own")), F.to_json("_own")).otherwise(F.col("_payload"))})
     listed = chosen.select(*keys, as_array(F.col("_from"), F.col("_text")).alias("_rows")).select(*keys, F.posexplode_outer("_rows").alias("seq", "r"))  # a plain one infers a filter that reads replies twice
-    return listed.where(is_object(F.col("r"))).withColumn("seq", F.col("seq").cast("bigint"))
+    return listed.withColumn("seq", F.col("seq").cast("bigint"))
 
 
 def _text(value: Read) -> Column:
@@ -128,24 +133,41 @@ def merge_structure(drafts: DataFrame, rows: DataFrame, lines: DataFrame, keys:
     return enriched.unionByName(later.select(*on, F.col("reply_marks").alias("marks"), F.col("reply_section").alias("section"), "text"))
 
 
+GRADE = ["questionId", "marksObtained", "maxMarks", "evaluation", "feedback", "confidence", "requiresReview"]
+
+
+def _grade_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, question_no, _g): the number of the question that a row of a reply names, and the texts of its other fields."""
+    rows, f = read_fields(rows, "r", GRADE)
+    asked = rows.withColumn("_id", as_number(f["questionId"]))
+    other = (*(F.col("_t")[n].alias(n) for n in GRADE if n not in ("questionId", "evaluation", "feedback")), *(as_string(f[n]).alias(n) for n in ("evaluation", "feedback")))
+    return asked.select(*keys, "seq", whole(F.col("_id")).alias("question_no"), F.struct(*other).alias("_g"))
+
+
+def _read_grades(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """``_grade_texts`` of replies. Those that are plain JSON, alone or in a fence, are read without Python; what cannot be read
+    so is written beside their rows, and only that is searched for its JSON."""
+    plain = replies.select(*keys, "reply", plain_json(F.col("reply")).alias("_payload")).withColumn("_value", F.try_parse_json("_payload"))
+    unread = plain.withColumn("_unread", F.when(F.col("_value").isNull(), F.col("reply")))
+    rows = _objects(unread, [*keys, "_unread"], "grades")  # what is no object names no question
+    # written once: joins push filters on the key below the reading, which then would happen twice
+    read = settle(_grade_texts(rows, [*keys, "_unread"]))
+    rest = read.where("_unread IS NOT NULL").select(*keys, F.col("_unread").alias("reply"))
+    return read.where("_unread IS NULL").drop("_unread").unionByName(settle(_grade_texts(reply_rows(rest, keys, "grades"), keys)))
+
+
 def grade_rows(replies: DataFrame, keys: list[str], targets: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Grades of the questions asked (``targets``: keys, question_no, printed_marks, needs_review), from replies (keys, ``also``,
     reply): rows for other questions are dropped, and of several for one the last counts. The maximum is the reply's, else
-    the printed one, else 1, and 1 at least; marks are clamped to it."""
-    rows, f = read_fields(
-        reply_rows(replies, [*keys, *(also or [])], "grades"), "r", ["questionId", "marksObtained", "maxMarks", "evaluation", "feedback", "confidence", "requiresReview"]
-    )
-    read = rows.select(
-        *keys, *(also or []), "seq", whole(as_number(f["questionId"])).alias("question_no"), as_number(f["marksObtained"]).alias("_marks"), as_number(f["maxMarks"]).alias("_max"),
-        as_string(f["evaluation"]).alias("_verdict"), _text(f["feedback"]).alias("_said"), as_confidence(f["confidence"], 0.6).alias("confidence"), as_boolean(f["requiresReview"]).alias("_review"),
-    )
-    # written once: joins push filters on the key below the reading, which then would happen twice
-    known = settle(read).join(targets, [*keys, "question_no"])
-    fields = ("_marks", "_max", "_verdict", "_said", "confidence", "_review", "printed_marks", "needs_review")
+    the printed one, else 1, and 1 at least; marks are clamped to it. Fields are read as numbers in the rows that count only."""
+    known = _read_grades(replies, [*keys, *(also or [])]).join(targets, [*keys, "question_no"])
+    fields = ("_g", "printed_marks", "needs_review")
     last = known.groupBy(*keys, "question_no").agg(F.max_by(F.struct(*fields), F.struct(*(also or []), "seq")).alias("x")).select(*keys, "question_no", "x.*")
+    of = lambda n: Read(F.col("_g")[n], F.lit(None))
+    read = last.withColumns({"_marks": as_number(of("marksObtained")), "_max": as_number(of("maxMarks")), "_sure": as_number(of("confidence")), "_said": strip(F.coalesce("_g.feedback", F.lit("")))})
     top = F.greatest(F.lit(1.0), F.coalesce("_max", F.col("printed_marks").cast("double"), F.lit(1.0)))
-    return last.select(
+    return read.select(
         *keys, "question_no", F.least(top, F.greatest(F.lit(0.0), F.coalesce("_marks", F.lit(0.0)))).alias("marks"), top.alias("max_marks"),
-        to_evaluation(F.col("_verdict")).alias("evaluation"), F.coalesce(F.nullif("_said", F.lit("")), F.lit(NO_FEEDBACK)).alias("feedback"), "confidence",
-        (F.col("_review") | F.coalesce("needs_review", F.lit(False))).alias("requires_review"),
+        to_evaluation(F.col("_g.evaluation")).alias("evaluation"), F.coalesce(F.nullif("_said", F.lit("")), F.lit(NO_FEEDBACK)).alias("feedback"),
+        share(F.col("_sure"), 0.6).alias("confidence"), (as_boolean(of("requiresReview")) | F.coalesce("needs_review", F.lit(False))).alias("requires_review"),
     )

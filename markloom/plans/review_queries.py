@@ -216,20 +216,24 @@ def _reply_parts():
     )
 
 
-def _replies(spark, sf_dir):
+def _replies(grades):
     parts = [F.lit(x) if isinstance(x, str) else x for x in _reply_parts()]
-    return _g(spark, sf_dir).select(*R.ROW, F.concat(F.lit("```json\n"), *parts, F.lit("\n``` as asked")).alias("reply"))
+    return grades.select(*R.ROW, F.concat(F.lit("```json\n"), *parts, F.lit("\n``` as asked")).alias("reply"))
 
 
 def repair_json_payload(spark, sf_dir):
-    return _replies(spark, sf_dir).select(*R.ROW, P.repair_json(F.col("reply")).alias("payload"))
+    return _replies(_g(spark, sf_dir)).select(*R.ROW, P.repair_json(F.col("reply")).alias("payload"))
 
 
 def grade_rows(spark, sf_dir):
     """Grades read from replies, each of which was asked about one question."""
-    targets = _g(spark, sf_dir).select(*R.ROW, "printed_marks", F.col("requires_review").alias("needs_review"))
-    replies = _replies(spark, sf_dir).withColumnRenamed("question_no", "asked")
-    return P2.grade_rows(replies, R.SHEET, targets, ["asked"])
+    return _read_back(settle(_g(spark, sf_dir)))
+
+
+def _read_back(grades):
+    """``grades`` (settled) as read from their replies."""
+    targets = grades.select(*R.ROW, "printed_marks", F.col("requires_review").alias("needs_review"))
+    return P2.grade_rows(_replies(grades).withColumnRenamed("question_no", "asked"), R.SHEET, targets, ["asked"])
 
 
 def coerce_fields(spark, sf_dir):
@@ -255,9 +259,9 @@ def to_evaluation(spark, sf_dir):
 
 
 def merge_grades(spark, sf_dir):
-    g = _g(spark, sf_dir)
+    g = settle(_g(spark, sf_dir))  # read by three sides
     q = g.select(*R.ROW, F.col("printed_marks").cast("double").alias("printed_marks"), (F.col("question_no") % 4 != 0).alias("attempted"), F.col("requires_review").alias("needs_review"))
-    replied = grade_rows(spark, sf_dir).where("question_no % 3 <> 0")  # the others were never answered
+    replied = _read_back(g).where("question_no % 3 <> 0")  # the others were never answered
     r = replied.select(
         *R.ROW, F.col("marks").alias("reply_marks"), F.col("max_marks").alias("reply_max"), F.col("evaluation").alias("reply_evaluation"),
         F.col("confidence").alias("reply_confidence"), F.col("requires_review").alias("reply_review"),
