@@ -109,12 +109,17 @@ def grade_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 ROWS_A_TASK = 200_000
 
 
+def deal(rows: DataFrame, at_most: int, keys: list[str]) -> DataFrame:
+    """``rows`` dealt by ``keys`` over as many tasks as keep each at some ``ROWS_A_TASK`` of the ``at_most`` rows."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-at_most // ROWS_A_TASK))
+    return rows.repartition(tasks, *keys)
+
+
 def class_rollup(rows: DataFrame, at_most: int) -> DataFrame:
     """(paper_id, student_ix, marks, n) per sheet, per paper (no student) and over all (neither): sheets are summed first, dealt
     over as many tasks as keep each at some ``ROWS_A_TASK`` of the ``at_most`` rows, and the others are sums of theirs. A plain
     rollup holds every row three times over in the table of a task, which grows with the input."""
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-at_most // ROWS_A_TASK))
-    dealt = rows.select(*SHEET, "marks").repartition(tasks, *SHEET)
+    dealt = deal(rows.select(*SHEET, "marks"), at_most, SHEET)
     total = (F.sum("marks").alias("marks"), F.sum("n").alias("n"))
     sheets = settle(dealt.groupBy(*SHEET).agg(F.sum("marks").alias("marks"), F.count(F.lit(1)).alias("n")))
     papers = settle(sheets.groupBy("paper_id").agg(*total))

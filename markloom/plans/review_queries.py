@@ -231,9 +231,11 @@ def grade_rows(spark, sf_dir):
 
 
 def _read_back(grades):
-    """``grades`` (settled) as read from their replies."""
+    """``grades`` (settled) as read from their replies. These are dealt by their number: a task that reads files takes rows by their
+    bytes, of which a reply's are few and its work is much."""
     targets = grades.select(*R.ROW, "printed_marks", F.col("requires_review").alias("needs_review"))
-    return P2.grade_rows(_replies(grades).withColumnRenamed("question_no", "asked"), R.SHEET, targets, ["asked"])
+    replies = _replies(R.deal(grades, grades.count(), R.ROW)).withColumnRenamed("question_no", "asked")
+    return P2.grade_rows(replies, R.SHEET, targets, ["asked"])
 
 
 def coerce_fields(spark, sf_dir):

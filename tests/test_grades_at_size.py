@@ -71,3 +71,16 @@ def test_sums_are_exact_or_those_of_doubles(spark):
     got = {r.k: r for r in spark.createDataFrame(rows, "k long, x double").groupBy("k").agg(R.exact_sum(F.col("x")).alias("s"), F.sum("x").alias("plain")).collect()}
     assert {k: got[k].s for k in exact} == {k: fsum(x for x in xs if x is not None) for k, xs in exact.items()}
     assert {k: repr(got[k].s) for k in plain} == {k: repr(got[k].plain) for k in plain}
+
+
+def test_replies_are_dealt_by_their_number(spark, monkeypatch):
+    """Not by the bytes of the files that they are made from, which leave few tasks at work."""
+    import __spark_entry__ as entry
+    from markloom.operators import replies as P2
+
+    seen = []
+    settle = P2.settle
+    monkeypatch.setattr(R, "ROWS_A_TASK", 500)
+    monkeypatch.setattr(P2, "settle", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    n = entry.queries()["merge_grades"](spark, entry.SMOKE_DIR).count()
+    assert n > 5000 and "RepartitionByExpression" in seen[0] and f", {-(-n // 500)}" in seen[0]
